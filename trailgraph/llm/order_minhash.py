@@ -65,7 +65,7 @@ def _elements(codes: np.ndarray) -> np.ndarray:
     np.not_equal(identity[1:], identity[:-1], out=new[1:])
     first = np.flatnonzero(new)
     run = np.repeat(first, np.diff(np.append(first, n)))
-    # The identity keeps its leading bits only; how many must not depend on the text's length.
+    # Two k-mers whose leading bits agree would count as one: of 40 bits and more, that is not to be expected.
     occurrence = (np.arange(n) - run).astype(np.uint64)
     out = np.empty(n, dtype=np.uint64)
     out[at] = occurrence

@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailgraph.llm import exact_dedup, packing, token_files
+from trailgraph.llm import exact_dedup, langid, order_minhash, packing, pii, token_files, toxicity
 from trailgraph.llm.common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: Labelled rows that a classifier is fitted on at most.
+LANGUAGE_ROWS, TOXICITY_ROWS = 4_000, 20_000
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, LANGUAGE_ROWS))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +24,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY_ROWS)
+    return toxicity.score(docs, model).selectExpr("doc_id", "held_out", "score", "predicted", "cast(size(segments) as long) AS n_segments")
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
 
@@ -26,7 +47,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op5_personal_data": op5_personal_data,
+    "op7_toxicity": op7_toxicity,
+    "op8_order_minhash": op8_order_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -39,7 +39,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Chunks:
-    """``lo``..``hi``: the texts; ``first[i]``..``first[i + 1]``: the chunks of text ``lo + i``."""
+    """``lo``..``hi``: the texts; ``first[i]``..``first[i + 1]``: the chunks of text ``lo + i``,
+    which begins at byte ``offsets[i]`` of ``data``."""
 
     lo: int
     hi: int
@@ -47,17 +48,26 @@ class Chunks:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
     hashes: np.ndarray
 
     def chunk(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
 
 
-def chunk_groups(texts: list[str | None], lower: bool = True) -> Iterator[Chunks]:
-    """Chunks ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), with A-Z lowered where ``lower``."""
+#: For ``marks_apart``: ASCII marks become spaces.
+_MARKS = bytes(32 if c < 128 and not chr(c).isalnum() and c > 32 else c for c in range(256))
+
+
+def chunk_groups(texts: list[str | None], lower: bool = True, marks_apart: bool = False) -> Iterator[Chunks]:
+    """Chunks ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), with A-Z lowered where ``lower``.
+
+    ``marks_apart``: ASCII marks count as white space.
+    """
     lo, size, parts = 0, 0, []
     for i, text in enumerate(texts):
         raw = (text or "").encode()
+        raw = raw.translate(_MARKS) if marks_apart else raw
         if parts and size + len(raw) > GROUP_BYTES:
             yield _chunks(lo, parts, lower)
             lo, size, parts = i, 0, []
@@ -84,7 +94,7 @@ def _chunks(lo: int, parts: list[bytes], lower: bool) -> Chunks:
     h = mix(h)
     h[h == 0] = 1
     offsets = np.concatenate(([0], np.cumsum(np.array([len(p) + 1 for p in parts], dtype=np.int64))))
-    return Chunks(lo, lo + len(parts), data, starts, ends, np.searchsorted(starts, offsets), h)
+    return Chunks(lo, lo + len(parts), data, starts, ends, np.searchsorted(starts, offsets), offsets, h)
 
 
 class HashIndex:
