@@ -1,12 +1,55 @@
-"""The corpus pipeline: its stages follow as the operators do."""
+"""The corpus pipeline: documents without toxic texts, exact and near copies and personal data, packed into sequences."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trailgraph.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+from trailgraph.llm.common import table, written
+from trailgraph.llm.queries import TOXICITY_ROWS, WORD_BPE
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the model is fitted on the labelled documents among them."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY_ROWS))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the largest id of each group of equal texts."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by marks."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece: which tokens of which document stand where in which sequence."""
+    return packing.pack_documents(docs, WORD_BPE, end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("jaccard_join", without_near_copies),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
+]
+
+#: The scores, spans and ids of the stages aren't expressible in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each over the written rows of the one before."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = written(docs) if k + 1 < len(STAGES) else docs
     return docs

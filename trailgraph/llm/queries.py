@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailgraph.llm import exact_dedup, langid, order_minhash, packing, pii, token_files, toxicity
+from trailgraph.llm import exact_dedup, jaccard_join, langid, order_minhash, packing, pii, piece_sampling, quotation, token_files, toxicity
 from trailgraph.llm.common import shared_folder, table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Labelled rows that a classifier is fitted on at most.
 LANGUAGE_ROWS, TOXICITY_ROWS = 4_000, 20_000
 
 
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trips(table(spark, sf_dir, "documents"), PIECES, seed=1, theta=1.0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, LANGUAGE_ROWS))
@@ -24,10 +30,19 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotation.reply_order(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("own_sha256", F.sha2("own_text", 256)).drop("own_text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY_ROWS)
@@ -47,9 +62,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_piece_sampling": op1_piece_sampling,
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_personal_data": op5_personal_data,
+    "op6_quotation_links": op6_quotation_links,
     "op7_toxicity": op7_toxicity,
     "op8_order_minhash": op8_order_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -149,6 +149,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
+def _once(scores: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A token speaks once in a text, as it was counted: its further occurrences only pay the drift."""
+    hits = np.flatnonzero(scores > 0)
+    if len(hits) > 1:
+        first = np.unique(hashes[hits], return_index=True)[1]
+        if len(first) < len(hits):
+            scores = scores.copy()
+            scores[np.delete(hits, first)] = -DRIFT
+    return scores
+
+
 def _scored(shipped, b: pa.RecordBatch, text_at: int) -> list[tuple[int, list[tuple[int, int, float]], float, list[tuple[int, int, float]]]]:
     """Tokens, segments in tokens, evidence, and significant segments in bytes, of each text of the batch."""
     model: ToxicityModel = shipped.value
@@ -157,7 +168,7 @@ def _scored(shipped, b: pa.RecordBatch, text_at: int) -> list[tuple[int, list[tu
         scores = model.scores(group.hashes)
         for i in range(group.hi - group.lo):
             a, z = int(group.first[i]), int(group.first[i + 1])
-            segments = maximal_segments(scores[a:z])
+            segments = maximal_segments(_once(scores[a:z], group.hashes[a:z]))
             zero = int(group.offsets[i])
             spans = [(int(group.starts[a + s]) - zero, int(group.ends[a + e - 1]) - zero, score) for s, e, score in segments if model.expected(score, z - a) < SIGNIFICANT]
             out.append((z - a, segments, model.evidence(segments, z - a), spans))

@@ -26,7 +26,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -86,7 +86,7 @@ def _chunks(lo: int, parts: list[bytes], lower: bool) -> Chunks:
     if not space[0]:
         edges = np.concatenate(([0], edges))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _power(len(b) + 1)
+    up, down = powers(len(b) + 1)
     total = np.empty(len(b) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_BYTES[b] * up[: len(b)], out=total[1:])
