@@ -1,6 +1,474 @@
-"""Registered queries of the graph engine, and the same in SQL."""
+"""Registered queries of the graph engine over the relational property graph, and the same in SQL (DuckDB)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailgraph import relational_graph
+from trailgraph.functions import text
+from trailgraph.functions.match import closest
+from trailgraph.operators import bundles, expand, graph as graphs, splits
+from trailgraph.plans.execute import Graph, follow, follow_batch, follow_many, start
+from trailgraph.sources.readers import target_map
+from trailgraph.sources.writers import edge_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+E_ = relational_graph.SQL
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, and its SQL where there is one."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return relational_graph.load(spark, sf_dir)
+
+
+# -- the edge table ---------------------------------------------------------------------------------------------------
+
+
+@query(E_ + "SELECT src, dst, label, pos FROM edges")
+def edges_canonical(spark, sf_dir):
+    return graphs.canonical(relational_graph.raw_edges(spark, sf_dir))
+
+
+@query(E_ + "SELECT src, dst, label, min(seq) AS pos FROM raw WHERE src LIKE 'User#%' GROUP BY ALL")
+def edges_multigraph(spark, sf_dir):
+    return graphs.multigraph(relational_graph.raw_edges(spark, sf_dir).filter(F.col("src").startswith("User#")))
+
+
+@query(E_ + "SELECT label, count(*) AS n, count(DISTINCT src) AS n_src FROM edges GROUP BY label")
+def edge_label_counts(spark, sf_dir):
+    return graphs.label_counts(_graph(spark, sf_dir).edges)
+
+
+@query(E_ + "SELECT name, node_type FROM node_type")
+def node_type_lookup(spark, sf_dir):
+    return graphs.node_types(_graph(spark, sf_dir).edges)
+
+
+@query(E_ + "SELECT name, min(pos) AS first_pos FROM (SELECT src AS name, pos FROM edges UNION ALL SELECT dst, pos FROM edges) GROUP BY name")
+def node_table(spark, sf_dir):
+    return graphs.nodes(_graph(spark, sf_dir).edges)
+
+
+@query(E_ + "SELECT src AS name, min(pos) AS pos FROM edges WHERE lower(dst) = 'customer' GROUP BY src")
+def names_by_type(spark, sf_dir):
+    return graphs.names_of_type(_graph(spark, sf_dir).edges, "Customer")
+
+
+_HISTOGRAM = "h AS (SELECT label, coalesce(node_type, dst) AS target_type, count(*) AS n, min(pos) AS first_pos FROM edges LEFT JOIN node_type ON dst = name WHERE label <> '' AND coalesce(node_type, dst) <> '' GROUP BY ALL)"
+_TOP = "top AS (SELECT label, first(target_type ORDER BY n DESC, first_pos, target_type) AS top_type, max(n) AS n FROM h GROUP BY label)"
+
+
+@query(f"{E_}, {_HISTOGRAM} SELECT * FROM h")
+def relation_type_histogram(spark, sf_dir):
+    return graphs.relation_histogram(_graph(spark, sf_dir))
+
+
+@query(f"{E_}, {_HISTOGRAM}, {_TOP} SELECT * FROM top")
+def relation_top_type(spark, sf_dir):
+    return graphs.relation_top_type(graphs.relation_histogram(_graph(spark, sf_dir)))
+
+
+@query(E_ + "SELECT label, first(src ORDER BY pos, src) AS src FROM edges GROUP BY label")
+def first_source_of_relation(spark, sf_dir):
+    return graphs.first_sources(_graph(spark, sf_dir).edges)
+
+
+@query(E_ + "SELECT concat(src, ' - ', label, ' -> ', dst) AS line FROM edges WHERE label IN ('in_region', 'located_in', 'mktsegment')")
+def edge_log_lines(spark, sf_dir):
+    kept = _graph(spark, sf_dir).edges.filter(F.col("label").isin("in_region", "located_in", "mktsegment"))
+    return edge_lines(kept).withColumnRenamed("value", "line")
+
+
+# -- paths from one entity, or none -----------------------------------------------------------------------------------
+
+CUSTOMER, CUSTOMER_2, CUSTOMER_3 = (f"Customer#{k:09d}" for k in (7, 8, 10))
+SUPPLIER = f"Supplier#{3:09d}"
+
+
+def _step_sql(source: str, step: str) -> str:
+    """One step over a select of nodes, in SQL."""
+    if step.startswith("filter "):
+        words = step.removeprefix("filter ").lower()
+        word = " and " if " and " in words else " or "
+        tests = word.join(f"contains(lower(dst), '{w.strip()}')" for w in words.split(word))
+        return f"SELECT node FROM ({source}) WHERE node IN (SELECT src FROM d WHERE {tests})"
+    if "_type" in step:
+        return f"SELECT node FROM ({source}) WHERE node IN (SELECT src FROM edges WHERE label = '{step}')"
+    return f"SELECT DISTINCT dst AS node FROM ({source}) JOIN edges ON node = src WHERE label = '{step}'"
+
+
+def _path_sql(entity: str | None, steps: list[str]) -> str:
+    if entity is None:
+        column = "src" if "_type" in steps[0] else "dst"
+        sql = f"SELECT DISTINCT {column} AS node FROM edges WHERE label = '{steps[0]}'"
+    else:
+        sql = f"SELECT '{entity}' AS node"
+    for step in steps:
+        sql = _step_sql(sql, step)
+    return f"{E_} SELECT DISTINCT node FROM ({sql})"
+
+
+#: name: (entity or none, path)
+PATHS: dict[str, tuple[str | None, list[str]]] = {
+    "hop_single": (CUSTOMER, ["placed_order"]),
+    "hop_multi_2": (CUSTOMER, ["placed_order", "uses_part"]),
+    "hop_multi_3": (CUSTOMER, ["placed_order", "uses_part", "supplied_by"]),
+    "hop_multi_4": (CUSTOMER, ["placed_order", "uses_part", "supplied_by", "located_in"]),
+    "type_keep": (CUSTOMER, ["placed_order", "uses_part", "is_part_type"]),
+    "filter_single": (SUPPLIER, ["supplies", "filter Ring"]),
+    "filter_and": (SUPPLIER, ["supplies", "filter ring and ECONOMY"]),
+    "filter_or": (SUPPLIER, ["supplies", "filter ring or widget"]),
+    "filter_after_description": (SUPPLIER, ["supplies", "description", "filter ring"]),
+    "hop_filter": (CUSTOMER, ["placed_order", "uses_part", "filter promo"]),
+    "type_filter_hop": (None, ["is_part_type", "filter red and plate", "supplied_by"]),
+    "type_filter_hop_hop": (None, ["is_part_type", "filter red and ring", "supplied_by", "located_in"]),
+    "hop_filter_hop_hop": (SUPPLIER, ["supplies", "filter widget and large", "used_by_order", "placed_by"]),
+    "blind_start_relation": (None, ["located_in", "in_region"]),
+    "blind_start_type": (None, ["is_nation_type", "home_of_supplier"]),
+    "document_filter": (None, ["is_document_type", "filter idiot or moron", "lang"]),
+    "hub_value_hop": (None, ["mktsegment"]),
+    "unknown_label": (CUSTOMER, ["placed_order", "show part"]),
+}
+
+for _name, (_entity, _steps) in PATHS.items():
+    query(_path_sql(_entity, _steps), _name)(lambda spark, sf_dir, e=_entity, p=_steps: follow(_graph(spark, sf_dir), spark, [e] if e else [], p))
+
+BATCH = {k: v for k, v in enumerate(PATHS.values()) if v[0]}
+
+
+@query(E_ + " UNION ALL ".join(f"SELECT {k} AS query_id, node FROM ({_path_sql(e, p).removeprefix(E_)})" for k, (e, p) in BATCH.items()))
+def batch_paths(spark, sf_dir):
+    queries = spark.createDataFrame([(k, e) for k, (e, _) in BATCH.items()], "query_id int, entity string")
+    return follow_batch(_graph(spark, sf_dir), queries, {k: p for k, (_, p) in BATCH.items()})
+
+
+# -- paths from several entities --------------------------------------------------------------------------------------
+
+
+def _many_sql(entities: list[str], steps: list[str]) -> str:
+    """``acc(entity, node_type, node)`` of a path's hops, as CTEs after the graph's."""
+    ctes = ["f0 AS (" + " UNION ALL ".join(f"SELECT '{e}' AS entity, '{e}' AS node" for e in entities) + ")"]
+    hops, k = [], 0
+    for step in steps:
+        if step.startswith("select"):
+            continue
+        source, k = f"f{k}", k + 1
+        if "_type" in step:
+            body = f"SELECT DISTINCT entity, src AS node FROM (SELECT DISTINCT entity FROM f0), edges WHERE label = '{step}'"
+        elif step.startswith("filter "):
+            body = f"SELECT entity, node FROM {source} WHERE node IN (SELECT src FROM d WHERE contains(lower(dst), '{step.removeprefix('filter ').lower()}'))"
+        else:
+            body = f"SELECT DISTINCT entity, dst AS node FROM {source} JOIN edges ON node = src WHERE label = '{step}'"
+            hops.append(k)
+        ctes.append(f"f{k} AS ({body})")
+    union = " UNION ".join(f"SELECT entity, node_type, node FROM f{k} LEFT JOIN node_type ON node = name" for k in hops)
+    return f"{E_}, {', '.join(ctes)}, acc AS ({union})"
+
+
+_TWO, _THREE = [CUSTOMER, CUSTOMER_2], [CUSTOMER, CUSTOMER_2, CUSTOMER_3]
+_HOPS = ["select <<customer>> <<customer>>", "placed_order", "uses_part", "supplied_by"]
+
+
+def _many(spark: SparkSession, sf_dir: str, entities: list[str], steps: list[str]):
+    return follow_many(_graph(spark, sf_dir), start(spark, entities), steps)
+
+
+def _combined(entities: list[str], steps: list[str], operation: str):
+    path = [*steps, operation]
+    return lambda spark, sf_dir: _many(spark, sf_dir, entities, path).combined[len(path)].select("node")
+
+
+def _combined_sql(entities: list[str], steps: list[str], node_type: str, having: str) -> str:
+    return f"{_many_sql(entities, steps)} SELECT node FROM acc WHERE node_type = '{node_type}' GROUP BY node HAVING {having}"
+
+
+query(_combined_sql(_TWO, _HOPS, "supplier", "count(DISTINCT entity) = 2"), "exec_common_2")(_combined(_TWO, _HOPS, "exec_common supplier"))
+query(_combined_sql(_TWO, _HOPS, "supplier", "count(DISTINCT entity) % 2 = 1"), "exec_difference_2")(_combined(_TWO, _HOPS, "exec_difference supplier"))
+query(_combined_sql(_THREE, _HOPS, "part", "count(DISTINCT entity) % 2 = 1"), "exec_difference_3_parity")(_combined(_THREE, _HOPS, "exec_difference part"))
+_SEEDED = ["placed_order", "is_nation_type", "in_region"]
+query(f"{_many_sql(_TWO, _SEEDED)} SELECT entity, node_type, node FROM acc", "type_seed_multi")(lambda spark, sf_dir: _many(spark, sf_dir, _TWO, _SEEDED).results.drop("query_id"))
+query(f"{_many_sql(_THREE, _HOPS)} SELECT entity, node_type, node FROM acc", "typed_results_multi")(lambda spark, sf_dir: _many(spark, sf_dir, _THREE, _HOPS).results.drop("query_id"))
+_FILTERED = ["placed_order", "uses_part", "filter rod", "supplied_by"]
+query(f"{_many_sql(_TWO, _FILTERED)} SELECT entity, node_type, node FROM acc", "filter_multi")(lambda spark, sf_dir: _many(spark, sf_dir, _TWO, _FILTERED).results.drop("query_id"))
+
+
+# -- bundles ----------------------------------------------------------------------------------------------------------
+
+_RELS_SQL = """rels AS (
+SELECT concat('supplier--', l_suppkey) AS source_ref, concat('stock-part--', l_partkey) AS target_ref, 'uses' AS relation, l_orderkey * 10 AS seq FROM lineitem WHERE l_linenumber = 1
+UNION ALL SELECT concat('supplier--', s_suppkey), concat('nation--', s_nationkey), CASE WHEN s_suppkey % 3 = 0 THEN 'mitigates' WHEN s_suppkey % 3 = 1 THEN 'attributed-to' ELSE 'detects' END, 1000000000000 + s_suppkey * 10 FROM supplier
+UNION ALL SELECT 'supplier--none', concat('nation--', n_nationkey), 'detects', 2000000000000 + n_nationkey FROM nation
+), names AS (
+SELECT concat('supplier--', s_suppkey) AS id, s_name AS name FROM supplier UNION ALL SELECT concat('nation--', n_nationkey), n_name FROM nation
+UNION ALL SELECT concat('stock-part--', p_partkey), p_name FROM part)"""
+_RESOLVED_SQL = f"""WITH {_RELS_SQL}, named AS (
+SELECT s.name AS source, t.name AS target, source_ref, seq, CASE WHEN relation = 'uses' THEN concat('uses_', replace(split_part(target_ref, '--', 1), '-', '_')) ELSE replace(relation, '-', '_') END AS label
+FROM rels JOIN names s ON source_ref = s.id JOIN names t ON target_ref = t.id
+), both_ways AS (
+SELECT source AS src, target AS dst, label, seq + {bundles.PHASE} AS seq FROM named UNION ALL
+SELECT target, source, CASE WHEN label = 'mitigates' THEN 'mitigated_by' WHEN label = 'detects' THEN 'detected_by' WHEN label LIKE 'attributed%' THEN 'is_responsible' WHEN label LIKE 'uses\\_%' ESCAPE '\\' THEN concat('used_by_', replace(split_part(source_ref, '--', 1), '-', '_')) END, seq + {bundles.PHASE} + 1 FROM named)"""
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier, nation, part, line = (_table(spark, sf_dir, t) for t in ("supplier", "nation", "part", "lineitem"))
+    uses = line.filter("l_linenumber = 1").selectExpr("concat('supplier--', l_suppkey) AS source_ref", "concat('stock-part--', l_partkey) AS target_ref", "'uses' AS relation", "l_orderkey * 10 AS seq")
+    kind = "CASE WHEN s_suppkey % 3 = 0 THEN 'mitigates' WHEN s_suppkey % 3 = 1 THEN 'attributed-to' ELSE 'detects' END AS relation"
+    there = supplier.selectExpr("concat('supplier--', s_suppkey) AS source_ref", "concat('nation--', s_nationkey) AS target_ref", kind, "1000000000000 + s_suppkey * 10 AS seq")
+    lost = nation.selectExpr("'supplier--none' AS source_ref", "concat('nation--', n_nationkey) AS target_ref", "'detects' AS relation", "cast(2000000000000 + n_nationkey AS long) AS seq")
+    names = supplier.selectExpr("concat('supplier--', s_suppkey) AS id", "s_name AS name").unionByName(nation.selectExpr("concat('nation--', n_nationkey) AS id", "n_name AS name"))
+    names = names.unionByName(part.selectExpr("concat('stock-part--', p_partkey) AS id", "p_name AS name"))
+    return bundles.relationship_edges(uses.unionByName(there).unionByName(lost), names)
+
+
+@query(f"{_RESOLVED_SQL} SELECT src, dst, label, seq FROM both_ways WHERE label IS NOT NULL")
+def relationship_resolution(spark, sf_dir):
+    return _relations(spark, sf_dir)
+
+
+@query(f"{_RESOLVED_SQL} SELECT label, count(*) AS n, count(DISTINCT src) AS n_src FROM both_ways WHERE label IS NOT NULL AND (label LIKE '%\\_by%' ESCAPE '\\' OR label = 'is_responsible') GROUP BY label")
+def inverse_edges(spark, sf_dir):
+    return graphs.label_counts(_relations(spark, sf_dir).filter(F.col("label").contains("_by") | (F.col("label") == "is_responsible")))
+
+
+@query("""SELECT src, dst, label FROM (
+SELECT concat('Event#', event_id) AS src, replace(event_type, '-', '_') AS dst, concat('is_', replace(event_type, '-', '_'), '_type') AS label FROM events
+UNION ALL SELECT concat('Event#', event_id), concat('Event#', event_id), 'name' FROM events
+UNION ALL SELECT concat('Event#', event_id), json_extract_string(props, '$.k'), 'k' FROM events)""")
+def attribute_explode(spark, sf_dir):
+    made = _table(spark, sf_dir, "events").select(
+        F.lit(0).alias("file_ord"), F.col("event_id").alias("obj_pos"),
+        F.map_concat(F.create_map(F.lit("id"), F.concat(F.lit("event--"), "event_id"), F.lit("type"), "event_type", F.lit("name"), F.concat(F.lit("Event#"), "event_id")), F.from_json("props", "map<string,string>")).alias("keys"),
+    )
+    return bundles.attribute_edges(made).drop("seq")
+
+
+# -- texts ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT concat('<PATH>from_nation<SEP>', lower(c_mktsegment), '<SEP>', c_name, '</PATH>') AS path, 3 AS n_steps, lower(c_mktsegment) AS second FROM customer")
+def path_parse_render(spark, sf_dir):
+    rendered = _table(spark, sf_dir, "customer").select(text.path_text(F.array(F.lit("from_nation"), F.lower("c_mktsegment"), "c_name")).alias("path"))
+    steps = text.path_steps(F.concat(F.lit("x "), F.col("path"), F.lit(" <PATH>y</PATH>")))
+    return rendered.select(text.path_text(steps).alias("path"), F.size(steps).alias("n_steps"), steps[1].alias("second"))
+
+
+def _one_cue() -> F.Column:
+    return F.concat(
+        F.lit("Let's reason step by step, starting from the entity '"), "c_name", F.lit("' (type: customer). Our goal is: x.\n<PATH>a<SEP>"), "c_name",
+        F.lit("</PATH> The completed path is:\n\n<PATH>b<SEP>"), "c_mktsegment", F.lit("</PATH> "),
+    )
+
+
+def _many_cue() -> F.Column:
+    return F.concat(F.lit("We are working with the following entities:\n- '"), "s_name", F.lit("' is a malware\n- '"), "n_name", F.lit("' is a tool.\n\n**Starting Point (START)** - no"))
+
+
+
+@query("""SELECT c_name AS first_entity, 1 AS n FROM customer UNION ALL SELECT s_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def entity_extract(spark, sf_dir):
+    one = _table(spark, sf_dir, "customer").select(_one_cue().alias("t"))
+    nation = _table(spark, sf_dir, "nation")
+    many = _table(spark, sf_dir, "supplier").join(nation, F.expr("s_nationkey = n_nationkey")).select(_many_cue().alias("t"))
+    found = one.unionByName(many).select(text.entities(F.col("t")).alias("e"))
+    return found.select(F.element_at("e", 1).alias("first_entity"), F.size("e").alias("n"))
+
+
+@query("SELECT c_custkey, concat('<PATH>b<SEP>', c_mktsegment, '</PATH>') AS path, true AS ends FROM customer")
+def final_path_extract(spark, sf_dir):
+    t = _one_cue()
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.final_path(t).alias("path"), text.ends_path(t).alias("ends"))
+
+
+_CLEAN = r"regexp_replace(regexp_replace(text, '\(.*?\)', '', 'g'), '\[|\]', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, nullif(CASE WHEN m <> '' THEN trim(m, ' ' || chr(10) || chr(9) || chr(13)) ELSE c END, '') AS sentence
+FROM (SELECT doc_id, c, regexp_extract(c, '([^.]*\.)(\s|$)', 1) AS m FROM (SELECT doc_id, {_CLEAN} AS c FROM documents))""")
+def first_sentence(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("SELECT p_partkey, len(p_name) > 0 AND contains(lower(p_name), 'rod') AS kept, contains(lower(p_name), 'rod') AS same_terms FROM part")
+def bracket_validator(spark, sf_dir):
+    asked = F.concat(F.lit("Which [part] is a rat like ["), "p_name", F.lit("]?"))
+    varied = F.concat(F.lit("[part] like ["), F.when(F.lower("p_name").contains("rod"), F.concat("p_name", F.lit("] of a RAT"))).otherwise(F.lit("x]")))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.keeps_brackets(asked, varied).alias("kept"), text.valid_paraphrase(asked, varied).alias("same_terms"))
+
+
+_TERMS = ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in text.MALWARE_TERMS)
+
+
+@query(f"SELECT doc_id, concat_ws(',', {_TERMS}) AS terms FROM documents")
+def malware_terms(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", text.malware_terms(F.col("text"))).alias("terms"))
+
+
+@query("""SELECT p_partkey, concat('What is ', p_name, '?|', p_brand, '|12 ', p_type) AS lines FROM part""")
+def question_lines(spark, sf_dir):
+    raw = F.concat(F.lit("Sure!\n\n1. What is "), "p_name", F.lit("?\n  2. "), "p_brand", F.lit("  \r\nnothing here\n12 "), "p_type")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", text.question_lines(raw)).alias("lines"))
+
+
+_VARIED = "concat(' ', p_brand, '; ', p_name, ';', p_type, '; ')"
+
+
+def _picked(policy: str):
+    return lambda spark, sf_dir: target_map(_table(spark, sf_dir, "part").selectExpr("concat('q', p_partkey) AS question", f"{_VARIED} AS variations"), policy)
+
+
+query("SELECT concat('q', p_partkey) AS question, p_brand AS new_target FROM part", "variation_pick_first")(_picked("first"))
+query("""SELECT concat('q', p_partkey) AS question, CASE WHEN len(p_brand) >= len(p_name) AND len(p_brand) >= len(p_type) THEN p_brand
+WHEN len(p_name) >= len(p_type) THEN p_name ELSE p_type END AS new_target FROM part""", "variation_pick_longest")(_picked("longest"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS target, p_partkey % 3 = 0 AS updated FROM part")
+def target_update(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    rows = part.selectExpr("p_partkey", "concat('q', p_partkey) AS question", "p_type AS target")
+    new = part.filter("p_partkey % 3 < 2").selectExpr("concat('q', p_partkey) AS question", "CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS new_target")
+    return splits.update_targets(rows, new).drop("question")
+
+
+@query("SELECT c_custkey, 3 AS n_turns, 'gpt' AS last_role, concat('<PATH>', c_mktsegment, '</PATH>') AS last_value FROM customer")
+def chat_records(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name AS question", "concat('<PATH>', c_mktsegment, '</PATH>') AS path")
+    said = splits.chat_records(rows, "You translate questions to paths.")
+    last = F.element_at("messages", -1)
+    return said.select("c_custkey", F.size("messages").alias("n_turns"), last["from"].alias("last_role"), last["value"].alias("last_value"))
+
+
+# -- splits -----------------------------------------------------------------------------------------------------------
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").selectExpr("c_name AS question", "concat('s', c_custkey % 37 * (c_custkey % 7)) AS section")
+
+
+_FRACTION = 0.15 / (0.05 + 0.15)
+_SPLIT_SQL = f"""WITH ranked AS (
+SELECT c_name AS question, concat('s', c_custkey % 37 * (c_custkey % 7)) AS section,
+       row_number() OVER (PARTITION BY concat('s', c_custkey % 37 * (c_custkey % 7)) ORDER BY md5(concat('42|', c_name)), c_name) AS r,
+       count(*) OVER (PARTITION BY concat('s', c_custkey % 37 * (c_custkey % 7))) AS n FROM customer
+), sized AS (SELECT *, ceil({1.0 - 0.80!r}::DOUBLE * n)::BIGINT AS held FROM ranked
+), cut AS (SELECT *, CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 WHEN held <= 1 THEN 0 ELSE least(ceil({_FRACTION!r}::DOUBLE * held)::BIGINT, held - 1) END AS n_test FROM sized
+), val AS (SELECT *, CASE WHEN n <= 2 THEN 0 WHEN held <= 1 THEN held ELSE held - n_test END AS n_val FROM cut
+), assigned AS (SELECT question, section, CASE WHEN r <= n_val THEN 'validation' WHEN r <= n_val + n_test THEN 'test' ELSE 'train' END AS split FROM val)"""
+
+
+@query(f"{_SPLIT_SQL} SELECT question, section, split FROM assigned")
+def split_assign(spark, sf_dir):
+    return splits.split(_customers(spark, sf_dir))
+
+
+@query(f"{_SPLIT_SQL} SELECT split, section, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split), 6)::DOUBLE AS percent FROM assigned GROUP BY split, section")
+def split_distribution(spark, sf_dir):
+    return splits.distribution(splits.split(_customers(spark, sf_dir))).withColumn("percent", F.round("percent", 6))
+
+
+@query("SELECT c_name AS question, CASE WHEN c_custkey % 5 = 0 THEN 'Unknown' ELSE concat('b', c_nationkey) END AS section FROM customer")
+def section_mapping_unmapped(spark, sf_dir):
+    customer = _table(spark, sf_dir, "customer")
+    sections = customer.filter("c_custkey % 5 > 0").selectExpr("c_name AS question", "explode(array(named_struct('s', concat('a', c_nationkey), 'o', 1), named_struct('s', concat('b', c_nationkey), 'o', 2))) AS e")
+    return splits.with_sections(customer.selectExpr("c_name AS question"), sections.selectExpr("question", "e.s AS section", "e.o AS ord"), drop_unmapped=False)
+
+
+# -- datasets ---------------------------------------------------------------------------------------------------------
+
+_ONE = ("q_one", 0, "Which parts does [supplier] supply?", ["supplies", "filter ring", "used_by_order"], ["parts of [supplier]"])
+_NONE = ("q_none", 0, "Which nations are there?", ["is_nation_type", "in_region"], ["nations"])
+_PAIR = ("q_two", 0, "What do [customer] and [supplier] share?", ["select <<customer>> <<supplier>>", "placed_order", "uses_part", "exec_common part"], ["shared parts"])
+_TRIPLE = ("entity_in_path", 0, "How do [region], [nation] and [supplier] relate?", ["select <<region>> <<nation>> <<supplier>>", "located_in", "in_region"], ["relation of [nation]"])
+
+
+def _templates(spark: SparkSession, *rows: tuple) -> DataFrame:
+    return spark.createDataFrame(list(rows), "section string, idx int, question string, path array<string>, target array<string>")
+
+
+@query(E_ + "SELECT 'q_one' AS section, 0 AS idx, concat('Which parts does ', s_name, ' supply?') AS question, contains('x', 'y') AS bare FROM supplier")
+def placeholder_expand_1(spark, sf_dir):
+    made = expand.expand(spark, _templates(spark, _ONE), _graph(spark, sf_dir))
+    return made.select("section", "idx", "question", F.col("response").contains("[supplier]").alias("bare"))
+
+
+_TOPS = f"{E_}, {_HISTOGRAM}, {_TOP}"
+
+
+@query(f"""{_TOPS} SELECT concat('Which parts does ', s_name, ' supply?') AS question, concat('**Task Analysis**
+
+Let''s reason step by step, starting from the entity ''', s_name, ''' (type: supplier). Our goal is: parts of ', s_name, '.
+
+**Starting Point (START)**
+
+To begin, let''s focus on nodes of type ''supplier'' to establish our initial scope.
+
+
+**Step-by-Step Analysis**
+
+
+Step 1: Follow ''supplies'' relationship, leading us to nodes representing ', (SELECT top_type FROM top WHERE label = 'supplies'), '.
+Step 2: By following the ''filter ring'' relationship, we proceed to the next relevant nodes, continuing our analysis within the cybersecurity context.
+Step 3: Follow ''used_by_order'' relationship to reach parts of ', s_name, ', marking the conclusion of our path.
+
+
+**Path Completion**
+
+By following these steps, represented as <PATH>supplies<SEP>filter ring<SEP>used_by_order</PATH>, starting from ''', s_name, ''' nodes, we have successfully achieved our goal: parts of ', s_name, '.
+
+**Final Path**
+
+The completed path is:
+
+<PATH>supplies<SEP>filter ring<SEP>used_by_order</PATH>') AS response FROM supplier""")
+def cot_response(spark, sf_dir):
+    return expand.expand(spark, _templates(spark, _ONE), _graph(spark, sf_dir)).select("question", "response")
+
+
+@query("SELECT 'q_two' AS section, least(50, (SELECT count(*) FROM customer) * (SELECT count(*) FROM supplier) // 1000) AS n, least(50, (SELECT count(*) FROM customer) * (SELECT count(*) FROM supplier) // 1000) AS n_different")
+def placeholder_expand_2_sampled(spark, sf_dir):
+    made = expand.expand(spark, _templates(spark, _PAIR), _graph(spark, sf_dir))
+    return made.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("question").alias("n_different"))
+
+
+@query("SELECT 'entity_in_path' AS section, least(5, 16, (SELECT count(*) FROM supplier)) AS n, least(5, 16, (SELECT count(*) FROM supplier)) AS n_regions")
+def expand_3_disjoint(spark, sf_dir):
+    made = expand.expand(spark, _templates(spark, _TRIPLE), _graph(spark, sf_dir))
+    region = F.regexp_extract("question", r"How do (\w+),", 1)
+    return made.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(region).alias("n_regions"))
+
+
+@query("""SELECT 'q_none' AS section, x AS question FROM (VALUES ('Name all nations.'), ('List the nations?')) t(x)""")
+def expand_0_variations(spark, sf_dir):
+    varied = spark.createDataFrame([("Which nations are there?", ["Name all nations.", "List the nations?"])], "question string, variations array<string>")
+    return expand.expand(spark, _templates(spark, _NONE), _graph(spark, sf_dir), varied).select("section", "question")
+
+
+@query("SELECT section, n FROM (VALUES ('q_one', (SELECT count(*) FROM supplier)), ('q_none', 1), ('empty', 0)) t(section, n)")
+def section_question_counts(spark, sf_dir):
+    made = expand.expand(spark, _templates(spark, _ONE, _NONE), _graph(spark, sf_dir))
+    return splits.section_counts(made, spark.createDataFrame([("q_one",), ("q_none",), ("empty",)], "section string"))
+
+
+@query()
+def fuzzy_match(spark, sf_dir):
+    wanted = spark.createDataFrame([("custmer#000000007",), ("Suplier#000000003",), ("zzzz",)], "entity string")
+    names = _table(spark, sf_dir, "customer").selectExpr("c_name AS name").unionByName(_table(spark, sf_dir, "supplier").selectExpr("s_name AS name"))
+    return closest(wanted, names)
