@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
+
 
 def working_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; below a temporary one only where that is unset (local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='trailgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='trailgraph-')}")
+        folder = _OWN[0]
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
