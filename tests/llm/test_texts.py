@@ -271,6 +271,31 @@ def test_quotes_are_linked_and_ordered(spark):
     assert quotation.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_branches_equal_a_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(quotation, "BLOCK_TURNS", block)
+    rng = random.Random(block)
+    rows = []
+    for conv in range(6):
+        for turn in sorted(rng.sample(range(-3, 40), 14)):
+            quote = f"> message {rng.randrange(-3, turn + 2)}\n" if rng.random() < 0.4 else ""
+            rows.append((conv, turn, "u", f"{quote}message {turn}"))
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["branch"], r["place"]) for r in quotation.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    expected = {}
+    for conv in range(6):
+        before, branch, place, seen = None, 0, 0, set()
+        for _, turn, _, said in sorted(r for r in rows if r[0] == conv):
+            quoted = re.match(r"> message (-?\d+)\n", said)
+            quoted = int(quoted[1]) if quoted and int(quoted[1]) in seen else None
+            if quoted is not None and quoted != before:
+                branch, place = branch + 1, 0
+            place += 1
+            expected[conv, turn] = (before if quoted is None else quoted, branch, place)
+            before = turn
+            seen.add(turn)
+    assert got == expected
+
+
 def test_quote_levels():
     assert quotation.line_level("> > a >b") == (2, "a >b") and quotation.line_level("plain") == (0, "plain")
     assert quotation.passages("a\nb\n\n> q\n>> r\nZ wrote:\n> s") == [(0, "a\nb"), (1, "q"), (2, "r"), (1, "s")]

@@ -29,6 +29,9 @@ _MARK = re.compile(r"[ \t]*>")
 _ANNOUNCES = re.compile(r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:\s*$")
 _BLANKS = re.compile(r"\s+")
 
+#: Turns ordered by one task at a time.
+BLOCK_TURNS = 1024
+
 PARSED = "conv_id long, turn long, role string, own_text string, own array<long>, quoted array<struct<level:int,hash:long>>"
 
 
@@ -81,6 +84,39 @@ def _parse(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["conv_id", "turn", "role", "own_text", "own", "quoted"])
 
 
+def _blocks(turns: DataFrame) -> tuple[DataFrame, Window, Window, Window]:
+    """Turns with the block of ``BLOCK_TURNS`` they are in; windows within a block, over a conversation's blocks, and over
+    the blocks before.  A conversation that holds most messages is ordered by many tasks; its blocks are few rows."""
+    within = Window.partitionBy("conv_id", "block").orderBy("turn")
+    across = Window.partitionBy("conv_id").orderBy("block")
+    return turns.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)), within, across, across.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    side = blocks.withColumnsRenamed({"conv_id": "__c", "block": "__b"})
+    return rows.join(side, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("block").eqNullSafe(F.col("__b"))).drop("__c", "__b")
+
+
+def _with_before(turns: DataFrame) -> DataFrame:
+    """Adds ``before``: the conversation's turn before each."""
+    rows, within, across, _ = _blocks(turns)
+    lasts = rows.groupBy("conv_id", "block").agg(F.max("turn").alias("last")).select("conv_id", "block", F.lag("last").over(across).alias("last_before"))
+    return _with_blocks(rows, lasts).withColumn("before", F.coalesce(F.lag("turn").over(within), "last_before")).drop("block", "last_before")
+
+
+def _with_branches(turns: DataFrame) -> DataFrame:
+    """Adds ``branch``, the number of branch starts up to each turn, and ``place`` in the branch, from 1."""
+    rows, within, across, earlier = _blocks(turns)
+    rows = rows.withColumn("at", F.row_number().over(within)).withColumn("begun", F.sum("starts").over(within))
+    rows = rows.withColumn("start_at", F.max(F.when(F.col("starts") == 1, F.col("at"))).over(within))
+    sums = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("starts").alias("s"), F.max("start_at").alias("m"))
+    sums = sums.withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("s_before", F.coalesce(F.sum("s").over(earlier), F.lit(0)))
+    sums = sums.withColumn("m_before", F.coalesce(F.max(F.col("m") + F.col("n_before")).over(earlier), F.lit(1)))
+    rows = _with_blocks(rows, sums.select("conv_id", "block", "n_before", "s_before", "m_before"))
+    place = F.col("at") + F.col("n_before") - F.coalesce(F.col("start_at") + F.col("n_before"), F.col("m_before")) + 1
+    return rows.withColumn("branch", (F.col("s_before") + F.col("begun")).cast("long")).withColumn("place", place.cast("long"))
+
+
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id, turn, role, own_text, n_quotes, n_linked, source_conv, source_turn, reply_to, branch, place`` of every message.
 
@@ -98,18 +134,13 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     origins = own.join(wanted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("origin"))
     outside = wanted.join(origins, "hash").filter("origin.conv_id != conv_id").groupBy("conv_id", "turn").agg(F.min("origin").alias("origin"), F.count(F.lit(1)).alias("n_outside"))
     inside = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("first_turn").alias("n_inside"), F.max("first_turn").alias("quoted_turn"))
-    turns = parsed.select("conv_id", "turn").distinct()
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    replies = (
-        turns.withColumn("before", F.lag("turn").over(order)).join(inside, ["conv_id", "turn"], "left").join(outside, ["conv_id", "turn"], "left")
-        .withColumn("reply_to", F.coalesce("quoted_turn", "before"))
-        .withColumn("branch", F.sum(F.when(F.col("quoted_turn") != F.col("before"), 1).otherwise(0)).over(order))
-        .withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "branch").orderBy("turn")))
-        .select(
-            F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
-            (F.coalesce("n_inside", F.lit(0)) + F.coalesce("n_outside", F.lit(0))).cast("long").alias("n_linked"),
-            F.col("origin.conv_id").alias("source_conv"), F.col("origin.turn").alias("source_turn"), "reply_to", F.col("branch").cast("long").alias("branch"), F.col("place").cast("long").alias("place"),
-        )
+    turns = _with_before(parsed.select("conv_id", "turn").distinct())
+    replies = turns.join(inside, ["conv_id", "turn"], "left").join(outside, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce("quoted_turn", "before"))
+    ordered = _with_branches(replies.withColumn("starts", (F.col("quoted_turn") != F.col("before")).eqNullSafe(F.lit(True)).cast("long")))
+    replies = ordered.select(
+        F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
+        (F.coalesce("n_inside", F.lit(0)) + F.coalesce("n_outside", F.lit(0))).cast("long").alias("n_linked"),
+        F.col("origin.conv_id").alias("source_conv"), F.col("origin.turn").alias("source_turn"), "reply_to", "branch", "place",
     )
     joined = parsed.select("conv_id", "turn", "role", "own_text").join(replies, F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("turn").eqNullSafe(F.col("__turn")), "left")
     return joined.drop("__conv", "__turn")
