@@ -58,6 +58,7 @@ def expected_components(rows):
 @pytest.mark.parametrize("tile_shingles", [1 << 20, 150])
 @pytest.mark.parametrize("hot", [1 << 16, 1])
 def test_near_copies_equal_brute_force(spark, monkeypatch, tile_shingles, hot):
+    monkeypatch.setattr(jaccard_join, "BOUND_SHINGLES", 200 if hot == 1 else 1 << 23)
     monkeypatch.setattr(jaccard_join, "HOT_DOCUMENTS", hot)
     rows = corpus(tile_shingles + hot)
     docs = spark.createDataFrame([(k, t, "x", 7) for k, t in rows], "doc_id long, text string, component_id string, n long")

@@ -5,13 +5,16 @@
 2. *Candidates.*  Two sets of Jaccard 3/4 share one of the first |A| - ceil(3/4 |A|) + 1 shingles of either, so each
    document posts those.  A shingle's smallest document leads it; its documents are members of the leader's group.  Two
    linked documents are members of one group at least, and a group of g documents has g rows, not g * g pairs.
-3. *Tiles.*  A group of bounded total size is one tile.  A larger one is dealt to several tiles, the leader in each;
-   members that their tile does not connect to the leader then meet every other tile, in blocks, so that no pair is
+3. *Bounds.*  Each document has a bitmap of its shingles' parity, of about as many bits as shingles.  In a group of
+   bounded size, members whose bitmap lets no other member of the size band be near enough are put aside; only the
+   others' shingles are sent.
+4. *Tiles.*  A group of bounded total size is one tile.  A larger one is dealt to several tiles, its smallest member in each;
+   members that their tile does not connect to that one then meet every other tile, in blocks, so that no pair is
    left out.
-4. *In a tile*, sets are in order of size.  A set meets the sets in its size band only (a size ratio of 3/4); the
+5. *In a tile*, sets are in order of size.  A set meets the sets in its size band only (a size ratio of 3/4); the
    parity bitmaps' differing bits bound the overlap from above; what is left is intersected exactly.  Sets that are
    connected already are not compared: the result is the components.
-5. *Components* of the links, distributed.
+6. *Components* of the links, distributed.
 
 Documents with equal sets are one node throughout.  Shingles are 64-bit hashes of five words.
 
@@ -43,10 +46,13 @@ SKETCH_CHUNKS = 16
 HOT_DOCUMENTS = 1 << 16
 #: Shingles in one tile, on average, and in one task's share of the postings.
 TILE_SHINGLES = 1 << 20
+#: Shingles of a group whose members' bitmaps (a bit a shingle) are compared in one task; a larger one keeps all members.
+BOUND_SHINGLES = 1 << 23
 POSTINGS_A_PARTITION = 2_000_000
 #: Bits of the filter of documents that have candidates.
 INVOLVED_BITS = 1 << 24
 CHUNK_BITS = 32768
+MAX_BITMAP_BITS = 1 << 16
 POSTING_ROWS = 100_000
 
 _U = np.uint64
@@ -121,7 +127,7 @@ def sketch(texts: DataFrame) -> np.ndarray:
 def _prefixes(shipped):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         counts: np.ndarray = shipped.value
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for group in chunk_groups(b.column(1).to_pylist()):
             for s in shingle_sets(group):
                 often = counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
@@ -135,9 +141,10 @@ def _prefixes(shipped):
                 rows[2].append(int(np.add.reduce(d2).view(np.int64)) if len(s) else 0)
                 rows[3].append(s[first[~hot]].view(np.int64))
                 rows[4].append(s[first[hot]].view(np.int64))
+                rows[5].append(_bitmap(s, bitmap_bits(len(s))).tobytes())
         lists = pa.list_(pa.int64())
-        types = [pa.int64(), pa.int64(), pa.int64(), lists, lists]
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, t) for r, t in zip(rows, types))], names=["doc_id", "n", "d1", "d2", "prefix", "hot_prefix"])
+        types = [pa.int64(), pa.int64(), pa.int64(), lists, lists, pa.binary()]
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, t) for r, t in zip(rows, types))], names=["doc_id", "n", "d1", "d2", "prefix", "hot_prefix", "bitmap"])
 
     return run
 
@@ -175,18 +182,51 @@ def _groups(table: DataFrame) -> DataFrame:
     return out
 
 
-# -- 3. and 4. tiles --------------------------------------------------------------------------------------------------
+# -- 3. to 5. tiles --------------------------------------------------------------------------------------------------
+
+
+def bitmap_bits(n: int) -> int:
+    """Bits of the bitmap of n shingles: a power of two near n."""
+    return min(MAX_BITMAP_BITS, max(512, 1 << (n - 1).bit_length())) if n else 512
+
+
+def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmap as 64-bit words: bit i tells whether an odd number of elements hash to i.  Every differing bit needs
+    an element of one set alone."""
+    parity = (np.bincount((s >> _U(16)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view(np.uint64)
+
+
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The same set's bitmap of fewer bits: the parity of the parts."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def with_partner(sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """Which members have another in their size band whose overlap the bitmaps don't exclude; sizes ascend."""
+    found = np.zeros(len(sizes), dtype=bool)
+    highs = np.searchsorted(sizes, 100 * sizes // PERCENT, side="right")
+    words = min(map(len, maps)) if len(maps) else 0
+    level, block = 0, None
+    for i in range(len(sizes)):
+        high = int(highs[i])
+        if high <= i + 1 or found[i:high].all():
+            continue
+        if block is None or len(maps[i]) > words:  # sizes ascend, so bitmaps do: fold what lies above to this one's bits
+            words, level = len(maps[i]), i
+            block = np.stack([_folded(m, words) for m in maps[i:]])
+        both = sizes[i + 1 : high] + sizes[i]
+        unlike = np.bitwise_count(block[i + 1 - level : high - level] ^ block[i - level]).sum(axis=1, dtype=np.int64)
+        near = (both - unlike) // 2 >= needed(both)
+        if near.any():
+            found[i] = True
+            found[i + 1 : high] |= near
+    return found
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity bitmaps: bit i tells whether an odd number of elements hash to i.  Every differing bit needs an element of
-    one set alone."""
-    bits = min(1 << 16, max(256, 1 << (2 * max(map(len, sets)) - 1).bit_length()))
-    out = np.empty((len(sets), bits // 64), dtype=np.uint64)
-    for i, s in enumerate(sets):
-        parity = (np.bincount((s >> _U(16)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
-        out[i] = np.packbits(parity, bitorder="little").view(np.uint64)
-    return out
+    bits = min(MAX_BITMAP_BITS, max(256, 1 << (2 * max(map(len, sets)) - 1).bit_length()))
+    return np.stack([_bitmap(s, bits) for s in sets])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -241,8 +281,11 @@ def tile_links(ids: list[int], sets: list[np.ndarray], leader: int | None, apart
     return links, out
 
 
-def _tile_stream(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
-    """Calls ``finish`` with the rows of each tile; rows come by (leader, tile)."""
+def _tile_stream(batches: Iterator[pa.RecordBatch], finish, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Calls ``finish`` with the rows of each tile, and gives its rows on as longs; rows come by (leader, tile)."""
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
     key, rows = None, []
     for b in batches:
         out: list[tuple] = []
@@ -253,30 +296,41 @@ def _tile_stream(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.Recor
             key = row[:2]
             rows.append(row[2:])
         if out:
-            yield _link_rows(out)
+            yield as_batch(out)
     if rows and (out := finish(key, rows)):
-        yield _link_rows(out)
+        yield as_batch(out)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each group that may have a partner in it."""
+
+    def finish(key: tuple, rows: list[tuple]) -> list[tuple]:
+        rows.sort(key=lambda r: r[1])
+        kept = with_partner(np.array([r[1] for r in rows]), [np.frombuffer(r[2], dtype=np.uint64) for r in rows])
+        return [(*key, doc, n) for (doc, n, _), k in zip(rows, kept.tolist()) if k]
+
+    return _tile_stream(batches, finish, ["leader", "tile", "doc_id", "n"])
 
 
-def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["leader", "tile", "a", "b"]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+_LINKS = ["leader", "tile", "a", "b"]
 
 
 def _first_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each tile; and, where the group has several tiles, (a, null) for members the leader isn't connected to."""
+    """Links (a, b) of each tile; and, where the group has several tiles, (a, null) for members that
+    the group's smallest, which is in each of them, isn't connected to."""
 
     def finish(key: tuple, rows: list[tuple]) -> list[tuple]:
         leader, tile = key
         ids = [r[0] for r in rows]
-        links, label = tile_links(ids, [np.frombuffer(r[2], dtype=np.uint64) for r in rows], leader)
+        hub = min(ids)
+        links, label = tile_links(ids, [np.frombuffer(r[2], dtype=np.uint64) for r in rows], hub)
         out = [(leader, tile, a, b) for a, b in links]
         if rows[0][1] > 1:
-            led = label[ids.index(leader)]
+            led = label[ids.index(hub)]
             out += [(leader, tile, i, None) for i, x in zip(ids, label.tolist()) if x != led]
         return out
 
-    return _tile_stream(batches, finish)
+    return _tile_stream(batches, finish, _LINKS)
 
 
 def _second_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +340,7 @@ def _second_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         links, _ = tile_links([r[0] for r in rows], [np.frombuffer(r[2], dtype=np.uint64) for r in rows], None, np.array([r[1] for r in rows]))
         return [(*key, a, b) for a, b in links]
 
-    return _tile_stream(batches, finish)
+    return _tile_stream(batches, finish, _LINKS)
 
 
 def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -305,21 +359,26 @@ def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(marked.filter(f"(shiftright({byte}, cast({at} % 8 as int)) & 1) = 1").select("doc_id", "text"), _set_rows, "set_id long, shingles binary")
 
 
-def _in_tiles(rows: DataFrame, *sides: str) -> DataFrame:
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "leader", "tile").sortWithinPartitions("leader", "tile").select("leader", "tile", "doc_id", *sides, "shingles")
+def _in_tiles(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "leader", "tile").sortWithinPartitions("leader", "tile").select("leader", "tile", "doc_id", *columns)
 
 
 def _links(texts: DataFrame, members: DataFrame, tile_shingles: int) -> DataFrame:
-    """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them)."""
-    groups = members.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).alias("tiles"))
-    placed = members.join(groups, "leader")
+    """``a, b``: links that give the components.  members: leader, doc_id, n, bitmap (leaders among them)."""
+    totals = members.groupBy("leader").agg(F.sum("n").alias("shingles"))
+    sized = members.join(totals, "leader")
+    small = sized.filter(F.col("shingles") <= BOUND_SHINGLES).withColumn("tile", F.lit(0).cast("long"))
+    kept = _in_tiles(small, "n", "bitmap").mapInArrow(_bounded, "leader long, tile long, doc_id long, n long").drop("tile")
+    kept = written(kept.unionByName(sized.filter(F.col("shingles") > BOUND_SHINGLES).select("leader", "doc_id", "n")))
+    groups = kept.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).alias("tiles"), F.min("doc_id").alias("hub"))
     own = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.col("tiles"))
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    placed = written(placed.withColumn("tile", F.explode(F.when(F.col("doc_id") == F.col("leader"), every).otherwise(F.array(own)))).select("leader", "doc_id", "n", "tiles", "tile"))
+    tile = F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(own)))
+    placed = written(kept.join(groups, "leader").withColumn("tile", tile))
     sets = _sets_of(texts, placed.select("doc_id"))
     joined = placed.select("leader", "tile", "tiles", "doc_id").join(sets, F.col("doc_id") == F.col("set_id"))
     schema = "leader long, tile long, a long, b long"
-    found = written(_in_tiles(joined, "tiles").mapInArrow(_first_tiles, schema))
+    found = written(_in_tiles(joined, "tiles", "shingles").mapInArrow(_first_tiles, schema))
     links = found.filter("b is not null").select("a", "b")
     loose = found.filter("b is null").select("leader", F.col("tile").alias("home"), F.col("a").alias("doc_id"))
     if loose.isEmpty():
@@ -330,24 +389,24 @@ def _links(texts: DataFrame, members: DataFrame, tile_shingles: int) -> DataFram
     block = F.pmod(F.xxhash64("doc_id", F.lit(32)), F.col("blocks"))
     number = F.col("blocks") * F.col("at") + F.col("block")
     queries = loose.join(blocks, "leader").withColumn("block", block).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).filter("at != home")
-    against = placed.filter("tiles > 1 and doc_id != leader").join(blocks, "leader").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("at", F.col("tile"))
+    against = placed.filter("tiles > 1 and doc_id != hub").join(blocks, "leader").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("at", F.col("tile"))
     rows = queries.select("leader", number.alias("tile"), "doc_id", F.lit(2).alias("side")).unionByName(against.select("leader", number.alias("tile"), "doc_id", F.lit(1).alias("side")))
     rows = written(rows)
     again = rows.join(_sets_of(texts, rows.select("doc_id").distinct()), F.col("doc_id") == F.col("set_id"))
-    return links.unionByName(written(_in_tiles(again, "side").mapInArrow(_second_tiles, schema)).select("a", "b"))
+    return links.unionByName(written(_in_tiles(again, "side", "shingles").mapInArrow(_second_tiles, schema)).select("a", "b"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text")))  # 2 MB
-    table = written(map_batches(texts, _prefixes(counts), "doc_id long, n long, d1 long, d2 long, prefix array<long>, hot_prefix array<long>"))
+    table = written(map_batches(texts, _prefixes(counts), "doc_id long, n long, d1 long, d2 long, prefix array<long>, hot_prefix array<long>, bitmap binary"))
     linked = table.filter("n > 0 and doc_id is not null")
     firsts = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    nodes = written(linked.select("doc_id", "n", "d1", "d2").join(firsts, ["d1", "d2"]).select("doc_id", "n", "node").distinct())
+    nodes = written(linked.select("doc_id", "n", "d1", "d2", "bitmap").join(firsts, ["d1", "d2"]).select("doc_id", "n", "node", "bitmap").dropDuplicates(["doc_id", "node"]))
     led = _groups(linked)
     both = led.unionByName(led.select("leader", F.col("leader").alias("doc_id")).distinct())
-    members = both.join(nodes, "doc_id").select("leader", F.col("node").alias("doc_id"), "n").distinct()
+    members = both.join(nodes, "doc_id").select("leader", F.col("node").alias("doc_id"), "n", "bitmap").dropDuplicates(["leader", "doc_id"])
     found = components(_links(texts, written(members), tile_shingles))
     of_nodes = nodes.join(found, nodes["node"] == found["node"], "left").select("doc_id", F.coalesce(found["component_id"], nodes["node"]).alias("component_id"))
     own = table.select("doc_id", F.col("n").alias("n_shingles"))
