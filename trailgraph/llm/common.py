@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailgraph.storage import stored, working_folder
+
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -26,20 +26,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='trailgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share."""
+    return working_folder(spark)
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Writes to the shared folder and reads again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    df.write.partitionBy(*partition_by).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return stored(df)
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -54,10 +47,6 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
-def batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """Ascending inner bounds that split the rows by ``key`` (a long) into about equal parts; nulls aside."""
     if parts <= 1:
