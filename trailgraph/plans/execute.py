@@ -170,3 +170,38 @@ def trace(graph: Graph, state: DataFrame, path: str | Sequence[str], relation_te
         state = after
     return reduce(DataFrame.unionByName, lines)
 
+
+
+def trace_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> DataFrame:
+    """``step, entity, ord, line`` of a multi-mode path; entity is null for lines about all of them."""
+    steps = parse_path(path) if isinstance(path, str) else list(path)
+    entities = state.select("entity").distinct()
+    out = follow_many(graph, state, steps)
+    lines: list[DataFrame] = []
+
+    def add(number: int, order: int, rows: DataFrame, line: Column, entity: Column | None = None) -> None:
+        lines.append(rows.select(F.lit(number).alias("step"), (F.lit(None).cast("string") if entity is None else entity).alias("entity"), F.lit(order).alias("ord"), line.alias("line")))
+
+    one = state.sparkSession.range(1)
+    item = F.concat(F.lit("   - "), "node")
+    for number, (text, step, after) in enumerate(zip(steps, compile_path(steps, "multi"), out.frontiers), 1):
+        head = f"[!] Step {number}: "
+        if isinstance(step, Select):
+            add(number, 0, one, F.lit(f"{head}Selecting entities. Results:"))
+            add(number, 1, entities, F.concat(F.lit("   - "), "entity"))
+        elif isinstance(step, Combine):
+            if number in out.errors:
+                add(number, 0, one, F.lit(f"[ERROR] {out.errors[number]}"))
+            add(number, 1, one, F.lit(f"{head}{step.operation.capitalize()} results for type '{step.node_type}'."))
+            if number in out.combined:
+                add(number, 2, out.combined[number], item)
+        elif isinstance(step, Hop):
+            add(number, 0, entities, F.lit(f"{head}Following relation '{text}'."), F.col("entity"))
+            typed = after.join(graph.types, F.col("node") == F.col("name"), "left")
+            add(number, 1, typed, F.concat(item, F.lit(" ("), F.coalesce("node_type", F.lit("None")), F.lit(")")), F.col("entity"))
+        else:
+            n = entities.join(after.groupBy(F.col("entity").alias("of")).agg(F.count(F.lit(1)).alias("n")), F.col("entity") == F.col("of"), "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("string"))
+            told = (f"{head}Filtering nodes by keywords '{step.text}'. Kept ", " nodes.") if isinstance(step, Filter) else (f"{head}Seeding from relation '{text}'. Found ", " sources.")
+            add(number, 0, n, F.concat(F.lit(told[0]), "n", F.lit(told[1])), F.col("entity"))
+            add(number, 1, after, item, F.col("entity"))
+    return reduce(DataFrame.unionByName, lines)
