@@ -363,11 +363,12 @@ def _in_tiles(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), "leader", "tile").sortWithinPartitions("leader", "tile").select("leader", "tile", "doc_id", *columns)
 
 
-def _links(texts: DataFrame, members: DataFrame, tile_shingles: int) -> DataFrame:
-    """``a, b``: links that give the components.  members: leader, doc_id, n, bitmap (leaders among them)."""
+def _links(texts: DataFrame, members: DataFrame, bitmaps: DataFrame, tile_shingles: int) -> DataFrame:
+    """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them); bitmaps: map_id, bitmap."""
     totals = members.groupBy("leader").agg(F.sum("n").alias("shingles"))
     sized = members.join(totals, "leader")
     small = sized.filter(F.col("shingles") <= BOUND_SHINGLES).withColumn("tile", F.lit(0).cast("long"))
+    small = small.join(bitmaps, F.col("doc_id") == F.col("map_id"))
     kept = _in_tiles(small, "n", "bitmap").mapInArrow(_bounded, "leader long, tile long, doc_id long, n long").drop("tile")
     kept = written(kept.unionByName(sized.filter(F.col("shingles") > BOUND_SHINGLES).select("leader", "doc_id", "n")))
     groups = kept.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).alias("tiles"), F.min("doc_id").alias("hub"))
@@ -403,11 +404,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = written(map_batches(texts, _prefixes(counts), "doc_id long, n long, d1 long, d2 long, prefix array<long>, hot_prefix array<long>, bitmap binary"))
     linked = table.filter("n > 0 and doc_id is not null")
     firsts = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    nodes = written(linked.select("doc_id", "n", "d1", "d2", "bitmap").join(firsts, ["d1", "d2"]).select("doc_id", "n", "node", "bitmap").dropDuplicates(["doc_id", "node"]))
+    nodes = written(linked.select("doc_id", "n", "d1", "d2").join(firsts, ["d1", "d2"]).select("doc_id", "n", "node").distinct())
     led = _groups(linked)
     both = led.unionByName(led.select("leader", F.col("leader").alias("doc_id")).distinct())
-    members = both.join(nodes, "doc_id").select("leader", F.col("node").alias("doc_id"), "n", "bitmap").dropDuplicates(["leader", "doc_id"])
-    found = components(_links(texts, written(members), tile_shingles))
+    members = both.join(nodes, "doc_id").select("leader", F.col("node").alias("doc_id"), "n").distinct()
+    bitmaps = linked.select(F.col("doc_id").alias("map_id"), "bitmap").dropDuplicates(["map_id"])
+    found = components(_links(texts, written(members), bitmaps, tile_shingles))
     of_nodes = nodes.join(found, nodes["node"] == found["node"], "left").select("doc_id", F.coalesce(found["component_id"], nodes["node"]).alias("component_id"))
     own = table.select("doc_id", F.col("n").alias("n_shingles"))
     out = own.join(of_nodes.withColumnRenamed("doc_id", "__node"), F.col("doc_id") == F.col("__node"), "left")
