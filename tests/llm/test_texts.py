@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trailgraph.llm import langid, order_minhash, pii, quotation, toxicity
+from trailgraph.llm.words import chunk_groups
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -246,6 +247,19 @@ def test_toxicity_held_out_accuracy(spark):
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["predicted"] == 0}
 
 
+def test_passages_of_words_seen_before_are_segments(spark):
+    bad = ["idiot", "scum", "trash"]
+    rest = [f"word{i}" for i in range(300)]
+    hashes = np.sort(next(chunk_groups([" ".join(bad)], marks_apart=True)).hashes)
+    model = toxicity.ToxicityModel(hashes, np.full(3, 3.0), scale=0.05)
+    twice = " ".join([*rest, *bad, *rest, *bad, *rest])
+    apart = " ".join([*rest, bad[0], *rest, bad[1], *rest, bad[2], *rest, *bad, *rest])
+    got = {r["doc_id"]: r["segments"] for r in toxicity.score(spark.createDataFrame([(1, twice), (2, apart)], "doc_id long, text string"), model).collect()}
+    assert [twice[s["start"] : s["end"]] for s in got[1]] == [" ".join(bad)] * 2
+    assert got[1][0]["score"] == pytest.approx(got[1][1]["score"])
+    assert [apart[s["start"] : s["end"]] for s in got[2]] == [" ".join(bad)]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "any text")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), 10)
