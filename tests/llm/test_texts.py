@@ -71,6 +71,28 @@ def test_added_spans_keep_the_plain_ones(text):
         assert 0 <= a < b <= len(text) and all(e <= a or b <= s for _, s, e in plain)
 
 
+@pytest.mark.parametrize("text,expected", [
+    ("write to jane at corp.example.org today", [("email", "jane at corp.example.org")]),
+    ("call +1 four one five 555 2671 now", [("phone", "+1 four one five 555 2671")]),
+    ("call +1 four,one,five,five,five,five 2671", [("phone", "+1 four,one,five,five,five,five 2671")]),
+    ("call +1 (four one five) 555 2671", [("phone", "+1 (four one five) 555 2671")]),
+    ("host seven.0.0.1 is up", [("ip", "seven.0.0.1")]),
+])
+def test_single_disguises_are_found(text, expected):
+    ((plain, added),) = pii.find_all([text])
+    assert plain == [] and [(k, text[a:b]) for k, a, b in added] == expected
+
+
+def test_wider_disguised_spans_stand_beside_plain_ones(spark):
+    text = "to jоhn@example.com or ann@example.org dot uk, +1 415 555 2671 and"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = pii.personal_spans(docs).collect()
+    spans = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in row["spans"].split(","))]
+    assert sorted(spans) == sorted([("email", "jоhn@example.com"), ("email", "hn@example.com"), ("email", "ann@example.org dot uk"), ("email", "ann@example.org"), ("phone", "+1 415 555 2671")])
+    assert row["base_sha256"] == hashlib.sha256(pii.joined(pii.plain_spans(text)).encode()).hexdigest()
+    assert pii.redact(docs).first()["text"] == "to [EMAIL] or [EMAIL], [PHONE] and"
+
+
 def test_personal_spans_and_redaction(spark):
     rows = [(1, "x a@b.co +1 (555) 123-4567 é 10.0.0.1", "s", 9), (None, None, None, None), (2, "", "t", 0), (3, "4111 1111 1111 1111 " + "w " * 30_000, "u", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")

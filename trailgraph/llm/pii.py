@@ -5,14 +5,13 @@ writes a normalised one, and remembers for every written stretch the stretch it
 (other scripts' look-alikes, full-width and styled digits, dashes, invisible characters), one writes spelled digits as
 digits, one writes "(at)", "[dot]", "name at host dot org" as the signs.  The same detectors run over the normalised
 text, and what they find is mapped back.  Such a span is added if a transducer changed something in it and it overlaps
-no plain span.
+no plain span.  One that reaches beyond the plain spans it overlaps is *wider*: it stands beside them.
 
-Transducers run only where they could change an outcome: a text without look-alikes, without a disguised sign and
-without a run of spelled digits is already normal.
+Transducers run over every text; where they rewrite nothing, nothing is disguised.
 
 Defined cases: null text counts as empty and has no span; offsets are code points, ends exclusive; kinds may overlap
-each other, a kind never overlaps itself; repeated rows are treated each; other columns are ignored (``redact`` keeps
-them).
+each other, a kind overlaps itself only where a wider span stands beside a plain one; repeated rows are treated each;
+other columns are ignored (``redact`` keeps them).
 """
 
 from __future__ import annotations
@@ -21,13 +20,11 @@ import hashlib
 import re
 from bisect import bisect_right
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgraph.llm.common import map_batches
-from trailgraph.llm.words import chunk_groups
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -62,15 +59,12 @@ SPELLED = {
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:{_WORD})(?:[ ,-]{{1,2}}(?:{_WORD}))*(?!\w)")
 _SPELLED_ONE = re.compile(rf"(?i)plus|{_WORD}")
-#: Spelled digits in a row, "dot" and "plus" among them, from which a text is normalised (an address has four at least).
-SPELLED_ROW = 4
 
 _OPEN, _CLOSE = r"[(\[{<]\s{0,3}", r"\s{0,3}[)\]}>]"
 _AT_SIGN = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}")
 _DOT_SIGN = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}}")
 _AT_WORD = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}at\s{1,3}(?=[a-z0-9-]+(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-])")
 _DOT_WORD = re.compile(r"(?i)(?<=[a-z0-9-])\s{1,3}dot\s{1,3}(?=[a-z0-9-])")
-_SIGN = re.compile(rf"(?i){_OPEN}(?:at|@|dot|punkt|point|punto|\.){_CLOSE}|\bdot\b")
 
 
 def _emails(text: str) -> list[Span]:
@@ -183,57 +177,41 @@ def _signs(t: Transduced) -> None:
         t.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(t.text)])
 
 
-def disguised_spans(text: str, plain: list[Span], spelled: bool) -> list[Span]:
-    """Spans that show only after normalisation, in source positions."""
-    look = not text.isascii() and _HAS_HOMOGLYPH.search(text) is not None
-    if not (look or spelled or _SIGN.search(text)):
-        return []
+def disguised_spans(text: str, plain: list[Span]) -> tuple[list[Span], list[Span]]:
+    """Spans that show only after normalisation, in source positions: those apart from plain ones, and the wider ones."""
     t = Transduced(text)
-    if look:
+    if not text.isascii():
         _homoglyphs(t)
     _digits(t)
     _signs(t)
     added: list[Span] = []
+    wider: list[Span] = []
+    if t.text is text:  # nothing was rewritten
+        return added, wider
     for kind, a, b in plain_spans(t.text):
         start, end, changed = t.to_source(a, b)
-        if changed and not any(s < end and start < e for _, s, e in plain) and not any(k == kind and s < end and start < e for k, s, e in added):
+        if not changed or any(k == kind and s < end and start < e for k, s, e in added + wider):
+            continue
+        met = [(s, e) for _, s, e in plain if s < end and start < e]
+        if not met:
             added.append((kind, start, end))
-    return added
+        elif not any(s <= start and end <= e for s, e in met):
+            wider.append((kind, start, end))
+    return added, wider
 
 
-def _spelled_rows(texts: list[str]) -> list[bool]:
-    """Which texts have ``SPELLED_ROW`` spelled digits in a row (hyphens count as spaces)."""
-    flags: list[bool] = []
-    for group in chunk_groups([t.replace("-", " ").replace("–", " ") for t in texts]):
-        hits = np.flatnonzero(np.isin(group.hashes, _spelled_hashes()))
-        row = hits[SPELLED_ROW - 1 :][hits[SPELLED_ROW - 1 :] - hits[: len(hits) - SPELLED_ROW + 1] == SPELLED_ROW - 1] if len(hits) >= SPELLED_ROW else hits[:0]
-        owner = np.searchsorted(group.first, row, side="right") - 1
-        inside = group.first[owner] <= row - (SPELLED_ROW - 1)
-        found = np.zeros(group.hi - group.lo, dtype=bool)
-        found[owner[inside]] = True
-        flags += found.tolist()
-    return flags
-
-
-_HASHES: list[np.ndarray] = []
-
-
-def _spelled_hashes() -> np.ndarray:
-    if not _HASHES:
-        words = [v for w in [*SPELLED, "dot", "plus"] for v in {w, w.capitalize(), w.upper()}]
-        text = " ".join(w + tail for w in words for tail in ("", ",", "."))
-        _HASHES.append(np.unique(next(chunk_groups([text])).hashes))
-    return _HASHES[0]
+def find_each(texts: list[str | None]) -> list[tuple[list[Span], list[Span], list[Span]]]:
+    """Plain, added and wider spans of each text."""
+    out = []
+    for text in (t or "" for t in texts):
+        plain = plain_spans(text)
+        out.append((plain, *disguised_spans(text, plain)))
+    return out
 
 
 def find_all(texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
     """Plain and added spans of each text."""
-    texts = [t or "" for t in texts]
-    out = []
-    for text, spelled in zip(texts, _spelled_rows(texts)):
-        plain = plain_spans(text)
-        out.append((plain, disguised_spans(text, plain, spelled)))
-    return out
+    return [(plain, added) for plain, added, _ in find_each(texts)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -246,8 +224,8 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for key, (plain, added) in zip(b.column(0).to_pylist(), find_all(b.column(1).to_pylist())):
-            spans = ordered(plain + added)
+        for key, (plain, added, wider) in zip(b.column(0).to_pylist(), find_each(b.column(1).to_pylist())):
+            spans = ordered(plain + added + wider)
             counts = [sum(s[0] == k for s in spans) for k in KINDS]
             rows.append((key, *counts, hashlib.sha256(joined(plain).encode()).hexdigest(), joined(spans)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -273,7 +251,7 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         at = b.schema.get_field_index(text_col)
         texts = b.column(at).to_pylist()
-        new = [t if t is None else redacted(t, p + a) for t, (p, a) in zip(texts, find_all(texts))]
+        new = [t if t is None else redacted(t, p + a + w) for t, (p, a, w) in zip(texts, find_each(texts))]
         columns = list(b.columns)
         columns[at] = pa.array(new, b.schema.field(at).type)
         if n_chars_col in b.schema.names:
