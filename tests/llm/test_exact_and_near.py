@@ -78,6 +78,30 @@ def test_drop_near_copies_keeps_columns_and_smallest(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 9]
 
 
+def other_texts(n=6):
+    return [" ".join(f"{c}{i}" for i in range(20)) for c in "abcdefghij"[:n]]
+
+
+@pytest.mark.parametrize("tile_shingles", [1 << 20, 30])
+def test_repeated_ids_of_different_texts(spark, tile_shingles):
+    a, b, c, d, e, f = other_texts()
+    rows = [(5, a), (5, b), (2, a + " z"), (7, b + " z"), (5, c), (9, c), (9, d), (9, d), (8, e), (8, None), (None, a), (None, f), (3, e + " z"), (3, f), (4, f)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_copies(docs, tile_shingles=tile_shingles).collect()
+    assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == expected_components(rows)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.drop_near_copies(docs).collect()]
+    expected = [(5, b), (2, a + " z"), (5, c), (9, d), (9, d), (8, None), (None, a), (None, f), (3, e + " z"), (3, f)]
+    assert sorted(map(str, kept)) == sorted(map(str, expected))
+
+
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    a, b, c, d, _, _ = other_texts()
+    rows = [(None, a), (6, a), (None, b), (None, c), (None, None), (1, d), (1, "unique one"), (2, d.upper()), (1, b + " z")]
+    kept = [(r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    expected = [(6, a), (None, b), (None, c), (None, None), (1, "unique one"), (2, d.upper()), (1, b + " z")]
+    assert sorted(map(str, kept)) == sorted(map(str, expected))
+
+
 def test_bitmaps_never_exclude_a_link():
     import numpy as np
 

@@ -9,7 +9,8 @@ The filter is ``BITS_A_ROW`` bits a row in chunks of 4 KB.  Up to ``BROADCAST_BY
 joined by chunk number instead, which shuffles ids and digests.
 
 Defined cases: null text counts as empty; an empty table gives an empty result; a null id is the smallest id; rows that
-repeat both id and text count in ``group_size`` and are all kept or all dropped; columns other than the two named are
+repeat both id and text count in ``group_size`` and are all kept or all dropped; rows of one id, null too, with different
+texts are kept or dropped each; columns other than the two named are
 ignored.
 """
 
@@ -79,8 +80,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")), "left_anti")
+    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id"), F.col("text_sha256").alias("__dropped_sha256")).distinct()
+    same_text = F.sha2(normalised(docs[text_col]), 256) == F.col("__dropped_sha256")
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")) & same_text, "left_anti")
 
 
 #: DuckDB SQL for op10_exact_dedup.

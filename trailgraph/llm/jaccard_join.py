@@ -16,7 +16,8 @@
    connected already are not compared: the result is the components.
 6. *Components* of the links, distributed.
 
-Documents with equal sets are one node throughout.  Shingles are 64-bit hashes of five words.
+Documents with equal sets are one node throughout, which goes by a 64-bit digest of the set: an id may repeat with different
+texts.  Shingles are 64-bit hashes of five words.
 
 Defined cases: texts without words (null, empty) have no shingle and are linked with nothing; fewer words than five are
 one shingle; repeated rows have equal sets and are one node; an empty table gives an empty result; null ids are left
@@ -127,24 +128,21 @@ def sketch(texts: DataFrame) -> np.ndarray:
 def _prefixes(shipped):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         counts: np.ndarray = shipped.value
-        rows: list[list] = [[], [], [], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for group in chunk_groups(b.column(1).to_pylist()):
             for s in shingle_sets(group):
                 often = counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 # s is ascending, so a stable sort by count orders ties by hash
                 first = np.argsort(often, kind="stable")[: prefix_length(len(s))]
                 hot = often[first] >= HOT_DOCUMENTS
-                digest = mix(s + np.arange(len(s), dtype=np.uint64) * _U(_WEIGHTS[1]))
-                d2 = mix(s * _U(_WEIGHTS[2]) ^ _U(len(s)))
                 rows[0].append(len(s))
-                rows[1].append(int(np.add.reduce(digest).view(np.int64)) if len(s) else 0)
-                rows[2].append(int(np.add.reduce(d2).view(np.int64)) if len(s) else 0)
-                rows[3].append(s[first[~hot]].view(np.int64))
-                rows[4].append(s[first[hot]].view(np.int64))
-                rows[5].append(_bitmap(s, bitmap_bits(len(s))).tobytes())
+                rows[1].append(_set_key(s))
+                rows[2].append(s[first[~hot]].view(np.int64))
+                rows[3].append(s[first[hot]].view(np.int64))
+                rows[4].append(_bitmap(s, bitmap_bits(len(s))).tobytes())
         lists = pa.list_(pa.int64())
-        types = [pa.int64(), pa.int64(), pa.int64(), lists, lists, pa.binary()]
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, t) for r, t in zip(rows, types))], names=["doc_id", "n", "d1", "d2", "prefix", "hot_prefix", "bitmap"])
+        types = [pa.int64(), pa.int64(), lists, lists, pa.binary()]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(r, t) for r, t in zip(rows, types))], names=["doc_id", "text_hash", "n", "key", "prefix", "hot_prefix", "bitmap"])
 
     return run
 
@@ -343,28 +341,40 @@ def _second_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     return _tile_stream(batches, finish, _LINKS)
 
 
+def _set_key(s: np.ndarray) -> int:
+    """64-bit digest of a set: the key that it goes by, whatever the ids of its documents."""
+    return int(np.add.reduce(mix(s + np.arange(len(s), dtype=np.uint64) * _U(_WEIGHTS[1]))).view(np.int64)) if len(s) else 0
+
+
 def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [s.tobytes() for group in chunk_groups(b.column(1).to_pylist()) for s in shingle_sets(group)]
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["set_id", "shingles"])
+    sets = [s for group in chunk_groups(b.column(1).to_pylist()) for s in shingle_sets(group)]
+    columns = [b.column(0), pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["first_id", "set_id", "shingles"])
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``set_id, shingles`` of the documents in ``nodes``, and of few others that share a bit of the filter."""
+def _sets_of(texts: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``set_id, shingles`` of the sets in ``members``, each from the document with its smallest id."""
+    nodes = written(members.select(F.col("doc_id").alias("key")).distinct().join(firsts, "key").select("key", "first"))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(INVOLVED_BITS))
-    chunks = nodes.select(bit.alias("bit")).groupBy((F.col("bit") / CHUNK_BITS).cast("long").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(bit % {CHUNK_BITS})").alias("bitmap"))
+    first_bit = F.pmod(F.xxhash64("first"), F.lit(INVOLVED_BITS))
+    chunks = nodes.select(first_bit.alias("bit")).groupBy((F.col("bit") / CHUNK_BITS).cast("long").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(bit % {CHUNK_BITS})").alias("bitmap"))
     at = f"(bit % {CHUNK_BITS})"
     byte = f"cast(conv(hex(substring(bitmap, cast({at} div 8 + 1 as int), 1)), 16, 10) as int)"
     # Broadcast: INVOLVED_BITS / 8 = 2 MB, whatever the input.
     marked = texts.withColumn("bit", bit).join(F.broadcast(chunks), (F.col("bit") / CHUNK_BITS).cast("long") == F.col("chunk"))
-    return map_batches(marked.filter(f"(shiftright({byte}, cast({at} % 8 as int)) & 1) = 1").select("doc_id", "text"), _set_rows, "set_id long, shingles binary")
+    sets = map_batches(marked.filter(f"(shiftright({byte}, cast({at} % 8 as int)) & 1) = 1").select("doc_id", "text"), _set_rows, "first_id long, set_id long, shingles binary")
+    # The filter lets others pass too; one row a set is left where no row repeats both id and set.
+    return sets.join(nodes, (F.col("set_id") == F.col("key")) & (F.col("first_id") == F.col("first"))).select("set_id", "shingles")
 
 
 def _in_tiles(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), "leader", "tile").sortWithinPartitions("leader", "tile").select("leader", "tile", "doc_id", *columns)
 
 
-def _links(texts: DataFrame, members: DataFrame, bitmaps: DataFrame, tile_shingles: int) -> DataFrame:
-    """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them); bitmaps: map_id, bitmap."""
+def _links(texts: DataFrame, members: DataFrame, firsts: DataFrame, bitmaps: DataFrame, tile_shingles: int) -> DataFrame:
+    """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them); firsts: key, first; bitmaps: map_id, bitmap.
+
+    Leaders and members are keys of sets."""
     totals = members.groupBy("leader").agg(F.sum("n").alias("shingles"))
     sized = members.join(totals, "leader")
     small = sized.filter(F.col("shingles") <= BOUND_SHINGLES).withColumn("tile", F.lit(0).cast("long"))
@@ -376,7 +386,7 @@ def _links(texts: DataFrame, members: DataFrame, bitmaps: DataFrame, tile_shingl
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     tile = F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(own)))
     placed = written(kept.join(groups, "leader").withColumn("tile", tile))
-    sets = _sets_of(texts, placed.select("doc_id"))
+    sets = _sets_of(texts, placed, firsts)
     joined = placed.select("leader", "tile", "tiles", "doc_id").join(sets, F.col("doc_id") == F.col("set_id"))
     schema = "leader long, tile long, a long, b long"
     found = written(_in_tiles(joined, "tiles", "shingles").mapInArrow(_first_tiles, schema))
@@ -393,30 +403,38 @@ def _links(texts: DataFrame, members: DataFrame, bitmaps: DataFrame, tile_shingl
     against = placed.filter("tiles > 1 and doc_id != hub").join(blocks, "leader").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("at", F.col("tile"))
     rows = queries.select("leader", number.alias("tile"), "doc_id", F.lit(2).alias("side")).unionByName(against.select("leader", number.alias("tile"), "doc_id", F.lit(1).alias("side")))
     rows = written(rows)
-    again = rows.join(_sets_of(texts, rows.select("doc_id").distinct()), F.col("doc_id") == F.col("set_id"))
+    again = rows.join(_sets_of(texts, rows, firsts), F.col("doc_id") == F.col("set_id"))
     return links.unionByName(written(_in_tiles(again, "side", "shingles").mapInArrow(_second_tiles, schema)).select("a", "b"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, tile_shingles: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id`` of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text")))  # 2 MB
-    table = written(map_batches(texts, _prefixes(counts), "doc_id long, n long, d1 long, d2 long, prefix array<long>, hot_prefix array<long>, bitmap binary"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    table = written(map_batches(hashed, _prefixes(counts), "doc_id long, text_hash long, n long, key long, prefix array<long>, hot_prefix array<long>, bitmap binary"))
     linked = table.filter("n > 0 and doc_id is not null")
-    firsts = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    nodes = written(linked.select("doc_id", "n", "d1", "d2").join(firsts, ["d1", "d2"]).select("doc_id", "n", "node").distinct())
-    led = _groups(linked)
+    firsts = written(linked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
+    led = _groups(linked.select(F.col("key").alias("doc_id"), "prefix", "hot_prefix"))
     both = led.unionByName(led.select("leader", F.col("leader").alias("doc_id")).distinct())
-    members = both.join(nodes, "doc_id").select("leader", F.col("node").alias("doc_id"), "n").distinct()
-    bitmaps = linked.select(F.col("doc_id").alias("map_id"), "bitmap").dropDuplicates(["map_id"])
-    found = components(_links(texts, written(members), bitmaps, tile_shingles))
-    of_nodes = nodes.join(found, nodes["node"] == found["node"], "left").select("doc_id", F.coalesce(found["component_id"], nodes["node"]).alias("component_id"))
-    own = table.select("doc_id", F.col("n").alias("n_shingles"))
-    out = own.join(of_nodes.withColumnRenamed("doc_id", "__node"), F.col("doc_id") == F.col("__node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = both.join(firsts.select(F.col("key").alias("doc_id"), "n"), "doc_id").select("leader", "doc_id", "n")
+    bitmaps = linked.select(F.col("key").alias("map_id"), "bitmap").dropDuplicates(["map_id"])
+    found = components(_links(texts, written(members), firsts, bitmaps, tile_shingles))
+    of_sets = written(firsts.join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component_id", "key").alias("least_key")))
+    smallest = of_sets.groupBy("least_key").agg(F.min("first").alias("component_id"))
+    of_sets = of_sets.join(smallest, "least_key").select(F.col("key").alias("__key"), "component_id")
+    own = table.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    out = own.join(of_sets, F.col("key") == F.col("__key"), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    return _components_of_rows(docs, id_col, text_col, tile_shingles).drop("text_hash")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are their component's smallest id, with all their columns."""
-    dropped = near_copies(docs, id_col, text_col).filter("doc_id != component_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("__dropped_id"), "left_anti")
+    rows = _components_of_rows(docs, id_col, text_col, TILE_SHINGLES).filter("doc_id != component_id")
+    dropped = rows.select(F.col("doc_id").alias("__dropped_id"), F.col("text_hash").alias("__dropped_hash")).distinct()
+    return docs.join(dropped, (docs[id_col] == F.col("__dropped_id")) & (F.xxhash64(docs[text_col]) == F.col("__dropped_hash")), "left_anti")
