@@ -332,6 +332,13 @@ def test_branches_equal_a_loop(spark, monkeypatch, block):
     assert got == expected
 
 
+def test_quotes_of_a_passage_that_the_own_conversation_has_only_later(spark):
+    rows = [(1, 0, "> shared words"), (1, 1, "shared words"), (2, 3, "shared words"), (2, 4, "shared words"), (3, 0, "shared words"), (4, 0, "> shared words"), (5, 0, "> mine alone\n\nmine alone")]
+    docs = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["source_conv"], r["source_turn"]) for r in quotation.reply_order(docs).collect()}
+    assert (got[1, 0], got[4, 0], got[5, 0]) == ((1, 1, 2, 3), (1, 1, 1, 1), (1, 0, None, None))
+
+
 def test_quote_levels():
     assert quotation.line_level("> > a >b") == (2, "a >b") and quotation.line_level("plain") == (0, "plain")
     assert quotation.passages("a\nb\n\n> q\n>> r\nZ wrote:\n> s") == [(0, "a\nb"), (1, "q"), (2, "r"), (1, "s")]

@@ -3,8 +3,8 @@
 A message's lines are parsed into quote levels (the number of leading ``>``) and these into passages: paragraphs of one
 level.  A line that announces a quote ("... wrote:") goes with it.  Passages are normalised (case, white space) and
 hashed.  A quoted passage is joined to the first message of its conversation that has the passage, or the whole of it,
-as own text; failing that, to the first message of any other conversation.  Joins are against one original a hash, so
-that a passage quoted very often makes one row a quote.
+as own text; failing that, to the first message of any other conversation.  Joins are against two originals a hash at
+most, so that a passage quoted very often makes one row a quote.
 
 A message replies to the latest earlier message that it quotes, else to the message before it.  A conversation falls
 into branches: one begins where a message replies to another than the one before it.
@@ -129,10 +129,14 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     here = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn"))
     quotes = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
     linked = quotes.join(here, ["conv_id", "hash"], "left").withColumn("first_turn", F.when(F.col("first_turn") < F.col("turn"), F.col("first_turn")))
-    # What the own conversation doesn't have may be another's: one original a hash.
+    # What the own conversation doesn't have may be another's: one original a hash, and a second where the first is its own.
     wanted = linked.filter("first_turn is null").select("conv_id", "turn", "hash").distinct()
     origins = own.join(wanted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("origin"))
-    outside = wanted.join(origins, "hash").filter("origin.conv_id != conv_id").groupBy("conv_id", "turn").agg(F.min("origin").alias("origin"), F.count(F.lit(1)).alias("n_outside"))
+    wanted = wanted.join(origins, "hash")
+    own_first = wanted.filter("origin.conv_id = conv_id").select("hash", F.col("conv_id").alias("__first_conv")).distinct()
+    seconds = own.join(own_first, "hash").filter("conv_id != __first_conv").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    other = F.when(F.col("origin.conv_id") != F.col("conv_id"), F.col("origin")).otherwise(F.col("second"))
+    outside = wanted.join(seconds, "hash", "left").withColumn("origin", other).filter("origin is not null").groupBy("conv_id", "turn").agg(F.min("origin").alias("origin"), F.count(F.lit(1)).alias("n_outside"))
     inside = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("first_turn").alias("n_inside"), F.max("first_turn").alias("quoted_turn"))
     turns = _with_before(parsed.select("conv_id", "turn").distinct())
     replies = turns.join(inside, ["conv_id", "turn"], "left").join(outside, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce("quoted_turn", "before"))
