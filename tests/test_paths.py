@@ -31,8 +31,8 @@ B = {"objects": [
 def raw(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("bundles")
     (folder / "sub").mkdir()
-    (folder / "a.json").write_text(json.dumps(A))
-    (folder / "sub" / "b.json").write_text(json.dumps(B))
+    (folder / "a.json").write_text(json.dumps(A, indent=4))
+    (folder / "sub" / "b.json").write_text(json.dumps(B, indent=2))
     (folder / "broken.json").write_text('{"objects": [')
     (folder / "other.txt").write_text(json.dumps(B))
     return bundles.bundle_edges(readers.read_bundles(spark, str(folder))).cache()
@@ -57,9 +57,48 @@ def test_bundle_edges(raw, graph):
     assert labels["Mail Lure", "Mail Quarantine"] == "mitigated_by" and not any("404" in k[1] for k in labels)
 
 
+VALUES = {
+    "link": "[BlackFox](https://example.org/S1) is a worm.", "open": "[", "word": "true", "quoted": '["a"]', "none": None, "yes": True, "no": [False], "empty": [], "deep": [[["[x", 2], 1]],
+    "nothing": [None], "hollow": [[]], "number": 12, "share": 1.5, "object": {"z": 1, "a": [1, {"q": 'x, y: "z"', "n": None}], "e": {}, "é": True}, "objects": [{"k": "a:b,c"}, {"k": 2}], "blank": "",
+}
+
+
+def python_text(value):
+    while isinstance(value, list):
+        if not value:
+            return "Not Available"
+        value = value[0]
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else str(value)
+
+
+@pytest.mark.parametrize("indent", [None, 4])
+def test_values_as_python_spells_them(spark, indent):
+    text = json.dumps({"id": "m--1", "type": "m", "name": "N", **VALUES}, indent=indent, ensure_ascii=False)
+    objects = readers.keyed_objects(spark.createDataFrame([(0, 0, text)], "file_ord int, obj_pos int, object string"))
+    got = {r["label"]: r["dst"] for r in bundles.attribute_edges(objects).collect()}
+    assert got == {"is_m_type": "m", "name": "N", **{k: python_text(v) for k, v in VALUES.items()}}
+    order = [r["label"] for r in bundles.attribute_edges(objects).orderBy("seq").collect()]
+    assert order == ["is_m_type", "name", *VALUES]
+
+
 def test_full_mode_keeps_all_list_elements(spark):
-    objects = spark.createDataFrame([(0, 0, {"id": "m--1", "type": "m", "name": "N", "platforms": '["a","b"]'})], "file_ord int, obj_pos int, keys map<string,string>")
-    assert {r["dst"] for r in bundles.attribute_edges(objects, full=True).collect() if r["label"] == "platforms"} == {"a", "b"}
+    text = json.dumps({"id": "m--1", "type": "m", "name": "N", "platforms": ["a", "[b", True], "none": [], "text": "[a,b]"})
+    objects = readers.keyed_objects(spark.createDataFrame([(0, 0, text)], "file_ord int, obj_pos int, object string"))
+    got = [(r["label"], r["dst"]) for r in bundles.attribute_edges(objects, full=True).collect() if r["label"] not in ("name", "is_m_type")]
+    assert sorted(got) == [("none", "Not Available"), ("platforms", "True"), ("platforms", "[b"), ("platforms", "a"), ("text", "[a,b]")]
+
+
+def test_an_empty_last_name_drops_the_relationship(spark):
+    objects = [{"id": "m--1", "type": "m", "name": "Early"}, {"id": "t--1", "type": "t", "name": "T"}, {"id": "m--1", "type": "m", "name": ""}, {"id": "r--1", "type": "relationship", "source_ref": "m--1", "target_ref": "t--1", "relationship_type": "uses"}]
+    rows = [(0, k, json.dumps(o)) for k, o in enumerate(objects)]
+    keyed = readers.keyed_objects(spark.createDataFrame(rows, "file_ord int, obj_pos int, object string"))
+    assert {r["label"] for r in bundles.bundle_edges(keyed).collect()} == {"is_m_type", "is_t_type", "name"}
+
+
+def test_files_are_numbered_in_path_order(spark):
+    paths = [f"p{i:03d}" for i in range(200)]
+    got = readers.in_order(spark.createDataFrame([(p,) for p in reversed(paths)], "path string").repartition(7), "path").collect()
+    assert {r["path"]: r["number"] for r in got} == {p: i for i, p in enumerate(paths)}
 
 
 CASES = [

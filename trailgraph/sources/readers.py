@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailgraph.functions.text import pick, strip, variations
+from trailgraph.storage import stored
 
 
 def read_bundles(spark: SparkSession, base: str) -> DataFrame:
@@ -16,17 +17,32 @@ def read_bundles(spark: SparkSession, base: str) -> DataFrame:
 
     A file that doesn't parse, or an object without id and type, is left out.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(base)
-    return objects_of(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(base, wholetext=True)
+    files = files.select(F.col("_metadata.file_path").alias("path"), "value")
+    ranked = in_order(files.select("path").distinct(), "path").withColumnRenamed("number", "file_ord")
+    return objects_of(files.join(ranked, "path"))
+
+
+def in_order(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``number``, from 0, in the column's order: rows are sorted by ranges of it, and each range starts where the ones
+    before it end, so that no task needs all rows."""
+    placed = stored(rows.sort(column).withColumn("__at", F.monotonically_increasing_id()))
+    part, bits = F.shiftright("__at", 33), (1 << 33) - 1
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # one row a range
+    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    return placed.join(starts, part == F.col("__part")).withColumn("number", F.col("__start") + F.col("__at").bitwiseAND(F.lit(bits))).drop("__at", "__part", "__start")
 
 
 def objects_of(files: DataFrame) -> DataFrame:
-    """The same from ``path, value``."""
-    paths = files.select("path").distinct()
-    ranked = paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file_ord"))  # one short row a file
-    parsed = files.select("path", F.from_json("value", "objects array<string>").alias("bundle")).filter("bundle.objects is not null")
-    flat = parsed.join(ranked, "path").select("file_ord", F.posexplode("bundle.objects").alias("obj_pos", "object"))
-    keyed = flat.select("file_ord", "obj_pos", F.from_json("object", "map<string,string>").alias("keys"))
+    """``file_ord, obj_pos, keys, kinds`` from ``file_ord, value``: an object's keys in order, as text and as variants, which
+    tell what each value is."""
+    parsed = files.select("file_ord", F.from_json("value", "objects array<string>").alias("bundle")).filter("bundle.objects is not null")
+    return keyed_objects(parsed.select("file_ord", F.posexplode("bundle.objects").alias("obj_pos", "object")))
+
+
+def keyed_objects(objects: DataFrame) -> DataFrame:
+    """The same from ``file_ord, obj_pos, object`` (JSON text)."""
+    keyed = objects.select("file_ord", "obj_pos", F.from_json("object", "map<string,string>").alias("keys"), F.from_json("object", "map<string,variant>").alias("kinds"))
     return keyed.filter(F.col("keys")["id"].isNotNull() & (F.col("keys")["id"] != "") & F.col("keys")["type"].isNotNull() & (F.col("keys")["type"] != ""))
 
 
@@ -73,14 +89,19 @@ def templates_of(spark: SparkSession, document: dict) -> DataFrame:
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Templates of a YAML file (needs PyYAML) or of a JSON file of the same form."""
-    text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())
+    return templates_of(spark, read_document(spark, path))
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    """A template document (one small file) on the driver."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
     if is_json(path):
-        return templates_of(spark, json.loads(text))
+        return json.loads(text)
     try:
         import yaml
     except ImportError as error:
         raise RuntimeError("reading YAML templates needs PyYAML; JSON templates don't") from error
-    return templates_of(spark, yaml.safe_load(text))
+    return yaml.safe_load(text)
 
 
 def is_json(path: str) -> bool:
@@ -128,7 +149,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """``question, section, ord`` of a JSON object from section to questions."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     by_section = whole.select(F.from_json("value", "map<string,array<struct<question:string,response:string>>>").alias("m"))
     flat = by_section.select(F.posexplode("m").alias("section_ord", "section", "items"))
     return flat.select("section", "section_ord", F.posexplode("items").alias("item_ord", "item")).select(F.col("item.question").alias("question"), "section", (F.col("section_ord") * F.lit(1 << 32) + F.col("item_ord")).alias("ord"))
@@ -136,6 +157,17 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
 
 def read_splits(spark: SparkSession, folder: str) -> DataFrame:
     """``split, Question, Path`` of the three CSV files that are there; both columns are asked for, nulls left out."""
+    return all_splits(spark, folder).dropna(subset=["Question", "Path"])
+
+
+def dropped_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``split, scanned, dropped``: how many rows of each split lack a question or a path."""
+    lacks = F.col("Question").isNull() | F.col("Path").isNull()
+    return all_splits(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(lacks).alias("dropped"))
+
+
+def all_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the three CSV files that are there, with ``split``."""
     parts = []
     for split in ("train", "validation", "test"):
         path = f"{folder}/{split}.csv"
@@ -144,7 +176,7 @@ def read_splits(spark: SparkSession, folder: str) -> DataFrame:
             missing = {"Question", "Path"} - set(rows.columns)
             if missing:
                 raise ValueError(f"{path} lacks {sorted(missing)}")
-            parts.append(rows.dropna(subset=["Question", "Path"]).withColumn("split", F.lit(split)))
+            parts.append(rows.withColumn("split", F.lit(split)))
     if not parts:
         raise FileNotFoundError(f"no split in {folder}")
     out = parts[0]

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgraph.functions.text import joined_variations
 
+#: Tasks that a label's edges are dealt to, so that a label that most edges have isn't one task's.
+LABEL_PARTS = 16
+
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """Parquet, one directory a label: a step over a label reads that directory alone."""
-    edges.write.partitionBy("label").mode("overwrite").parquet(path)
+    """Parquet, one directory a label: a step over a label reads that directory alone.  Edges are brought together by label
+    first, so that a label has ``LABEL_PARTS`` files at most and not one a task."""
+    part = F.pmod(F.xxhash64("src", "dst"), F.lit(LABEL_PARTS))
+    edges.repartition("label", part).write.partitionBy("label").mode("overwrite").parquet(path)
 
 
 def write_graphml(edges: DataFrame, path: str) -> None:
@@ -42,8 +50,9 @@ def write_relation_map(histogram: DataFrame, path: str) -> None:
 
 
 def write_variations(rows: DataFrame, path: str) -> None:
-    """``question, variations`` as the two-column CSV."""
-    out = rows.select(F.col("question").alias("Original Question"), joined_variations(F.col("variations")).alias("Variations"))
+    """``question, variations`` (arrays, or text as it is) as the two-column CSV."""
+    listed = rows.schema["variations"].dataType.typeName() == "array"
+    out = rows.select(F.col("question").alias("Original Question"), joined_variations(F.col("variations"), listed).alias("Variations"))
     out.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
@@ -64,3 +73,54 @@ def write_targets(rows: DataFrame, path: str, dry_run: bool = False, backup: boo
         version = f"v{len(fs.listStatus(jvm)) if fs.exists(jvm) else 0:05d}"
     rows.write.mode("overwrite").json(f"{path}/{version}")
     return f"{path}/{version}"
+
+
+# -- template documents: small, on the driver ---------------------------------------------------------------------------
+
+
+def updated_document(document: Mapping, targets: Mapping[str, str]) -> tuple[dict, int, int]:
+    """The document with each question's new target where there is one, and the questions scanned and changed."""
+    scanned, changed, sections = 0, 0, {}
+    for section, entries in document["templates"].items():
+        sections[section] = entries
+        if isinstance(entries, list):
+            sections[section] = [dict(e) if isinstance(e, dict) else e for e in entries]
+            for entry in (e for e in sections[section] if isinstance(e, dict) and e.get("question")):
+                scanned += 1
+                new = targets.get(entry["question"])
+                if new and entry.get("target") != new:
+                    changed += 1
+                    entry["target"] = new
+    return {**document, "templates": sections}, scanned, changed
+
+
+def yaml_lines(value: object, indent: int = 0) -> list[str]:
+    """Mappings and lists of mappings in block style, all else in flow style with JSON's spelling, which YAML reads alike."""
+    pad = "  " * indent
+    if isinstance(value, Mapping) and value:
+        out = []
+        for key, item in value.items():
+            nested = yaml_lines(item, indent + 1) if isinstance(item, Mapping) and item or isinstance(item, list) and any(isinstance(x, Mapping) for x in item) else None
+            out += [f"{pad}{json.dumps(key, ensure_ascii=False)}:", *nested] if nested else [f"{pad}{json.dumps(key, ensure_ascii=False)}: {json.dumps(item, ensure_ascii=False)}"]
+        return out
+    if isinstance(value, list):
+        out = []
+        for item in value:
+            first, *rest = yaml_lines(item, indent + 1)
+            out += [f"{pad}- {first.lstrip()}", *rest]
+        return out
+    return [f"{pad}{json.dumps(value, ensure_ascii=False)}"]
+
+
+def write_document(spark: SparkSession, document: Mapping, path: str, backup: bool = True) -> None:
+    """A template document as JSON or, by its name, YAML, through Hadoop's file systems; what was there goes to ``.bak``."""
+    as_yaml = path.lower().endswith((".yaml", ".yml"))
+    text = "\n".join(yaml_lines(document)) + "\n" if as_yaml else json.dumps(document, ensure_ascii=False, indent=2)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if backup and fs.exists(target):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, jvm.org.apache.hadoop.fs.Path(path + ".bak"), False, True, conf)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -10,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: list[str] = []
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A temporary folder that goes with the process: in local mode, all tasks run on this machine."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        folder = tempfile.mkdtemp(prefix="trailgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN.append(f"file://{folder}")
+    return _OWN[0]
+
+
 def working_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one only where that is unset (local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN:
-            _OWN.append(f"file://{tempfile.mkdtemp(prefix='trailgraph-')}")
-        folder = _OWN[0]
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a temporary one (local mode only)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -25,3 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     folder = working_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            with contextlib.suppress(Exception):  # a leftover folder is no failure
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
