@@ -49,10 +49,19 @@ def make_splits(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def change_targets(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = readers.read_questions(spark, a.input)
+    """Rewrites the targets of a question list, or of a template document."""
     columns = readers.read_csv(spark, a.csv).select(F.col("Original Question").alias("question"), F.col("Variations").alias("variations"))
+    if a.templates:
+        document = readers.read_document(spark, a.input)
+        new = {r["question"]: r["new_target"] for r in readers.target_map(columns, a.pick).collect()}  # as many as templates
+        document, scanned, updated = writers.updated_document(document, new)
+        print(f"scanned {scanned}, updated {updated}")
+        if not a.dry_run:
+            writers.write_document(spark, document, a.out, not a.no_backup)
+        return
+    rows = readers.read_questions(spark, a.input)
     updated = splits.update_targets(rows if "target" in rows.columns else rows.withColumn("target", F.lit(None).cast("string")), readers.target_map(columns, a.pick))
-    counts = updated.agg(F.count(F.lit(1)).alias("scanned"), F.count_if("updated").alias("updated")).first()
+    counts = splits.update_counts(updated).first()
     print(f"scanned {counts['scanned']}, updated {counts['updated']}")
     writers.write_targets(updated.drop("updated"), a.out, a.dry_run, not a.no_backup)
 
@@ -91,7 +100,7 @@ def parser() -> argparse.ArgumentParser:
     for option, share in (("train", 0.80), ("validation", 0.05), ("test", 0.15)):
         p.add_argument(f"--{option}", type=float, default=share)
     p.add_argument("--seed", type=int, default=42)
-    command("update-targets", change_targets, ["csv", "input", "out"], flags=["dry-run", "no-backup"]).add_argument("--pick", choices=["first", "longest"], default="first")
+    command("update-targets", change_targets, ["csv", "input", "out"], flags=["dry-run", "no-backup", "templates"]).add_argument("--pick", choices=["first", "longest"], default="first")
     p = command("follow", show_path, ["graph", "path"], ["names"])
     p.add_argument("--entity", action="append", default=[])
     p.add_argument("--rows", type=int, default=100)

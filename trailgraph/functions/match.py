@@ -2,32 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Names compared against at once; the list is dealt to tasks in such blocks.
-NAME_BLOCKS = 16
+#: Entities that go to the tasks at once; more are matched block by block.
+ENTITY_BLOCK = 1000
+#: Buckets that characters are counted in.
+BUCKETS = 64
+SCHEMA = "entity string, name string, score double"
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters of the lower-cased strings."""
-    return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b)])
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket's characters occur in each lower-cased text, and the texts' lengths."""
+    out = np.zeros((len(texts), BUCKETS), dtype=np.int32)
+    for row, text in zip(out, texts):
+        row += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    return out, np.array([len(t) for t in texts])
+
+
+def _best_of(wanted: list[str], threshold: float):
+    """For batches of names: each entity's best name among a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowered = [w.lower() for w in wanted]
+        own, sizes = _counts(lowered)
+        best: dict[int, tuple[float, str]] = {}
+        for b in batches:
+            names = [n for n in b.column(0).to_pylist() if n is not None]
+            spelled = [n.lower() for n in names]
+            counts, lengths = _counts(spelled)
+            for e, text in enumerate(lowered):
+                # Matching characters are at most the common ones, so this bounds the ratio from above.
+                total = lengths + sizes[e]
+                bound = np.where(total > 0, 2.0 * np.minimum(counts, own[e]).sum(axis=1) / np.maximum(total, 1), 1.0)
+                for at in np.argsort(-bound, kind="stable").tolist():
+                    score, name = best.get(e, (threshold, ""))
+                    if bound[at] <= threshold or bound[at] < score:
+                        break
+                    ratio = SequenceMatcher(None, text, spelled[at]).ratio()
+                    if ratio > score or (e in best and ratio == score and names[at] < name):
+                        best[e] = (ratio, names[at])
+        rows = [(wanted[e], name, score) for e, (score, name) in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.string(), pa.float64()))], names=["entity", "name", "score"])
+
+    return run
 
 
 def closest(entities: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``entity, name, score``: the most similar name above ``threshold`` for each of a stated set of entities; of
-    equals the smallest.  Entities without one are left out.
+    equals the smallest.  Entities without one, and nulls, are left out.
 
-    Pairs whose lengths alone keep the ratio (2 M / (a + b), M at most the shorter) at or below the threshold are not
-    compared.
+    Entities go to the tasks in blocks of ``ENTITY_BLOCK``; a task compares only names that could beat the best it has
+    by their common characters, and gives one row an entity.
     """
-    shorter, both = F.least(F.length("entity"), F.length("name")), F.length("entity") + F.length("name")
-    pairs = names.select("name").distinct().join(entities.select("entity").distinct(), 2.0 * shorter > threshold * both)
-    scored = pairs.withColumn("score", similarity("entity", "name")).filter(F.col("score") > threshold)
-    best = scored.groupBy("entity").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("name"))
-    return best.select("entity", "name", "score")
+    spark = names.sparkSession
+    found = spark.createDataFrame([], SCHEMA)
+    listed = (r["entity"] for r in entities.select("entity").filter("entity is not null").distinct().toLocalIterator())
+    while block := list(islice(listed, ENTITY_BLOCK)):
+        found = found.unionByName(names.select("name").mapInArrow(_best_of(block, threshold), SCHEMA))
+    best = F.min(F.struct(-F.col("score"), F.col("name"))).alias("best")
+    return found.groupBy("entity").agg(best).select("entity", F.col("best.name").alias("name"), (-F.col("best.col1")).alias("score"))

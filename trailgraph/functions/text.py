@@ -112,6 +112,11 @@ def valid_paraphrase(question: Column, variation: Column) -> Column:
     return keeps_brackets(question, variation) & _same_set(malware_terms(question), malware_terms(variation))
 
 
+def top_paraphrases(question: Column, candidates: Column, most: int) -> Column:
+    """The first ``most`` of an array of candidates that keep the question's brackets and terms."""
+    return F.slice(F.filter(candidates, lambda c: valid_paraphrase(question, c)), 1, most)
+
+
 def objective(c: Column) -> Column:
     """A generated objective without white space and quotes around it."""
     return strip(strip_chars(strip(c), '"'))
@@ -136,8 +141,9 @@ def pick(options: Column, policy: str) -> Column:
     return F.nullif(longest, F.lit(""))
 
 
-def joined_variations(c: Column) -> Column:
-    return F.coalesce(F.concat_ws("; ", c), F.lit(""))
+def joined_variations(c: Column, listed: bool = True) -> Column:
+    """An array joined by "; ", or (not ``listed``) a text as it is; null is empty."""
+    return F.coalesce(F.concat_ws("; ", c) if listed else c, F.lit(""))
 
 
 def capitalised(c: Column) -> Column:

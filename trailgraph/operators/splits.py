@@ -33,25 +33,33 @@ def held_out_sizes(n: Column, train: float, validation: float, test: float) -> t
     return validation_n.cast("long"), test_n.cast("long")
 
 
-def split(rows: DataFrame, train: float = 0.80, validation: float = 0.05, test: float = 0.15, seed: int = 42, key: str = "question", section: str = "section") -> DataFrame:
-    """Adds ``split``.  In each section rows are ordered by md5 of seed and key: validation, test, then training.
+def ranked(rows: DataFrame, groups: list[str], digest: Column, *ties: str) -> DataFrame:
+    """Adds ``rank_in_group`` (from 1, by the hex digest, then the ties) and ``rows_in_group``.
 
-    A row's rank is its rank within a (section, leading hash byte), plus the rows of the bytes before: a section that
-    holds most rows is ranked by 256 tasks, and the offsets are 256 counts a section.
+    A row's rank is its rank within a (group, leading hash byte), plus the rows of the bytes before: a group that holds
+    most rows is ranked by 256 tasks, and the offsets are 256 counts a group.
     """
+    marked = rows.withColumn("__digest", digest).withColumn("__byte", F.substring("__digest", 1, 2))
+    of = {g: f"__of_{k}" for k, g in enumerate(groups)}
+    counts = marked.groupBy(*[F.col(g).alias(o) for g, o in of.items()], F.col("__byte").alias("__of_byte")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*of.values())
+    places = counts.select(*of.values(), "__of_byte", (F.sum("__n").over(whole.orderBy("__of_byte")) - F.col("__n")).alias("__before"), F.sum("__n").over(whole).alias("rows_in_group"))
+    own = Window.partitionBy(*groups, "__byte").orderBy("__digest", *ties)
+    same = F.col("__byte") == F.col("__of_byte")
+    for g, o in of.items():
+        same = same & F.col(g).eqNullSafe(F.col(o))
+    placed = marked.withColumn("__rank", F.row_number().over(own)).join(places, same)
+    return placed.withColumn("rank_in_group", F.col("__rank") + F.col("__before")).drop("__digest", "__byte", "__rank", "__of_byte", "__before", *of.values())
+
+
+def split(rows: DataFrame, train: float = 0.80, validation: float = 0.05, test: float = 0.15, seed: int = 42, key: str = "question", section: str = "section") -> DataFrame:
+    """Adds ``split``.  In each section rows are ordered by md5 of seed and key: validation, test, then training."""
     check_ratios(train, validation, test)
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key), F.lit(""))))
-    marked = rows.withColumn("__digest", digest).withColumn("__byte", F.substring("__digest", 1, 2))
-    counts = marked.groupBy(F.col(section).alias("of_section"), F.col("__byte").alias("of_byte")).agg(F.count(F.lit(1)).alias("of_n"))
-    whole = Window.partitionBy("of_section")
-    before = F.sum("of_n").over(whole.orderBy("of_byte")) - F.col("of_n")
-    n_validation, n_test = held_out_sizes(F.sum("of_n").over(whole), train, validation, test)
-    places = counts.select("of_section", "of_byte", before.alias("of_before"), n_validation.alias("n_validation"), n_test.alias("n_test"))
-    own = Window.partitionBy(section, "__byte").orderBy("__digest", key)
-    ranked = marked.withColumn("__rank", F.row_number().over(own)).join(places, F.col(section).eqNullSafe(F.col("of_section")) & (F.col("__byte") == F.col("of_byte")))
-    rank = F.col("__rank") + F.col("of_before")
-    named = F.when(rank <= F.col("n_validation"), "validation").when(rank <= F.col("n_validation") + F.col("n_test"), "test").otherwise("train")
-    return ranked.withColumn("split", named).drop("__digest", "__byte", "__rank", "of_section", "of_byte", "of_before", "n_validation", "n_test")
+    placed = ranked(rows, [section], digest, key)
+    n_validation, n_test = held_out_sizes(F.col("rows_in_group"), train, validation, test)
+    rank = F.col("rank_in_group")
+    return placed.withColumn("split", F.when(rank <= n_validation, "validation").when(rank <= n_validation + n_test, "test").otherwise("train")).drop("rank_in_group", "rows_in_group")
 
 
 def distribution(rows: DataFrame) -> DataFrame:
@@ -80,6 +88,11 @@ def update_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("updated", changed).withColumn("target", F.when(changed, F.col("new_target")).otherwise(F.col("target"))).drop("new_question", "new_target")
 
 
+def update_counts(rows: DataFrame) -> DataFrame:
+    """``scanned, updated`` of updated rows."""
+    return rows.agg(F.count(F.lit(1)).alias("scanned"), F.count_if("updated").alias("updated"))
+
+
 def chat_records(rows: DataFrame, system: str) -> DataFrame:
     """``messages``: system, human, gpt turns of each (question, path)."""
     turns = [("system", F.lit(system)), ("human", F.col("question")), ("gpt", F.col("path"))]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.operators.graph import Graph
 from trailgraph.plans.steps import Combine, Filter, Hop, Select, Step, TypeKeep, TypeSeed, compile_path, is_dead, parse_path
+from trailgraph.storage import stored
 
 STATE = ["query_id", "entity", "node"]
 
@@ -89,64 +90,91 @@ def combine(results: DataFrame, step: Combine, entities: DataFrame) -> DataFrame
 
 
 def follow_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Traversal:
-    """A path with a state for each entity of ``state`` (query_id, entity, node)."""
+    """A path with a state for each entity of ``state`` (query_id, entity, node).
+
+    After a type seed all entities are at the same nodes: the frontier is kept once, without an entity, and given to each
+    of the stated entities only where it is a result.
+    """
     entities = state.select("query_id", "entity").distinct()
-    results: DataFrame | None = None
+    results: list[DataFrame] = []
     out = Traversal(state)
+    shared = False
+
+    def of_each(rows: DataFrame) -> DataFrame:
+        return entities.crossJoin(rows.drop("query_id", "entity")) if shared else rows
+
     for number, step in enumerate(compile_path(path, "multi"), 1):
         if isinstance(step, Combine):
             if step.operation not in ("common", "difference"):
                 out.errors[number] = f"Unknown operation '{step.operation}'."
-            elif results is not None:
-                out.combined[number] = combine(results, step, entities)
+            elif results:
+                out.combined[number] = combine(reduce(DataFrame.unionByName, results), step, entities)
             else:
                 out.combined[number] = entities.select("query_id", F.col("entity").alias("node")).limit(0)
         elif isinstance(step, TypeSeed):
-            seeds = graph.slice(step.label).select(F.col("src").alias("node")).distinct()
-            state = entities.crossJoin(seeds)  # a stated set of entities against a type's members
+            none = [F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("string").alias("entity")]
+            state, shared = graph.slice(step.label).select(*none, F.col("src").alias("node")).distinct(), True
         elif not isinstance(step, Select):
             state = advance(graph, state, step)
             if isinstance(step, Hop):
                 typed = state.join(graph.types, F.col("node") == F.col("name"), "left").select("query_id", "entity", "node_type", "node")
-                results = typed if results is None else results.unionByName(typed)
-        out.frontiers.append(state)
+                results.append(of_each(typed))
+        out.frontiers.append(of_each(state))
     empty = entities.select("query_id", "entity", F.lit(None).cast("string").alias("node_type"), F.lit(None).cast("string").alias("node")).limit(0)
-    out.results = results.distinct() if results is not None else empty
+    out.results = reduce(DataFrame.unionByName, results).distinct() if results else empty
     return out
 
 
+def _step_rows(paths: Mapping[int, Sequence[str]]) -> list[tuple]:
+    """(query_id, depth, kind, label, words, every) of every step."""
+    rows = []
+    for query_id, path in paths.items():
+        for depth, step in enumerate(compile_path(path, "single")):
+            if isinstance(step, Filter):
+                rows.append((query_id, depth, "filter", None, list(step.words), step.every))
+            else:
+                rows.append((query_id, depth, "keep" if isinstance(step, TypeKeep) else "hop", step.label, [], False))
+    return rows
+
+
 def follow_batch(graph: Graph, queries: DataFrame, paths: Mapping[int, Sequence[str]]) -> DataFrame:
     """``query_id, node``: the final sets of many single-entity queries at once.
 
-    queries: query_id, entity.  Paths that begin alike share their steps: each step of the trie of paths is one join
-    over the frontiers of all queries below it.
+    queries: query_id, entity.  Steps are rows of a table (query, depth).  All queries move on together: a depth costs one
+    join for all hops, one for all type steps and one for all filters, however many queries and labels there are; the
+    frontier is written once a depth.
     """
-    trie: dict = {}
-    for query_id, steps in paths.items():
-        node = trie
-        for s in steps:
-            node = node.setdefault(s, {})
-        node.setdefault(None, []).append(query_id)
-
-    def below(node: dict) -> list[int]:
-        return [q for k, v in node.items() for q in (v if k is None else below(v))]
-
+    spark = queries.sparkSession
+    rows = _step_rows(paths)
+    steps = spark.createDataFrame(rows, "query_id long, depth int, kind string, label string, words array<string>, every boolean")
+    lengths = spark.createDataFrame([(q, len(p)) for q, p in paths.items()], "query_id long, n_steps int")
+    state = queries.select(F.col("query_id").cast("long"), F.col("entity").alias("node")).distinct().join(lengths, "query_id")
     parts: list[DataFrame] = []
-
-    def walk(node: dict, state: DataFrame) -> None:
-        for key, child in node.items():
-            if key is None:
-                parts.append(state.filter(F.col("query_id").isin(child)).select("query_id", "node"))
+    for depth in range(max(map(len, paths.values()), default=0) + 1):
+        parts.append(state.filter(F.col("n_steps") == depth).select("query_id", "node"))
+        at = [r for r in rows if r[1] == depth]
+        if not at:
+            break
+        going = state.filter(F.col("n_steps") > depth).join(steps.filter(F.col("depth") == depth), "query_id")
+        moved: list[DataFrame] = []
+        for kind in dict.fromkeys(r[2] for r in at):
+            own = going.filter(F.col("kind") == kind)
+            if kind == "filter":
+                text = F.lower("dst")
+                hit = F.when(F.col("every"), F.forall("words", lambda w: F.contains(text, w))).otherwise(F.exists("words", lambda w: F.contains(text, w)))
+                own = own.join(graph.descriptions(), (F.col("node") == F.col("src")) & hit, "left_semi")
             else:
-                own = state.filter(F.col("query_id").isin(below(child))) if len(node) > 1 else state
-                walk(child, advance(graph, own, compile_path([key], "single")[0]))
-
-    walk(trie, queries.select("query_id", "entity", F.col("entity").alias("node")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+                labels = sorted({r[3] for r in at if r[2] == kind})
+                edges = graph.edges.filter(F.col("label").isin(labels)).select(F.col("label").alias("of"), "src", "dst")
+                own = own.join(edges, (F.col("label") == F.col("of")) & (F.col("node") == F.col("src")), "inner" if kind == "hop" else "left_semi")
+            moved.append(own.select("query_id", F.col("dst" if kind == "hop" else "node").alias("node"), "n_steps"))
+        state = stored(reduce(DataFrame.unionByName, moved).distinct())
+    # Each state is distinct, and a query ends at one depth.
+    return reduce(DataFrame.unionByName, parts)
 
 
 def trace(graph: Graph, state: DataFrame, path: str | Sequence[str], relation_texts: DataFrame | None = None) -> DataFrame:
-    """``step, ord, line``: what each step of a single-mode path reached, for reading.
+    """``step, ord, line``: what each step of a single-mode path reached, for reading, in order.
 
     relation_texts: source, target, description, line_no; the first text of a followed edge is added to its line.
     """
@@ -168,12 +196,11 @@ def trace(graph: Graph, state: DataFrame, path: str | Sequence[str], relation_te
         for order, part in enumerate((head, body)):
             lines.append(part.select(F.lit(number).alias("step"), F.lit(order).alias("ord"), "line"))
         state = after
-    return reduce(DataFrame.unionByName, lines)
-
+    return reduce(DataFrame.unionByName, lines).sort("step", "ord", "line")
 
 
 def trace_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> DataFrame:
-    """``step, entity, ord, line`` of a multi-mode path; entity is null for lines about all of them."""
+    """``step, entity, ord, line`` of a multi-mode path, in order; entity is null for lines about all of them."""
     steps = parse_path(path) if isinstance(path, str) else list(path)
     entities = state.select("entity").distinct()
     out = follow_many(graph, state, steps)
@@ -204,4 +231,4 @@ def trace_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Dat
             told = (f"{head}Filtering nodes by keywords '{step.text}'. Kept ", " nodes.") if isinstance(step, Filter) else (f"{head}Seeding from relation '{text}'. Found ", " sources.")
             add(number, 0, n, F.concat(F.lit(told[0]), "n", F.lit(told[1])), F.col("entity"))
             add(number, 1, after, item, F.col("entity"))
-    return reduce(DataFrame.unionByName, lines)
+    return reduce(DataFrame.unionByName, lines).sort("step", "entity", "ord", "line")

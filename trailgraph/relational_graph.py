@@ -78,12 +78,26 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, map(rule, range(len(RULES))))
 
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple, str] = {}
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple:
+    """The tables' files with their lengths and times: input that was written anew makes a new store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in TABLES:
+        at = path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph's store, built once a session and input: canonical edges by label, and the node types."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph's store, built once a session and state of the input: canonical edges by label, and the node types."""
+    key = (spark.sparkContext.applicationId, _versions(spark, sf_dir))
     if key not in _STORES:
         folder = working_folder(spark)
         write_edges(canonical(raw_edges(spark, sf_dir)), f"{folder}/edges")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-#: Keys of an object that are not emitted as attribute edges.
+#: Keys of an object that are not emitted as attribute edges.
 SKIPPED_KEYS = [
     "x_mitre_modified_by_ref", "modified_by_ref", "x_mitre_contents", "id", "source_ref", "target_ref", "object_ref",
     "relationship_type", "x_mitre_version", "x_mitre_attack_spec_version", "created_by_ref", "object_marking_refs",
 ]
 
-#: What the starting point says about a node type.
+#: What the starting point says about a node type.
 GLOSSARY = {
     "x_mitre_detection": "Strategies for identifying if a technique has been used by an adversary.",
     "x_mitre_platforms": "List of platforms that apply to the technique.",
@@ -34,7 +34,7 @@ GLOSSARY = {
     "intrusion_set": "Grouped adversarial behaviors/resources believed orchestrated by a single org.",
 }
 
-#: Terms that a paraphrase must neither add nor lose.
+#: Terms that a paraphrase must neither add nor lose.
 MALWARE_TERMS = ["ransomware", "spyware", "backdoor", "worm", "trojan", "rat", "in-memory", "steal", "spy"]
 
 DESCRIPTION = "description"
