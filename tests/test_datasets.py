@@ -1,15 +1,19 @@
 """Texts, expansion, splits, readers and writers."""
 
+import itertools
 import json
+import os
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from trailgraph.functions import text
+from trailgraph.functions import match, text
 from trailgraph.functions.match import closest
-from trailgraph.operators import expand, graph as graphs, splits
+from trailgraph.operators import bundles, expand, graph as graphs, splits
 from trailgraph.sources import readers, writers
-from trailgraph.streaming.bundles import append_edges
+from trailgraph.streaming.bundles import append_objects, stored_objects
 
 
 def one(spark, column, *values):
@@ -143,7 +147,7 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.read_variations(spark, f"{path}/missing.csv").count() == 0
     with pytest.raises(FileNotFoundError):
         readers.require(spark, f"{path}/missing.csv", "variations")
-    (tmp_path / "sections.json").write_text(json.dumps({"one": [{"question": "a"}, {"question": "b"}], "two": [{"question": "a"}]}))
+    (tmp_path / "sections.json").write_text(json.dumps({"one": [{"question": "a"}, {"question": "b"}], "two": [{"question": "a"}]}, indent=2))
     assert sorted((r["question"], r["section"]) for r in readers.read_sections(spark, f"{path}/sections.json").collect()) == [("a", "one"), ("a", "two"), ("b", "one")]
     split_rows = spark.createDataFrame([("q1", "<PATH>a</PATH>", "train"), ("q2", None, "train"), ("q3", "<PATH>b</PATH>", "test")], "Question string, Path string, split string")
     writers.write_splits(split_rows, f"{path}/splits")
@@ -158,7 +162,78 @@ def test_readers_and_writers(spark, tmp_path):
 
 def test_new_bundles_are_appended(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text(json.dumps({"objects": [{"id": "m--1", "type": "m", "name": "N"}]}))
-    for _ in range(2):
-        append_edges(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r["label"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["is_m_type", "name"]
+    store = str(tmp_path / "store")
+    files = [
+        [{"id": "m--1", "type": "m", "name": "N", "revoked": False}, {"name": "no id"}, {"id": "r--1", "type": "relationship", "source_ref": "m--1", "target_ref": "t--1", "relationship_type": "uses"}],
+        [{"id": "t--1", "type": "t", "name": "T"}, {"id": "m--1", "type": "m", "name": "M"}],
+    ]
+    for k, objects in enumerate(files):
+        path = tmp_path / "in" / f"{'ba'[k]}.json"
+        path.write_text(json.dumps({"objects": objects}, indent=2))
+        os.utime(path, (1_700_000_000 + 20_000 * k,) * 2)  # later by more than a few hours, though first by name
+        append_objects(spark, str(tmp_path / "in"), store, str(tmp_path / "ck")).awaitTermination()
+    edges = {(r["src"], r["label"], r["dst"]) for r in bundles.bundle_edges(stored_objects(spark, store)).collect()}
+    assert edges == {("N", "is_m_type", "m"), ("N", "name", "N"), ("N", "revoked", "False"), ("T", "is_t_type", "t"), ("T", "name", "T"), ("M", "is_m_type", "m"), ("M", "name", "M"), ("M", "uses_t", "T"), ("T", "used_by_m", "M")}
+
+
+def test_closest_names_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    made = lambda: "".join(rng.choice("abcABC #1é") for _ in range(rng.randrange(0, 9)))
+    wanted, names = [made() for _ in range(25)], [made() for _ in range(120)]
+    monkeypatch.setattr(match, "ENTITY_BLOCK", 10)
+    got = match.closest(spark.createDataFrame([(w,) for w in [*wanted, None]], "entity string"), spark.createDataFrame([(n,) for n in [*names, None]], "name string").repartition(3))
+    expected = {}
+    for w in set(wanted):
+        scores = [(-SequenceMatcher(None, w.lower(), n.lower()).ratio(), n) for n in names]
+        if -min(scores)[0] > 0.5:
+            expected[w] = (min(scores)[1], -min(scores)[0])
+    assert {r["entity"]: (r["name"], r["score"]) for r in got.collect()} == expected
+
+
+def test_disjoint_combinations_equal_the_rule():
+    rng = random.Random(4)
+    for _ in range(300):
+        slots = [rng.sample("abcdefg", rng.randrange(0, 5)) for _ in range(rng.randrange(1, 4))]
+        expected, rest = [], list(itertools.product(*slots))
+        while len(expected) < 3 and (rest := [c for c in rest if len(set(c)) == len(c) and not any(set(c) & set(e) for e in expected)]):
+            expected.append(rest[0])
+        assert expand.disjoint_combinations(slots, 3) == expected
+
+
+def test_top_paraphrases_and_plain_variations(spark, tmp_path):
+    offered = F.array(F.lit("a thing [x]"), F.lit("[x] worms"), F.lit("no"), F.lit("the worm [x]"), F.lit("worm [x]"))
+    assert one(spark, lambda q: text.top_paraphrases(q, offered, 2), "A worm [x]") == ["[x] worms", "the worm [x]"]
+    writers.write_variations(spark.createDataFrame([("q", "as it is"), ("p", None)], "question string, variations string"), f"file://{tmp_path}/v.csv")
+    assert sorted(map(tuple, readers.read_csv(spark, f"file://{tmp_path}/v.csv").fillna("").collect())) == [("p", ""), ("q", "as it is")]
+
+
+def test_template_documents_are_rewritten_with_a_backup(spark, tmp_path):
+    document = {"templates": {"s": [{"question": 'say "q"', "path": ["a", "filter .NET"], "target": ["old: one"]}, "odd"], "t": [], "u": {"k": 1}}, "version": 2}
+    new, scanned, changed = writers.updated_document(document, {'say "q"': "new", "other": "x"})
+    assert (scanned, changed) == (1, 1) and new["templates"]["s"][0]["target"] == "new" and document["templates"]["s"][0]["target"] == ["old: one"]
+    for name in ("t.yaml", "t.json"):
+        path = f"file://{tmp_path}/{name}"
+        writers.write_document(spark, document, path)
+        writers.write_document(spark, new, path)
+        assert "old: one" in (tmp_path / f"{name}.bak").read_text() and "old: one" not in (tmp_path / name).read_text()
+    assert json.loads((tmp_path / "t.json").read_text()) == new
+    assert (tmp_path / "t.yaml").read_text().splitlines() == [
+        '"templates":', '  "s":', '    - "question": "say \\"q\\""', '      "path": ["a", "filter .NET"]', '      "target": "new"', '    - "odd"', '  "t": []', '  "u":', '    "k": 1', '"version": 2',
+    ]
+
+
+def test_dropped_rows_are_counted(spark, tmp_path):
+    (tmp_path / "train.csv").write_text("Question,Path\nq,p\n,p\nq2,\n")
+    (tmp_path / "test.csv").write_text("Question,Path\nq,p\n")
+    got = {tuple(r) for r in readers.dropped_rows(spark, f"file://{tmp_path}").collect()}
+    assert got == {("train", 3, 2), ("test", 1, 0)}
+
+
+def test_known_types_have_their_glossary_line_and_the_section_its_cap(spark):
+    edges = [(f"M{k:04d}", "malware", "is_malware_type", k) for k in range(700)]
+    graph = graphs.Graph.of(spark.createDataFrame(edges, "src string, dst string, label string, pos long"))
+    rows = templates(spark, ("entity_in_path", 0, "[malware]?", ["a"], ["t"]), ("s", 0, "All of [malware]?", ["a"], ["t"]))
+    got = expand.expand(spark, rows, graph).collect()
+    capped = [r["question"] for r in got if r["section"] == "entity_in_path"]
+    assert sorted(capped) == [f"M{k:04d}?" for k in range(600)] and len(got) == 1300
+    assert all("\nDescription of 'malware': Malicious code/software.\n" in r["response"] for r in got)

@@ -11,8 +11,8 @@ from trailgraph import relational_graph
 from trailgraph.functions import text
 from trailgraph.functions.match import closest
 from trailgraph.operators import bundles, expand, graph as graphs, splits
-from trailgraph.plans.execute import Graph, follow, follow_batch, follow_many, start
-from trailgraph.sources.readers import target_map
+from trailgraph.plans.execute import Graph, follow, follow_batch, follow_many, start, trace, trace_many
+from trailgraph.sources.readers import keyed_objects, target_map
 from trailgraph.sources.writers import edge_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,9 +48,9 @@ def edges_canonical(spark, sf_dir):
     return graphs.canonical(relational_graph.raw_edges(spark, sf_dir))
 
 
-@query(E_ + "SELECT src, dst, label, min(seq) AS pos FROM raw WHERE src LIKE 'User#%' GROUP BY ALL")
+@query(E_ + "SELECT src, dst, label, min(seq) AS pos FROM raw GROUP BY ALL")
 def edges_multigraph(spark, sf_dir):
-    return graphs.multigraph(relational_graph.raw_edges(spark, sf_dir).filter(F.col("src").startswith("User#")))
+    return graphs.multigraph(relational_graph.raw_edges(spark, sf_dir))
 
 
 @query(E_ + "SELECT label, count(*) AS n, count(DISTINCT src) AS n_src FROM edges GROUP BY label")
@@ -92,10 +92,9 @@ def first_source_of_relation(spark, sf_dir):
     return graphs.first_sources(_graph(spark, sf_dir).edges)
 
 
-@query(E_ + "SELECT concat(src, ' - ', label, ' -> ', dst) AS line FROM edges WHERE label IN ('in_region', 'located_in', 'mktsegment')")
+@query(E_ + "SELECT concat(src, ' - ', label, ' -> ', dst) AS line FROM edges")
 def edge_log_lines(spark, sf_dir):
-    kept = _graph(spark, sf_dir).edges.filter(F.col("label").isin("in_region", "located_in", "mktsegment"))
-    return edge_lines(kept).withColumnRenamed("value", "line")
+    return edge_lines(_graph(spark, sf_dir).edges).withColumnRenamed("value", "line")
 
 
 # -- paths from one entity, or none -----------------------------------------------------------------------------------
@@ -214,7 +213,7 @@ query(f"{_many_sql(_TWO, _FILTERED)} SELECT entity, node_type, node FROM acc", "
 # -- bundles ----------------------------------------------------------------------------------------------------------
 
 _RELS_SQL = """rels AS (
-SELECT concat('supplier--', l_suppkey) AS source_ref, concat('stock-part--', l_partkey) AS target_ref, 'uses' AS relation, l_orderkey * 10 AS seq FROM lineitem WHERE l_linenumber = 1
+SELECT concat('supplier--', l_suppkey) AS source_ref, concat('stock-part--', l_partkey) AS target_ref, 'uses' AS relation, l_orderkey * 100 + l_linenumber * 2 AS seq FROM lineitem
 UNION ALL SELECT concat('supplier--', s_suppkey), concat('nation--', s_nationkey), CASE WHEN s_suppkey % 3 = 0 THEN 'mitigates' WHEN s_suppkey % 3 = 1 THEN 'attributed-to' ELSE 'detects' END, 1000000000000 + s_suppkey * 10 FROM supplier
 UNION ALL SELECT 'supplier--none', concat('nation--', n_nationkey), 'detects', 2000000000000 + n_nationkey FROM nation
 ), names AS (
@@ -230,7 +229,7 @@ SELECT target, source, CASE WHEN label = 'mitigates' THEN 'mitigated_by' WHEN la
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation, part, line = (_table(spark, sf_dir, t) for t in ("supplier", "nation", "part", "lineitem"))
-    uses = line.filter("l_linenumber = 1").selectExpr("concat('supplier--', l_suppkey) AS source_ref", "concat('stock-part--', l_partkey) AS target_ref", "'uses' AS relation", "l_orderkey * 10 AS seq")
+    uses = line.selectExpr("concat('supplier--', l_suppkey) AS source_ref", "concat('stock-part--', l_partkey) AS target_ref", "'uses' AS relation", "l_orderkey * 100 + l_linenumber * 2 AS seq")
     kind = "CASE WHEN s_suppkey % 3 = 0 THEN 'mitigates' WHEN s_suppkey % 3 = 1 THEN 'attributed-to' ELSE 'detects' END AS relation"
     there = supplier.selectExpr("concat('supplier--', s_suppkey) AS source_ref", "concat('nation--', s_nationkey) AS target_ref", kind, "1000000000000 + s_suppkey * 10 AS seq")
     lost = nation.selectExpr("'supplier--none' AS source_ref", "concat('nation--', n_nationkey) AS target_ref", "'detects' AS relation", "cast(2000000000000 + n_nationkey AS long) AS seq")
@@ -254,11 +253,37 @@ SELECT concat('Event#', event_id) AS src, replace(event_type, '-', '_') AS dst,
 UNION ALL SELECT concat('Event#', event_id), concat('Event#', event_id), 'name' FROM events
 UNION ALL SELECT concat('Event#', event_id), json_extract_string(props, '$.k'), 'k' FROM events)""")
 def attribute_explode(spark, sf_dir):
-    made = _table(spark, sf_dir, "events").select(
-        F.lit(0).alias("file_ord"), F.col("event_id").alias("obj_pos"),
-        F.map_concat(F.create_map(F.lit("id"), F.concat(F.lit("event--"), "event_id"), F.lit("type"), "event_type", F.lit("name"), F.concat(F.lit("Event#"), "event_id")), F.from_json("props", "map<string,string>")).alias("keys"),
-    )
-    return bundles.attribute_edges(made).drop("seq")
+    head = F.format_string('{"id":"event--%d","type":"%s","name":"Event#%d",', "event_id", "event_type", "event_id")
+    made = _table(spark, sf_dir, "events").select(F.lit(0).alias("file_ord"), F.col("event_id").alias("obj_pos"), F.concat(head, F.expr("substring(props, 2)")).alias("object"))
+    return bundles.attribute_edges(keyed_objects(made)).drop("seq")
+
+
+#: An object with a value of each kind: (key, its JSON from the table's columns, the edge's target in SQL).
+_VALUES = [
+    ("description", ['"[', "p_name", "](https://example.org/", "p_partkey", r') is a part, \"new\"."'], """concat('[', p_name, '](https://example.org/', p_partkey, ') is a part, "new".')"""),
+    ("platforms", ['["', "p_brand", '","other"]'], "p_brand"),
+    ("nested", ['[ ["[', "p_brand", '"], 3]'], "concat('[', p_brand)"),
+    ("spaced", [" [ ] "], "'Not Available'"),
+    ("flags", ["[false,true]"], "'False'"),
+    ("nothing", ["null"], "'None'"),
+    ("no_items", ["[null]"], "'None'"),
+    ("is_family", ["true"], "'True'"),
+    ("word", ['"true"'], "'true'"),
+    ("size", ["", "p_size", ""], "p_size::VARCHAR"),
+    ("references", ['[{"url":"https://x.org/a,b:', "p_partkey", '","n":[1,null],"a":{}},7]'], """concat('{"url": "https://x.org/a,b:', p_partkey, '", "n": [1, null], "a": {}}')"""),
+]
+_VALUES_SQL = " UNION ALL ".join(f"SELECT concat('Part#', p_partkey) AS src, {target} AS dst, '{key}' AS label FROM part" for key, _, target in _VALUES)
+
+
+@query(f"""{_VALUES_SQL} UNION ALL SELECT concat('Part#', p_partkey), concat('Part#', p_partkey), 'name' FROM part
+UNION ALL SELECT concat('Part#', p_partkey), 'stock_part', 'is_stock_part_type' FROM part""")
+def bundle_values(spark, sf_dir):
+    """A value's parts are text and columns in turn; lines are broken between keys."""
+    parts = [F.lit('{"id":"stock-part--'), F.col("p_partkey"), F.lit('","type":"stock-part","name":"Part#'), F.col("p_partkey"), F.lit('"')]
+    for key, pieces, _ in _VALUES:
+        parts += [F.lit(f',\n  "{key}" : '), *(F.lit(x) if k % 2 == 0 else F.col(x) for k, x in enumerate(pieces))]
+    made = _table(spark, sf_dir, "part").select(F.lit(0).alias("file_ord"), F.col("p_partkey").alias("obj_pos"), F.concat(*parts, F.lit("}")).alias("object"))
+    return bundles.attribute_edges(keyed_objects(made)).drop("seq")
 
 
 # -- texts ------------------------------------------------------------------------------------------------------------
@@ -283,13 +308,13 @@ def _many_cue() -> F.Column:
 
 
 
-@query("""SELECT c_name AS first_entity, 1 AS n FROM customer UNION ALL SELECT s_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@query("""SELECT c_name AS entities, 1 AS n FROM customer UNION ALL SELECT concat(s_name, '|', n_name, '.'), 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def entity_extract(spark, sf_dir):
     one = _table(spark, sf_dir, "customer").select(_one_cue().alias("t"))
     nation = _table(spark, sf_dir, "nation")
     many = _table(spark, sf_dir, "supplier").join(nation, F.expr("s_nationkey = n_nationkey")).select(_many_cue().alias("t"))
     found = one.unionByName(many).select(text.entities(F.col("t")).alias("e"))
-    return found.select(F.element_at("e", 1).alias("first_entity"), F.size("e").alias("n"))
+    return found.select(F.concat_ws("|", "e").alias("entities"), F.size("e").alias("n"))
 
 
 @query("SELECT c_custkey, concat('<PATH>b<SEP>', c_mktsegment, '</PATH>') AS path, true AS ends FROM customer")
@@ -348,12 +373,19 @@ def target_update(spark, sf_dir):
     return splits.update_targets(rows, new).drop("question")
 
 
-@query("SELECT c_custkey, 3 AS n_turns, 'gpt' AS last_role, concat('<PATH>', c_mktsegment, '</PATH>') AS last_value FROM customer")
+@query("SELECT c_custkey, concat('system: You translate questions to paths.|human: ', c_name, '|gpt: <PATH>', c_mktsegment, '</PATH>') AS turns FROM customer")
 def chat_records(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name AS question", "concat('<PATH>', c_mktsegment, '</PATH>') AS path")
     said = splits.chat_records(rows, "You translate questions to paths.")
-    last = F.element_at("messages", -1)
-    return said.select("c_custkey", F.size("messages").alias("n_turns"), last["from"].alias("last_role"), last["value"].alias("last_value"))
+    return said.select("c_custkey", F.concat_ws("|", F.transform("messages", lambda m: F.concat(m["from"], F.lit(": "), m["value"]))).alias("turns"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('a ', p_brand, ' worm [x]|[x] WORM ', p_type) ELSE '[x] worm|a worm [x]' END AS kept FROM part")
+def top_paraphrases(spark, sf_dir):
+    good = F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit("a "), "p_brand", F.lit(" worm [x]")), F.concat(F.lit("[x] WORM "), "p_type"))).otherwise(F.array(F.lit("[x] worm"), F.lit("a worm [x]")))
+    bad = F.array(F.lit("a worm"), F.lit("a worm [y]"), F.lit("a [x]"), F.lit("a worm with a backdoor [x]"))
+    offered = F.concat(bad, good, F.array(F.lit("one worm [x] more")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", text.top_paraphrases(F.lit("The worm [x]"), offered, 2)).alias("kept"))
 
 
 # -- splits -----------------------------------------------------------------------------------------------------------
@@ -403,10 +435,9 @@ def _templates(spark: SparkSession, *rows: tuple) -> DataFrame:
     return spark.createDataFrame(list(rows), "section string, idx int, question string, path array<string>, target array<string>")
 
 
-@query(E_ + "SELECT 'q_one' AS section, 0 AS idx, concat('Which parts does ', s_name, ' supply?') AS question, contains('x', 'y') AS bare FROM supplier")
+@query(E_ + "SELECT 'q_one' AS section, 0 AS idx, concat('Which parts does ', s_name, ' supply?') AS question FROM supplier")
 def placeholder_expand_1(spark, sf_dir):
-    made = expand.expand(spark, _templates(spark, _ONE), _graph(spark, sf_dir))
-    return made.select("section", "idx", "question", F.col("response").contains("[supplier]").alias("bare"))
+    return expand.expand(spark, _templates(spark, _ONE), _graph(spark, sf_dir)).select("section", "idx", "question")
 
 
 _TOPS = f"{E_}, {_HISTOGRAM}, {_TOP}"
@@ -442,17 +473,58 @@ def cot_response(spark, sf_dir):
     return expand.expand(spark, _templates(spark, _ONE), _graph(spark, sf_dir)).select("question", "response")
 
 
-@query("SELECT 'q_two' AS section, least(50, (SELECT count(*) FROM customer) * (SELECT count(*) FROM supplier) // 1000) AS n, least(50, (SELECT count(*) FROM customer) * (SELECT count(*) FROM supplier) // 1000) AS n_different")
+def _drawn_sql(*keys: str) -> str:
+    return f"('0x' || substr(md5(concat('42|', {", '|', ".join(keys)})), 1, 15))::BIGINT"
+
+
+def _steps_sql(path: str, *steps: str) -> str:
+    """The steps' sentences and the completion's beginning, as arguments of concat."""
+    return ", chr(10), ".join(steps) + f", chr(10), chr(10), chr(10), '**Path Completion**', chr(10), chr(10), 'By following these steps, represented as ', {path}"
+
+
+def _hop_sql(number: int, label: str) -> str:
+    return f"'Step {number}: Follow ''{label}'' relationship, leading us to nodes representing ', (SELECT top_type FROM top WHERE label = '{label}'), '.'"
+
+
+def _other_sql(number: int, step: str) -> str:
+    return f"'Step {number}: By following the ''', {step}, ''' relationship, we proceed to the next relevant nodes, continuing our analysis within the cybersecurity context.'"
+
+
+_WORKING = "chr(10), chr(10), '**Task Analysis**', chr(10), chr(10), 'Let''s reason step by step. We are working with the following entities:', chr(10)"
+_START = "'**Starting Point (START)**', chr(10), chr(10), 'To begin, let''s focus on nodes of type "
+_BEGUN = " to establish our initial scope.', chr(10), chr(10), '**Step-by-Step Analysis**', chr(10), chr(10)"
+_ENDED = "chr(10), chr(10), '**Final Path**', chr(10), chr(10), 'The completed path is:', chr(10), chr(10)"
+_NUMBERED = "numbered AS (SELECT lower(dst) AS of_type, src AS name, row_number() OVER (PARTITION BY lower(dst) ORDER BY md5(src), src) - 1 AS number FROM (SELECT DISTINCT src, dst FROM edges WHERE dst IN ('customer', 'supplier')))"
+_PAIR_PATH = "concat('<PATH>select ', n1, ' ', n2, '<SEP>placed_order<SEP>uses_part<SEP>exec_common part</PATH>')"
+_PAIRS_SQL = f"""{_TOPS}, {_NUMBERED}, sizes AS (
+SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM supplier) AS s
+), tries AS (SELECT {_drawn_sql("'q_two'", "'0'", "attempt")} % (c * s) AS index, attempt, c, s FROM sizes, range(1, 201) t(attempt)
+), firsts AS (SELECT index, c, s, row_number() OVER (ORDER BY min(attempt)) AS r FROM tries GROUP BY index, c, s
+), pairs AS (SELECT a.name AS n1, b.name AS n2 FROM firsts JOIN numbered a ON a.of_type = 'customer' AND a.number = index // s
+JOIN numbered b ON b.of_type = 'supplier' AND b.number = index % s WHERE r <= least(50, c * s // 1000))"""
+
+
+@query(f"""{_PAIRS_SQL} SELECT concat('What do ', n1, ' and ', n2, ' share?') AS question, concat({_WORKING}, '- ''', n1, ''' is a customer', chr(10), '- ''', n2, ''' is a supplier.', chr(10),
+'Our goal is : shared parts.', chr(10), chr(10), '**Entity Description**', chr(10), chr(10), 'Description of ', n1, ': None', chr(10), 'Description of ', n2, ': None', chr(10), chr(10),
+{_START}supplier{_BEGUN}, {_steps_sql(_PAIR_PATH, _other_sql(1, "'select ', n1, ' ', n2"), _hop_sql(2, "placed_order"), _hop_sql(3, "uses_part"), "'Step 4: Follow ''exec_common part'' relationship to reach shared parts, marking the conclusion of our path.'")},
+', starting from ''', n2, ''' nodes, we have successfully achieved our goal: shared parts.', {_ENDED}, {_PAIR_PATH}) AS response FROM pairs""")
 def placeholder_expand_2_sampled(spark, sf_dir):
-    made = expand.expand(spark, _templates(spark, _PAIR), _graph(spark, sf_dir))
-    return made.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("question").alias("n_different"))
+    return expand.expand(spark, _templates(spark, _PAIR), _graph(spark, sf_dir)).select("question", "response")
+
 
+_SLOTS = " UNION ALL ".join(f"SELECT {k} AS slot, {t[0]}_name AS name FROM {t}" for k, t in enumerate(("region", "nation", "supplier")))
+_TRIPLE_PATH = "concat('<PATH>select ', n1, ' ', n2, ' ', n3, '<SEP>located_in<SEP>in_region</PATH>')"
+_TRIPLES_SQL = f"""{_TOPS}, slots AS ({_SLOTS}
+), ranked AS (SELECT slot, name, row_number() OVER (PARTITION BY slot ORDER BY {_drawn_sql("'entity_in_path'", "'0'", "slot", "name")}, name) AS r FROM slots
+), triples AS (SELECT a.name AS n1, b.name AS n2, c.name AS n3 FROM ranked a JOIN ranked b ON a.r = b.r AND a.slot = 0 AND b.slot = 1 JOIN ranked c ON a.r = c.r AND c.slot = 2 WHERE a.r <= 16)"""
 
-@query("SELECT 'entity_in_path' AS section, least(5, 16, (SELECT count(*) FROM supplier)) AS n, least(5, 16, (SELECT count(*) FROM supplier)) AS n_regions")
+
+@query(f"""{_TRIPLES_SQL} SELECT concat('How do ', n1, ', ', n2, ' and ', n3, ' relate?') AS question, concat({_WORKING}, '- ''', n1, ''' is a region.', chr(10), '- ''', n2, ''' is a nation.', chr(10), '- ''', n3, ''' is a supplier.', chr(10),
+'Our goal is to relation of ', n2, '.', chr(10), chr(10), '**Entity Descriptions**', chr(10), chr(10), 'Description of ', n1, ' (region): None', chr(10), 'Description of ', n2, ' (nation): None', chr(10), 'Description of ', n3, ' (supplier): None', chr(10), chr(10),
+{_START}None{_BEGUN}, {_steps_sql(_TRIPLE_PATH, _other_sql(1, "'select ', n1, ' ', n2, ' ', n3"), _hop_sql(2, "located_in"), "'Step 3: Follow ''in_region'' relationship to reach relation of ', n2, ', marking the conclusion of our path.'")},
+', we have successfully achieved our goal: relation of ', n2, '.', {_ENDED}, {_TRIPLE_PATH}) AS response FROM triples""")
 def expand_3_disjoint(spark, sf_dir):
-    made = expand.expand(spark, _templates(spark, _TRIPLE), _graph(spark, sf_dir))
-    region = F.regexp_extract("question", r"How do (\w+),", 1)
-    return made.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(region).alias("n_regions"))
+    return expand.expand(spark, _templates(spark, _TRIPLE), _graph(spark, sf_dir)).select("question", "response")
 
 
 @query("""SELECT 'q_none' AS section, x AS question FROM (VALUES ('Name all nations.'), ('List the nations?')) t(x)""")
@@ -467,8 +539,43 @@ def section_question_counts(spark, sf_dir):
     return splits.section_counts(made, spark.createDataFrame([("q_one",), ("q_none",), ("empty",)], "section string"))
 
 
-@query()
+#: 17 characters of 17 and 18 match: each entity lacks one.
+@query("SELECT * FROM (VALUES ('custmer#000000007', 'Customer#000000007', 34::DOUBLE / 35), ('Suplier#000000003', 'Supplier#000000003', 34::DOUBLE / 35)) t(entity, name, score)")
 def fuzzy_match(spark, sf_dir):
     wanted = spark.createDataFrame([("custmer#000000007",), ("Suplier#000000003",), ("zzzz",)], "entity string")
     names = _table(spark, sf_dir, "customer").selectExpr("c_name AS name").unionByName(_table(spark, sf_dir, "supplier").selectExpr("s_name AS name"))
     return closest(wanted, names)
+
+
+# -- traces -----------------------------------------------------------------------------------------------------------
+
+_TRACED = ["placed_order", "uses_part", "filter promo"]
+
+
+def _reached_sql(steps: list[str]) -> str:
+    sql = f"SELECT '{CUSTOMER}' AS node"
+    for step in steps:
+        sql = _step_sql(sql, step)
+    return sql
+
+
+@query(f"""{E_}, kept AS ({_reached_sql(_TRACED)})
+SELECT 1 AS step, 0 AS ord, '[!] Step 1: Following relation ''placed_order''. Results:' AS line UNION ALL SELECT 1, 1, concat('   - ', node) FROM ({_reached_sql(_TRACED[:1])})
+UNION ALL SELECT 2, 0, '[!] Step 2: Following relation ''uses_part''. Results:' UNION ALL SELECT 2, 1, concat('   - ', node) FROM ({_reached_sql(_TRACED[:2])})
+UNION ALL SELECT 3, 0, concat('[!] Step 3: Filtering ', coalesce((SELECT min(node_type) FROM kept JOIN node_type ON node = name), 'None'), ' nodes by ''promo''.') UNION ALL SELECT 3, 1, concat('   - ', node) FROM kept""")
+def trace_lines(spark, sf_dir):
+    return trace(_graph(spark, sf_dir), start(spark, [CUSTOMER]), _TRACED)
+
+
+_TRACED_MANY = ["select <<customer>> <<customer>>", "placed_order", "uses_part", "exec_common part"]
+_TYPED = "SELECT {step} AS step, entity, 1 AS ord, concat('   - ', node, ' (', coalesce(node_type, 'None'), ')') AS line FROM {frontier} LEFT JOIN node_type ON node = name"
+_SAID = "SELECT {step}, entity, 0, '[!] Step {step}: Following relation ''{label}''.' FROM f0"
+
+
+@query(f"""{_many_sql(_TWO, _TRACED_MANY[:3])} {_TYPED.format(step=2, frontier="f1")} UNION ALL {_TYPED.format(step=3, frontier="f2")}
+UNION ALL {_SAID.format(step=2, label="placed_order")} UNION ALL {_SAID.format(step=3, label="uses_part")}
+UNION ALL SELECT 1, NULL, 0, '[!] Step 1: Selecting entities. Results:' UNION ALL SELECT 1, NULL, 1, concat('   - ', entity) FROM f0
+UNION ALL SELECT 4, NULL, 1, '[!] Step 4: Common results for type ''part''.'
+UNION ALL SELECT 4, NULL, 2, concat('   - ', node) FROM (SELECT node FROM acc WHERE node_type = 'part' GROUP BY node HAVING count(DISTINCT entity) = 2)""")
+def trace_lines_many(spark, sf_dir):
+    return trace_many(_graph(spark, sf_dir), start(spark, _TWO), _TRACED_MANY)
