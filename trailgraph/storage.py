@@ -8,10 +8,12 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -31,10 +33,25 @@ def working_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what goes to a Python worker at once, by rows and by bytes, while a table is written; the session's settings
+    are as before afterwards."""
+    before = {key: spark.conf.get(key) for key in BATCH_LIMITS}
+    try:
+        for key, value in BATCH_LIMITS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """Written and read again: cuts lineage, and survives lost executors.  ``by``: a column to have a directory a value of."""
     folder = working_folder(df.sparkSession)
-    (df.write.partitionBy(by) if by else df.write).parquet(folder)
+    with small_batches(df.sparkSession):
+        (df.write.partitionBy(by) if by else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
