@@ -1,4 +1,4 @@
-"""What several operators share: inputs, the shared folder, Arrow batches, and rows in key order."""
+"""What several operators share: inputs, the shared folder, Arrow batches, joins with hot keys, and rows in key order."""
 
 from __future__ import annotations
 
@@ -8,23 +8,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.storage import stored, working_folder
+from trailgraph.storage import discard, stored, working_folder
 
-#: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
+#: Rows and bytes of the part of an Arrow batch that a Python worker works on at a time (a single row may be longer).
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+#: A key with more rows than this, and than one in ``MOST_HOT`` of all rows, is hot: there are fewer than ``MOST_HOT``.
+HOT_ROWS, MOST_HOT = 500, 10_000
+
+__all__ = ["discard", "join_counted", "map_arrow", "map_batches", "range_bounds", "range_part", "shared_folder", "shuffle_partitions", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what goes to a Python worker at once, by rows and by bytes (texts may be very long)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share."""
     return working_folder(spark)
@@ -35,23 +33,58 @@ def written(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch."""
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and bytes, without copying."""
+    if batch.num_rows <= 1 or batch.num_rows <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _parts(batch.slice(0, half))
+        yield from _parts(batch.slice(half))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size, whatever the session's settings are; they are left as they are."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(part for batch in batches if batch.num_rows for part in _parts(batch))
+        pa.default_memory_pool().release_unused()  # the worker serves other tasks next
+
+    return df.mapInArrow(bounded, schema)
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
+    """The same for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
+            if (out := function(batch)) is not None:
                 yield out
 
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str | list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, a written table of one row a key (one column or several, not null) that tells in
+    ``count`` how many of ``rows`` have it (or more).
+
+    Hot keys' rows stay where they are and meet a broadcast of fewer than ``MOST_HOT`` rows; the others are shuffled by
+    key, so that no task has more than one in ``MOST_HOT`` of all rows, or ``HOT_ROWS``, for a key.
+    """
+    seen = side.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    bound = max(HOT_ROWS, (seen["total"] or 0) // MOST_HOT)
+    if (seen["most"] or 0) <= bound:
+        return rows.join(side, key)
+    hot = side.filter(F.col(count) > bound)
+    cold = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(side.filter(F.col(count) <= bound), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """Ascending inner bounds that split the rows by ``key`` (a long) into about equal parts; nulls aside."""
     if parts <= 1:
         return []
-    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)
     return sorted({int(c) for c in cuts})
 
 

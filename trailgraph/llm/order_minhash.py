@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import range_bounds, range_part, shuffle_partitions, small_batches
+from trailgraph.llm.common import map_arrow, range_bounds, range_part, shuffle_partitions
 from trailgraph.llm.words import mix
 
 K = 8
@@ -145,7 +145,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint, and that of the text edited with the next one's beginning, and both likenesses."""
     spark = docs.sparkSession
-    small_batches(spark)
     n = shuffle_partitions(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"))
     bounds = range_bounds(keyed.select("key"), "key", n * PARTS_A_PARTITION)
@@ -164,4 +163,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("to.part", "key", "doc_id", "text", "to.tail")
         .repartition(n, "part").sortWithinPartitions("part", "tail", "key", "text")
     )
-    return dealt.mapInArrow(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(dealt, _rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -40,7 +40,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Chunks:
     """``lo``..``hi``: the texts; ``first[i]``..``first[i + 1]``: the chunks of text ``lo + i``,
-    which begins at byte ``offsets[i]`` of ``data``."""
+    which begins at byte ``offsets[i]`` of ``data``.  ``prefixes[k]``: hashes of the chunks' first bytes, as many as the k-th
+    length asked for; 0 where a chunk is no longer than that."""
 
     lo: int
     hi: int
@@ -50,6 +51,7 @@ class Chunks:
     first: np.ndarray
     offsets: np.ndarray
     hashes: np.ndarray
+    prefixes: list[np.ndarray]
 
     def chunk(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
@@ -59,7 +61,7 @@ class Chunks:
 _MARKS = bytes(32 if c < 128 and not chr(c).isalnum() and c > 32 else c for c in range(256))
 
 
-def chunk_groups(texts: list[str | None], lower: bool = True, marks_apart: bool = False) -> Iterator[Chunks]:
+def chunk_groups(texts: list[str | None], lower: bool = True, marks_apart: bool = False, prefixes: tuple[int, ...] = ()) -> Iterator[Chunks]:
     """Chunks ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), with A-Z lowered where ``lower``.
 
     ``marks_apart``: ASCII marks count as white space.
@@ -69,15 +71,15 @@ def chunk_groups(texts: list[str | None], lower: bool = True, marks_apart: bool
         raw = (text or "").encode()
         raw = raw.translate(_MARKS) if marks_apart else raw
         if parts and size + len(raw) > GROUP_BYTES:
-            yield _chunks(lo, parts, lower)
+            yield _chunks(lo, parts, lower, prefixes)
             lo, size, parts = i, 0, []
         parts.append(raw)
         size += len(raw) + 1
     if parts:
-        yield _chunks(lo, parts, lower)
+        yield _chunks(lo, parts, lower, prefixes)
 
 
-def _chunks(lo: int, parts: list[bytes], lower: bool) -> Chunks:
+def _chunks(lo: int, parts: list[bytes], lower: bool, prefixes: tuple[int, ...]) -> Chunks:
     data = b"\n".join(parts) + b"\n"
     data = data.lower() if lower else data
     b = np.frombuffer(data, dtype=np.uint8)
@@ -90,11 +92,15 @@ def _chunks(lo: int, parts: list[bytes], lower: bool) -> Chunks:
     total = np.empty(len(b) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_BYTES[b] * up[: len(b)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-    h = mix(h)
-    h[h == 0] = 1
+
+    def hashed(stops: np.ndarray, salt: int = 0) -> np.ndarray:
+        h = mix((total[stops] - total[starts]) * down[starts] + (stops - starts + salt).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        h[h == 0] = 1
+        return h
+
+    first_bytes = [np.where(starts + n < ends, hashed(np.minimum(starts + n, ends), 1 << 32), _U(0)) for n in prefixes]
     offsets = np.concatenate(([0], np.cumsum(np.array([len(p) + 1 for p in parts], dtype=np.int64))))
-    return Chunks(lo, lo + len(parts), data, starts, ends, np.searchsorted(starts, offsets), offsets, h)
+    return Chunks(lo, lo + len(parts), data, starts, ends, np.searchsorted(starts, offsets), offsets, hashed(ends), first_bytes)
 
 
 class HashIndex:
