@@ -5,13 +5,14 @@ that occurs twice sets all its bits twice, so pass 2 looks up every row's bits:
 unlike every other row and passes straight through.  Only the possibly repeated rows are shuffled and grouped, as
 (digest, id): no text is ever shuffled.
 
-The filter is ``BITS_A_ROW`` bits a row in chunks of 4 KB.  Up to ``BROADCAST_BYTES`` it is broadcast; a larger one is
-joined by chunk number instead, which shuffles ids and digests.
+Rows are worked on in slices by hash, ``SLICE_ROWS`` at a time on average, so that a slice's filter can be broadcast
+whatever the number of rows.  A digest that very many rows have is not one task's: the rows stay where they are and meet
+its group by broadcast.
 
 Defined cases: null text counts as empty; an empty table gives an empty result; a null id is the smallest id; rows that
 repeat both id and text count in ``group_size`` and are all kept or all dropped; rows of one id, null too, with different
-texts are kept or dropped each; columns other than the two named are
-ignored.
+texts are kept or dropped each; columns other than the two named are ignored, whatever their names (``exact_dedup`` keeps
+them).
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import written
+from trailgraph.llm.bits import bit_filter, chunks_for, with_held, without
+from trailgraph.llm.common import discard, join_counted, written
+from trailgraph.storage import stored, working_folder
 
-BITS_A_ROW = 16
-HASHES = 2
-#: Bits of one chunk of the filter, as bitmap_construct_agg has them.
-CHUNK_BITS = 32768
-MAX_FILTER_BITS = 1 << 40
-BROADCAST_BYTES = 16 << 20
+#: Rows of one slice: a filter of 64 MB.
+SLICE_ROWS = 1 << 25
 
 
 def normalised(text: Column) -> Column:
@@ -41,48 +40,41 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
 
 
-def _bits(bits: int) -> list[Column]:
-    """The rows' positions in the filter, from the digest."""
-    return [F.pmod(F.xxhash64(F.lit(k), F.col("text_sha256")), F.lit(bits)) for k in range(HASHES)]
-
-
-def possibly_repeated(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Adds ``maybe``: whether two rows or more set each of the row's bits."""
-    bits = min(MAX_FILTER_BITS, CHUNK_BITS * -(-max(1, n_rows) * BITS_A_ROW // CHUNK_BITS))
-    twice = (
-        rows.select(F.explode(F.array(*_bits(bits))).alias("bit"))
-        .groupBy("bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .groupBy((F.col("bit") / CHUNK_BITS).cast("long").alias("chunk"))
-        .agg(F.expr(f"bitmap_construct_agg(bit % {CHUNK_BITS})").alias("bitmap"))
-    )
-    twice = F.broadcast(twice) if bits // 8 <= BROADCAST_BYTES else twice
-    rows = rows.withColumns({f"bit{k}": b for k, b in enumerate(_bits(bits))})
-    found = F.lit(True)
-    for k in range(HASHES):
-        chunk = twice.select(F.col("chunk").alias(f"chunk{k}"), F.col("bitmap").alias(f"bitmap{k}"))
-        rows = rows.join(chunk, (F.col(f"bit{k}") / CHUNK_BITS).cast("long") == F.col(f"chunk{k}"), "left")
-        at = f"(bit{k} % {CHUNK_BITS})"
-        byte = f"cast(conv(hex(substring(bitmap{k}, cast({at} div 8 + 1 as int), 1)), 16, 10) as int)"
-        found = found & F.coalesce(F.expr(f"(shiftright({byte}, cast({at} % 8 as int)) & 1) = 1"), F.lit(False))
-    return rows.select("doc_id", "text_sha256", found.alias("maybe"))
+def _marked(rows: DataFrame, n: int) -> DataFrame:
+    key, chunks = [F.col("text_sha256")], chunks_for(n)
+    return with_held(rows, key, bit_filter(rows, key, chunks, least=2), chunks, "maybe")
+
+
+def possibly_repeated(rows: DataFrame) -> DataFrame:
+    """Adds ``maybe`` to ``doc_id, text_sha256``, a written table: whether two rows or more set each of the row's bits."""
+    n = rows.count()
+    slices = -(-n // SLICE_ROWS)
+    if slices <= 1:
+        return written(_marked(rows, n))
+    sliced = stored(rows.withColumn("slice", F.pmod(F.xxhash64("text_sha256", F.lit(9)), F.lit(slices))), by="slice")
+    folder = working_folder(rows.sparkSession)
+    for k in range(slices):
+        _marked(sliced.filter(F.col("slice") == k).drop("slice"), n // slices).write.mode("append").parquet(folder)
+    discard(sliced)
+    return rows.sparkSession.read.schema(_marked(rows, 1).schema).parquet(folder)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row; of equal texts the largest id stays."""
     rows = written(digests(docs, id_col, text_col))
-    marked = written(possibly_repeated(rows, rows.count()))
+    marked = possibly_repeated(rows)
+    discard(rows)
     single = marked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     again = marked.filter("maybe").select("doc_id", "text_sha256")
     groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    grouped = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
+    grouped = join_counted(again, groups, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", "text_sha256")
     return single.unionByName(grouped).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id"), F.col("text_sha256").alias("__dropped_sha256")).distinct()
-    same_text = F.sha2(normalised(docs[text_col]), 256) == F.col("__dropped_sha256")
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")) & same_text, "left_anti")
+    dropped = written(exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id", "text_sha256").distinct())
+    return without(docs, [docs[id_col], F.sha2(normalised(docs[text_col]), 256)], dropped)
 
 
 #: DuckDB SQL for op10_exact_dedup.
