@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import written
+from trailgraph.llm.common import discard, join_counted, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component_id`` (the component's smallest node) of every node of ``edges(a, b)`` but the smallest ones.
 
     Each round hangs every node's neighbours on the smallest of them; the rounds are logarithmic in the longest path.
-    Edges stay distributed and are written once a round.
+    Edges stay distributed and are written once a round; a centre that most edges have is not one task's.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     now, before = written(pairs), None
@@ -22,10 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
         before = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("centre"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("centre")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = written(large)
-        lowest = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "centre")
-        hung = large.join(lowest, F.col("a") == F.col("centre"))
-        small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(lowest.select(F.col("centre").alias("a"), F.col("m").alias("b")))
-        now = written(small.distinct())
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = written(join_counted(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_counted(large, lowest, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        old, now = now, written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+        discard(old, least, large, lowest)

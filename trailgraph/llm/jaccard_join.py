@@ -5,12 +5,12 @@
 2. *Candidates.*  Two sets of Jaccard 3/4 share one of the first |A| - ceil(3/4 |A|) + 1 shingles of either, so each
    document posts those.  A shingle's smallest document leads it; its documents are members of the leader's group.  Two
    linked documents are members of one group at least, and a group of g documents has g rows, not g * g pairs.
-3. *Bounds.*  Each document has a bitmap of its shingles' parity, of about as many bits as shingles.  In a group of
-   bounded size, members whose bitmap lets no other member of the size band be near enough are put aside; only the
+3. *Bounds.*  Each document has a bitmap of its shingles' parity, of about as many bits as shingles.  In a group that is
+   one tile, members whose bitmap lets no other member of the size band be near enough are put aside; only the
    others' shingles are sent.
-4. *Tiles.*  A group of bounded total size is one tile.  A larger one is dealt to several tiles, its smallest member in each;
-   members that their tile does not connect to that one then meet every other tile, in blocks, so that no pair is
-   left out.
+4. *Tiles.*  A group of bounded shingles and members is one tile.  A larger one is dealt to several tiles, its smallest
+   member in each; members that their tile does not connect to that one then meet every other tile, in blocks, so that no
+   pair is left out.  Members are dealt where they are: a group that most members are in is not one task's.
 5. *In a tile*, sets are in order of size.  A set meets the sets in its size band only (a size ratio of 3/4); the
    parity bitmaps' differing bits bound the overlap from above; what is left is intersected exactly.  Sets that are
    connected already are not compared: the result is the components.
@@ -21,7 +21,8 @@ texts.  Shingles are 64-bit hashes of five words.
 
 Defined cases: texts without words (null, empty) have no shingle and are linked with nothing; fewer words than five are
 one shingle; repeated rows have equal sets and are one node; an empty table gives an empty result; null ids are left
-alone as components of their own; other columns are ignored (``drop_near_copies`` keeps them).
+alone as components of their own; rows of one id with different texts are linked
+each by its text; other columns are ignored, whatever their names (``drop_near_copies`` keeps them).
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import map_batches, shuffle_partitions, small_batches, written
+from trailgraph.llm.bits import bit_filter, chunks_for, with_held, without
+from trailgraph.llm.common import discard, join_counted, map_arrow, map_batches, shuffle_partitions, written
 from trailgraph.llm.components import components
 from trailgraph.llm.words import Chunks, chunk_groups, mix
 
@@ -45,16 +47,10 @@ SKETCH_BITS = 18
 SKETCH_CHUNKS = 16
 #: A shingle that the sketch bounds by so many documents is led by a split, pre-aggregated way.
 HOT_DOCUMENTS = 1 << 16
-#: Shingles in one tile, on average, and in one task's share of the postings.
-TILE_SHINGLES = 1 << 20
-#: Shingles of a group whose members' bitmaps (a bit a shingle) are compared in one task; a larger one keeps all members.
-BOUND_SHINGLES = 1 << 23
+#: Shingles and members of one tile, on average.
+TILE_SHINGLES, TILE_MEMBERS = 1 << 20, 512
 POSTINGS_A_PARTITION = 2_000_000
-#: Bits of the filter of documents that have candidates.
-INVOLVED_BITS = 1 << 24
-CHUNK_BITS = 32768
 MAX_BITMAP_BITS = 1 << 16
-POSTING_ROWS = 100_000
 
 _U = np.uint64
 _WEIGHTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -114,8 +110,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(texts: DataFrame) -> np.ndarray:
     """How many documents have a shingle of each bucket: an upper bound for each shingle; 2 MB whatever the input."""
-    small_batches(texts.sparkSession)
-    each = texts.mapInArrow(_sketch_task, "chunk int, counts binary").repartition(SKETCH_CHUNKS, "chunk")
+    each = map_arrow(texts, _sketch_task, "chunk int, counts binary").repartition(SKETCH_CHUNKS, "chunk")
     out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), dtype=np.int64)
     for row in each.mapInArrow(_sum_chunks, "chunk int, counts binary").collect():
         out[row["chunk"]] = np.frombuffer(bytes(row["counts"]), dtype=np.int64)
@@ -172,11 +167,10 @@ def _groups(table: DataFrame) -> DataFrame:
     postings = table.select(F.explode("prefix").alias("token"), "doc_id")
     led = postings.repartition(parts, "token").sortWithinPartitions("token", "doc_id").mapInArrow(_lead, "leader long, doc_id long")
     hot = table.select(F.explode("hot_prefix").alias("token"), "doc_id")
-    heads = hot.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("documents")).filter("documents > 1").drop("documents")
-    led = led.unionByName(hot.join(heads, "token").filter("doc_id != leader").select("leader", "doc_id"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", POSTING_ROWS)
+    heads = written(hot.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("documents")).filter("documents > 1"))
+    led = led.unionByName(join_counted(hot, heads, "token", "documents").filter("doc_id != leader").select("leader", "doc_id"))
     out = written(led.distinct())
-    small_batches(spark)
+    discard(heads)
     return out
 
 
@@ -222,11 +216,6 @@ def with_partner(sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    bits = min(MAX_BITMAP_BITS, max(256, 1 << (2 * max(map(len, sets)) - 1).bit_length()))
-    return np.stack([_bitmap(s, bits) for s in sets])
-
-
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two sorted arrays."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -244,17 +233,21 @@ def tile_links(ids: list[int], sets: list[np.ndarray], leader: int | None, apart
     sizes = np.array([len(sets[i]) for i in order])
     members = [sets[i] for i in order]
     sides = apart[order] if apart is not None else None
-    maps = _bitmaps(members)
+    maps = [_bitmap(s, bitmap_bits(2 * len(s))) for s in members]
     label = np.arange(len(order))
     links: list[tuple[int, int]] = []
+    folds: list = [0, None]  # bitmaps from a member on, folded to that member's width: sizes ascend, so widths do
 
-    def compare(i: int, low: int, high: int) -> None:
-        """Member i with the members low .. high of its size band."""
-        if low >= high:
-            return
-        other = np.arange(low, high)
-        unlike = np.bitwise_count(maps[low:high] ^ maps[i]).sum(axis=1, dtype=np.int64)
+    def folded_from(i: int) -> tuple[int, np.ndarray]:
+        if folds[1] is None or len(maps[i]) != folds[1].shape[1]:
+            folds[:] = i, np.stack([_folded(m, len(maps[i])) for m in maps[i:]])
+        return folds[0], folds[1]
+
+    def compare(i: int, low: int, unlike: np.ndarray) -> None:
+        """Member i with the members from ``low`` on, of whose bitmaps ``unlike`` bits differ from its own."""
+        high = low + len(unlike)
         both = sizes[low:high] + sizes[i]
+        other = np.arange(low, high)
         keep = ((both - unlike) // 2 >= needed(both)) & (label[low:high] != label[i]) & (other != i)
         if sides is not None:
             keep &= sides[low:high] != sides[i]
@@ -263,17 +256,19 @@ def tile_links(ids: list[int], sets: list[np.ndarray], leader: int | None, apart
                 links.append((ids[order[i]], ids[order[j]]))
                 label[label == label[j]] = label[i]
 
-    def band(i: int, below: bool) -> tuple[int, int]:
-        low = int(np.searchsorted(sizes, -(-PERCENT * int(sizes[i]) // 100))) if below else i + 1
-        return low, int(np.searchsorted(sizes, 100 * int(sizes[i]) // PERCENT, side="right"))
-
+    highs = np.searchsorted(sizes, 100 * sizes // PERCENT, side="right")
     if leader is not None and leader in ids:
         at = order.index(ids.index(leader))
-        compare(at, *band(at, True))
+        low = int(np.searchsorted(sizes, -(-PERCENT * int(sizes[at]) // 100)))
+        pairs = ((maps[at], m) for m in maps[low : int(highs[at])])
+        unlike = [int(np.bitwise_count(_folded(x, min(len(x), len(y))) ^ _folded(y, min(len(x), len(y)))).sum()) for x, y in pairs]
+        compare(at, low, np.array(unlike, dtype=np.int64))
     for i in range(len(order)):
         if (label == label[0]).all():
             break
-        compare(i, *band(i, False))
+        if highs[i] > i + 1:
+            level, block = folded_from(i)
+            compare(i, i + 1, np.bitwise_count(block[i + 1 - level : highs[i] - level] ^ block[i - level]).sum(axis=1, dtype=np.int64))
     out = np.empty(len(order), dtype=np.int64)
     out[order] = label
     return links, out
@@ -355,56 +350,60 @@ def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
 def _sets_of(texts: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
     """``set_id, shingles`` of the sets in ``members``, each from the document with its smallest id."""
     nodes = written(members.select(F.col("doc_id").alias("key")).distinct().join(firsts, "key").select("key", "first"))
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(INVOLVED_BITS))
-    first_bit = F.pmod(F.xxhash64("first"), F.lit(INVOLVED_BITS))
-    chunks = nodes.select(first_bit.alias("bit")).groupBy((F.col("bit") / CHUNK_BITS).cast("long").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(bit % {CHUNK_BITS})").alias("bitmap"))
-    at = f"(bit % {CHUNK_BITS})"
-    byte = f"cast(conv(hex(substring(bitmap, cast({at} div 8 + 1 as int), 1)), 16, 10) as int)"
-    # Broadcast: INVOLVED_BITS / 8 = 2 MB, whatever the input.
-    marked = texts.withColumn("bit", bit).join(F.broadcast(chunks), (F.col("bit") / CHUNK_BITS).cast("long") == F.col("chunk"))
-    sets = map_batches(marked.filter(f"(shiftright({byte}, cast({at} % 8 as int)) & 1) = 1").select("doc_id", "text"), _set_rows, "first_id long, set_id long, shingles binary")
-    # The filter lets others pass too; one row a set is left where no row repeats both id and set.
-    return sets.join(nodes, (F.col("set_id") == F.col("key")) & (F.col("first_id") == F.col("first"))).select("set_id", "shingles")
+    chunks = chunks_for(nodes.count())
+    involved = bit_filter(nodes, [F.col("first")], chunks)
+    marked = with_held(texts.select("doc_id", "text"), [F.col("doc_id")], involved, chunks, "involved")
+    sets = map_batches(marked.filter("involved").select("doc_id", "text"), _set_rows, "first_id long, set_id long, shingles binary")
+    # The filter lets others pass too, and rows may repeat both id and set.
+    own = sets.join(nodes, (F.col("set_id") == F.col("key")) & (F.col("first_id") == F.col("first")))
+    return own.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
 def _in_tiles(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), "leader", "tile").sortWithinPartitions("leader", "tile").select("leader", "tile", "doc_id", *columns)
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    """``leader, shingles, members, hub`` of each group."""
+    return written(members.groupBy("leader").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("hub")))
+
+
 def _links(texts: DataFrame, members: DataFrame, firsts: DataFrame, bitmaps: DataFrame, tile_shingles: int) -> DataFrame:
     """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them); firsts: key, first; bitmaps: map_id, bitmap.
 
     Leaders and members are keys of sets."""
-    totals = members.groupBy("leader").agg(F.sum("n").alias("shingles"))
-    sized = members.join(totals, "leader")
-    small = sized.filter(F.col("shingles") <= BOUND_SHINGLES).withColumn("tile", F.lit(0).cast("long"))
-    small = small.join(bitmaps, F.col("doc_id") == F.col("map_id"))
-    kept = _in_tiles(small, "n", "bitmap").mapInArrow(_bounded, "leader long, tile long, doc_id long, n long").drop("tile")
-    kept = written(kept.unionByName(sized.filter(F.col("shingles") > BOUND_SHINGLES).select("leader", "doc_id", "n")))
-    groups = kept.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).alias("tiles"), F.min("doc_id").alias("hub"))
+    tiles = F.ceil(F.greatest(F.col("shingles") / F.lit(tile_shingles), F.col("members") / F.lit(TILE_MEMBERS)))
+    sized = written(join_counted(members, _sizes(members), "leader", "members").withColumn("tiles", tiles).select("leader", "doc_id", "n", "tiles"))
+    small = sized.filter("tiles = 1").withColumn("tile", F.lit(0).cast("long")).join(bitmaps, F.col("doc_id") == F.col("map_id"))
+    kept = map_arrow(_in_tiles(small, "n", "bitmap"), _bounded, "leader long, tile long, doc_id long, n long").drop("tile")
+    kept = written(kept.unionByName(sized.filter("tiles > 1").select("leader", "doc_id", "n")))
+    groups = _sizes(kept)
     own = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.col("tiles"))
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     tile = F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(own)))
-    placed = written(kept.join(groups, "leader").withColumn("tile", tile))
+    placed = written(join_counted(kept, groups, "leader", "members").withColumn("tiles", tiles).withColumn("tile", tile))
     sets = _sets_of(texts, placed, firsts)
     joined = placed.select("leader", "tile", "tiles", "doc_id").join(sets, F.col("doc_id") == F.col("set_id"))
     schema = "leader long, tile long, a long, b long"
-    found = written(_in_tiles(joined, "tiles", "shingles").mapInArrow(_first_tiles, schema))
+    found = written(map_arrow(_in_tiles(joined, "tiles", "shingles"), _first_tiles, schema))
+    discard(sized, kept)
     links = found.filter("b is not null").select("a", "b")
     loose = found.filter("b is null").select("leader", F.col("tile").alias("home"), F.col("a").alias("doc_id"))
     if loose.isEmpty():
         return links
     # Members that no tile connects to a leader of several tiles: each meets the members of all other tiles of its group.
-    loose = loose.join(placed.select("leader", "doc_id", "n", "tiles", F.col("tile").alias("home")), ["leader", "doc_id", "home"])
-    blocks = loose.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).alias("blocks"))
+    loose = written(loose.join(placed.select("leader", "doc_id", "n", "tiles", F.col("tile").alias("home")), ["leader", "doc_id", "home"]))
+    blocks = loose.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / F.lit(tile_shingles), F.count(F.lit(1)) / F.lit(TILE_MEMBERS))).alias("blocks"))
+    blocks = written(blocks.join(groups.select("leader", "members"), "leader"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(32)), F.col("blocks"))
     number = F.col("blocks") * F.col("at") + F.col("block")
-    queries = loose.join(blocks, "leader").withColumn("block", block).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).filter("at != home")
-    against = placed.filter("tiles > 1 and doc_id != hub").join(blocks, "leader").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("at", F.col("tile"))
+    queries = join_counted(loose, blocks, "leader", "members").withColumn("block", block).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).filter("at != home")
+    dealt = placed.filter("tiles > 1 and doc_id != hub").select("leader", "doc_id", F.col("tile").alias("at"))
+    against = join_counted(dealt, blocks, "leader", "members").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = queries.select("leader", number.alias("tile"), "doc_id", F.lit(2).alias("side")).unionByName(against.select("leader", number.alias("tile"), "doc_id", F.lit(1).alias("side")))
     rows = written(rows)
     again = rows.join(_sets_of(texts, rows, firsts), F.col("doc_id") == F.col("set_id"))
-    return links.unionByName(written(_in_tiles(again, "side", "shingles").mapInArrow(_second_tiles, schema)).select("a", "b"))
+    return links.unionByName(written(map_arrow(_in_tiles(again, "side", "shingles"), _second_tiles, schema)).select("a", "b"))
 
 
 def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, tile_shingles: int) -> DataFrame:
@@ -414,18 +413,20 @@ def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, tile_shingl
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     table = written(map_batches(hashed, _prefixes(counts), "doc_id long, text_hash long, n long, key long, prefix array<long>, hot_prefix array<long>, bitmap binary"))
     linked = table.filter("n > 0 and doc_id is not null")
-    firsts = written(linked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
+    firsts = written(linked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     led = _groups(linked.select(F.col("key").alias("doc_id"), "prefix", "hot_prefix"))
     both = led.unionByName(led.select("leader", F.col("leader").alias("doc_id")).distinct())
-    members = both.join(firsts.select(F.col("key").alias("doc_id"), "n"), "doc_id").select("leader", "doc_id", "n")
+    members = written(both.join(firsts.select(F.col("key").alias("doc_id"), "n"), "doc_id").select("leader", "doc_id", "n"))
     bitmaps = linked.select(F.col("key").alias("map_id"), "bitmap").dropDuplicates(["map_id"])
-    found = components(_links(texts, written(members), firsts, bitmaps, tile_shingles))
-    of_sets = written(firsts.join(found, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component_id", "key").alias("least_key")))
-    smallest = of_sets.groupBy("least_key").agg(F.min("first").alias("component_id"))
-    of_sets = of_sets.join(smallest, "least_key").select(F.col("key").alias("__key"), "component_id")
-    own = table.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    out = own.join(of_sets, F.col("key") == F.col("__key"), "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = components(_links(texts, members, firsts, bitmaps, tile_shingles))
+    of_sets = written(firsts.join(found, F.col("key") == F.col("node"), "left").select("key", "first", "copies", F.coalesce("component_id", "key").alias("least_key")))
+    smallest = written(of_sets.groupBy("least_key").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    of_sets = written(join_counted(of_sets, smallest, "least_key", "sets").select("key", "component_id", "copies"))
+    discard(firsts, members, led, smallest, found)
+    shown = ["doc_id", "text_hash", F.col("n").alias("n_shingles")]
+    alone = table.filter("n = 0 or doc_id is null").select(*shown, F.col("doc_id").alias("component_id"))
+    own = join_counted(linked.select("doc_id", "text_hash", "n", "key"), of_sets, "key", "copies").select(*shown, "component_id")
+    return own.unionByName(alone)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = TILE_SHINGLES) -> DataFrame:
@@ -436,5 +437,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are their component's smallest id, with all their columns."""
     rows = _components_of_rows(docs, id_col, text_col, TILE_SHINGLES).filter("doc_id != component_id")
-    dropped = rows.select(F.col("doc_id").alias("__dropped_id"), F.col("text_hash").alias("__dropped_hash")).distinct()
-    return docs.join(dropped, (docs[id_col] == F.col("__dropped_id")) & (F.xxhash64(docs[text_col]) == F.col("__dropped_hash")), "left_anti")
+    return without(docs, [docs[id_col].cast("long"), F.xxhash64(docs[text_col])], written(rows.select("doc_id", "text_hash").distinct()))
