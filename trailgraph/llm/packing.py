@@ -1,10 +1,15 @@
 """Best-fit packing of token pieces into sequences, with certified bin counts.
 
 Pieces are dealt to partitions of bounded size by a hash of their key.  Each partition is packed by best-fit decreasing
-and certified: dual feasible functions give a lower bound of its bin count.  Bins that are not (nearly) full are gaps:
-their documents are exchanged, that is dealt anew to fewer partitions with another hash, and best-fit decreasing runs
-again; a round is kept if it takes fewer bins.  Rounds end when the whole count meets the lower bound of all pieces, or
-when a round saves nothing.  The driver sees counts a round and one histogram of at most ``capacity`` lengths.
+and certified: dual feasible functions give a lower bound of its bin count.  A partition whose bin count meets its bound is
+closed.  Partitions with a gap between the two exchange their documents: all of them are dealt anew to partitions with
+another hash, and best-fit decreasing runs again; a round is kept if it takes fewer bins.  Once every partition is
+certified but the whole count is above the bound of all pieces, what the partitions' bounds were rounded up by is in bins
+that are not full: the pieces of those are exchanged in the same way, in fewer and (up to ``1 << PATIENCE`` times) larger
+partitions.  Rounds end when the whole
+count meets the bound of all pieces, or when ``PATIENCE`` rounds in a row save nothing; ``certificate`` tells the gap that
+is left, if any.
+The driver sees counts a round and one histogram of at most ``capacity`` lengths.
 
 Defined cases: null or empty text is one piece, the end id; an empty table gives no sequence; a text longer than the
 capacity is cut, all its pieces but the last are full sequences of their own; repeated rows are packed each; a null id
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import small_batches, written
+from trailgraph.llm.common import discard, map_arrow, written
 from trailgraph.llm.wordbpe import WordBpe
 
 #: Pieces of one packing partition, on average.
 PIECES_A_PARTITION = 20_000
-#: A bin is a gap if it has more room than this part of the capacity.
-GAP = 1 / 128
-MAX_ROUNDS = 6
+#: Rounds without a saving after which the exchange ends.
+PATIENCE = 3
 #: Dual feasible functions of the first family that are tried.
 DFF_STEPS = 40
 
@@ -57,9 +62,8 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int, with_ids: bool):
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every text's ids and the end id, cut into pieces of at most ``capacity``."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity, with_ids), PIECE_SCHEMA + ", ids array<long>" * with_ids)
+    return map_arrow(rows, _pieces(tokenizer_path, end_id, capacity, with_ids), PIECE_SCHEMA + ", ids array<long>" * with_ids)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -118,47 +122,57 @@ def _pack_partition(capacity: int, round_number: int):
     return pack
 
 
-def _packed(pieces: DataFrame, n: int, capacity: int, round_number: int) -> DataFrame:
-    buckets = max(1, -(-n // PIECES_A_PARTITION))
+def _packed(pieces: DataFrame, n: int, capacity: int, round_number: int, larger: int = 1) -> DataFrame:
+    buckets = max(1, -(-n // (larger * PIECES_A_PARTITION)))
     key = F.pmod(F.xxhash64(F.lit(round_number), "doc_id", "piece", "ids_crc32"), F.lit(buckets))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return written(pieces.select(*columns, key.alias("bucket")).groupBy("bucket").applyInPandas(_pack_partition(capacity, round_number), PACKED_SCHEMA))
 
 
-def _bins(packed: DataFrame) -> tuple[int, int]:
-    """Sequences, pieces."""
-    row = packed.agg(F.count_if(F.col("offset") == 0).alias("bins"), F.count(F.lit(1)).alias("n")).first()
-    return row["bins"], row["n"]
+def _bins(packed: DataFrame) -> int:
+    """Sequences."""
+    return packed.filter("offset = 0").count()
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` (and ``fill``, the sequence's length) to pieces of at most ``capacity``."""
+    """Adds ``sequence_id``, ``offset`` and ``fill`` (the sequence's length) to pieces of at most ``capacity``, and the
+    bins and the bound of the partition that a piece was packed in last."""
     pieces = written(pieces)
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
-    bound, n = lower_bound(counts, capacity), int(counts.sum())
-    opened = _packed(pieces, n, capacity, 0)
-    total, _ = _bins(opened)
-    room = int(capacity * (1 - GAP))
-    done: list[DataFrame] = []
-    for round_number in range(1, MAX_ROUNDS):
-        gaps = opened.filter(F.col("fill") <= room)
-        before, n = _bins(gaps)
-        if total <= bound or n == 0:
-            break
-        done.append(opened.filter(F.col("fill") > room))
-        again = _packed(gaps, n, capacity, round_number)
-        after, _ = _bins(again)
-        opened = again if after < before else gaps
-        total -= max(0, before - after)
-        if after >= before and n <= PIECES_A_PARTITION:
-            break
-    for more in done:
-        opened = opened.unionByName(more)
-    return opened
+    bound = lower_bound(counts, capacity)
+    tables = [_packed(pieces, int(counts.sum()), capacity, 0)]
+    total, round_number, idle = _bins(tables[0]), 0, 0
+    gap = F.col("partition_bins") > F.col("partition_bound")
+    while total > bound and idle < PATIENCE:
+        whole = reduce(DataFrame.unionByName, tables)
+        # Partitions with a gap exchange all they have; without any, or where that saved nothing, bins that are not full.
+        gaps = not idle and not whole.filter(gap).isEmpty()
+        chosen = gap if gaps else F.col("fill") < capacity
+        dealt = whole.filter(chosen)
+        before, n = _bins(dealt), dealt.count()
+        round_number += 1
+        again = _packed(dealt, n, capacity, round_number, 1 if gaps else 2 << idle)
+        saved = before - _bins(again)
+        if saved > 0:
+            total, idle = total - saved, 0
+            tables = [t.filter(~chosen) for t in tables] + [again]
+        else:
+            idle += 1
+            discard(again)
+    return reduce(DataFrame.unionByName, tables)
+
+
+def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
+    """Sequences, and the fewest that pieces of these lengths can have."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for row in packed.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts, capacity)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every document."""
-    return pack(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), capacity).drop("fill", "partition_bins", "partition_bound")
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound`` of every piece of every
+    document."""
+    return pack(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), capacity).drop("fill")

@@ -18,8 +18,8 @@ from trailgraph.llm.words import Chunks, HashIndex, chunk_groups, ragged
 
 END_OF_WORD = "</w>"
 #: Chunks kept at most; beyond, the memory starts anew (a memory bound, not a data bound).
-MEMO_ENTRIES = 1_200_000
-MEMO_BITS = 22
+MEMO_ENTRIES = 700_000
+MEMO_BITS = 16
 WORDS_A_LINE = 128
 
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
@@ -57,7 +57,7 @@ class WordBpe:
         return _LOADED[path]
 
     def _forget(self) -> None:
-        self.index = HashIndex(MEMO_BITS)
+        self.index = HashIndex(MEMO_BITS)  # grows with its entries
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
