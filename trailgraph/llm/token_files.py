@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import range_bounds, range_part, shuffle_partitions, small_batches
+from trailgraph.llm.common import map_arrow, range_bounds, range_part, shuffle_partitions
 from trailgraph.llm.wordbpe import WordBpe
+from trailgraph.storage import small_batches
 
 MAGIC = b"TRLSEG01"
 #: Magic, width of an id in bytes, documents, documents with a null key, first key, ids, bytes of the ends and of the keys.
@@ -38,7 +39,7 @@ SEGMENT_IDS = 1 << 18
 PARTS_A_PARTITION = 4
 SELECT_EVERY = 256
 
-SEGMENT_SCHEMA = "part int, start_in_part long, n_docs long, n_ids long, payload binary"
+SEGMENT_SCHEMA = "part int, start_in_part long, n_docs long, n_ids long, last_key long, payload binary"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -94,17 +95,6 @@ class EliasFano:
         one = 8 * byte + (bits & -bits).bit_length() - 1
         return ((one - i) << self.low_bits) | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        if not self.n:
-            return np.zeros(0, dtype=np.uint64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
-
 
 class Segment:
     """Reads one binary block."""
@@ -131,8 +121,16 @@ class Segment:
     def key(self, i: int) -> int | None:
         return None if i < self.n_null else self.first_key + self.keys.select(i - self.n_null)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + [self.first_key + v for v in self.keys.values().tolist()]
+    def find(self, key: int) -> range:
+        """The documents that have the key, by binary search over selected keys."""
+        low, high = self.n_null, self.n_docs
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if self.key(middle) < key else (low, middle)
+        end = low
+        while end < self.n_docs and self.key(end) == key:
+            end += 1
+        return range(low, end)
 
 
 def segment_bytes(keys: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
@@ -154,10 +152,10 @@ def _segment_rows(tokenizer_path: str, end_id: int):
         part, start, keys, ids, held = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            rows = {"part": [part], "start_in_part": [start], "n_docs": [len(keys)], "n_ids": [held], "payload": [segment_bytes(keys, ids, width)]}
+            rows = {"part": [part], "start_in_part": [start], "n_docs": [len(keys)], "n_ids": [held], "last_key": [keys[-1]], "payload": [segment_bytes(keys, ids, width)]}
             return pa.RecordBatch.from_pydict(rows, schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("last_key", pa.int64()), ("payload", pa.binary())])
         for b in batches:
             encoded = bpe.encode_batch(b.column(2).to_pylist())
             for p, key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded):
@@ -179,40 +177,47 @@ def _segment_rows(tokenizer_path: str, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends ``end_id``, and writes the segments to ``path`` in ascending key order."""
     spark = docs.sparkSession
-    small_batches(spark)
     n = shuffle_partitions(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     bounds = range_bounds(keyed.select("key"), "key", n * PARTS_A_PARTITION)
     dealt = keyed.select(range_part(F.col("key"), bounds).alias("part"), "key", "text").repartition(n, "part").sortWithinPartitions("part", "key", "text")
-    dealt.mapInArrow(_segment_rows(tokenizer_path, end_id), SEGMENT_SCHEMA).write.parquet(path)
+    with small_batches(spark):
+        map_arrow(dealt, _segment_rows(tokenizer_path, end_id), SEGMENT_SCHEMA).write.parquet(path)
+
+
+def _documents(with_ids: bool, wanted: list[int] | None = None):
+    """Documents of segments, all or those of the wanted keys; their places come from select alone."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
+    def rows_of(at: int, segment: Segment) -> pa.RecordBatch:
+        numbers = range(segment.n_docs) if wanted is None else [i for key in wanted for i in segment.find(key)]
+        rows, last, end = [], None, 0
+        for i in numbers:
+            start = end if last is not None and i == last + 1 else segment.bounds(i)[0]
+            last, end = i, segment.ends.select(i)
+            ids = segment.ids[start:end]
+            rows.append((segment.key(i), at + start, end - start, zlib.crc32(ids.astype("<u4").tobytes())) + ((ids.astype(np.int64),) if with_ids else ()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-def _documents(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                segment = Segment(payload)
-                ends = segment.ends.values().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                raw = memoryview(segment.ids.astype("<u4").tobytes())
-                crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist())]
-                columns = [pa.array(segment.doc_ids(), pa.int64()), pa.array(at + starts), pa.array(ends - starts), pa.array(crcs, pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(segment.ids.astype(np.int64))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for at, payload in zip(b.column(0), b.column(1)):
+                yield rows_of(at.as_py(), Segment(payload.as_py()))
 
     return run
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) of every document of the file set."""
-    small_batches(spark)
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = False, keys: Sequence[int] | None = None) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) of every document of the file set, or of those that have one of
+    the stated ``keys``: segments that end before the first key are left out, and in a segment keys are searched by select."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     # One sum a part comes to the driver: their number is a multiple of the shuffle partitions.
     totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     starts = dict(zip([p for p, _ in totals], accumulate([0, *(n for _, n in totals)])))
     places = spark.createDataFrame(list(starts.items()), "part int, part_start long")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return segments.join(F.broadcast(places), "part").select((F.col("part_start") + F.col("start_in_part")).alias("at"), "payload").mapInArrow(_documents(with_ids), schema)
+    wanted = None if keys is None else sorted(set(keys))
+    if wanted is not None:
+        segments = segments.filter(F.col("last_key") >= wanted[0]) if wanted else segments.limit(0)
+    placed = segments.join(F.broadcast(places), "part").select((F.col("part_start") + F.col("start_in_part")).alias("at"), "payload")
+    return map_arrow(placed, _documents(with_ids, wanted), schema)
