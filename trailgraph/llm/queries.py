@@ -11,8 +11,8 @@ from trailgraph.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: Labelled rows that a classifier is fitted on at most.
-LANGUAGE_ROWS, TOXICITY_ROWS = 4_000, 20_000
+#: Labelled rows that a classifier is fitted on at most: of each language, and of both classes together.
+LANGUAGE_ROWS, TOXICITY_ROWS = 1_000, 20_000
 
 
 def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
