@@ -32,8 +32,10 @@ from trailgraph.llm.common import map_batches
 from trailgraph.llm.words import HashIndex, chunk_groups, mix, powers, ragged
 
 SPACE = "▁"
-#: Stands for a space symbol that is in the text itself; no piece has it.
-_LITERAL = "\U0010fffd"
+#: Stands for a space symbol that is in the text itself: beyond the last code point, so that no text and no piece has it.
+_LITERAL = 0x110000
+#: Bits of a share; a node's number has the 64 - 34 = 30 bits above.
+SHARE_BITS = 34
 RANK_SHIFT = 10.0
 #: Log-weight of a byte piece.
 BYTE_LOG = -math.log(50_000.0)
@@ -45,18 +47,20 @@ _LOADED: dict[tuple[str, float], "PieceSampler"] = {}
 
 
 class Lattices:
-    """Filtered lattices of many units.  A node is a position of a unit; ``cumulative`` rises from k to k + 1 over the arcs
-    that end in node k, by their shares."""
+    """Filtered lattices of many units.  A node is a position of a unit; ``cumulative`` has, for each arc that ends in node k,
+    k above and the sum of the shares up to the arc's own below, in whole parts of 2**34.  A node's shares depend on
+    its unit alone, so that a unit is drawn alike whatever else a worker holds."""
 
     def __init__(self) -> None:
-        self.cumulative, self.previous = np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.cumulative, self.previous = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.out_start, self.out_length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         self.nodes = 0
 
     def extend(self, nodes: int, shares: np.ndarray, node: np.ndarray, previous: np.ndarray, out_start: np.ndarray, out_length: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> None:
         """Adds units; their arcs come by node, nodes and ids are numbered from 0."""
-        self.cumulative = np.concatenate((self.cumulative, self.nodes + node + shares))
+        whole = np.rint(shares * (1 << SHARE_BITS)).astype(np.uint64)
+        self.cumulative = np.concatenate((self.cumulative, ((self.nodes + node).astype(np.uint64) << _U(SHARE_BITS)) + whole))
         self.previous = np.concatenate((self.previous, np.where(previous >= 0, previous + self.nodes, -1)))
         self.out_start = np.concatenate((self.out_start, out_start + len(self.flat)))
         self.out_length = np.concatenate((self.out_length, out_length))
@@ -71,8 +75,8 @@ class Lattices:
         steps = np.zeros(len(units), dtype=np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         while len(active):
-            draw = (mix(keys[active] + steps[active].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(11)).astype(np.float64) / (1 << 53)
-            arc = np.searchsorted(cumulative, np.minimum(node[active] + draw, np.nextafter(node[active] + 1.0, 0)), side="right")
+            draw = mix(keys[active] + steps[active].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - SHARE_BITS)
+            arc = np.searchsorted(cumulative, (node[active].astype(np.uint64) << _U(SHARE_BITS)) + draw, side="right")
             taken.append((active, arc))
             steps[active] += 1
             node[active] = previous[arc]
@@ -141,8 +145,10 @@ class PieceSampler:
         return _LOADED[path, theta]
 
     def filter(self, lattices: Lattices, units: list[str]) -> None:
-        """Forward filtering of units (spaces as the space symbol), all together, position by position."""
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
+        """Forward filtering of units, all together, position by position."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).copy()
+        codes[codes == ord(SPACE)] = _LITERAL
+        codes[codes == ord(" ")] = ord(SPACE)
         size = np.array([len(u) for u in units], dtype=np.int64)
         first = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(units)), size)
@@ -160,7 +166,7 @@ class PieceSampler:
                 bare = at[~hit]
         # Characters that are no piece: an arc of byte pieces, one entry for each different character.
         chars, which = np.unique(codes[bare], return_inverse=True)
-        raw = [(SPACE if chr(c) == _LITERAL else chr(c)).encode() for c in chars.tolist()]
+        raw = [(SPACE if c == _LITERAL else chr(c)).encode() for c in chars.tolist()]
         byte_sizes = np.array([len(r) for r in raw], dtype=np.int64)
         flat = np.concatenate((self.ids, np.array([self.byte_ids[x] for r in raw for x in r], dtype=np.int32)))
         start = np.concatenate((*start, bare))
@@ -185,14 +191,14 @@ class PieceSampler:
             counts = np.diff(np.append(heads, len(at)))
             logs = weight[arcs] + np.where(previous[arcs] >= 0, alpha[previous[arcs]], 0.0)
             top = np.maximum.reduceat(logs, heads)
-            linear = np.exp(logs - np.repeat(top, counts))
-            sums = np.add.reduceat(linear, heads)
+            # A row a node, so that no sum runs from one node into the next.
+            row, column = np.repeat(np.arange(len(heads)), counts), np.arange(len(at)) - np.repeat(heads, counts)
+            linear = np.zeros((len(heads), int(counts.max())))
+            linear[row, column] = np.exp(logs - np.repeat(top, counts))
+            running = np.cumsum(linear, axis=1)
+            sums = running[:, -1]
             alpha[at[heads]] = top + np.log(sums)
-            running = np.cumsum(linear)
-            running -= np.repeat(running[heads] - linear[heads], counts)
-            running /= np.repeat(sums, counts)
-            running[heads + counts - 1] = 1.0
-            shares[arcs] = running
+            shares[arcs] = (running / sums[:, None])[row, column]
         lattices.extend(len(codes), shares, node, previous, out_start, out_length, flat, first + size - 1)
 
     def _sample_units(self, hashes: np.ndarray, spelled, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +209,7 @@ class PieceSampler:
             distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             keep = len(self.kept.ends) < KEPT_UNITS
             lattices = self.kept if keep else Lattices()
-            self.filter(lattices, [spelled(i).replace(SPACE, _LITERAL).replace(" ", SPACE) for i in new[first].tolist()])
+            self.filter(lattices, [spelled(i) for i in new[first].tolist()])
             if keep:
                 self.index.add(distinct)
                 number[new] = self.index.find(hashes[new])
