@@ -29,10 +29,11 @@ from trailgraph.llm.common import map_batches
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-# The patterns of the four kinds.
+# The patterns of the four kinds.  A match of an ip begins where a run of digits does, and no run is read
+# twice for a failure: long runs cost one pass.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -219,18 +220,18 @@ def joined(spans: list[Span]) -> str:
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``: counts and ``spans`` are of all spans."""
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``: counts and ``spans`` are of all spans."""
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for key, (plain, added, wider) in zip(b.column(0).to_pylist(), find_each(b.column(1).to_pylist())):
             spans = ordered(plain + added + wider)
             counts = [sum(s[0] == k for s in spans) for k in KINDS]
-            rows.append((key, *counts, hashlib.sha256(joined(plain).encode()).hexdigest(), joined(spans)))
+            rows.append((key, *counts, hashlib.sha256(joined(plain).encode()).hexdigest(), joined(spans), len(spans)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    columns = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    columns = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, columns)
 
 
