@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from trailgraph.llm import exact_dedup, jaccard_join
+from pyspark.sql import functions as F
+
+from trailgraph.llm import bits, common, exact_dedup, jaccard_join
 from trailgraph.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -58,8 +60,9 @@ def expected_components(rows):
 @pytest.mark.parametrize("tile_shingles", [1 << 20, 150])
 @pytest.mark.parametrize("hot", [1 << 16, 1])
 def test_near_copies_equal_brute_force(spark, monkeypatch, tile_shingles, hot):
-    monkeypatch.setattr(jaccard_join, "BOUND_SHINGLES", 200 if hot == 1 else 1 << 23)
+    monkeypatch.setattr(jaccard_join, "TILE_MEMBERS", 3 if hot == 1 else 512)
     monkeypatch.setattr(jaccard_join, "HOT_DOCUMENTS", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", 2 if hot == 1 else 500)
     rows = corpus(tile_shingles + hot)
     docs = spark.createDataFrame([(k, t, "x", 7) for k, t in rows], "doc_id long, text string, component_id string, n long")
     got = jaccard_join.near_copies(docs, tile_shingles=tile_shingles).collect()
@@ -133,8 +136,9 @@ def lowered(text):
 def test_exact_groups_equal_brute_force(spark, monkeypatch):
     rows = corpus(11) + [(3000, "ÄPFEL"), (3001, "äpfel"), (3002, "Äpfel")]
     docs = spark.createDataFrame([(k, t, 1, "y") for k, t in rows], "doc_id long, text string, group_size int, kept string")
-    for limit in (exact_dedup.BROADCAST_BYTES, 0):
-        monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", limit)
+    for slice_rows, hot_rows in ((exact_dedup.SLICE_ROWS, 500), (20, 1)):
+        monkeypatch.setattr(exact_dedup, "SLICE_ROWS", slice_rows)
+        monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
         got = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["keep_id"] is None else r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect())
         groups = {}
         for key, text in rows:
@@ -144,12 +148,61 @@ def test_exact_groups_equal_brute_force(spark, monkeypatch):
 
 def test_bloom_passes_single_rows_through(spark):
     rows = [(i, f"text {i}") for i in range(500)] + [(1000 + i, "copy") for i in range(20)]
-    digests = exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    maybe = {r["doc_id"]: r["maybe"] for r in exact_dedup.possibly_repeated(digests, len(rows)).collect()}
+    digests = common.written(exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    maybe = {r["doc_id"]: r["maybe"] for r in exact_dedup.possibly_repeated(digests).collect()}
     assert all(maybe[1000 + i] for i in range(20))
     assert sum(maybe[i] for i in range(500)) < 50
 
 
+def shuffles(df):
+    """The columns that each shuffle of the plan carries."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(r"\bExchange (hash|range|round|Single)", line)]
+
+
+def test_only_possible_repeats_are_shuffled(spark):
+    rows = common.written(exact_dedup.digests(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string"), "doc_id", "text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        key = [F.col("text_sha256")]
+        marks = bits.with_held(rows, key, common.written(bits.bit_filter(rows, key, 1, 2)), 1, "maybe")
+        assert shuffles(marks) == [] and "bitmap" not in "".join(marks.columns) and "BroadcastHashJoin" in marks._jdf.queryExecution().executedPlan().toString()
+        for line in shuffles(bits.bit_filter(rows, key, 1, 2)):
+            assert "chunk" in line and "sha256" not in line and "bitmap" not in line
+        docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+        kept = bits.without(docs, [docs["doc_id"]], common.written(docs.select("doc_id").filter("doc_id = 1")))
+        assert [r["doc_id"] for r in kept.collect()] == [2]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    rows = common.written(spark.createDataFrame([(i, i % 7 if i % 7 else None) for i in range(3000)], "k long, v long"))
+    key = [F.col("k"), F.col("v")]
+    chunks = bits.chunks_for(10**9, most=1)
+    made = bits.with_held(rows, key, bits.bit_filter(rows.filter("k % 2 = 0"), key, chunks), chunks, "held")
+    assert made.filter("k % 2 = 0 and not held").count() == 0
+    assert sorted(r["k"] for r in bits.without(rows, key, rows.filter("k < 2990")).collect()) == list(range(2990, 3000))
+
+
+def test_counted_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(90)], "k long, i long")
+    side = common.written(rows.groupBy("k").agg(F.count("*").alias("n")).filter("k != 6"))
+    got = sorted(tuple(r) for r in common.join_counted(rows, side, "k", "n").collect())
+    assert got == sorted(tuple(r) for r in rows.join(side, "k").collect()) and len(got) == 89
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["doc_id", "text", "__dropped_id", "__dropped_hash", "maybe", "chunk", "bitmap", "key", "component_id", "text_sha256"]
+    a = " ".join(f"w{i}" for i in range(30))
+    rows = [(k, t, *range(8)) for k, t in ((1, a), (2, a), (3, a + " z"), (4, "other words here"))]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    exact, near = exact_dedup.exact_dedup(docs), jaccard_join.drop_near_copies(docs)
+    assert exact.columns == near.columns == names
+    assert sorted(r["doc_id"] for r in exact.collect()) == [2, 3, 4] and sorted(r["doc_id"] for r in near.collect()) == [1, 4]
+
+
 def test_exact_dedup_of_nothing_and_columns(spark):
     assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(1, "A b", "s"), (2, "a B", None), (None, None, "n")]

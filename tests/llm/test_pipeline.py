@@ -42,5 +42,30 @@ def test_run_gives_the_last_stage(spark, tables):
     assert "sequence_id" in corpus_pipeline.run(spark, tables).columns
 
 
+def test_stages_of_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect() == []
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_stages_of_nulls_ties_and_repeated_rows(spark, tables):
+    near = " ".join(f"same{i}" for i in range(60))
+    docs = [(None, None, None, None, None), (None, "a null id", "en", "s", 1), (1, None, None, None, 3), (1, "", "", "", 0), (2, near, "en", "s", 1), (2, near, "en", "s", 1), (3, near.upper(), "en", "s", 1), (4, near + " z", "en", "s", 1), (2, "write to x@y.org", "en", "s", 1)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = spark.createDataFrame(stage(spark, rows, tables).collect(), rows.schema if name != "packing" else None)
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in rows.collect()), key=str) if name != "packing" else rows.collect()
+    assert len(kept["toxicity"]) == 9
+    # Null and empty texts are equal, and the largest id stays; (2, near) is a copy of 3.
+    assert kept["exact_dedup"] == sorted([(None, "a null id"), (1, None), (1, ""), (2, "write to x@y.org"), (3, near.upper()), (4, near + " z")], key=str)
+    assert kept["jaccard_join"] == [x for x in kept["exact_dedup"] if x[0] != 4]
+    assert (2, "write to [EMAIL]") in kept["personal_data"] and (1, None) in kept["personal_data"]
+    assert sorted(str(r["doc_id"]) for r in kept["packing"]) == sorted(str(k) for k, _ in kept["personal_data"])
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))

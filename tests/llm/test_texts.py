@@ -1,8 +1,10 @@
 """Personal data, fingerprints, languages, toxicity, quotation: against brute force, or held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trailgraph.llm import langid, order_minhash, pii, quotation, toxicity
+from trailgraph.llm import common, langid, order_minhash, pii, quotation, toxicity
 from trailgraph.llm.words import chunk_groups
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -107,6 +109,19 @@ def test_personal_spans_and_redaction(spark):
     assert pii.personal_spans(docs.limit(0)).collect() == []
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("12. a"), max_size=60))
+def test_ip_spans_equal_the_pattern(text):
+    assert [s for s in pii.plain_spans(text) if s[0] == "ip"] == [s for s in brute_spans(text) if s[0] == "ip"]
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "1 " * 500_000, "+" * 500_000 + "1" * 500_000, "a@" * 500_000, "a." * 500_000, "one " * 100_000, "x at " * 100_000, " " * 1_000_000, "(at" * 300_000])
+def test_long_runs_cost_one_pass(text):
+    began = time.perf_counter()
+    pii.find_each([text])
+    assert time.perf_counter() - began < 10
+
+
 # -- fingerprints
 
 
@@ -135,19 +150,49 @@ def test_lone_document_and_none(spark):
     assert order_minhash.fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def brute_elements(text, k=order_minhash.K):
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    kmers = order_minhash._kmers(codes)
-    seen, out = {}, []
-    for h in kmers.tolist():
-        out.append(seen.get(h, 0))
-        seen[h] = out[-1] + 1
-    return order_minhash.mix(kmers + np.array(out, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def test_elements_are_numbered_by_occurrence():
-    for text in ("abcabcabcabcabcabcabc", "a" * 500, "ab", "the cat and the cat and the cat sat"):
-        assert order_minhash._elements(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)).tolist() == brute_elements(text).tolist()
+M = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M
+    return h ^ h >> 31
+
+
+def plain_order_minhash(text):
+    """Order MinHash in plain Python: 8-mers numbered by occurrence, the two least of each of 64 slots, in text order."""
+    if not text:
+        return [0] * 64
+    codes = [ord(c) * 0x9E3779B97F4A7C15 & M for c in text]
+    if len(codes) < 8:
+        kmers = [plain_mix(sum(c * (0xC2B2AE3D27D4EB4F * (i + 1) & M) for i, c in enumerate(codes)) + len(codes) & M)]
+    else:
+        h = codes
+        for step in (1, 2, 4):
+            h = [h[i] * 0x2545F4914F6CDD1D + (h[i + step] ^ h[i + step] >> 29) & M for i in range(len(h) - step)]
+        kmers = [plain_mix(x) for x in h]
+    seen, slots = {}, {}
+    for place, k in enumerate(kmers):
+        seen[k] = seen.get(k, -1) + 1
+        element = plain_mix(k + seen[k] * 0xD1342543DE82EF95 & M)
+        slots.setdefault(element >> 58, []).append((element, place))
+    out = []
+    for slot in range(64):
+        away = next(a for a in range(64) if (slot + a) % 64 in slots)
+        least = sorted(slots[(slot + away) % 64])[:2]
+        value = 0
+        for j, (element, _) in enumerate([*sorted(least, key=lambda x: x[1]), (0, None)][:2] if len(least) < 2 else sorted(least, key=lambda x: x[1])):
+            value = plain_mix(value * 0x9E3779B97F4A7C15 + element + j + 1 & M)
+        out.append(plain_mix(value + away * 0xA0761D6478BD642F & M) >> 48)
+    return out
+
+
+def test_fingerprints_equal_plain_python():
+    rng = random.Random(7)
+    texts = ["", "a", "ab", "é日🎉", "sevenxx", "exactly8", "abcabcabcabcabcabcabc", "a" * 500, "the cat and the cat and the cat sat"]
+    texts += ["".join(rng.choice("abcdé 日\n") for _ in range(rng.randrange(1, n))) for n in (20, 60, 200, 900, 5000) for _ in range(6)]
+    for text in texts:
+        assert order_minhash.fingerprint(text).tolist() == plain_order_minhash(text), text[:40]
 
 
 def test_long_texts_pass_over_large_hashes_without_a_difference(monkeypatch):
@@ -215,6 +260,69 @@ def test_document_frequencies_and_slices(spark, monkeypatch):
     assert (np.sort(np.concatenate(list(langid.grams("hello wörld again")))) == whole).all()
 
 
+def brute_ftrl(rows, classes, epochs, seed):
+    """Per coordinate and in plain Python, from the update rule as published."""
+    a, beta, l1, l2 = langid.ALPHA, langid.BETA, langid.L1, langid.L2
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi, ni, penalty = z.get((i, c), 0.0), n.get((i, c), 0.0), 0.0 if i == "bias" else l1
+        return 0.0 if abs(zi) <= penalty else -(zi - math.copysign(penalty, zi)) / ((beta + math.sqrt(ni)) / a + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            y, buckets, values = rows[k]
+            features = [*zip(buckets.tolist(), values.tolist()), ("bias", 1.0)]
+            now = {(i, c): weight(i, c) for i, _ in features for c in range(classes)}
+            logits = [sum(now[i, c] * x for i, x in features) for c in range(classes)]
+            total = sum(math.exp(v - max(logits)) for v in logits)
+            for c in range(classes):
+                error = math.exp(logits[c] - max(logits)) / total - (c == y)
+                for i, x in features:
+                    g, before = error * x, n.get((i, c), 0.0)
+                    sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / a
+                    z[i, c] = z.get((i, c), 0.0) + g - sigma * now[i, c]
+                    n[i, c] = before + g * g
+    return weight
+
+
+def test_ftrl_equals_the_plain_rule():
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(3)), np.sort(rng.choice(40, 6, replace=False)), rng.random(6)) for _ in range(25)]
+    known, w, bias = langid.fit_ftrl(rows, 3, epochs=2, seed=5)
+    weight = brute_ftrl(rows, 3, 2, 5)
+    assert known.tolist() == sorted({b for _, x, _ in rows for b in x.tolist()})
+    assert np.allclose(w, [[weight(b, c) for c in range(3)] for b in known.tolist()]) and np.allclose(bias, [weight("bias", c) for c in range(3)])
+    assert (w == 0).any() and (w != 0).any()
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(4)
+    logits = rng.normal(size=(300, 4)) * 5
+    labels = np.array([rng.choice(4, p=np.exp(x / 2.5) / np.exp(x / 2.5).sum()) for x in logits])
+
+    def loss(t):
+        return -np.mean([x[y] / t - math.log(sum(math.exp(v / t) for v in x)) for x, y in zip(logits, labels)])
+
+    got = langid.fit_temperature(logits, labels)
+    assert loss(got) <= min(loss(t) for t in np.linspace(0.5, 6, 400)) + 1e-6
+
+
+def test_every_language_is_learnt(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + 40 * k) for k in range(90)]
+    rows = [(i, " ".join("".join(chr(ord(letters[i % 90]) + rng.randrange(30)) for _ in range(4)) for _ in range(12)), f"l{i % 90:02d}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, 20)
+    got = {r["doc_id"]: (r["lang_pred"], r["held_out"]) for r in langid.identify(docs, model).collect()}
+    right = [got[k][0] == lang for k, _, lang in rows if got[k][1]]
+    assert len(model.languages) == 90 and sum(right) >= 0.95 * len(right)
+    # The sums don't depend on how they are taken.
+    g = np.concatenate([x for _, t, _ in rows[:300] for x in langid.grams(t)])
+    assert len(g) > langid.BLOCK and np.allclose(model.sums(g), model.weights[model.rows[g]].sum(axis=0, dtype=np.float64))
+
+
 # -- toxicity
 
 
@@ -233,10 +341,67 @@ def test_maximal_segments(scores):
     got = toxicity.maximal_segments(np.array(scores, dtype=float))
     for a, b, s in got:
         assert s == pytest.approx(sum(scores[a:b])) and s > 0
-    assert sum(s for *_, s in got) == pytest.approx(sum(sum(scores[a:b]) for a, b in brute_segments(scores)))
+    assert [s for *_, s in got] == pytest.approx([sum(scores[a:b]) for a, b in brute_segments(scores)])
     assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 14))
+def test_maximal_segments_one_by_one(seed, n):
+    scores = np.random.default_rng(seed).normal(-0.3, 1, n).tolist()  # without ties, the segments are the same ones
+    assert [(a, b) for a, b, _ in toxicity.maximal_segments(np.array(scores))] == brute_segments(scores)
+
+
+def test_log_odds_equal_the_plain_formula():
+    n1, n0 = [0, 3, 9, 40, 1, 200], [5, 0, 9, 2, 1, 1000]
+    all1, all0 = 900, 4000
+    got = toxicity.log_odds(np.array(n1), np.array(n0), all1, all0, 1.5)
+    for x, y, w in zip(n1, n0, got):
+        prior = toxicity.PRIOR_TOTAL * (x + y) / (all1 + all0) + toxicity.PRIOR_EACH
+        odds = math.log((x + prior) / (all1 + toxicity.PRIOR_TOTAL - x - prior)) - math.log((y + prior) / (all0 + toxicity.PRIOR_TOTAL - y - prior))
+        error = 1.5 * math.sqrt(1 / (x + prior) + 1 / (y + prior))
+        assert w == pytest.approx(0 if x + y < toxicity.MIN_TEXTS or abs(odds) <= error else odds - math.copysign(error, odds))
+    assert (got > 0).any() and (got == 0).any() and toxicity.log_odds(np.array([1]), np.array([1]), 0, 5, 1.0).tolist() == [0.0]
+
+
+def test_lambda_solves_its_equation():
+    scores, shares = np.array([-0.1, 1.4, -2.0]), np.array([0.9, 0.02, 0.08])
+    rate = toxicity._root(scores, shares)
+    assert rate > 0.01 and sum(p * math.exp(rate * s) for p, s in zip(shares, scores)) == pytest.approx(1)
+
+
+def test_the_curve_has_the_least_loss():
+    rng = np.random.default_rng(2)
+    x = rng.exponential(1.5, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(3 - 2 * x))).astype(float)
+    weight = np.where(y == 1, 1.0, 2.0)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.005 * (a * a + b * b)
+
+    a, b = toxicity._logistic(x, y, weight)
+    assert all(loss(a, b) <= loss(a + d, b + e) + 1e-9 for d in (-0.05, 0, 0.05) for e in (-0.05, 0, 0.05))
+
+
+def test_copies_of_a_toxic_text_do_not_make_its_words_telling(spark):
+    docs, labels = toxic_rows()
+    rng = random.Random(2)
+    odd = [f"strange{i}" for i in range(80)]
+    copies = [(5000 + k, " ".join([*odd[:40], "idiot", "scum", *odd[40:], f"end{k}"])) for k in range(60)]
+    clean = [(6000 + k, " ".join(rng.sample(odd, 12) + ["word1"] * 30)) for k in range(20)]
+    model = toxicity.fit(spark.createDataFrame(docs + copies, "doc_id long, text string"), spark.createDataFrame(labels + [(k, 1) for k, _ in copies], "doc_id long, toxic int"), 2000)
+    got = toxicity.score(spark.createDataFrame(copies + clean, "doc_id long, text string"), model).collect()
+    assert all(r["predicted"] == (r["doc_id"] < 6000) for r in got)
+
+
+def test_stems_are_first_bytes():
+    (group,) = chunk_groups(["Worthless wort é"], marks_apart=True, prefixes=(4, 5))
+    (four,), (five,) = (next(chunk_groups([t], marks_apart=True, prefixes=(4, 5))).prefixes[k] for t, k in (("worth", 0), ("worthy", 1)))
+    assert group.prefixes[0].tolist() == [four, 0, 0] and group.prefixes[1].tolist() == [five, 0, 0]
+    assert four != group.hashes[1]
+
+
 def toxic_rows(n=600):
     rng = random.Random(12)
     words = [f"word{i}" for i in range(120)]
@@ -272,7 +437,7 @@ def test_toxicity_held_out_accuracy(spark):
 def test_passages_of_words_seen_before_are_segments(spark):
     bad = ["idiot", "scum", "trash"]
     rest = [f"word{i}" for i in range(300)]
-    hashes = np.sort(next(chunk_groups([" ".join(bad)], marks_apart=True)).hashes)
+    hashes = np.sort(next(toxicity.token_groups([" ".join(bad)])).hashes)
     model = toxicity.ToxicityModel(hashes, np.full(3, 3.0), scale=0.05)
     twice = " ".join([*rest, *bad, *rest, *bad, *rest])
     apart = " ".join([*rest, bad[0], *rest, bad[1], *rest, bad[2], *rest, *bad, *rest])
@@ -300,7 +465,7 @@ def test_quotes_are_linked_and_ordered(spark):
     got = {(r["conv_id"], r["turn"]): r for r in quotation.reply_order(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, reply_to int")).collect()}
     assert [got[1, k]["reply_to"] for k in range(4)] == [None, 0, 0, 2]
     assert [got[1, k]["branch"] for k in range(4)] == [0, 0, 1, 1]
-    assert got[1, 2]["own_text"] == "my answer" and (got[1, 2]["n_quotes"], got[1, 2]["n_linked"]) == (2, 1)
+    assert got[1, 2]["own_text"] == ">> deep\nmy answer" and (got[1, 2]["n_quotes"], got[1, 2]["n_linked"]) == (2, 1)
     assert (got[2, 0]["source_conv"], got[2, 0]["source_turn"]) == (1, 0)
     assert (got[2, 1]["n_quotes"], got[2, 1]["n_linked"], got[2, 1]["reply_to"]) == (2, 1, 0)
     assert got[None, 1]["n_quotes"] == 0 and got[3, 5]["n_linked"] == 0
@@ -339,6 +504,23 @@ def test_quotes_of_a_passage_that_the_own_conversation_has_only_later(spark):
     assert (got[1, 0], got[4, 0], got[5, 0]) == ((1, 1, 2, 3), (1, 1, 1, 1), (1, 0, None, None))
 
 
+QUOTING = "run this:\n>>> print(1)\n1\n\n\nthanks"
+
+
+def test_quotes_of_nothing_known_stay_as_written(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rows = [(1, 0, "the words"), (1, 1, QUOTING), (1, 2, "A B wrote:\n\n> the words\n>\n> never said\n\nmine\r\n"), (1, 3, "Z wrote:\n> gone\n"), (1, 4, " \n\t\n"), (2, 0, "hm\n>\n> THE  words"), (2, 1, None), (2, 2, "> the words"), (2, 2, "> the words\nagain")]
+    docs = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"], r["turn"], r["own_text"]) for r in quotation.reply_order(docs).collect())
+    assert got == [(1, 0, "the words"), (1, 1, QUOTING), (1, 2, "> never said\n\nmine"), (1, 3, "Z wrote:\n> gone\n"), (1, 4, " \n\t\n"), (2, 0, "hm"), (2, 1, ""), (2, 2, ""), (2, 2, "again")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab>: \n\r\tw"), max_size=60))
+def test_parts_are_the_whole_message(text):
+    assert "".join(raw for p in quotation.parts(text) for raw in p.raw) == text
+
+
 def test_quote_levels():
     assert quotation.line_level("> > a >b") == (2, "a >b") and quotation.line_level("plain") == (0, "plain")
     assert quotation.passages("a\nb\n\n> q\n>> r\nZ wrote:\n> s") == [(0, "a\nb"), (1, "q"), (2, "r"), (1, "s")]
