@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents without toxic texts, exact and near copies and personal data, packed into sequences."""
+"""The corpus pipeline: documents without toxic texts, exact and near copies and personal data, packed into sequences.
+
+Defined cases, of all stages: an empty table gives an empty one; other columns pass unchanged, whatever their names or
+nulls; rows that repeat both id and text are treated alike.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,31 @@ from trailgraph.llm.queries import TOXICITY_ROWS, WORD_BPE
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model is fitted on the labelled documents among them."""
+    """Documents that score below the threshold; the model is fitted on the labelled documents among them.  Null texts count
+    as empty; without labels of both classes nothing goes."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY_ROWS))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest id of each group of equal texts."""
+    """The document with the largest id of each group of equal texts.  Null texts count as empty, a null id is the smallest;
+    of rows that share an id only those go whose text another row keeps."""
     return exact_dedup.exact_dedup(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies.  Texts without words, and rows with a null id, stay;
+    rows of the smallest id all stay."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by marks."""
+    """All documents, personal data replaced by marks, and ``n_chars`` set anew.  Null texts stay null."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece: which tokens of which document stand where in which sequence."""
+    """One row a piece: which tokens of which document stand where in which sequence.  A null or empty text is one piece, the
+    end id; null ids are ids."""
     return packing.pack_documents(docs, WORD_BPE, end_id=0, capacity=2048)
 
 
