@@ -9,10 +9,11 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from trailgraph import cli
 from trailgraph.functions import match, text
 from trailgraph.functions.match import closest
 from trailgraph.operators import bundles, expand, graph as graphs, splits
-from trailgraph.sources import readers, writers
+from trailgraph.sources import readers, writers, yaml_documents
 from trailgraph.streaming.bundles import append_objects, stored_objects
 
 
@@ -222,6 +223,53 @@ def test_template_documents_are_rewritten_with_a_backup(spark, tmp_path):
     ]
 
 
+YAML = """# templates
+templates:
+  one_entity:   # same indent
+  - question: "Which \\"x\\" of [a_b]?"
+    path: [uses, filter .NET, "filter a, b", 'it''s']
+    target: [user's passwords]
+
+  - question : What is [a-b], then: more?
+    path: []
+    target: plain words  # a comment
+  - odd
+  other:
+      - question: q
+        path:
+          - a
+          - "b: c"
+        target:
+        - t
+  empty:
+version: 2
+flag: true
+deep: [[a, b], [], c]
+"""
+
+
+def test_yaml_templates(spark, tmp_path):
+    expected = {
+        "templates": {
+            "one_entity": [{"question": 'Which "x" of [a_b]?', "path": ["uses", "filter .NET", "filter a, b", "it's"], "target": ["user's passwords"]}, {"question": "What is [a-b], then: more?", "path": [], "target": "plain words"}, "odd"],
+            "other": [{"question": "q", "path": ["a", "b: c"], "target": ["t"]}], "empty": None,
+        }, "version": 2, "flag": True, "deep": [["a", "b"], [], "c"],
+    }
+    assert yaml_documents.load(YAML) == expected
+    assert yaml_documents.load("\n".join(writers.yaml_lines(expected))) == expected and yaml_documents.load("") is None
+    for refused in ("a: &x 1", "a: |\n  text", "a: [b", "a: b\n   c"):
+        with pytest.raises(ValueError):
+            yaml_documents.load(refused)
+    (tmp_path / "t.yaml").write_text(YAML)
+    rows = [tuple(r) for r in readers.read_templates(spark, f"file://{tmp_path}/t.yaml").collect()]
+    assert rows[0] == ("one_entity", 0, 'Which "x" of [a_b]?', ["uses", "filter .NET", "filter a, b", "it's"], ["user's passwords"]) and len(rows) == 3
+    (tmp_path / "v.csv").write_text("Original Question,Variations\nq,short; longest one\n")
+    for _ in range(2):  # the second run keeps what the first wrote
+        cli.main(["update-targets", "--templates", "--csv", f"file://{tmp_path}/v.csv", "--input", f"file://{tmp_path}/t.yaml", "--out", f"file://{tmp_path}/new.yaml", "--pick", "longest"])
+    assert yaml_documents.load((tmp_path / "new.yaml").read_text())["templates"]["other"][0]["target"] == "longest one"
+    assert (tmp_path / "new.yaml.bak").exists()
+
+
 def test_dropped_rows_are_counted(spark, tmp_path):
     (tmp_path / "train.csv").write_text("Question,Path\nq,p\n,p\nq2,\n")
     (tmp_path / "test.csv").write_text("Question,Path\nq,p\n")

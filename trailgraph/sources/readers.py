@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailgraph.functions.text import pick, strip, variations
+from trailgraph.sources import yaml_documents
 from trailgraph.storage import stored
 
 
@@ -83,25 +84,19 @@ def parse_relation_texts(lines: DataFrame) -> DataFrame:
 
 def templates_of(spark: SparkSession, document: dict) -> DataFrame:
     """``section, idx, question, path, target`` of a parsed template document; entries that aren't objects are left out."""
-    rows = [(s, i, e["question"], list(e["path"]), [e["target"]] if isinstance(e["target"], str) else list(e["target"])) for s, entries in document.get("templates", {}).items() for i, e in enumerate(entries) if isinstance(e, dict)]
+    rows = [(s, i, e["question"], list(e["path"]), [e["target"]] if isinstance(e["target"], str) else list(e["target"])) for s, entries in (document.get("templates") or {}).items() if isinstance(entries, list) for i, e in enumerate(entries) if isinstance(e, dict)]
     return spark.createDataFrame(rows, "section string, idx int, question string, path array<string>, target array<string>")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """Templates of a YAML file (needs PyYAML) or of a JSON file of the same form."""
+    """Templates of a YAML file or of a JSON file of the same form."""
     return templates_of(spark, read_document(spark, path))
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
     """A template document (one small file) on the driver."""
     text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    if is_json(path):
-        return json.loads(text)
-    try:
-        import yaml
-    except ImportError as error:
-        raise RuntimeError("reading YAML templates needs PyYAML; JSON templates don't") from error
-    return yaml.safe_load(text)
+    return json.loads(text) if is_json(path) else yaml_documents.load(text)
 
 
 def is_json(path: str) -> bool:
