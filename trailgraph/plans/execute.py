@@ -18,6 +18,8 @@ from trailgraph.plans.steps import Combine, Filter, Hop, Select, Step, TypeKeep,
 from trailgraph.storage import stored
 
 STATE = ["query_id", "entity", "node"]
+#: Stated entities that one projection gives a shared frontier to.
+ENTITY_BLOCK = 200
 
 
 def start(spark: SparkSession, entities: Sequence[str], query_id: int = 0) -> DataFrame:
@@ -98,10 +100,16 @@ def follow_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Tr
     entities = state.select("query_id", "entity").distinct()
     results: list[DataFrame] = []
     out = Traversal(state)
-    shared = False
+    shared, stated = False, []
 
     def of_each(rows: DataFrame) -> DataFrame:
-        return entities.crossJoin(rows.drop("query_id", "entity")) if shared else rows
+        """A shared frontier for each entity: the stated ones are literals, in blocks, so that nothing is joined."""
+        if not shared:
+            return rows
+        listed = [F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.lit(r["entity"]).alias("entity")) for r in stated]
+        blocks = [rows.drop("query_id", "entity").withColumn("e", F.explode(F.array(*listed[k : k + ENTITY_BLOCK]))) for k in range(0, len(listed), ENTITY_BLOCK)]
+        others = [c for c in rows.columns if c not in ("query_id", "entity")]
+        return reduce(DataFrame.unionByName, [b.select("e.query_id", "e.entity", *others) for b in blocks]) if blocks else rows.limit(0)
 
     for number, step in enumerate(compile_path(path, "multi"), 1):
         if isinstance(step, Combine):
@@ -114,6 +122,7 @@ def follow_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Tr
         elif isinstance(step, TypeSeed):
             none = [F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("string").alias("entity")]
             state, shared = graph.slice(step.label).select(*none, F.col("src").alias("node")).distinct(), True
+            stated = stated or entities.sort("query_id", "entity").collect()
         elif not isinstance(step, Select):
             state = advance(graph, state, step)
             if isinstance(step, Hop):
