@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm import exact_dedup, jaccard_join, langid, order_minhash, packing, pii, piece_sampling, quotation, token_files, toxicity
+from trailgraph.llm import concurrency, exact_dedup, fill_middle, jaccard_join, langid, order_minhash, packing, pii, piece_sampling, quotation, token_files, toxicity
 from trailgraph.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,6 +61,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)}
+    return cut.withColumns(digests).drop("output")
+
+
+def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = concurrency.sale_intervals(*(table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients")))
+    return concurrency.concurrency(opened).withColumnsRenamed({"key": "nation_id", "open_amount": "open_cents"})
+
+
 QUERIES = {
     "op1_piece_sampling": op1_piece_sampling,
     "op2_language_id": op2_language_id,
@@ -72,6 +83,8 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_peak_concurrency": op12_peak_concurrency,
 }
 
-SQL = {"op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op10_exact_dedup": exact_dedup.SQL, "op11_fill_middle": fill_middle.SQL, "op12_peak_concurrency": concurrency.SQL}
