@@ -1,0 +1,109 @@
+"""The concurrency sweep against a plain sweep over all moments."""
+
+import random
+from collections import defaultdict
+from datetime import datetime, timedelta
+
+import pytest
+
+from trailgraph.llm import concurrency as c
+
+INTERVALS = "key int, start_s long, end_s long, amount long"
+
+
+def plain_sweep(rows, all_keys=-2):
+    moments = defaultdict(lambda: [0, 0])
+    for key, start, end, amount in rows:
+        if start is None or end is not None and end <= start:
+            continue
+        for k in (c.NO_KEY if key is None else key, *([] if all_keys is None else [all_keys])):
+            for at, sign in ((start, 1), (end, -1)):
+                if at is not None:
+                    moments[k, at][0] += sign
+                    moments[k, at][1] += sign * (amount or 0)
+    by_key = defaultdict(list)
+    for (k, at), change in sorted(moments.items()):
+        if change != [0, 0]:
+            by_key[k].append((at, *change))
+    out = []
+    for k, steps in by_key.items():
+        n = v = high = 0
+        own = []
+        for i, (at, d, a) in enumerate(steps):
+            n, v = n + d, v + a
+            high = max(high, n)
+            own.append((k, at, steps[i + 1][0] if i + 1 < len(steps) else None, n, v, high))
+        top = max(r[4] for r in own)
+        out += [(*r, r[4] == top) for r in own]
+    return sorted(map(repr, out))
+
+
+def swept(df):
+    return sorted(repr((r.key, r.from_s, r.to_s, r.n_open, r.open_amount, r.high_open, r.is_peak)) for r in df.collect())
+
+
+def made(seed, n=500):
+    rng = random.Random(seed)
+    rows = [(None, 0, 60, 5), (3, None, 60, 5), (3, 60, 60, 5), (3, 120, 60, 5), (4, 0, None, None), (5, -90_000, -86_400, 7), (5, -86_400, 0, 7), (6, 60, 120, 10), (6, 120, 180, 10)]
+    for _ in range(n):
+        start = rng.choice([0, 60 * rng.randrange(3 * 1440), 86_400 * rng.randrange(-2, 9)])
+        rows.append((rng.choice([1, 1, 1, 2, 9]), start, rng.choice([None, start + 60 * rng.randrange(0, 9000), 86_400 * 4]), rng.randrange(-50, 900)))
+    return rows + rows[20:24] * 3
+
+
+@pytest.mark.parametrize("seed, fan, parts", [(1, 256, 4), (2, 2, 9), (3, 3, 20), (4, 256, 1)])
+def test_the_tree_gives_what_one_sweep_gives(spark, seed, fan, parts):
+    rows = made(seed)
+    df = spark.createDataFrame(rows, INTERVALS).repartition(parts)
+    assert swept(c.concurrency(df, fan=fan)) == plain_sweep(rows)
+    assert swept(c.concurrency(df, all_keys=None, fan=fan)) == plain_sweep(rows, None)
+
+
+def test_a_task_gives_its_functions_on_where_it_has_too_many_moments(spark, monkeypatch):
+    def small(batches, build=c._build, most=20):
+        c.MOST_MOMENTS = most
+        return build(batches)
+
+    monkeypatch.setattr(c, "_build", small)
+    rows = made(7)
+    assert swept(c.concurrency(spark.createDataFrame(rows, INTERVALS).repartition(3), fan=4)) == plain_sweep(rows)
+
+
+def test_one_key_and_moment_that_most_have_is_not_one_task_s(spark):
+    rows = spark.range(40_000).selectExpr("cast(if(id % 3 = 0, id % 50, 7) as int) key", "cast(if(id % 2 = 0, 0, 60 * (id % 700)) as long) start_s", "cast(86400 as long) end_s", "id amount").repartition(16)
+    functions = c.map_arrow(rows, c._build, c._FUNCTION)
+    assert functions.groupBy("key", "range").count().agg({"count": "max"}).first()[0] <= 16  # a row a task
+    assert swept(c.concurrency(rows)) == plain_sweep([tuple(r) for r in rows.select("key", "start_s", "end_s", "amount").collect()])
+
+
+def test_empty_and_useless_intervals_give_no_row(spark):
+    assert c.concurrency(spark.createDataFrame([], INTERVALS)).count() == 0
+    assert c.concurrency(spark.createDataFrame([(1, None, 60, 1), (1, 60, 60, 1)], INTERVALS)).count() == 0
+
+
+def test_sales_become_intervals(spark):
+    t = datetime(2024, 3, 31, 2, 30, 59)  # a time that some zones skip
+    early = datetime(1969, 12, 31, 23, 59, 30)
+    sales = [(1, 10, 1.005, t, "x"), (2, 11, None, t, "x"), (3, None, 2.5, t, "x"), (None, 12, 3.0, t, "x"), (4, 99, float("nan"), t, "x"), (5, 10, float("inf"), None, "x"), (6, 10, -0.125, early, "x"), (7, 10, 1.0, t, "x"), (1, 10, 1.005, t, "x")]
+    lines = [(1, t + timedelta(days=2)), (1, t + timedelta(days=1)), (1, None), (None, t), (2, None), (7, t - timedelta(days=7)), (7, t)]
+    clients = [(10, 5, "x"), (11, None, "x"), (12, 4, "x"), (12, 3, "x"), (None, 8, "x")]
+    got = c.sale_intervals(
+        spark.createDataFrame(sales, "sale_id long, client_id long, total double, sold_at timestamp_ntz, nation_id string"),
+        spark.createDataFrame(lines, "sale_id long, shipped_at timestamp_ntz"), spark.createDataFrame(clients, "client_id long, nation_id int, amount string"),
+    )
+    second = 1_711_852_200
+    day = 86_400
+    cents = int(100 * 1.005 + 0.5)
+    want = [(5, second, second + 8 * day, cents)] * 2 + [(-1, second, None, 0), (-1, second, None, 250), (3, second, None, 300), (-1, second, None, 0), (5, -60, None, -12), (5, second, second, 100)]
+    assert sorted(map(repr, ((r.key, r.start_s, r.end_s, r.amount) for r in got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_the_session_s_zone_plays_no_part(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:59' AS t")
+        assert df.select(c.minute(df["t"]).alias("s")).first()["s"] == 1_710_037_800
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

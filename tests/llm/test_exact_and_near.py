@@ -1,13 +1,15 @@
 """Exact dedup and the Jaccard join against plain Python."""
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from trailgraph.llm import bits, common, exact_dedup, jaccard_join
+from trailgraph.llm import bits, common, exact_dedup, jaccard_join, minhash_dedup
 from trailgraph.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -37,7 +39,7 @@ def sets_of(rows):
     return out
 
 
-def expected_components(rows):
+def expected_components(rows, percent=75):
     sets, label = sets_of(rows), {}
     parent = list(range(len(rows)))
 
@@ -49,7 +51,7 @@ def expected_components(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= 75 * len(a | b):
+            if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= percent * len(a | b):
                 parent[find(i)] = find(j)
     for i, (key, _) in enumerate(rows):
         if key is not None:
@@ -208,3 +210,82 @@ def test_exact_dedup_of_nothing_and_columns(spark):
     rows = [(1, "A b", "s"), (2, "a B", None), (None, None, "n")]
     kept = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, keep_id string"))
     assert kept.columns == ["doc_id", "text", "keep_id"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+
+
+# -- MinHash ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("tile_shingles, seed", [(1 << 20, 3), (150, 4), (600, 5)])
+def test_minhash_components_equal_brute_force(spark, tile_shingles, seed):
+    rows = corpus(seed, 90)
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, key string, n int").repartition(3)
+    got = minhash_dedup.near_copies(df, tile_shingles=tile_shingles).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == expected_components(rows, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_minhash_group_of_many_near_copies_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE_MEMBERS", 12)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 9])):
+            text[rng.randrange(len(text))] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    got = minhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected_components(rows, 85)
+
+
+def test_minhash_threshold_misses_less_than_it_says():
+    short = sum(math.comb(64, k) * 0.85**k * 0.15 ** (64 - k) for k in range(minhash_dedup.MATCHES))
+    assert short <= minhash_dedup.MISS < short + math.comb(64, minhash_dedup.MATCHES) * 0.85**minhash_dedup.MATCHES * 0.15 ** (64 - minhash_dedup.MATCHES)
+
+
+def test_minhash_agreement_estimates_jaccard():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.85):
+        agreed = []
+        for _ in range(60):
+            n = 300
+            common_n = round(2 * n * share / (1 + share))
+            pool = rng.integers(1, 1 << 63, 2 * n - common_n, dtype=np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:common_n], pool[n:])))
+            agreed.append((minhash_dedup.signature(a) == minhash_dedup.signature(b)).mean())
+        assert abs(np.mean(agreed) - share) < 0.03 and np.std(agreed) < 1.4 * (share * (1 - share) / 64) ** 0.5
+
+
+def test_minhash_matching_by_merging_and_skipping_equals_counting():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 5, (6, 64), dtype=np.uint32)
+    rows = base[rng.integers(0, 6, 80)].copy()
+    changed = rng.random(rows.shape) < rng.random((80, 1)) * 0.7
+    rows[changed] = rng.integers(0, 9, int(changed.sum()), dtype=np.uint32)
+    postings = minhash_dedup.Postings(rows)
+    for i in range(80):
+        wanted = rng.random(80) < 0.8
+        counts = (rows == rows[i]).sum(axis=1)
+        assert postings.matching(i, wanted).tolist() == np.flatnonzero((counts >= minhash_dedup.MATCHES) & wanted).tolist()
+
+
+def test_minhash_digests_tell_sets_apart():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64)) for n in range(0, 40)]
+    sets += [s[:-1] for s in sets[5:]] + [s[1:] for s in sets[5:]]
+    assert len({minhash_dedup.digest(s) for s in sets}) == len({s.tobytes() for s in sets})
+
+
+def test_minhash_keeps_other_columns_and_rows_without_partner(spark):
+    rows = corpus(8)
+    docs = spark.createDataFrame([(k, t, f"s{i}", i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, node string, component_id int")
+    kept = minhash_dedup.deduplicated(docs)
+    assert kept.schema == docs.schema
+    component = {}
+    for (k, t), (_, _, c) in zip(sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])), expected_components(rows, 85)):
+        component[k] = c
+    assert {r.doc_id for r in kept.collect()} == {k for k, c in component.items() if k is None or k == c}
+
+
+def test_minhash_empty_table(spark):
+    assert minhash_dedup.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -28,7 +28,8 @@ each by its text; other columns are ignored, whatever their names (``drop_near_c
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,22 @@ def prefix_length(n: int) -> int:
 # -- 1. order ---------------------------------------------------------------------------------------------------------
 
 
-def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+def _shingle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for b in batches:
         for group in chunk_groups(b.column(0).to_pylist()):
             if sets := [s for s in shingle_sets(group) if len(s)]:
-                counts += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    parts = counts.reshape(SKETCH_CHUNKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["chunk", "counts"])
+                yield np.concatenate(sets)
+
+
+def _counted(hashes: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        for h in hashes(batches):
+            counts += np.bincount((h >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+        parts = counts.reshape(SKETCH_CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["chunk", "counts"])
+
+    return run
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +117,11 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def sketch(texts: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each bucket: an upper bound for each shingle; 2 MB whatever the input."""
-    each = map_arrow(texts, _sketch_task, "chunk int, counts binary").repartition(SKETCH_CHUNKS, "chunk")
+def sketch_of(rows: DataFrame, hashes: Callable = _shingle_hashes) -> np.ndarray:
+    """How many rows have a hash of each bucket: an upper bound for each hash; 2 MB whatever the input.
+
+    hashes: arrays of 64-bit hashes from batches of the rows, each hash once a row."""
+    each = map_arrow(rows, _counted(hashes), "chunk int, counts binary").repartition(SKETCH_CHUNKS, "chunk")
     out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), dtype=np.int64)
     for row in each.mapInArrow(_sum_chunks, "chunk int, counts binary").collect():
         out[row["chunk"]] = np.frombuffer(bytes(row["counts"]), dtype=np.int64)
@@ -159,7 +170,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["leader", "doc_id"])
 
 
-def _groups(table: DataFrame) -> DataFrame:
+def led_groups(table: DataFrame) -> DataFrame:
     """``leader, doc_id``: the members of each group but the leaders."""
     spark = table.sparkSession
     n = table.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
@@ -216,7 +227,7 @@ def with_partner(sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two sorted arrays."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     at = np.searchsorted(b, a)
@@ -252,7 +263,7 @@ def tile_links(ids: list[int], sets: list[np.ndarray], leader: int | None, apart
         if sides is not None:
             keep &= sides[low:high] != sides[i]
         for j in other[keep].tolist():
-            if label[j] != label[i] and _overlap(members[i], members[j]) >= needed(int(sizes[i] + sizes[j])):
+            if label[j] != label[i] and overlap(members[i], members[j]) >= needed(int(sizes[i] + sizes[j])):
                 links.append((ids[order[i]], ids[order[j]]))
                 label[label == label[j]] = label[i]
 
@@ -294,21 +305,21 @@ def _tile_stream(batches: Iterator[pa.RecordBatch], finish, names: list[str]) ->
         yield as_batch(out)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bounded(partners: Callable):
     """The members of each group that may have a partner in it."""
 
     def finish(key: tuple, rows: list[tuple]) -> list[tuple]:
         rows.sort(key=lambda r: r[1])
-        kept = with_partner(np.array([r[1] for r in rows]), [np.frombuffer(r[2], dtype=np.uint64) for r in rows])
+        kept = partners(np.array([r[1] for r in rows]), [r[2] for r in rows])
         return [(*key, doc, n) for (doc, n, _), k in zip(rows, kept.tolist()) if k]
 
-    return _tile_stream(batches, finish, ["leader", "tile", "doc_id", "n"])
+    return lambda batches: _tile_stream(batches, finish, ["leader", "tile", "doc_id", "n"])
 
 
 _LINKS = ["leader", "tile", "a", "b"]
 
 
-def _first_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_tiles(link: Callable):
     """Links (a, b) of each tile; and, where the group has several tiles, (a, null) for members that
     the group's smallest, which is in each of them, isn't connected to."""
 
@@ -316,24 +327,24 @@ def _first_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, tile = key
         ids = [r[0] for r in rows]
         hub = min(ids)
-        links, label = tile_links(ids, [np.frombuffer(r[2], dtype=np.uint64) for r in rows], hub)
+        links, label = link(ids, [r[2] for r in rows], hub, None)
         out = [(leader, tile, a, b) for a, b in links]
         if rows[0][1] > 1:
             led = label[ids.index(hub)]
             out += [(leader, tile, i, None) for i, x in zip(ids, label.tolist()) if x != led]
         return out
 
-    return _tile_stream(batches, finish, _LINKS)
+    return lambda batches: _tile_stream(batches, finish, _LINKS)
 
 
-def _second_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _second_tiles(link: Callable):
     """Links between the members of a tile (side 1) and unconnected members of other tiles (side 2)."""
 
     def finish(key: tuple, rows: list[tuple]) -> list[tuple]:
-        links, _ = tile_links([r[0] for r in rows], [np.frombuffer(r[2], dtype=np.uint64) for r in rows], None, np.array([r[1] for r in rows]))
+        links, _ = link([r[0] for r in rows], [r[2] for r in rows], None, np.array([r[1] for r in rows]))
         return [(*key, a, b) for a, b in links]
 
-    return _tile_stream(batches, finish, _LINKS)
+    return lambda batches: _tile_stream(batches, finish, _LINKS)
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -368,24 +379,45 @@ def _sizes(members: DataFrame) -> DataFrame:
     return written(members.groupBy("leader").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("hub")))
 
 
-def _links(texts: DataFrame, members: DataFrame, firsts: DataFrame, bitmaps: DataFrame, tile_shingles: int) -> DataFrame:
-    """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them); firsts: key, first; bitmaps: map_id, bitmap.
+@dataclass(frozen=True)
+class Comparison:
+    """How the members of tiles are compared.  sets_of: the sets of (texts, members, firsts), as ``set_id, shingles``;
+    partners: which members of ascending sizes may have a partner, by their signatures; link: as ``tile_links``, of ids,
+    sets as ``sets_of`` gives them, the leader and the sides."""
+
+    sets_of: Callable
+    partners: Callable
+    link: Callable
+
+
+def _words(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.uint64)
+
+
+BY_BITMAPS = Comparison(
+    _sets_of, lambda sizes, maps: with_partner(sizes, list(map(_words, maps))), lambda ids, sets, leader, apart: tile_links(ids, list(map(_words, sets)), leader, apart)
+)
+
+
+def links_of_groups(texts: DataFrame, members: DataFrame, firsts: DataFrame, signatures: DataFrame, tile_shingles: int, how: Comparison = BY_BITMAPS) -> DataFrame:
+    """``a, b``: links that give the components.  members: leader, doc_id, n (leaders among them); firsts: what
+    ``how.sets_of`` finds sets by; signatures: map_id, bitmap.
 
     Leaders and members are keys of sets."""
     tiles = F.ceil(F.greatest(F.col("shingles") / F.lit(tile_shingles), F.col("members") / F.lit(TILE_MEMBERS)))
     sized = written(join_counted(members, _sizes(members), "leader", "members").withColumn("tiles", tiles).select("leader", "doc_id", "n", "tiles"))
-    small = sized.filter("tiles = 1").withColumn("tile", F.lit(0).cast("long")).join(bitmaps, F.col("doc_id") == F.col("map_id"))
-    kept = map_arrow(_in_tiles(small, "n", "bitmap"), _bounded, "leader long, tile long, doc_id long, n long").drop("tile")
+    small = sized.filter("tiles = 1").withColumn("tile", F.lit(0).cast("long")).join(signatures, F.col("doc_id") == F.col("map_id"))
+    kept = map_arrow(_in_tiles(small, "n", "bitmap"), _bounded(how.partners), "leader long, tile long, doc_id long, n long").drop("tile")
     kept = written(kept.unionByName(sized.filter("tiles > 1").select("leader", "doc_id", "n")))
     groups = _sizes(kept)
     own = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.col("tiles"))
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     tile = F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(own)))
     placed = written(join_counted(kept, groups, "leader", "members").withColumn("tiles", tiles).withColumn("tile", tile))
-    sets = _sets_of(texts, placed, firsts)
+    sets = how.sets_of(texts, placed, firsts)
     joined = placed.select("leader", "tile", "tiles", "doc_id").join(sets, F.col("doc_id") == F.col("set_id"))
     schema = "leader long, tile long, a long, b long"
-    found = written(map_arrow(_in_tiles(joined, "tiles", "shingles"), _first_tiles, schema))
+    found = written(map_arrow(_in_tiles(joined, "tiles", "shingles"), _first_tiles(how.link), schema))
     discard(sized, kept)
     links = found.filter("b is not null").select("a", "b")
     loose = found.filter("b is null").select("leader", F.col("tile").alias("home"), F.col("a").alias("doc_id"))
@@ -402,23 +434,23 @@ def _links(texts: DataFrame, members: DataFrame, firsts: DataFrame, bitmaps: Dat
     against = join_counted(dealt, blocks, "leader", "members").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = queries.select("leader", number.alias("tile"), "doc_id", F.lit(2).alias("side")).unionByName(against.select("leader", number.alias("tile"), "doc_id", F.lit(1).alias("side")))
     rows = written(rows)
-    again = rows.join(_sets_of(texts, rows, firsts), F.col("doc_id") == F.col("set_id"))
-    return links.unionByName(written(map_arrow(_in_tiles(again, "side", "shingles"), _second_tiles, schema)).select("a", "b"))
+    again = rows.join(how.sets_of(texts, rows, firsts), F.col("doc_id") == F.col("set_id"))
+    return links.unionByName(written(map_arrow(_in_tiles(again, "side", "shingles"), _second_tiles(how.link), schema)).select("a", "b"))
 
 
 def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, tile_shingles: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id`` of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text")))  # 2 MB
+    counts = docs.sparkSession.sparkContext.broadcast(sketch_of(texts.select("text")))  # 2 MB
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     table = written(map_batches(hashed, _prefixes(counts), "doc_id long, text_hash long, n long, key long, prefix array<long>, hot_prefix array<long>, bitmap binary"))
     linked = table.filter("n > 0 and doc_id is not null")
     firsts = written(linked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-    led = _groups(linked.select(F.col("key").alias("doc_id"), "prefix", "hot_prefix"))
+    led = led_groups(linked.select(F.col("key").alias("doc_id"), "prefix", "hot_prefix"))
     both = led.unionByName(led.select("leader", F.col("leader").alias("doc_id")).distinct())
     members = written(both.join(firsts.select(F.col("key").alias("doc_id"), "n"), "doc_id").select("leader", "doc_id", "n"))
     bitmaps = linked.select(F.col("key").alias("map_id"), "bitmap").dropDuplicates(["map_id"])
-    found = components(_links(texts, members, firsts, bitmaps, tile_shingles))
+    found = components(links_of_groups(texts, members, firsts, bitmaps, tile_shingles))
     of_sets = written(firsts.join(found, F.col("key") == F.col("node"), "left").select("key", "first", "copies", F.coalesce("component_id", "key").alias("least_key")))
     smallest = written(of_sets.groupBy("least_key").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets")))
     of_sets = written(join_counted(of_sets, smallest, "least_key", "sets").select("key", "component_id", "copies"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm import concurrency, exact_dedup, fill_middle, jaccard_join, langid, order_minhash, packing, pii, piece_sampling, quotation, token_files, toxicity
+from trailgraph.llm import concurrency, exact_dedup, fill_middle, jaccard_join, langid, minhash_dedup, order_minhash, packing, pii, piece_sampling, quotation, token_files, toxicity
 from trailgraph.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,10 @@ def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concurrency.concurrency(opened).withColumnsRenamed({"key": "nation_id", "open_amount": "open_cents"})
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_piece_sampling": op1_piece_sampling,
     "op2_language_id": op2_language_id,
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_fill_middle": op11_fill_middle,
     "op12_peak_concurrency": op12_peak_concurrency,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 SQL = {"op10_exact_dedup": exact_dedup.SQL, "op11_fill_middle": fill_middle.SQL, "op12_peak_concurrency": concurrency.SQL}
