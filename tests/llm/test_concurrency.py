@@ -59,19 +59,16 @@ def test_the_tree_gives_what_one_sweep_gives(spark, seed, fan, parts):
     assert swept(c.concurrency(df, all_keys=None, fan=fan)) == plain_sweep(rows, None)
 
 
-def test_a_task_gives_its_functions_on_where_it_has_too_many_moments(spark, monkeypatch):
-    def small(batches, build=c._build, most=20):
-        c.MOST_MOMENTS = most
-        return build(batches)
-
-    monkeypatch.setattr(c, "_build", small)
-    rows = made(7)
-    assert swept(c.concurrency(spark.createDataFrame(rows, INTERVALS).repartition(3), fan=4)) == plain_sweep(rows)
+def test_a_task_gives_its_functions_on_where_it_has_too_many_moments(spark):
+    rows = made(7, 12_000)
+    df = spark.createDataFrame(rows, INTERVALS).repartition(3)
+    assert c.map_arrow(df.filter("start_s is not null").fillna(0), c._build(20), c._FUNCTION).groupBy("key", "range", "part").count().filter("count > 1").count() > 0
+    assert swept(c.concurrency(df, fan=4, most_moments=20)) == plain_sweep(rows)
 
 
 def test_one_key_and_moment_that_most_have_is_not_one_task_s(spark):
     rows = spark.range(40_000).selectExpr("cast(if(id % 3 = 0, id % 50, 7) as int) key", "cast(if(id % 2 = 0, 0, 60 * (id % 700)) as long) start_s", "cast(86400 as long) end_s", "id amount").repartition(16)
-    functions = c.map_arrow(rows, c._build, c._FUNCTION)
+    functions = c.map_arrow(rows, c._build(c.MOST_MOMENTS), c._FUNCTION)
     assert functions.groupBy("key", "range").count().agg({"count": "max"}).first()[0] <= 16  # a row a task
     assert swept(c.concurrency(rows)) == plain_sweep([tuple(r) for r in rows.select("key", "start_s", "end_s", "amount").collect()])
 

@@ -87,30 +87,35 @@ def _functions(part: int, moments: Moments) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, *_lists(bounds, ((when - of_range * RANGE_S), d_count, d_amount))], names=["key", "range", "part", "at", "d_count", "d_amount"])
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    none = np.zeros(0, dtype=np.int64)
-    held: Moments = (none, none, none, none)
-    waiting: list[Moments] = []
-    n = 0
-    for b in batches:
-        key, start, amount = (b.column(k).to_numpy().astype(np.int64) for k in (0, 1, 3))
-        ends = b.column(2)
-        closed = np.asarray(ends.is_valid())
-        end = ends.fill_null(0).to_numpy().astype(np.int64)[closed]
-        one = np.ones(len(key), dtype=np.int64)
-        waiting.append((np.concatenate((key, key[closed])), np.concatenate((start, end)), np.concatenate((one, -one[closed])), np.concatenate((amount, -amount[closed]))))
-        n += len(waiting[-1][0])
-        if n > MOST_MOMENTS // 4:
-            k, t, c, a = (np.concatenate(x) for x in zip(held, *waiting))
-            held, waiting, n = added([k], t, c, a), [], 0
-            if len(held[0]) > MOST_MOMENTS:
-                yield _functions(part, held)
-                held = (none, none, none, none)
-    k, t, c, a = (np.concatenate(x) for x in zip(held, *waiting))
-    held = added([k], t, c, a)
-    if len(held[0]):
-        yield _functions(part, held)
+def _build(most: int):
+    """A task's rows as functions; more than ``most`` moments are given on, and others begun."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        none = np.zeros(0, dtype=np.int64)
+        held: Moments = (none, none, none, none)
+        waiting: list[Moments] = []
+        n = 0
+        for b in batches:
+            key, start, amount = (b.column(k).to_numpy().astype(np.int64) for k in (0, 1, 3))
+            ends = b.column(2)
+            closed = np.asarray(ends.is_valid())
+            end = ends.fill_null(0).to_numpy().astype(np.int64)[closed]
+            one = np.ones(len(key), dtype=np.int64)
+            waiting.append((np.concatenate((key, key[closed])), np.concatenate((start, end)), np.concatenate((one, -one[closed])), np.concatenate((amount, -amount[closed]))))
+            n += len(waiting[-1][0])
+            if n > most // 4:
+                k, t, c, a = (np.concatenate(x) for x in zip(held, *waiting))
+                held, waiting, n = added([k], t, c, a), [], 0
+                if len(held[0]) > most:
+                    yield _functions(part, held)
+                    held = (none, none, none, none)
+        k, t, c, a = (np.concatenate(x) for x in zip(held, *waiting))
+        held = added([k], t, c, a)
+        if len(held[0]):
+            yield _functions(part, held)
+
+    return run
 
 
 # -- 3. --------------------------------------------------------------------------------------------------------------
@@ -245,12 +250,12 @@ def stitched(finished: DataFrame) -> DataFrame:
     return map_arrow(rows, _unrolled, "key int, from_s long, to_s long, n_open long, open_amount long, high_open long, is_peak boolean")
 
 
-def concurrency(intervals: DataFrame, all_keys: int | None = ALL_KEYS, fan: int = FAN) -> DataFrame:
+def concurrency(intervals: DataFrame, all_keys: int | None = ALL_KEYS, fan: int = FAN, most_moments: int = MOST_MOMENTS) -> DataFrame:
     """``key, from_s, to_s, n_open, open_amount, high_open, is_peak`` of ``key, start_s, end_s, amount``: a row for each key and
     moment at which the count or the amount changes.  ``all_keys``: a key for all intervals together."""
     whole = intervals.filter("start_s is not null and (end_s is null or end_s > start_s)")
     rows = whole.select(F.coalesce(F.col("key").cast("int"), F.lit(NO_KEY)).alias("key"), F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s"), F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"))
-    finished = merged_functions(map_arrow(rows, _build, _FUNCTION), fan)
+    finished = merged_functions(map_arrow(rows, _build(most_moments), _FUNCTION), fan)
     if all_keys is not None:
         finished = finished.unionByName(over_all_keys(finished, all_keys))
     return stitched(finished)
