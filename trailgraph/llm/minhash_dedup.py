@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from trailgraph.llm.bits import bit_filter, chunks_for, with_held, without
 from trailgraph.llm.common import discard, join_counted, map_arrow, map_batches, written
 from trailgraph.llm.components import components
-from trailgraph.llm.jaccard_join import HOT_DOCUMENTS, SKETCH_BITS, SKETCH_CHUNKS, TILE_SHINGLES, Comparison, led_groups, links_of_groups, overlap, shingle_sets, sketch_of
+from trailgraph.llm.jaccard_join import HOT_DOCUMENTS, SKETCH_BITS, SKETCH_CHUNKS, TILE_SHINGLES, Comparison, _overlap, led_groups, links_of_groups, shingle_sets, sketch_of
 from trailgraph.llm.words import chunk_groups, mix, ragged
 
 COORDINATES = 64
@@ -204,7 +204,7 @@ def tile_links(ids: list[int], blobs: list[bytes], leader: int | None, apart: np
         if not wanted.any():
             return
         for j in postings.matching(i, wanted).tolist():
-            if label[j] != label[i] and overlap(members[i], members[j]) >= needed(int(sizes[i] + sizes[j])):
+            if label[j] != label[i] and _overlap(members[i], members[j]) >= needed(int(sizes[i] + sizes[j])):
                 links.append((ids[order[i]], ids[order[j]]))
                 label[label == label[j]] = label[i]
 
