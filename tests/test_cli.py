@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
+
 from trailgraph import cli
 from trailgraph.operators import graph as graphs
 from trailgraph.plans.execute import start, trace_many
+from trailgraph.sources import readers, writers
 
 
 def test_from_bundles_to_splits(spark, tmp_path, capsys):
@@ -29,6 +32,29 @@ def test_from_bundles_to_splits(spark, tmp_path, capsys):
     assert spark.read.json(f"{path}/new/v00000").first()["target"] == "a longer one"
 
 
+@pytest.mark.parametrize("document", [[], ["--document"]])
+def test_no_row_is_lost_from_expansion_to_splits(spark, tmp_path, document):
+    edges = [(f'M"{k},\n', "malware", "is_malware_type", k) for k in range(40)] + [(f"T{k}", "tool", "is_tool_type", 100 + k) for k in range(30)]
+    path = f"file://{tmp_path}"
+    writers.write_edges(spark.createDataFrame(edges, "src string, dst string, label string, pos long"), f"{path}/store")
+    entry = lambda q: {"question": q, "path": ["a"], "target": ["t"]}
+    (tmp_path / "t.json").write_text(json.dumps({"templates": {"2": [entry("What is [malware]?")], "x/=y": [entry("Is [tool] one?")], "none": []}}))
+    cli.main(["expand", "--templates", f"{path}/t.json", "--graph", f"{path}/store", "--out", f"{path}/qa", "--out-sections", f"{path}/by", "--out-relations", f"{path}/rel", *document])
+    items = readers.read_questions(spark, f"{path}/qa")
+    assert items.count() == 70 and set(items.columns) == {"question", "response"}
+    sections = readers.read_sections(spark, f"{path}/by").groupBy("section").count().collect()
+    assert {r["section"]: r["count"] for r in sections} == {"2": 40, "x/=y": 30}
+    if document:
+        assert len(json.loads((tmp_path / "qa").read_text())) == 70
+        assert {k: len(v) for k, v in json.loads((tmp_path / "by").read_text()).items()} == {"2": 40, "x/=y": 30, "none": 0}
+        assert json.loads((tmp_path / "rel").read_text()) == {"is_malware_type": {"malware": 40}, "is_tool_type": {"tool": 30}}
+    cli.main(["to-csv", "--input", f"{path}/qa", "--out", f"{path}/qa.csv"])
+    cli.main(["split", "--csv", f"{path}/qa.csv", "--sections", f"{path}/by", "--out", f"{path}/splits"])
+    rows = [r for s in ("train", "validation", "test") for r in readers.read_csv(spark, f"{path}/splits/{s}.csv").collect()]
+    asked = [f'What is M"{k},\n?' for k in range(40)] + [f"Is T{k} one?" for k in range(30)]
+    assert sorted(r["Question"] for r in rows) == sorted(asked) and {r["section"] for r in rows} == {"2", "x/=y"}
+
+
 def test_lines_of_several_entities(spark):
     edges = [("A", "m", "is_m_type", 0), ("B", "m", "is_m_type", 1), ("T", "t", "is_t_type", 2), ("A", "T", "uses", 3), ("B", "T", "uses", 4)]
     graph = graphs.Graph.of(spark.createDataFrame(edges, "src string, dst string, label string, pos long"))

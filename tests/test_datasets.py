@@ -177,18 +177,31 @@ def test_new_bundles_are_appended(spark, tmp_path):
     assert edges == {("N", "is_m_type", "m"), ("N", "name", "N"), ("N", "revoked", "False"), ("T", "is_t_type", "t"), ("T", "name", "T"), ("M", "is_m_type", "m"), ("M", "name", "M"), ("M", "uses_t", "T"), ("T", "used_by_m", "M")}
 
 
-def test_closest_names_equal_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.2, 1.0])
+def test_closest_names_equal_all_pairs(spark, monkeypatch, threshold):
     rng = random.Random(3)
-    made = lambda: "".join(rng.choice("abcABC #1é") for _ in range(rng.randrange(0, 9)))
-    wanted, names = [made() for _ in range(25)], [made() for _ in range(120)]
+    made = lambda: "".join(rng.choice("abcABC #1é") for _ in range(rng.randrange(0, 30)))
+    wanted, names = [*(made() for _ in range(40)), "ab", "ABCD", "qz", "", "x"], [*(made() for _ in range(120)), "qy", "abcd", "ABCx", ""]
     monkeypatch.setattr(match, "ENTITY_BLOCK", 10)
-    got = match.closest(spark.createDataFrame([(w,) for w in [*wanted, None]], "entity string"), spark.createDataFrame([(n,) for n in [*names, None]], "name string").repartition(3))
+    monkeypatch.setattr(match, "NAME_BLOCK", 25)
+    got = match.closest(spark.createDataFrame([(w,) for w in [*wanted, None]], "entity string"), spark.createDataFrame([(n,) for n in [*names, None]], "name string").repartition(3), threshold)
     expected = {}
     for w in set(wanted):
-        scores = [(-SequenceMatcher(None, w.lower(), n.lower()).ratio(), n) for n in names]
-        if -min(scores)[0] > 0.5:
-            expected[w] = (min(scores)[1], -min(scores)[0])
+        score, name = min((-SequenceMatcher(None, w, n).ratio(), n) for n in names)
+        if -score >= threshold:
+            expected[w] = (name, -score)
     assert {r["entity"]: (r["name"], r["score"]) for r in got.collect()} == expected
+    if threshold == 0.5:
+        assert expected["qz"] == ("qy", 0.5) and expected["ABCD"] == ("ABCx", 0.75)
+
+
+def test_bands_never_part_names_that_are_near(spark):
+    lengths = spark.range(1, 400).selectExpr("cast(id as int) n", "repeat('x', cast(id as int)) t")
+    for threshold in (0.3, 0.5, 0.6, 0.75, 0.9):
+        bands = {r["n"]: r["b"] for r in lengths.select("n", match.band(F.col("t"), threshold).alias("b")).collect()}
+        for n in bands:
+            for m in range(n, min(400, int(n * (2 - threshold) / threshold) + 1)):
+                assert 2 * n / (n + m) < threshold or bands[m] - bands[n] <= 1
 
 
 def test_disjoint_combinations_equal_the_rule():
@@ -210,7 +223,7 @@ def test_top_paraphrases_and_plain_variations(spark, tmp_path):
 
 def test_template_documents_are_rewritten_with_a_backup(spark, tmp_path):
     document = {"templates": {"s": [{"question": 'say "q"', "path": ["a", "filter .NET"], "target": ["old: one"]}, "odd"], "t": [], "u": {"k": 1}}, "version": 2}
-    new, scanned, changed = writers.updated_document(document, {'say "q"': "new", "other": "x"})
+    new, scanned, changed = writers.updated_document(spark, document, spark.createDataFrame([('say "q"', "new"), ("other", "x")], "question string, new_target string"))
     assert (scanned, changed) == (1, 1) and new["templates"]["s"][0]["target"] == "new" and document["templates"]["s"][0]["target"] == ["old: one"]
     for name in ("t.yaml", "t.json"):
         path = f"file://{tmp_path}/{name}"

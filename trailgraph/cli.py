@@ -1,4 +1,4 @@
-"""Command line: ``python -m trailgraph.cli build-graph | expand | split | update-targets | follow``."""
+"""Command line: ``python -m trailgraph.cli build-graph | expand | to-csv | split | update-targets | follow``."""
 
 from __future__ import annotations
 
@@ -26,16 +26,21 @@ def build_graph(spark: SparkSession, a: argparse.Namespace) -> None:
 def make_questions(spark: SparkSession, a: argparse.Namespace) -> None:
     graph = graphs.Graph.of(readers.read_edges(spark, a.graph))
     varied = readers.read_variations(spark, a.variations) if a.variations else None
-    targets = readers.read_variations(spark, a.targets) if a.targets else None
-    templates = readers.read_templates(spark, a.templates)
+    targets = readers.read_variations(spark, a.targets, "last") if a.targets else None
+    document = readers.read_document(spark, a.templates)
+    templates = readers.templates_of(spark, document)
     if a.skip_path:
         templates = templates.filter(F.concat_ws("<SEP>", "path") != a.skip_path)
     items = expand.expand(spark, templates, graph, varied, targets, a.seed)
-    writers.write_questions(items.select("question", "response"), a.out)
+    writers.write_questions(items.select("question", "response"), a.out, a.document)
     if a.out_sections:
-        writers.write_sections(items, a.out_sections)
+        writers.write_sections(items, a.out_sections, a.document, spark.createDataFrame([(s,) for s in document.get("templates") or {}], "section string"))
     if a.out_relations:
-        writers.write_relation_map(graphs.relation_histogram(graph), a.out_relations)
+        writers.write_relation_map(graphs.relation_histogram(graph), a.out_relations, a.document)
+
+
+def questions_to_csv(spark: SparkSession, a: argparse.Namespace) -> None:
+    writers.write_csv(readers.questions_to_csv_columns(readers.read_questions(spark, a.input)), a.out)
 
 
 def make_splits(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -43,8 +48,7 @@ def make_splits(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = readers.read_csv(spark, a.csv)
     if "Question" not in rows.columns:
         raise ValueError("the CSV needs a column Question")
-    named = rows.withColumn("question", F.col("Question")) if "question" not in rows.columns else rows
-    mapped = splits.with_sections(named, readers.read_sections(spark, a.sections), drop_unmapped=not a.keep_unmapped)
+    mapped = splits.with_sections(rows, readers.read_sections(spark, a.sections), drop_unmapped=not a.keep_unmapped)
     writers.write_splits(splits.split(mapped, a.train, a.validation, a.test, a.seed), a.out)
 
 
@@ -53,8 +57,7 @@ def change_targets(spark: SparkSession, a: argparse.Namespace) -> None:
     columns = readers.read_csv(spark, a.csv).select(F.col("Original Question").alias("question"), F.col("Variations").alias("variations"))
     if a.templates:
         document = readers.read_document(spark, a.input)
-        new = {r["question"]: r["new_target"] for r in readers.target_map(columns, a.pick).collect()}  # as many as templates
-        document, scanned, updated = writers.updated_document(document, new)
+        document, scanned, updated = writers.updated_document(spark, document, readers.target_map(columns, a.pick))
         print(f"scanned {scanned}, updated {updated}")
         if not a.dry_run:
             writers.write_document(spark, document, a.out, not a.no_backup)
@@ -95,7 +98,8 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     command("build-graph", build_graph, ["base", "out"], ["log", "graphml"], ["full"])
-    command("expand", make_questions, ["templates", "graph", "out"], ["out-sections", "out-relations", "variations", "targets", "skip-path"]).add_argument("--seed", type=int, default=42)
+    command("expand", make_questions, ["templates", "graph", "out"], ["out-sections", "out-relations", "variations", "targets", "skip-path"], ["document"]).add_argument("--seed", type=int, default=42)
+    command("to-csv", questions_to_csv, ["input", "out"])
     p = command("split", make_splits, ["csv", "sections", "out"], flags=["keep-unmapped"])
     for option, share in (("train", 0.80), ("validation", 0.05), ("test", 0.15)):
         p.add_argument(f"--{option}", type=float, default=share)

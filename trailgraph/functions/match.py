@@ -1,70 +1,103 @@
-"""Closest names by Ratcliff-Obershelp similarity."""
+"""Closest names by Ratcliff-Obershelp similarity, as a join of two tables.
+
+A pair's matching characters are at most its common ones, and these at most as many as the shorter text has.  So a pair
+of lengths n <= m that reaches the threshold t has n / m >= t / (2 - t): texts are put in bands by the number of digits
+of their length in base ceil((2 - t) / t), and only the same and the next bands can meet.  In a band, names and entities
+are packed in blocks, and each pair of blocks meets once, as an equi-join on the names' blocks: the tables are read
+once, however many entities there are.  In a pair of blocks, counts of the characters bound each ratio from above, and
+an entity's ratios are computed from the highest bound down until no bound can beat what was found.
+
+At a threshold of a half a prefix of rare characters would have two thirds of a name in it; bands and counts cut more.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entities that go to the tasks at once; more are matched block by block.
-ENTITY_BLOCK = 1000
+from trailgraph.storage import stored
+
+#: Names, and entities, of one block, on average.
+NAME_BLOCK, ENTITY_BLOCK = 4096, 1000
 #: Buckets that characters are counted in.
 BUCKETS = 64
 SCHEMA = "entity string, name string, score double"
 
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each bucket's characters occur in each lower-cased text, and the texts' lengths."""
+    """How often each bucket's characters occur in each text, and the texts' lengths."""
     out = np.zeros((len(texts), BUCKETS), dtype=np.int32)
     for row, text in zip(out, texts):
         row += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype(np.int32)
     return out, np.array([len(t) for t in texts])
 
 
-def _best_of(wanted: list[str], threshold: float):
-    """For batches of names: each entity's best name among a task's rows."""
+def best_of(entities: list[str], names: list[str], threshold: float) -> list[tuple[str, str, float]]:
+    """Each entity's most similar name of the threshold or more (and more than none), of equals the smallest."""
+    counts, lengths = _counts(names)
+    wanted, sizes = _counts(entities)
+    out = []
+    for e, text in enumerate(entities):
+        total = lengths + sizes[e]
+        bound = np.where(total > 0, 2.0 * np.minimum(counts, wanted[e]).sum(axis=1) / np.maximum(total, 1), 1.0)
+        best, found = 0.0, None
+        for at in np.argsort(-bound, kind="stable").tolist():
+            if bound[at] < threshold or bound[at] < best or bound[at] == 0:
+                break
+            ratio = SequenceMatcher(None, text, names[at]).ratio()
+            if ratio >= threshold and (ratio > best or ratio == best and found is not None and names[at] < found):
+                best, found = ratio, names[at]
+        if found is not None:
+            out.append((text, found, best))
+    return out
+
 
+def _tiles(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lowered = [w.lower() for w in wanted]
-        own, sizes = _counts(lowered)
-        best: dict[int, tuple[float, str]] = {}
         for b in batches:
-            names = [n for n in b.column(0).to_pylist() if n is not None]
-            spelled = [n.lower() for n in names]
-            counts, lengths = _counts(spelled)
-            for e, text in enumerate(lowered):
-                # Matching characters are at most the common ones, so this bounds the ratio from above.
-                total = lengths + sizes[e]
-                bound = np.where(total > 0, 2.0 * np.minimum(counts, own[e]).sum(axis=1) / np.maximum(total, 1), 1.0)
-                for at in np.argsort(-bound, kind="stable").tolist():
-                    score, name = best.get(e, (threshold, ""))
-                    if bound[at] <= threshold or bound[at] < score:
-                        break
-                    ratio = SequenceMatcher(None, text, spelled[at]).ratio()
-                    if ratio > score or (e in best and ratio == score and names[at] < name):
-                        best[e] = (ratio, names[at])
-        rows = [(wanted[e], name, score) for e, (score, name) in best.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.string(), pa.float64()))], names=["entity", "name", "score"])
+            for entities, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = best_of(entities, names, threshold)
+                columns = zip(*rows) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["entity", "name", "score"])
 
     return run
 
 
+def band(text: Column, threshold: float) -> Column:
+    """Number of the band that a text's length is in; texts whose bands are more than one apart are too unlike."""
+    base = math.ceil((2 - threshold) / threshold - 1e-9) if threshold > 0 else 37
+    return F.length(F.conv(F.length(text).cast("string"), 10, max(2, base))) if base <= 36 else F.lit(1)
+
+
+def _blocks(rows: DataFrame, column: str, size: int, sizes: DataFrame) -> DataFrame:
+    """``band, block, <column>_block``: the texts of each block of each band.  sizes: of_band, n."""
+    numbered = rows.join(F.broadcast(sizes), F.col("band") == F.col("of_band"))  # one row a band: at most 64
+    block = F.pmod(F.xxhash64(column), F.ceil(F.col("n") / F.lit(size)))
+    return numbered.groupBy("band", block.alias("block")).agg(F.collect_list(column).alias(f"{column}_block"))
+
+
 def closest(entities: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``entity, name, score``: the most similar name above ``threshold`` for each of a stated set of entities; of
-    equals the smallest.  Entities without one, and nulls, are left out.
-
-    Entities go to the tasks in blocks of ``ENTITY_BLOCK``; a task compares only names that could beat the best it has
-    by their common characters, and gives one row an entity.
-    """
-    spark = names.sparkSession
-    found = spark.createDataFrame([], SCHEMA)
-    listed = (r["entity"] for r in entities.select("entity").filter("entity is not null").distinct().toLocalIterator())
-    while block := list(islice(listed, ENTITY_BLOCK)):
-        found = found.unionByName(names.select("name").mapInArrow(_best_of(block, threshold), SCHEMA))
+    """``entity, name, score``: for each entity its most similar name, as spelled, of ``threshold`` or more; of equals the
+    smallest.  Entities without one, and nulls, are left out."""
+    wanted = entities.select("entity").filter("entity is not null").distinct()
+    listed = stored(names.select("name").filter("name is not null").distinct().withColumn("band", band(F.col("name"), threshold)))
+    same = stored(wanted.join(listed.select("name"), F.col("entity") == F.col("name"), "left").withColumn("band", band(F.col("entity"), threshold)))
+    exact = same.filter(F.col("name").isNotNull() & F.lit(threshold <= 1)).select("entity", "name", F.lit(1.0).alias("score"))
+    rest = same.filter("name is null and entity != ''").select("entity", "band")
+    count = F.count(F.lit(1)).alias("n")
+    name_sizes = listed.groupBy(F.col("band").alias("of_band")).agg(count)
+    name_blocks = _blocks(listed.filter("name != ''"), "name", NAME_BLOCK, name_sizes)
+    entity_blocks = _blocks(rest, "entity", ENTITY_BLOCK, rest.groupBy(F.col("band").alias("of_band")).agg(count))
+    # An entity block meets all blocks of its own band and of those beside it.
+    near = entity_blocks.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("to", "entity_block")
+    aimed = near.join(F.broadcast(name_sizes), F.col("to") == F.col("of_band")).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(NAME_BLOCK)) - 1)))
+    tiles = aimed.join(name_blocks, (F.col("to") == F.col("band")) & (F.col("at") == F.col("block"))).select("entity_block", "name_block")
+    found = stored(tiles.mapInArrow(_tiles(threshold), SCHEMA))  # which bounds the bytes of a batch
     best = F.min(F.struct(-F.col("score"), F.col("name"))).alias("best")
-    return found.groupBy("entity").agg(best).select("entity", F.col("best.name").alias("name"), (-F.col("best.col1")).alias("score"))
+    return exact.unionByName(found.groupBy("entity").agg(best).select("entity", F.col("best.name").alias("name"), (-F.col("best.col1")).alias("score")))

@@ -15,8 +15,8 @@ def check_ratios(train: float, validation: float, test: float) -> None:
 
 def with_sections(rows: DataFrame, sections: DataFrame, drop_unmapped: bool = True) -> DataFrame:
     """Adds ``section`` by ``question`` (the last section of a question wins); unmapped rows go, or are "Unknown"."""
-    last = sections.groupBy(F.col("question").alias("mapped_question")).agg(F.max_by("section", F.struct("ord", "section")).alias("section"))
-    joined = rows.join(last, F.col("question") == F.col("mapped_question"), "left").drop("mapped_question")
+    last = sections.groupBy(F.col("question").alias("__question")).agg(F.max_by("section", F.struct("ord", "section")).alias("section"))
+    joined = rows.drop("section").join(last, F.col("question") == F.col("__question"), "left").drop("__question")
     return joined.filter("section is not null") if drop_unmapped else joined.withColumn("section", F.coalesce("section", F.lit("Unknown")))
 
 
@@ -82,10 +82,10 @@ def complete(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def update_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Replaces ``target`` by the question's new one, where that is not empty; ``updated`` tells where it differs."""
-    new = targets.select(F.col("question").alias("new_question"), "new_target")
-    joined = rows.join(new, F.col("question") == F.col("new_question"), "left")
-    changed = F.col("new_target").isNotNull() & (F.col("new_target") != "") & ~F.col("new_target").eqNullSafe(F.col("target"))
-    return joined.withColumn("updated", changed).withColumn("target", F.when(changed, F.col("new_target")).otherwise(F.col("target"))).drop("new_question", "new_target")
+    new = targets.select(F.col("question").alias("__question"), F.col("new_target").alias("__target"))
+    joined = rows.join(new, F.col("question") == F.col("__question"), "left")
+    changed = F.col("__target").isNotNull() & (F.col("__target") != "") & ~F.col("__target").eqNullSafe(F.col("target"))
+    return joined.withColumn("updated", changed).withColumn("target", F.when(changed, F.col("__target")).otherwise(F.col("target"))).drop("__question", "__target")
 
 
 def update_counts(rows: DataFrame) -> DataFrame:

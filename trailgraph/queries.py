@@ -258,9 +258,11 @@ def attribute_explode(spark, sf_dir):
     return bundles.attribute_edges(keyed_objects(made)).drop("seq")
 
 
-#: An object with a value of each kind: (key, its JSON from the table's columns, the edge's target in SQL).
+#: An object with a value of each kind, and with repeated keys, of which the last counts: (key, its JSON from the table's
+#: columns, the edge's target in SQL).
 _VALUES = [
-    ("description", ['"[', "p_name", "](https://example.org/", "p_partkey", r') is a part, \"new\"."'], """concat('[', p_name, '](https://example.org/', p_partkey, ') is a part, "new".')"""),
+    ("description", ['"[', "p_name", "](https://example.org/", "p_partkey", r') is a part, \"new\"."'], "p_type"),
+    ("link", ['"[', "p_name", "](https://example.org/", "p_partkey", r') is a part, \"new\"."'], """concat('[', p_name, '](https://example.org/', p_partkey, ') is a part, "new".')"""),
     ("platforms", ['["', "p_brand", '","other"]'], "p_brand"),
     ("nested", ['[ ["[', "p_brand", '"], 3]'], "concat('[', p_brand)"),
     ("spaced", [" [ ] "], "'Not Available'"),
@@ -270,9 +272,11 @@ _VALUES = [
     ("is_family", ["true"], "'True'"),
     ("word", ['"true"'], "'true'"),
     ("size", ["", "p_size", ""], "p_size::VARCHAR"),
+    ("twice", ['{"a":1,"b":{"c":"', "p_brand", '","c":2},"a":"', "p_partkey", '"}'], """concat('{"a": "', p_partkey, '", "b": {"c": 2}}')"""),
+    ("description", ['"', "p_type", '"'], None),
     ("references", ['[{"url":"https://x.org/a,b:', "p_partkey", '","n":[1,null],"a":{}},7]'], """concat('{"url": "https://x.org/a,b:', p_partkey, '", "n": [1, null], "a": {}}')"""),
 ]
-_VALUES_SQL = " UNION ALL ".join(f"SELECT concat('Part#', p_partkey) AS src, {target} AS dst, '{key}' AS label FROM part" for key, _, target in _VALUES)
+_VALUES_SQL = " UNION ALL ".join(f"SELECT concat('Part#', p_partkey) AS src, {target} AS dst, '{key}' AS label FROM part" for key, _, target in _VALUES if target)
 
 
 @query(f"""{_VALUES_SQL} UNION ALL SELECT concat('Part#', p_partkey), concat('Part#', p_partkey), 'name' FROM part
@@ -539,11 +543,15 @@ def section_question_counts(spark, sf_dir):
     return splits.section_counts(made, spark.createDataFrame([("q_one",), ("q_none",), ("empty",)], "section string"))
 
 
-#: 17 characters of 17 and 18 match: each entity lacks one.
-@query("SELECT * FROM (VALUES ('custmer#000000007', 'Customer#000000007', 34::DOUBLE / 35), ('Suplier#000000003', 'Supplier#000000003', 34::DOUBLE / 35)) t(entity, name, score)")
+#: 17 characters of 17 and 18 match: each entity lacks one.  The brand in capitals has its first letter alone in common with
+#: the one that is spelled so; half of the characters of "Brnd" are in "B#1d", no more in any other name.
+@query("""SELECT * FROM (VALUES ('custmer#000000007', 'Customer#000000007', 32::DOUBLE / 35), ('Suplier#000000003', 'Supplier#000000003', 34::DOUBLE / 35), ('Brnd', 'B#1d', 0.5::DOUBLE)) t(entity, name, score)
+UNION ALL SELECT c_name, c_name, 1.0 FROM customer UNION ALL SELECT concat('x', c_name), c_name, 36::DOUBLE / 37 FROM customer WHERE c_custkey % 50 = 0""")
 def fuzzy_match(spark, sf_dir):
-    wanted = spark.createDataFrame([("custmer#000000007",), ("Suplier#000000003",), ("zzzz",)], "entity string")
-    names = _table(spark, sf_dir, "customer").selectExpr("c_name AS name").unionByName(_table(spark, sf_dir, "supplier").selectExpr("s_name AS name"))
+    customer = _table(spark, sf_dir, "customer")
+    wanted = spark.createDataFrame([("custmer#000000007",), ("Suplier#000000003",), ("zzzz",), ("Brnd",)], "entity string")
+    wanted = wanted.unionByName(customer.selectExpr("c_name AS entity")).unionByName(customer.filter("c_custkey % 50 = 0").selectExpr("concat('x', c_name) AS entity"))
+    names = customer.selectExpr("c_name AS name").unionByName(_table(spark, sf_dir, "supplier").selectExpr("s_name AS name")).unionByName(spark.createDataFrame([("B#1d",), ("BRND",)], "name string"))
     return closest(wanted, names)
 
 

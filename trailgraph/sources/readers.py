@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from pathlib import PurePath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trailgraph.functions.text import pick, strip, variations
-from trailgraph.sources import yaml_documents
+from trailgraph.sources import documents, yaml_documents
 from trailgraph.storage import stored
 
 
@@ -41,17 +43,52 @@ def objects_of(files: DataFrame) -> DataFrame:
     return keyed_objects(parsed.select("file_ord", F.posexplode("bundle.objects").alias("obj_pos", "object")))
 
 
+@F.pandas_udf(StringType())
+def last_of_repeats(objects: pd.Series) -> pd.Series:
+    """JSON objects whose repeated keys, nested ones too, are one: with the last value, at the first one's place."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return objects.map(one)
+
+
 def keyed_objects(objects: DataFrame) -> DataFrame:
-    """The same from ``file_ord, obj_pos, object`` (JSON text)."""
-    keyed = objects.select("file_ord", "obj_pos", F.from_json("object", "map<string,string>").alias("keys"), F.from_json("object", "map<string,variant>").alias("kinds"))
+    """The same from ``file_ord, obj_pos, object`` (JSON text).
+
+    A variant can't have a key twice, and a map has both: only objects with repeated keys are spelled anew first."""
+
+    def maps(text: F.Column) -> dict[str, F.Column]:
+        return {"keys": F.from_json(text, "map<string,string>"), "kinds": F.from_json(text, "map<string,variant>")}
+
+    keyed = objects.select("file_ord", "obj_pos", "object").withColumns(maps(F.col("object")))
+    names = F.map_keys("keys")
+    repeated = F.col("keys").isNotNull() & (F.col("kinds").isNull() | (F.size(names) != F.size(F.array_distinct(names))))
+    spelled = keyed.withColumn("spelled", last_of_repeats(F.when(repeated, F.col("object"))))
+    again = {k: F.when(F.col("spelled").isNotNull(), c).otherwise(F.col(k)) for k, c in maps(F.col("spelled")).items()}
+    keyed = spelled.withColumns(again).drop("spelled", "object")
     return keyed.filter(F.col("keys")["id"].isNotNull() & (F.col("keys")["id"] != "") & F.col("keys")["type"].isNotNull() & (F.col("keys")["type"] != ""))
 
 
 def read_graphml(spark: SparkSession, path: str) -> DataFrame:
-    """``src, dst, label, pos`` of a GraphML file's edges."""
-    schema = "_source string, _target string, data struct<_VALUE:string,_key:string>"
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(schema).load(path)
-    return edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("data._VALUE").alias("label"), F.monotonically_increasing_id().alias("pos"))
+    """``src, dst, label, pos`` of a GraphML file's edges: the data whose key is named "label", and the place by the key named
+    "pos", else in order of the file."""
+    def elements(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
+
+    keys = elements("key", "_id string, _for string, `_attr.name` string").filter("_for is null or _for in ('edge', 'all')")
+    named = {r["_attr.name"]: r["_id"] for r in keys.collect()}  # one row an attribute
+    edges = elements("edge", "_source string, _target string, data array<struct<_VALUE:string,_key:string>>")
+
+    def value(name: str) -> F.Column:
+        wanted = named.get(name, "d0" if name == "label" else None)
+        return F.try_element_at(F.filter("data", lambda d: d["_key"] == F.lit(wanted)), F.lit(1))["_VALUE"]
+
+    place = F.coalesce(value("pos").try_cast("long"), F.monotonically_increasing_id())
+    return edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.coalesce(value("label"), F.lit("")).alias("label"), place.alias("pos"))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -122,13 +159,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
-def read_variations(spark: SparkSession, path: str) -> DataFrame:
-    """``question, variations``; without the file, no row."""
+def read_variations(spark: SparkSession, path: str, repeated: str = "first") -> DataFrame:
+    """``question, variations``; without the file, no row.  ``repeated``: the row of a repeated question that counts, "first"
+    (as for questions) or "last" (as for targets)."""
     if not exists(spark, path):
         return spark.createDataFrame([], "question string, variations array<string>")
     rows = read_csv(spark, path).withColumn("line", F.monotonically_increasing_id())
-    last = rows.groupBy(F.col("Original Question").alias("question")).agg(F.max_by("Variations", "line").alias("text"))
-    return last.select("question", variations(F.coalesce("text", F.lit(""))).alias("variations"))
+    picked = F.min_by if repeated == "first" else F.max_by
+    one = rows.groupBy(F.col("Original Question").alias("question")).agg(picked(F.struct("Variations"), "line").alias("row"))
+    return one.select("question", variations(F.coalesce("row.Variations", F.lit(""))).alias("variations"))
 
 
 def target_map(rows: DataFrame, policy: str) -> DataFrame:
@@ -138,12 +177,15 @@ def target_map(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of {question, response}."""
-    return spark.read.option("multiLine", True).json(path)
+    """Objects of {question, response}: a JSON list, or JSON lines; a file, or a folder of either."""
+    return spark.read.option("multiLine", documents.first_character(spark, path) == "[").json(path)
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """``question, section, ord`` of a JSON object from section to questions."""
+    """``question, section, ord`` of a JSON object from section to questions, or of a folder of JSON lines that have both."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.read.schema("question string, section string").json(path).select("question", "section", F.monotonically_increasing_id().alias("ord"))
     whole = spark.read.text(path, wholetext=True)
     by_section = whole.select(F.from_json("value", "map<string,array<struct<question:string,response:string>>>").alias("m"))
     flat = by_section.select(F.posexplode("m").alias("section_ord", "section", "items"))
@@ -181,4 +223,5 @@ def all_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def questions_to_csv_columns(items: DataFrame) -> DataFrame:
+    """With the column names of the CSV files."""
     return items.withColumnRenamed("question", "Question")
