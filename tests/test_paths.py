@@ -226,4 +226,4 @@ def test_paths_equal_the_set_model(spark, seed):
                 results |= {(e, model.type_of(n), n) for n in state[e]}
     out = follow_many(graph, start(spark, many), path)
     assert {(r["entity"], r["node_type"], r["node"]) for r in out.results.collect()} == results
-    assert {(r["entity"], r["node"]) for r in out.frontiers[-1].collect()} == {(e, n) for e in many for n in state[e]}
+    assert {(r["entity"], r["node"]) for r in out.frontiers[-1].expanded(out.entities).collect()} == {(e, n) for e in many for n in state[e]}

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailgraph.operators.text_index import TextIndex
 from trailgraph.vocabulary import DESCRIPTION
 
 
@@ -26,10 +27,12 @@ def multigraph(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Graph:
-    """``edges``: src, dst, label, pos.  ``types``: name, node_type.  Both may be tables written by label."""
+    """``edges``: src, dst, label, pos.  ``types``: name, node_type.  Both may be tables written by label.  ``index``: of the
+    descriptions, where there is one: keyword filters then read the candidates alone."""
 
     edges: DataFrame
     types: DataFrame
+    index: TextIndex | None = None
 
     @classmethod
     def of(cls, edges: DataFrame) -> "Graph":

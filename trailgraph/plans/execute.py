@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgraph.operators.graph import Graph
-from trailgraph.plans.steps import Combine, Filter, Hop, Select, Step, TypeKeep, TypeSeed, compile_path, is_dead, parse_path
+from trailgraph.plans.steps import Combine, Filter, Hop, Select, Step, TypeKeep, TypeSeed, compile_path, is_dead, parse_path, path_trie
 from trailgraph.storage import stored
 
 STATE = ["query_id", "entity", "node"]
-#: Stated entities that one projection gives a shared frontier to.
-ENTITY_BLOCK = 200
+#: Parts that rows which hold for all entities are dealt to where they are multiplied.
+SHARED_PARTS = 64
 
 
 def start(spark: SparkSession, entities: Sequence[str], query_id: int = 0) -> DataFrame:
@@ -41,7 +41,7 @@ def advance(graph: Graph, frontier: DataFrame, step: Step) -> DataFrame:
     if isinstance(step, TypeKeep):
         return frontier.join(graph.slice(step.label), F.col("node") == F.col("src"), "left_semi")
     if isinstance(step, Filter):
-        described = graph.descriptions().filter(_matches(F.col("dst"), step))
+        described = (graph.descriptions() if graph.index is None else graph.index.candidates(step.words, step.every)).filter(_matches(F.col("dst"), step))
         return frontier.join(described, F.col("node") == F.col("src"), "left_semi")
     return frontier
 
@@ -72,114 +72,144 @@ def follow(graph: Graph, spark: SparkSession, entities: Sequence[str], path: str
     return state.select("node").distinct()
 
 
+def of_each_entity(shared: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows that hold for every entity, for each of them.
+
+    The result is as large as is asked for; each row meets the entities by the number it is dealt to, one of
+    ``SHARED_PARTS``, so that neither side is collected or broadcast because of its kind.
+    """
+    others = [c for c in shared.columns if c not in ("query_id", "entity")]
+    dealt = shared.select(*others, F.pmod(F.xxhash64("node"), F.lit(SHARED_PARTS)).alias("__part"))
+    each = entities.select("query_id", "entity", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARED_PARTS - 1).cast("long"))).alias("__of_part"))
+    return dealt.join(each, F.col("__part") == F.col("__of_part")).select("query_id", "entity", *others)
+
+
+@dataclass
+class Frontier:
+    """A state after a step: rows for an entity each or (``shared``) rows that hold for all of them."""
+
+    rows: DataFrame
+    shared: bool
+
+    def expanded(self, entities: DataFrame) -> DataFrame:
+        return of_each_entity(self.rows, entities) if self.shared else self.rows
+
+
 @dataclass
 class Traversal:
-    """``results``: query_id, entity, node_type, node over all hops.  ``combined``: the exec steps' sets by step number."""
+    """What a path reached from several entities, in factors: ``own`` has query_id, entity, node_type, node of the hops before a
+    type seed, ``shared`` has node_type, node of those after it, which hold for each of ``entities`` (query_id, entity).
+    ``combined``: the exec steps' sets by step number; ``frontiers``: the state after each step."""
 
-    results: DataFrame
+    entities: DataFrame
+    own: DataFrame
+    shared: DataFrame
     combined: dict[int, DataFrame] = field(default_factory=dict)
     errors: dict[int, str] = field(default_factory=dict)
-    frontiers: list[DataFrame] = field(default_factory=list)
-
-
-def combine(results: DataFrame, step: Combine, entities: DataFrame) -> DataFrame:
-    """``query_id, node`` of an exec step over the results so far.  entities: query_id, entity."""
-    n = entities.groupBy(F.col("query_id").alias("of_query")).agg(F.countDistinct("entity").alias("n_entities"))
-    counted = results.filter(F.col("node_type") == step.node_type).groupBy("query_id", "node").agg(F.countDistinct("entity").alias("n"))
-    kept = counted.join(n, F.col("query_id") == F.col("of_query"))
+    frontiers: list[Frontier] = field(default_factory=list)
+
+    @property
+    def results(self) -> DataFrame:
+        """``query_id, entity, node_type, node`` over all hops: the factors multiplied."""
+        return self.own.unionByName(of_each_entity(self.shared, self.entities)).distinct()
+
+
+def combine(own: DataFrame, shared: DataFrame, step: Combine, entities: DataFrame) -> DataFrame:
+    """``query_id, node`` of an exec step over the results so far, in factors: what is shared, all entities of each query
+    reached, and the others are counted."""
+    n = entities.groupBy("query_id").agg(F.countDistinct("entity").alias("n_entities"))
+    all_of = shared.filter(F.col("node_type") == step.node_type).select("node").distinct()
+    counted = own.filter(F.col("node_type") == step.node_type).groupBy("query_id", "node").agg(F.countDistinct("entity").alias("n"))
+    alone = counted.join(all_of, "node", "left_anti").join(n, "query_id").select("query_id", "node", "n", "n_entities")
+    every = of_each_entity(all_of, n.withColumn("entity", F.lit(None).cast("string"))).drop("entity").join(n, "query_id").select("query_id", "node", F.col("n_entities").alias("n"), "n_entities")
     wanted = F.col("n") == F.col("n_entities") if step.operation == "common" else F.col("n") % 2 == 1
-    return kept.filter(wanted).select("query_id", "node")
+    return alone.unionByName(every).filter(wanted).select("query_id", "node")
 
 
 def follow_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Traversal:
     """A path with a state for each entity of ``state`` (query_id, entity, node).
 
-    After a type seed all entities are at the same nodes: the frontier is kept once, without an entity, and given to each
-    of the stated entities only where it is a result.
+    After a type seed all entities are at the same nodes: frontier and results are kept once from there on, without an
+    entity, and multiplied with the entities only where somebody asks for it.
     """
     entities = state.select("query_id", "entity").distinct()
-    results: list[DataFrame] = []
-    out = Traversal(state)
-    shared, stated = False, []
-
-    def of_each(rows: DataFrame) -> DataFrame:
-        """A shared frontier for each entity: the stated ones are literals, in blocks, so that nothing is joined."""
-        if not shared:
-            return rows
-        listed = [F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.lit(r["entity"]).alias("entity")) for r in stated]
-        blocks = [rows.drop("query_id", "entity").withColumn("e", F.explode(F.array(*listed[k : k + ENTITY_BLOCK]))) for k in range(0, len(listed), ENTITY_BLOCK)]
-        others = [c for c in rows.columns if c not in ("query_id", "entity")]
-        return reduce(DataFrame.unionByName, [b.select("e.query_id", "e.entity", *others) for b in blocks]) if blocks else rows.limit(0)
-
+    typed = "query_id long, entity string, node_type string, node string"
+    none = state.sparkSession.createDataFrame([], typed)
+    own, common = [none], [none.select("node_type", "node")]
+    out = Traversal(entities, none, none.select("node_type", "node"))
+    shared = False
     for number, step in enumerate(compile_path(path, "multi"), 1):
         if isinstance(step, Combine):
-            if step.operation not in ("common", "difference"):
-                out.errors[number] = f"Unknown operation '{step.operation}'."
-            elif results:
-                out.combined[number] = combine(reduce(DataFrame.unionByName, results), step, entities)
+            if step.operation in ("common", "difference"):
+                out.combined[number] = combine(reduce(DataFrame.unionByName, own), reduce(DataFrame.unionByName, common), step, entities)
             else:
-                out.combined[number] = entities.select("query_id", F.col("entity").alias("node")).limit(0)
+                out.errors[number] = f"Unknown operation '{step.operation}'."
         elif isinstance(step, TypeSeed):
-            none = [F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("string").alias("entity")]
-            state, shared = graph.slice(step.label).select(*none, F.col("src").alias("node")).distinct(), True
-            stated = stated or entities.sort("query_id", "entity").collect()
+            nowhere = [F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("string").alias("entity")]
+            state, shared = graph.slice(step.label).select(*nowhere, F.col("src").alias("node")).distinct(), True
         elif not isinstance(step, Select):
             state = advance(graph, state, step)
             if isinstance(step, Hop):
-                typed = state.join(graph.types, F.col("node") == F.col("name"), "left").select("query_id", "entity", "node_type", "node")
-                results.append(of_each(typed))
-        out.frontiers.append(of_each(state))
-    empty = entities.select("query_id", "entity", F.lit(None).cast("string").alias("node_type"), F.lit(None).cast("string").alias("node")).limit(0)
-    out.results = reduce(DataFrame.unionByName, results).distinct() if results else empty
+                reached = state.join(graph.types, F.col("node") == F.col("name"), "left")
+                if shared:
+                    common.append(reached.select("node_type", "node"))
+                else:
+                    own.append(reached.select("query_id", "entity", "node_type", "node"))
+        out.frontiers.append(Frontier(state, shared))
+    out.own = reduce(DataFrame.unionByName, own[1:] or own).distinct()
+    out.shared = reduce(DataFrame.unionByName, common[1:] or common).distinct()
     return out
 
 
-def _step_rows(paths: Mapping[int, Sequence[str]]) -> list[tuple]:
-    """(query_id, depth, kind, label, words, every) of every step."""
-    rows = []
-    for query_id, path in paths.items():
-        for depth, step in enumerate(compile_path(path, "single")):
-            if isinstance(step, Filter):
-                rows.append((query_id, depth, "filter", None, list(step.words), step.every))
-            else:
-                rows.append((query_id, depth, "keep" if isinstance(step, TypeKeep) else "hop", step.label, [], False))
-    return rows
-
-
 def follow_batch(graph: Graph, queries: DataFrame, paths: Mapping[int, Sequence[str]]) -> DataFrame:
     """``query_id, node``: the final sets of many single-entity queries at once.
 
-    queries: query_id, entity.  Steps are rows of a table (query, depth).  All queries move on together: a depth costs one
-    join for all hops, one for all type steps and one for all filters, however many queries and labels there are; the
-    frontier is written once a depth.
+    queries: query_id, entity and, where several queries have one path, path_id (else it is the query_id).  Paths are one
+    trie, so that what begins alike is followed once for an entity: the frontier is (trie node, entity, node).  All go on
+    together: a depth costs one join for all hops, one for all type steps and one for all filters, however many queries
+    and labels there are; the frontier is written once a depth.
     """
     spark = queries.sparkSession
-    rows = _step_rows(paths)
-    steps = spark.createDataFrame(rows, "query_id long, depth int, kind string, label string, words array<string>, every boolean")
-    lengths = spark.createDataFrame([(q, len(p)) for q, p in paths.items()], "query_id long, n_steps int")
-    state = queries.select(F.col("query_id").cast("long"), F.col("entity").alias("node")).distinct().join(lengths, "query_id")
+    trie = path_trie(paths)
+    own = queries.select(F.col("query_id").cast("long"), "entity", F.col("path_id" if "path_id" in queries.columns else "query_id").cast("long").alias("path_id")).distinct()
+    asked = stored(own.join(spark.createDataFrame(list(trie.ends.items()), "path_id long, end int"), "path_id"))
+    route = spark.createDataFrame([(end, node) for end in set(trie.ends.values()) for node in trie.route(end)], "end int, trie int")
+    steps = spark.createDataFrame([(s.node, s.parent, s.depth, *_as_row(s.step)) for s in trie.steps], "trie int, parent int, depth int, kind string, label string, words array<string>, every boolean")
+    # The steps that an entity needs: those on the way to an end of its own.
+    needed = stored(asked.select("entity", "end").distinct().join(route, "end").select("entity", "trie").distinct().join(steps, "trie"))
+    state = own.select(F.lit(0).alias("trie"), "entity", F.col("entity").alias("node")).distinct()
     parts: list[DataFrame] = []
-    for depth in range(max(map(len, paths.values()), default=0) + 1):
-        parts.append(state.filter(F.col("n_steps") == depth).select("query_id", "node"))
-        at = [r for r in rows if r[1] == depth]
+    for depth in range(max((s.depth for s in trie.steps), default=0) + 1):
+        if ended := [end for end in set(trie.ends.values()) if trie.depth(end) == depth]:
+            parts.append(state.join(asked.filter(F.col("end").isin(ended)).withColumnRenamed("entity", "of"), (F.col("trie") == F.col("end")) & (F.col("entity") == F.col("of"))).select("query_id", "node"))
+        at = [s.step for s in trie.steps if s.depth == depth + 1]
         if not at:
             break
-        going = state.filter(F.col("n_steps") > depth).join(steps.filter(F.col("depth") == depth), "query_id")
+        wanted = needed.filter(F.col("depth") == depth + 1).select(F.col("entity").alias("of"), F.col("trie").alias("next"), "parent", "kind", "label", "words", "every")
+        going = state.join(wanted, (F.col("trie") == F.col("parent")) & (F.col("entity") == F.col("of")))
         moved: list[DataFrame] = []
-        for kind in dict.fromkeys(r[2] for r in at):
-            own = going.filter(F.col("kind") == kind)
+        for kind in dict.fromkeys(_as_row(s)[0] for s in at):
+            mine = going.filter(F.col("kind") == kind)
             if kind == "filter":
                 text = F.lower("dst")
                 hit = F.when(F.col("every"), F.forall("words", lambda w: F.contains(text, w))).otherwise(F.exists("words", lambda w: F.contains(text, w)))
-                own = own.join(graph.descriptions(), (F.col("node") == F.col("src")) & hit, "left_semi")
+                mine = mine.join(graph.descriptions(), (F.col("node") == F.col("src")) & hit, "left_semi")
             else:
-                labels = sorted({r[3] for r in at if r[2] == kind})
-                edges = graph.edges.filter(F.col("label").isin(labels)).select(F.col("label").alias("of"), "src", "dst")
-                own = own.join(edges, (F.col("label") == F.col("of")) & (F.col("node") == F.col("src")), "inner" if kind == "hop" else "left_semi")
-            moved.append(own.select("query_id", F.col("dst" if kind == "hop" else "node").alias("node"), "n_steps"))
+                labels = sorted({s.label for s in at if _as_row(s)[0] == kind})
+                edges = graph.edges.filter(F.col("label").isin(labels)).select(F.col("label").alias("of_label"), "src", "dst")
+                mine = mine.join(edges, (F.col("label") == F.col("of_label")) & (F.col("node") == F.col("src")), "inner" if kind == "hop" else "left_semi")
+            moved.append(mine.select(F.col("next").alias("trie"), "entity", F.col("dst" if kind == "hop" else "node").alias("node")))
         state = stored(reduce(DataFrame.unionByName, moved).distinct())
-    # Each state is distinct, and a query ends at one depth.
-    return reduce(DataFrame.unionByName, parts)
+    none = spark.createDataFrame([], "query_id long, node string")
+    # Each state is distinct, and a query has one end.
+    return reduce(DataFrame.unionByName, parts, none)
+
+
+def _as_row(step: Step) -> tuple[str, str | None, list[str], bool]:
+    """A step's kind, label, words, and whether it needs all of them."""
+    if isinstance(step, Filter):
+        return "filter", None, list(step.words), step.every
+    return "keep" if isinstance(step, TypeKeep) else "hop", step.label, [], False
 
 
 def trace(graph: Graph, state: DataFrame, path: str | Sequence[str], relation_texts: DataFrame | None = None) -> DataFrame:
@@ -220,8 +250,8 @@ def trace_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Dat
 
     one = state.sparkSession.range(1)
     item = F.concat(F.lit("   - "), "node")
-    for number, (text, step, after) in enumerate(zip(steps, compile_path(steps, "multi"), out.frontiers), 1):
-        head = f"[!] Step {number}: "
+    for number, (text, step, frontier) in enumerate(zip(steps, compile_path(steps, "multi"), out.frontiers), 1):
+        head, after = f"[!] Step {number}: ", frontier.expanded(state.select("query_id", "entity").distinct())
         if isinstance(step, Select):
             add(number, 0, one, F.lit(f"{head}Selecting entities. Results:"))
             add(number, 1, entities, F.concat(F.lit("   - "), "entity"))

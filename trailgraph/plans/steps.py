@@ -7,7 +7,7 @@ keeps the sources of a type step.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 OPEN, CLOSE, SEPARATOR = "<PATH>", "</PATH>", "<SEP>"
@@ -100,6 +100,52 @@ def compile_path(path: str | Sequence[str], mode: str) -> list[Step]:
     return [parse_step(s, mode) for s in steps]
 
 
+@dataclass(frozen=True)
+class TrieStep:
+    """A step as a node of a trie: it follows ``parent`` (0: the start), ``depth`` steps from the start."""
+
+    node: int
+    parent: int
+    depth: int
+    step: Step
+
+
+@dataclass(frozen=True)
+class Trie:
+    """Many paths, their common beginnings once.  ends: the last node of each path."""
+
+    steps: tuple[TrieStep, ...]
+    ends: dict[int, int]
+
+    def route(self, node: int) -> list[int]:
+        """The nodes from the start to ``node``."""
+        out: list[int] = []
+        while node:
+            out.append(node)
+            node = self.steps[node - 1].parent
+        return out[::-1]
+
+    def depth(self, node: int) -> int:
+        return self.steps[node - 1].depth if node else 0
+
+
+def path_trie(paths: Mapping[int, str | Sequence[str]]) -> Trie:
+    """The trie of single-mode paths; steps that mean the same are one, however they are spelled."""
+    steps: list[TrieStep] = []
+    known: dict[tuple, int] = {}
+    ends: dict[int, int] = {}
+    for path_id, path in paths.items():
+        at = 0
+        for depth, step in enumerate(compile_path(path, "single"), 1):
+            meaning = (at, (step.words, step.every) if isinstance(step, Filter) else step)
+            if meaning not in known:
+                steps.append(TrieStep(len(steps) + 1, at, depth, step))
+                known[meaning] = len(steps)
+            at = known[meaning]
+        ends[path_id] = at
+    return Trie(tuple(steps), ends)
+
+
 def without_no_ops(steps: Sequence[Step]) -> list[Step]:
     return [s for s in steps if not isinstance(s, Select)]
 

@@ -151,6 +151,19 @@ PATHS: dict[str, tuple[str | None, list[str]]] = {
 for _name, (_entity, _steps) in PATHS.items():
     query(_path_sql(_entity, _steps), _name)(lambda spark, sf_dir, e=_entity, p=_steps: follow(_graph(spark, sf_dir), spark, [e] if e else [], p))
 
+#: Keyword filters by the index of trigrams: words that are long, short, shared, in no text, with marks.
+INDEXED = {
+    "indexed_filter_and": (None, ["is_part_type", "filter red and plate", "supplied_by"]),
+    "indexed_filter_or": (None, ["is_part_type", "filter red plate or economy brushed or zzzz"]),
+    "indexed_filter_short_words": (SUPPLIER, ["supplies", "filter ri and ring"]),
+    "indexed_filter_documents": (None, ["is_document_type", "filter idiot or moron", "lang"]),
+    "indexed_filter_scan": (SUPPLIER, ["supplies", "filter ri or widget"]),
+    "indexed_filter_twice": (None, ["is_part_type", "filter ring", "filter red and #1", "used_by_order"]),
+}
+
+for _name, (_entity, _steps) in INDEXED.items():
+    query(_path_sql(_entity, _steps), _name)(lambda spark, sf_dir, e=_entity, p=_steps: follow(relational_graph.load_indexed(spark, sf_dir), spark, [e] if e else [], p))
+
 BATCH = {k: v for k, v in enumerate(PATHS.values()) if v[0]}
 
 
@@ -160,6 +173,38 @@ def batch_paths(spark, sf_dir):
     return follow_batch(_graph(spark, sf_dir), queries, {k: p for k, (_, p) in BATCH.items()})
 
 
+#: Paths that share beginnings, followed from every customer or supplier.
+FAMILY = {
+    "customer": [["placed_order"], ["placed_order", "priority"], ["placed_order", "uses_part", "filter red"], ["placed_order", "uses_part", "filter red", "supplied_by"], ["placed_order", "is_order_type", "priority"], ["from_nation", "in_region"], ["from_nation"], ["mktsegment"]],
+    "supplier": [["located_in"], ["located_in", "in_region"], ["supplies", "filter ring or rod"], ["supplies", "filter ring or rod", "used_by_order"], ["placed_order", "priority"]],
+}
+_FAMILY = [(kind, path) for kind, paths in FAMILY.items() for path in paths]
+
+
+def _family_sql(path_id: int, kind: str, steps: list[str]) -> str:
+    """One path from all entities of a kind, by its steps' joins."""
+    sql = f"SELECT {kind[0]}_name AS entity, {kind[0]}_name AS node FROM {kind}"
+    for step in steps:
+        if step.startswith("filter "):
+            words = step.removeprefix("filter ").split(" or ")
+            sql = f"SELECT entity, node FROM ({sql}) WHERE node IN (SELECT src FROM d WHERE {' OR '.join(f"contains(lower(dst), '{w}')" for w in words)})"
+        elif "_type" in step:
+            sql = f"SELECT entity, node FROM ({sql}) WHERE node IN (SELECT src FROM edges WHERE label = '{step}')"
+        else:
+            sql = f"SELECT DISTINCT entity, dst AS node FROM ({sql}) JOIN edges ON node = src WHERE label = '{step}'"
+    return f"SELECT {path_id} AS path_id, * FROM ({sql})"
+
+
+@query(f"{E_}, reached AS ({' UNION ALL '.join(_family_sql(k, kind, path) for k, (kind, path) in enumerate(_FAMILY))}) SELECT path_id, node, count(*) AS n FROM reached GROUP BY ALL")
+def batch_path_family(spark, sf_dir):
+    """How many entities reach each node by each path: one batch of a query for every entity and path of its kind."""
+    names = {kind: _table(spark, sf_dir, kind).select(F.col(f"{kind[0]}_name").alias("entity"), F.lit(kind).alias("kind")) for kind in FAMILY}
+    routes = spark.createDataFrame([(k, kind) for k, (kind, _) in enumerate(_FAMILY)], "path_id long, kind string")
+    asked = names["customer"].unionByName(names["supplier"]).join(F.broadcast(routes), "kind").select("path_id", "entity", F.xxhash64("path_id", "entity").alias("query_id"))
+    reached = follow_batch(_graph(spark, sf_dir), asked, {k: path for k, (_, path) in enumerate(_FAMILY)})
+    return reached.join(asked, "query_id").groupBy("path_id", "node").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- paths from several entities --------------------------------------------------------------------------------------
 
 
@@ -202,6 +247,7 @@ def _combined_sql(entities: list[str], steps: list[str], node_type: str, having:
 
 query(_combined_sql(_TWO, _HOPS, "supplier", "count(DISTINCT entity) = 2"), "exec_common_2")(_combined(_TWO, _HOPS, "exec_common supplier"))
 query(_combined_sql(_TWO, _HOPS, "supplier", "count(DISTINCT entity) % 2 = 1"), "exec_difference_2")(_combined(_TWO, _HOPS, "exec_difference supplier"))
+query(_combined_sql(_TWO, _HOPS, "part", "count(DISTINCT entity) % 2 = 1"), "exec_difference_2_parts")(_combined(_TWO, _HOPS, "exec_difference part"))
 query(_combined_sql(_THREE, _HOPS, "part", "count(DISTINCT entity) % 2 = 1"), "exec_difference_3_parity")(_combined(_THREE, _HOPS, "exec_difference part"))
 _SEEDED = ["placed_order", "is_nation_type", "in_region"]
 query(f"{_many_sql(_TWO, _SEEDED)} SELECT entity, node_type, node FROM acc", "type_seed_multi")(lambda spark, sf_dir: _many(spark, sf_dir, _TWO, _SEEDED).results.drop("query_id"))

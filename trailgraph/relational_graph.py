@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailgraph.operators import text_index
 from trailgraph.operators.graph import Graph, canonical, node_types
 from trailgraph.sources.readers import read_edges
 from trailgraph.sources.writers import write_edges
@@ -79,6 +80,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORES: dict[tuple, str] = {}
+_INDEXED: set[str] = set()
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple:
@@ -107,6 +109,16 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(read_edges(spark, f"{folder}/edges"), spark.read.schema("name string, node_type string").parquet(f"{folder}/types"))
 
 
+def load_indexed(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same with an index of the descriptions, built beside the store when it is first asked for."""
+    graph = load(spark, sf_dir)
+    folder = _STORES[spark.sparkContext.applicationId, _versions(spark, sf_dir)]
+    if folder not in _INDEXED:
+        text_index.build(graph.descriptions(), f"{folder}/index")
+        _INDEXED.add(folder)
+    return Graph(graph.edges, graph.types, text_index.TextIndex(spark, f"{folder}/index"))
+
+
 #: The same graph in SQL: ``edges(src, dst, label, pos)`` and ``node_type(name, node_type)``.
 SQL = f"""WITH raw AS (
 {' UNION ALL '.join(rule_sql(i, 'varchar') for i in range(len(RULES)))}
