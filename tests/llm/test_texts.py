@@ -85,6 +85,31 @@ def test_single_disguises_are_found(text, expected):
     assert plain == [] and [(k, text[a:b]) for k, a, b in added] == expected
 
 
+@pytest.mark.parametrize("text", [
+    "look at this.example and go", "we meet at noon.we go then", "version seven.1.2.3 is out", "see section four.2.1.3 please", "he was at home.it was late", "a polka dot dress, dot the i",
+    "sat at table nine.5 and left", "good at chess.no doubt", "stare at a dot on the wall", "at nine.30 at night", "one dot here, two dot there", "Release: one.2.3.4", "arrive at one dot five, at best",
+    "they laugh at un.deux and go", "point at it.is it", "he aimed at the dot. com was late", "at six, seven, eight and nine",
+])
+def test_prose_is_no_disguise(text):
+    plain, added, wider = pii.find_each([text])[0]
+    assert (added, wider) == ([], [])
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("mail bob at example dot it or so", "bob at example dot it"), ("bob at mail dot example dot com.", "bob at mail dot example dot com"), ("x at y.z.org", "x at y.z.org"),
+    ("ann at host.co dot uk", "ann at host.co dot uk"), ("kim (at) noon.we", "kim (at) noon.we"), ("kim at noon (dot) we", None), ("10 dot 0 dot 0 dot 1", "10 dot 0 dot 0 dot 1"),
+])
+def test_words_before_a_host_are_signs(text, expected):
+    plain, added, wider = pii.find_each([text])[0]
+    assert [text[a:b] for _, a, b in added + wider] == ([expected] if expected else [])
+
+
+def test_long_chains_of_dots_cost_one_pass():
+    began = time.perf_counter()
+    pii.find_each(["a at " + "a dot " * 200_000 + "b", "a dot " * 200_000 + "com", "at a." * 200_000])
+    assert time.perf_counter() - began < 30
+
+
 def test_wider_disguised_spans_stand_beside_plain_ones(spark):
     text = "to jоhn@example.com or ann@example.org dot uk, +1 415 555 2671 and"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -153,6 +153,35 @@ def test_certified_partitions_are_closed(spark, monkeypatch):
     assert all(r["partition_bins"] == r["partition_bound"] for r in out.collect())
 
 
+def test_ids_of_many_rounds_differ(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_PARTITION", 4)
+    ids = []
+    for number in (0, 1, 63, 64, 65, 127, 128, packing.MOST_ROUNDS):
+        rows = packing._packed(spark.createDataFrame([(k, 0, 0, 40 + k % 9, k) for k in range(40)], packing.PIECE_SCHEMA), 40, 100, number)
+        ids.append({r["sequence_id"] for r in rows.collect()})
+    assert all(min(i) >= 0 for i in ids) and len(set.union(*ids)) == sum(map(len, ids))
+
+
+def test_more_than_64_rounds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_PARTITION", 6)
+    monkeypatch.setattr(packing, "PATIENCE", 100)
+    packed, numbers = packing._packed, []
+    monkeypatch.setattr(packing, "_packed", lambda pieces, n, capacity, number, larger=1: numbers.append(number) or packed(pieces, n, capacity, number, 1))
+    monkeypatch.setattr(packing, "lower_bound", lambda counts, capacity, bound=packing.lower_bound: bound(counts, capacity) - 1)  # never met
+    rng = random.Random(6)
+    lengths = [rng.choice([34, 35, 51, 67]) for _ in range(40)]
+    out = packing.pack(spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECE_SCHEMA), 100, rounds=70)
+    rows = out.collect()
+    fills = Counter()
+    for r in rows:
+        fills[r["sequence_id"]] += r["length"]
+    sequences, bound = packing.certificate(out, 100)
+    assert max(numbers) == 70 and sorted(r["length"] for r in rows) == sorted(lengths) and max(fills.values()) <= 100
+    assert {r["gap"] for r in rows} == {sequences - bound}
+    with pytest.raises(ValueError):
+        packing.pack(out, 100, rounds=packing.MOST_ROUNDS + 1)
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORD_BPE).collect() == []
 

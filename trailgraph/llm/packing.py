@@ -3,12 +3,13 @@
 Pieces are dealt to partitions of bounded size by a hash of their key.  Each partition is packed by best-fit decreasing
 and certified: dual feasible functions give a lower bound of its bin count.  A partition whose bin count meets its bound is
 closed.  Partitions with a gap between the two exchange their documents: all of them are dealt anew to partitions with
-another hash, and best-fit decreasing runs again; a round is kept if it takes fewer bins.  Once every partition is
-certified but the whole count is above the bound of all pieces, what the partitions' bounds were rounded up by is in bins
-that are not full: the pieces of those are exchanged in the same way, in fewer and (up to ``1 << PATIENCE`` times) larger
-partitions.  Rounds end when the whole
-count meets the bound of all pieces, or when ``PATIENCE`` rounds in a row save nothing; ``certificate`` tells the gap that
-is left, if any.
+another hash, and best-fit decreasing runs again; a round is kept if it takes fewer bins.  Where that saved
+nothing it is not tried again before fewer than half as many pieces are in such partitions.  Once every partition is
+certified, or can't be mended so, but the whole count is above the bound of all pieces, what the partitions' bounds were
+rounded up by is in bins that are not full: the pieces of those are exchanged in the same way, in fewer and (up to
+``1 << PATIENCE`` times) larger partitions.  Rounds end when the whole count meets the bound of all pieces, when
+``PATIENCE`` rounds in a row save nothing, or after ``rounds``; ``gap`` tells by how many sequences the count is above the
+bound then, and so may be above the fewest.
 The driver sees counts a round and one histogram of at most ``capacity`` lengths.
 
 Defined cases: null or empty text is one piece, the end id; an empty table gives no sequence; a text longer than the
@@ -35,6 +36,8 @@ from trailgraph.llm.wordbpe import WordBpe
 PIECES_A_PARTITION = 20_000
 #: Rounds without a saving after which the exchange ends.
 PATIENCE = 3
+#: Rounds of exchange; an id has bits for ``MOST_ROUNDS``.
+ROUNDS, MOST_ROUNDS = 24, (1 << 10) - 1
 #: Dual feasible functions of the first family that are tried.
 DFF_STEPS = 40
 
@@ -113,7 +116,7 @@ def _pack_partition(capacity: int, round_number: int):
         bins, places = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         out = pieces[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-        out["sequence_id"] = (np.int64(round_number) << 58) + (pieces["bucket"].to_numpy(dtype=np.int64) << 24) + bins
+        out["sequence_id"] = (np.int64(round_number) << 53) + (pieces["bucket"].to_numpy(dtype=np.int64) << 24) + bins
         out["offset"], out["fill"] = places, fill[bins]
         out["partition_bins"] = len(fill)
         out["partition_bound"] = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
@@ -134,34 +137,40 @@ def _bins(packed: DataFrame) -> int:
     return packed.filter("offset = 0").count()
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds ``sequence_id``, ``offset`` and ``fill`` (the sequence's length) to pieces of at most ``capacity``, and the
-    bins and the bound of the partition that a piece was packed in last."""
+def pack(pieces: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
+    """Adds ``sequence_id``, ``offset`` and ``fill`` (the sequence's length) to pieces of at most ``capacity``, the bins and the
+    bound of the partition that a piece was packed in last, and ``gap``: sequences above the bound of all pieces."""
+    if not 0 <= rounds <= MOST_ROUNDS:
+        raise ValueError(f"rounds must be from 0 to {MOST_ROUNDS}")
     pieces = written(pieces)
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
     bound = lower_bound(counts, capacity)
     tables = [_packed(pieces, int(counts.sum()), capacity, 0)]
-    total, round_number, idle = _bins(tables[0]), 0, 0
+    total, idle, fruitless, larger = _bins(tables[0]), 0, 0, 2
     gap = F.col("partition_bins") > F.col("partition_bound")
-    while total > bound and idle < PATIENCE:
+    for round_number in range(1, rounds + 1):
+        if total <= bound or idle >= PATIENCE:
+            break
         whole = reduce(DataFrame.unionByName, tables)
-        # Partitions with a gap exchange all they have; without any, or where that saved nothing, bins that are not full.
-        gaps = not idle and not whole.filter(gap).isEmpty()
+        # Partitions with a gap exchange all they have; without any, or where that saves nothing, bins that are not full.
+        n = whole.filter(gap).count() if not idle else 0
+        gaps = n > 0 and (not fruitless or 2 * n <= fruitless)
         chosen = gap if gaps else F.col("fill") < capacity
         dealt = whole.filter(chosen)
-        before, n = _bins(dealt), dealt.count()
-        round_number += 1
-        again = _packed(dealt, n, capacity, round_number, 1 if gaps else 2 << idle)
+        n = n if gaps else dealt.count()
+        before = _bins(dealt)
+        again = _packed(dealt, n, capacity, round_number, 1 if gaps else larger)
         saved = before - _bins(again)
         if saved > 0:
             total, idle = total - saved, 0
             tables = [t.filter(~chosen) for t in tables] + [again]
         else:
-            idle += 1
+            idle, fruitless = idle + (not gaps), n if gaps else fruitless
+            larger = larger if gaps else min(2 * larger, 1 << PATIENCE)  # what has worked stays
             discard(again)
-    return reduce(DataFrame.unionByName, tables)
+    return reduce(DataFrame.unionByName, tables).withColumn("gap", F.lit(total - bound).cast("long"))
 
 
 def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
@@ -173,6 +182,6 @@ def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound`` of every piece of every
-    document."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound, gap`` of every piece
+    of every document."""
     return pack(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), capacity).drop("fill")

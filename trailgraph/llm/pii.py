@@ -7,7 +7,9 @@ digits, one writes "(at)", "[dot]", "name at host dot org" as the signs.  The sa
 text, and what they find is mapped back.  Such a span is added if a transducer changed something in it and it overlaps
 no plain span.  One that reaches beyond the plain spans it overlaps is *wider*: it stands beside them.
 
-Transducers run over every text; where they rewrite nothing, nothing is disguised.
+Transducers run over every text; where they rewrite nothing, nothing is disguised.  Prose has "at", "dot" and spelled digits,
+too: the words are signs only where what follows reads as a host, which ends in a known label or in a number, and a number
+after "version", "section" or the like is no address.
 
 Defined cases: null text counts as empty and has no span; offsets are code points, ends exclusive; kinds may overlap
 each other, a kind overlaps itself only where a wider span stands beside a plain one; repeated rows are treated each;
@@ -64,8 +66,18 @@ _SPELLED_ONE = re.compile(rf"(?i)plus|{_WORD}")
 _OPEN, _CLOSE = r"[(\[{<]\s{0,3}", r"\s{0,3}[)\]}>]"
 _AT_SIGN = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}")
 _DOT_SIGN = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s{{0,3}}")
-_AT_WORD = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}at\s{1,3}(?=[a-z0-9-]+(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-])")
+# The last labels of hosts that words may spell.  Those of the second line are words, too: they count where
+# "dot" is spelled, and not after a full stop, which may end a sentence.
+_HOST_ENDS = frozenset("com org net edu gov mil int info biz name pro io co ai app dev xyz online site shop eu uk de fr es ch nl se fi pl cz ru br mx ar jp cn kr nz za ca au".split())
+_WORD_ENDS = _HOST_ENDS | frozenset("it in us me no be at is to my so am as by do tv la si cc".split())
+_BETWEEN = r"(?:\s{1,3}dot\s{1,3}|\.)"
+_HOST = re.compile(rf"(?i)([a-z0-9-]+){_BETWEEN}[a-z0-9-]+(?:{_BETWEEN}[a-z0-9-]+)*")
+_LABEL = re.compile(r"(?i)[a-z0-9-]+")
+_DOT = re.compile(r"(?i)\s{1,3}dot\s{1,3}")
+_AT_WORD = re.compile(rf"(?i)(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]+{_BETWEEN}[a-z0-9-])")
 _DOT_WORD = re.compile(r"(?i)(?<=[a-z0-9-])\s{1,3}dot\s{1,3}(?=[a-z0-9-])")
+# Words before a number that is no address though dots are in it.
+_NUMBERED = re.compile(r"(?i)(?:version|release|build|section|chapter|part|step|figure|table|item|rule|clause|level|vers|sección|abschnitt|kapitel|chapitre|versión)[\s.:#]{1,3}$")
 
 
 def _emails(text: str) -> list[Span]:
@@ -173,9 +185,29 @@ def _digits(t: Transduced) -> None:
     t.rewrite([(m.start(), m.end(), written(m[0])) for m in _SPELLED_RUN.finditer(t.text)])
 
 
+def _in_hosts(text: str, words: re.Pattern[str]) -> list[re.Match[str]]:
+    """The words that stand before, or in, what reads as a host: labels that end in a known one (dots: or in a number).  A host is
+    read once, however many of its dots are spelled."""
+    kept: list[re.Match[str]] = []
+    end, known = -1, False
+    for m in words.finditer(text):
+        if m.end() >= end:
+            host = _HOST.match(text, m.end())
+            end = host.end() if host else _LABEL.match(text, m.end()).end()
+            last = re.split(r"[.\s]", text[m.end() : end])[-1].lower()
+            spelled = words is _DOT_WORD or host is not None and _DOT.search(host[0]) is not None
+            known = last in (_WORD_ENDS if spelled else _HOST_ENDS) or words is _DOT_WORD and last.isdigit()
+        if known:
+            kept.append(m)
+    return kept
+
+
 def _signs(t: Transduced) -> None:
-    for pattern, sign in ((_AT_SIGN, "@"), (_DOT_SIGN, "."), (_AT_WORD, "@"), (_DOT_WORD, ".")):
+    """Signs in brackets are disguises by themselves, words only where a host follows: prose has "at" and "dot", too."""
+    for pattern, sign in ((_AT_SIGN, "@"), (_DOT_SIGN, ".")):
         t.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(t.text)])
+    for words, sign in ((_AT_WORD, "@"), (_DOT_WORD, ".")):
+        t.rewrite([(m.start(), m.end(), sign) for m in _in_hosts(t.text, words)])
 
 
 def disguised_spans(text: str, plain: list[Span]) -> tuple[list[Span], list[Span]]:
@@ -193,6 +225,8 @@ def disguised_spans(text: str, plain: list[Span]) -> tuple[list[Span], list[Span
         start, end, changed = t.to_source(a, b)
         if not changed or any(k == kind and s < end and start < e for k, s, e in added + wider):
             continue
+        if kind == "ip" and _NUMBERED.search(text, max(0, start - 16), start):
+            continue
         met = [(s, e) for _, s, e in plain if s < end and start < e]
         if not met:
             added.append((kind, start, end))
