@@ -1,0 +1,91 @@
+"""Edges that arrive in batches: however they are cut and ordered, the result is that of all at once."""
+
+import json
+import random
+
+import pytest
+
+from trailgraph.operators import bundles, graph as graphs
+from trailgraph.sources.readers import objects_of, read_bundles
+from trailgraph.streaming.edges import EdgeStore, GraphStore, RelationStore, follow_bundles
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_any_cut_into_batches_gives_the_edges_of_one(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    edges = [(rng.choice("abcd"), rng.choice("abcd"), rng.choice(["x", "y", "z_type"]), rng.randrange(60)) for _ in range(120)]
+    schema = "src string, dst string, label string, seq long"
+    expected = rows_of(graphs.canonical(spark.createDataFrame(edges, schema)))
+    rng.shuffle(edges)
+    store = EdgeStore(spark, f"file://{tmp_path}/store")
+    cuts = sorted(rng.sample(range(1, 120), 3))
+    for batch, (a, b) in enumerate(zip([0, *cuts], [*cuts, 120])):
+        part = spark.createDataFrame(edges[a:b], schema)
+        store.upsert(part, batch)
+        if rng.random() < 0.5:
+            store.upsert(part, batch)  # a batch that is repeated
+        if batch in (1, 3):
+            store.compact()
+            store.upsert(part, batch)  # and one that is repeated after its compaction
+    assert rows_of(store.edges()) == expected
+    store.compact()
+    store.compact()
+    assert rows_of(store.edges()) == expected and len(store.bases.numbers()) <= 2 and EdgeStore(spark, f"file://{tmp_path}/none").edges().count() == 0
+
+
+def a_bundle(rng, k):
+    objects = []
+    for _ in range(rng.randrange(1, 6)):
+        i = rng.randrange(6)
+        objects.append({"id": f"m--{i}", "type": "m-x", **({"name": rng.choice([f"N{i}", f"M{i}", f"N{i}", ""])} if rng.random() < 0.8 else {}), "k": rng.choice(["v", ["w"], True])})
+    for _ in range(rng.randrange(0, 4)):
+        objects.append({"id": f"r--{rng.randrange(99)}", "type": "relationship", "source_ref": f"m--{rng.randrange(7)}", "target_ref": f"m--{rng.randrange(7)}", "relationship_type": rng.choice(["uses", "mitigates", "detects"])})
+    rng.shuffle(objects)
+    return json.dumps({"objects": objects})
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_order_of_files_gives_the_same_edges(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    files = [(k, a_bundle(rng, k)) for k in range(9)]
+    whole = objects_of(spark.createDataFrame(files, "file_ord long, value string"))
+    expected = rows_of(graphs.canonical(bundles.bundle_edges(whole)))
+    for trial in range(2):
+        rng.shuffle(files)
+        store = GraphStore(spark, f"file://{tmp_path}/{trial}")
+        for batch, at in enumerate(range(0, 9, 3)):
+            part = objects_of(spark.createDataFrame(files[at : at + 3], "file_ord long, value string"))
+            store.add(part, batch)
+            if trial:
+                store.add(part, batch)
+        assert rows_of(store.edges()) == expected
+
+
+def test_only_what_a_batch_changes_is_resolved_again(spark, tmp_path):
+    store = RelationStore(spark, f"file://{tmp_path}/r")
+    rels = spark.createDataFrame([(f"a--{k}", f"b--{k}", "uses", 2 * k) for k in range(50)], "source_ref string, target_ref string, relation string, seq long")
+    names = [(f"{x}--{k}", f"{x}{k}", 1) for x in "ab" for k in range(50)]
+    store.add(rels, spark.createDataFrame(names[:50], "id string, name string, at long"), 0)
+    assert store.edges().count() == 0
+    store.add(rels.limit(0), spark.createDataFrame(names[50:], "id string, name string, at long"), 1)
+    assert store.edges().count() == 100
+    store.add(rels.limit(0), spark.createDataFrame([("a--1", "new", 2), ("a--2", "a2", 3), ("a--3", "old", 0), ("a--4", "", 9)], "id string, name string, at long"), 2)
+    assert store.resolved.read("rel struct<seq:bigint>, src string", [2]).select("rel.seq").distinct().count() == 2  # of a--1 and a--4
+    found = {(r["src"], r["label"], r["dst"]) for r in store.edges().collect()}
+    assert len(found) == 98 and ("new", "uses_b", "b1") in found and ("b1", "used_by_a", "new") in found and not any("a1" in (s, d) or "a4" in (s, d) for s, _, d in found)
+
+
+def test_a_stream_of_bundles_fills_the_store(spark, tmp_path):
+    rng = random.Random(5)
+    (tmp_path / "in").mkdir()
+    path = f"file://{tmp_path}"
+    for k in range(4):
+        (tmp_path / "in" / f"f{k}.json").write_text(a_bundle(rng, k))
+        if k % 2:
+            follow_bundles(spark, f"{path}/in", f"{path}/store", f"{path}/ck").awaitTermination()
+    expected = graphs.canonical(bundles.bundle_edges(read_bundles(spark, f"{path}/in")))
+    assert rows_of(GraphStore(spark, f"{path}/store").edges().drop("pos")) == rows_of(expected.drop("pos"))

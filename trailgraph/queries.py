@@ -14,6 +14,8 @@ from trailgraph.operators import bundles, expand, graph as graphs, splits
 from trailgraph.plans.execute import Graph, follow, follow_batch, follow_many, start, trace, trace_many
 from trailgraph.sources.readers import keyed_objects, target_map
 from trailgraph.sources.writers import edge_lines
+from trailgraph.storage import working_folder
+from trailgraph.streaming.edges import EdgeStore, RelationStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -273,7 +275,8 @@ SELECT source AS src, target AS dst, label, seq + {bundles.PHASE} AS seq FROM na
 SELECT target, source, CASE WHEN label = 'mitigates' THEN 'mitigated_by' WHEN label = 'detects' THEN 'detected_by' WHEN label LIKE 'attributed%' THEN 'is_responsible' WHEN label LIKE 'uses\\_%' ESCAPE '\\' THEN concat('used_by_', replace(split_part(source_ref, '--', 1), '-', '_')) END, seq + {bundles.PHASE} + 1 FROM named)"""
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relation_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Relationships by reference, and names by id."""
     supplier, nation, part, line = (_table(spark, sf_dir, t) for t in ("supplier", "nation", "part", "lineitem"))
     uses = line.selectExpr("concat('supplier--', l_suppkey) AS source_ref", "concat('stock-part--', l_partkey) AS target_ref", "'uses' AS relation", "l_orderkey * 100 + l_linenumber * 2 AS seq")
     kind = "CASE WHEN s_suppkey % 3 = 0 THEN 'mitigates' WHEN s_suppkey % 3 = 1 THEN 'attributed-to' ELSE 'detects' END AS relation"
@@ -281,7 +284,11 @@ def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = nation.selectExpr("'supplier--none' AS source_ref", "concat('nation--', n_nationkey) AS target_ref", "'detects' AS relation", "cast(2000000000000 + n_nationkey AS long) AS seq")
     names = supplier.selectExpr("concat('supplier--', s_suppkey) AS id", "s_name AS name").unionByName(nation.selectExpr("concat('nation--', n_nationkey) AS id", "n_name AS name"))
     names = names.unionByName(part.selectExpr("concat('stock-part--', p_partkey) AS id", "p_name AS name"))
-    return bundles.relationship_edges(uses.unionByName(there).unionByName(lost), names)
+    return uses.unionByName(there).unionByName(lost), names
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundles.relationship_edges(*_relation_rows(spark, sf_dir))
 
 
 @query(f"{_RESOLVED_SQL} SELECT src, dst, label, seq FROM both_ways WHERE label IS NOT NULL")
@@ -294,6 +301,35 @@ def inverse_edges(spark, sf_dir):
     return graphs.label_counts(_relations(spark, sf_dir).filter(F.col("label").contains("_by") | (F.col("label") == "is_responsible")))
 
 
+@query(E_ + "SELECT src, dst, label, pos FROM edges")
+def edges_upserted(spark, sf_dir):
+    """All edges in three batches that don't follow the edges' order, with a compaction between."""
+    store = EdgeStore(spark, working_folder(spark))
+    raw = relational_graph.raw_edges(spark, sf_dir)
+    for batch in range(3):
+        store.upsert(raw.filter(F.pmod(F.xxhash64("seq", "src"), F.lit(3)) == batch), batch)
+        if batch == 1:
+            store.compact()
+    return store.edges()
+
+
+@query(f"""{_RESOLVED_SQL.replace("s_suppkey) AS id, s_name AS name FROM supplier", "s_suppkey) AS id, CASE WHEN s_suppkey % 2 = 0 THEN concat('new ', s_name) ELSE s_name END AS name FROM supplier WHERE s_suppkey % 7 > 0")}
+SELECT src, dst, label, seq FROM both_ways WHERE label IS NOT NULL""")
+def pending_relationships(spark, sf_dir):
+    """Relationships first, the names of parts with the second batch and those of nations with the third; a supplier in two is
+    called anew, and one in seven loses its name."""
+    store = RelationStore(spark, working_folder(spark))
+    rels, names = _relation_rows(spark, sf_dir)
+    key = F.substring_index("id", "--", -1).cast("long")
+    is_supplier, is_part = F.col("id").startswith("supplier"), F.col("id").startswith("stock-part")
+    first = names.filter(is_supplier).withColumn("at", F.lit(1).cast("long"))
+    again = first.withColumn("name", F.when(key % 7 == 0, "").when(key % 2 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name"))).withColumn("at", F.lit(2).cast("long"))
+    store.add(rels.filter(F.col("relation") == "uses"), first, 0)
+    store.add(rels.filter(F.col("relation") != "uses"), names.filter(is_part).withColumn("at", F.lit(1).cast("long")), 1)
+    store.add(rels.limit(0), names.filter(~is_supplier & ~is_part).withColumn("at", F.lit(1).cast("long")).unionByName(again), 2)
+    return store.edges()
+
+
 @query("""SELECT src, dst, label FROM (
 SELECT concat('Event#', event_id) AS src, replace(event_type, '-', '_') AS dst, concat('is_', replace(event_type, '-', '_'), '_type') AS label FROM events
 UNION ALL SELECT concat('Event#', event_id), concat('Event#', event_id), 'name' FROM events

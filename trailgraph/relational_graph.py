@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgraph.operators import text_index
@@ -66,17 +66,24 @@ def rule_sql(number: int, string: str) -> str:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, label, seq`` of all rules."""
+    """``src, dst, label, seq`` of all rules.  Rules over the same tables are read, and joined, once: a row gives an edge for
+    each of them."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
-    def rule(number: int) -> DataFrame:
-        joined, src, dst, label, key = (x.format(string="string") for x in RULES[number])
+    def edge(number: int) -> Column:
+        _, src, dst, label, key = (x.format(string="string") for x in RULES[number])
+        seq = (F.lit((number + 1) * RULE_PLACES) + F.expr(key)).cast("long")
+        return F.struct(F.expr(src).alias("src"), F.expr(dst).alias("dst"), F.expr(label).alias("label"), seq.alias("seq"))
+
+    def edges_of(joined: str) -> DataFrame:
         names = joined.replace(" ON ", " JOIN ").split(" JOIN ")
         rows = tables[names[0]] if len(names) == 1 else tables[names[0]].join(tables[names[1]], F.expr(names[2]))
-        cut = rows.select(F.expr(src).alias("src"), F.expr(dst).alias("dst"), F.expr(label).alias("label"), (F.lit((number + 1) * RULE_PLACES) + F.expr(key)).cast("long").alias("seq"))
-        return cut.filter("src is not null and dst is not null")
+        own = [edge(k) for k, rule in enumerate(RULES) if rule[0] == joined]
+        each = rows.select(*(e.alias(f"e{k}") for k, e in enumerate(own)))
+        found = each.select(F.explode(F.array(*each.columns)).alias("e")) if len(own) > 1 else each.withColumnRenamed("e0", "e")
+        return found.select("e.*").filter("src is not null and dst is not null")
 
-    return reduce(DataFrame.unionByName, map(rule, range(len(RULES))))
+    return reduce(DataFrame.unionByName, map(edges_of, dict.fromkeys(rule[0] for rule in RULES)))
 
 
 _STORES: dict[tuple, str] = {}
