@@ -258,6 +258,18 @@ _FILTERED = ["placed_order", "uses_part", "filter rod", "supplied_by"]
 query(f"{_many_sql(_TWO, _FILTERED)} SELECT entity, node_type, node FROM acc", "filter_multi")(lambda spark, sf_dir: _many(spark, sf_dir, _TWO, _FILTERED).results.drop("query_id"))
 
 
+@query(f"""{E_}, f1 AS (SELECT DISTINCT src AS entity, dst AS node FROM edges WHERE label = 'placed_order'
+), f2 AS (SELECT DISTINCT entity, dst AS node FROM f1 JOIN edges ON node = src WHERE label = 'uses_part'
+), f3 AS (SELECT DISTINCT entity, dst AS node FROM f2 JOIN edges ON node = src WHERE label = 'supplied_by'
+), acc AS (SELECT * FROM f1 UNION SELECT * FROM f2 UNION SELECT * FROM f3)
+SELECT entity, node_type, count(*) AS n FROM acc LEFT JOIN node_type ON node = name GROUP BY ALL""")
+def hops_of_all_customers(spark, sf_dir):
+    """How many nodes of each type every customer reaches: a frontier of all of them over the bucketed store."""
+    customers = _table(spark, sf_dir, "customer").select(F.lit(0).cast("long").alias("query_id"), F.col("c_name").alias("entity"), F.col("c_name").alias("node"))
+    reached = follow_many(relational_graph.load_bucketed(spark, sf_dir), customers, ["placed_order", "uses_part", "supplied_by"])
+    return reached.results.groupBy("entity", "node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- bundles ----------------------------------------------------------------------------------------------------------
 
 _RELS_SQL = """rels AS (
@@ -613,10 +625,60 @@ def expand_3_disjoint(spark, sf_dir):
     return expand.expand(spark, _templates(spark, _TRIPLE), _graph(spark, sf_dir)).select("question", "response")
 
 
-@query("""SELECT 'q_none' AS section, x AS question FROM (VALUES ('Name all nations.'), ('List the nations?')) t(x)""")
+def _none_sql(asked: str) -> str:
+    """The response of the template without an entity; its goal is described nowhere."""
+    path = "'<PATH>is_nation_type<SEP>in_region</PATH>'"
+    steps = f"{_hop_sql(1, 'is_nation_type')}, chr(10), 'Step 2: Follow ''in_region'' relationship to reach nations, marking the conclusion of our path.'"
+    return f"""concat('**Task Analysis**', chr(10), chr(10), 'Let''s reason step by step.', chr(10), 'Our goal is to reach the nations.', chr(10), chr(10), {steps}, chr(10), chr(10), chr(10),
+'**Path Completion**', chr(10), chr(10), 'By following these steps, represented as ', {path}, ', we have successfully achieved our goal: nations.', {_ENDED}, {path})"""
+
+
+@query(f"{_TOPS} SELECT 'q_none' AS section, x AS question, {_none_sql('x')} AS response FROM (VALUES ('Name all nations.'), ('List the nations?')) t(x)")
 def expand_0_variations(spark, sf_dir):
     varied = spark.createDataFrame([("Which nations are there?", ["Name all nations.", "List the nations?"])], "question string, variations array<string>")
-    return expand.expand(spark, _templates(spark, _NONE), _graph(spark, sf_dir), varied).select("section", "question")
+    return expand.expand(spark, _templates(spark, _NONE), _graph(spark, sf_dir), varied).select("section", "question", "response")
+
+
+_ASKED, _AIMS = ["What does [supplier] sell?", "Parts of [supplier]?", "[supplier]: which parts?"], ["parts of [supplier]", "what [supplier] supplies"]
+
+
+def _chosen_sql(options: list[str], question: str, which: str) -> str:
+    """One of the options by md5 of the seed, the template's question, the name and what is chosen."""
+    drawn = _drawn_sql(f"'{question}'", "s_name", f"'{which}'")
+    return f"replace(list_extract(['{"', '".join(options)}'], ({drawn} % {len(options)} + 1)::INTEGER), '[supplier]', s_name)"
+
+
+@query(f"SELECT {_chosen_sql(_ASKED, _ONE[2], 'q')} AS question, concat('Our goal is: ', {_chosen_sql(_AIMS, _ONE[2], 't')}, '.') AS goal FROM supplier")
+def expand_1_variations(spark, sf_dir):
+    """The variations of question and goal that are drawn for each name."""
+    varied = spark.createDataFrame([(_ONE[2], _ASKED), (_AIMS[0], _AIMS)], "question string, variations array<string>")
+    made = expand.expand(spark, _templates(spark, _ONE), _graph(spark, sf_dir), varied)
+    return made.select("question", F.regexp_extract("response", r"(Our goal is: [^\n]*)", 1).alias("goal"))
+
+
+#: A step of each kind, and its sentence's end in SQL: type is the type it leads to, last whether it is the last one.
+_KINDS = [
+    ("supplies", "", "concat('Step ', n, ': Follow ''supplies'' relationship, leading us to nodes representing ', type, '.')"),
+    ("page_rank 3", "", "concat('Step ', n, ': Follow ''page_rank 3'' relationship, leading us to nodes representing the top 3 ', type, '.')"),
+    ("select rings", "", "concat('Step ', n, ': Follow ''select rings'' relationship, focusing on ', type, ' nodes and selecting ''rings''.')"),
+    ("filter ring", "", "concat('Step ', n, ': Follow ''filter ring'' relationship, leading us to ', type, ' nodes having ring in their description.')"),
+    ("description", "", "concat('Step ', n, ': Follow ''description'' relationship to retrieve the description of the previous node.')"),
+    ("located_in", "last", "concat('Step ', n, ': Follow ''located_in'' relationship to reach ', type, ', marking the conclusion of our path.')"),
+    ("show part", "untyped", "concat('Step ', n, ': By following the ''show part'' relationship, we proceed to the next relevant nodes, continuing our analysis within the cybersecurity context.')"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, {k} AS kind, {sql} AS line FROM (SELECT p_partkey, p_size::VARCHAR AS n, p_brand AS type FROM part)" for k, (_, _, sql) in enumerate(_KINDS)))
+def step_sentences(spark, sf_dir):
+    """All seven sentences of a step, with numbers and types of the table."""
+    part = _table(spark, sf_dir, "part")
+
+    def line(relation: str, how: str) -> F.Column:
+        kind = F.lit(None).cast("string") if how == "untyped" else F.col("p_brand")
+        return expand.step_line(F.col("p_size"), kind, F.lit(relation), F.lit(how == "last"))
+
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), line(r, how).alias("line")) for k, (r, how, _) in enumerate(_KINDS)]))
+    return part.select("p_partkey", each.alias("e")).select("p_partkey", "e.kind", "e.line")
 
 
 @query("SELECT section, n FROM (VALUES ('q_one', (SELECT count(*) FROM supplier)), ('q_none', 1), ('empty', 0)) t(section, n)")

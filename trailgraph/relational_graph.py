@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.operators import text_index
 from trailgraph.operators.graph import Graph, canonical, node_types
+from trailgraph.sources import bucketed
 from trailgraph.sources.readers import read_edges
 from trailgraph.sources.writers import write_edges
 from trailgraph.storage import working_folder
@@ -88,6 +89,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORES: dict[tuple, str] = {}
 _INDEXED: set[str] = set()
+_BUCKETED: set[str] = set()
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple:
@@ -126,6 +128,18 @@ def load_indexed(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(graph.edges, graph.types, text_index.TextIndex(spark, f"{folder}/index"))
 
 
+def load_bucketed(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same with its edges bucketed by source, for frontiers of very many entities."""
+    graph = load(spark, sf_dir)
+    folder = _STORES[spark.sparkContext.applicationId, _versions(spark, sf_dir)]
+    table = f"edges_{folder.rsplit('/', 1)[-1]}"
+    buckets = max(bucketed.buckets_for(graph.edges.count()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if folder not in _BUCKETED:
+        bucketed.write_bucketed(graph.edges, f"{folder}/bucketed", table, buckets)
+        _BUCKETED.add(folder)
+    return Graph(bucketed.opened(spark, f"{folder}/bucketed", table, buckets), graph.types)
+
+
 #: The same graph in SQL: ``edges(src, dst, label, pos)`` and ``node_type(name, node_type)``.
 SQL = f"""WITH raw AS (
 {' UNION ALL '.join(rule_sql(i, 'varchar') for i in range(len(RULES)))}
