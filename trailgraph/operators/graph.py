@@ -6,12 +6,14 @@ results don't depend on partitioning.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgraph.operators.text_index import TextIndex
+from trailgraph.storage import stored
 from trailgraph.vocabulary import DESCRIPTION
 
 
@@ -33,6 +35,13 @@ class Graph:
     edges: DataFrame
     types: DataFrame
     index: TextIndex | None = None
+    _kept: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is derived from the graph, written when it is first asked for and read from then on."""
+        if name not in self._kept:
+            self._kept[name] = stored(make())
+        return self._kept[name]
 
     @classmethod
     def of(cls, edges: DataFrame) -> "Graph":

@@ -6,6 +6,7 @@ its rule's number times 10**12 plus the key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,11 +88,6 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, map(edges_of, dict.fromkeys(rule[0] for rule in RULES)))
 
 
-_STORES: dict[tuple, str] = {}
-_INDEXED: set[str] = set()
-_BUCKETED: set[str] = set()
-
-
 def _versions(spark: SparkSession, sf_dir: str) -> tuple:
     """The tables' files with their lengths and times: input that was written anew makes a new store."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -106,38 +102,51 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(found))
 
 
-def load(spark: SparkSession, sf_dir: str) -> Graph:
+@dataclass
+class Store:
+    """A graph's folder, the graph itself with what is kept with it, and its other forms, made when they are asked for."""
+
+    folder: str
+    graph: Graph
+    indexed: Graph | None = None
+    bucketed: Graph | None = None
+
+
+_STORES: dict[tuple, Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
     """The graph's store, built once a session and state of the input: canonical edges by label, and the node types."""
     key = (spark.sparkContext.applicationId, _versions(spark, sf_dir))
     if key not in _STORES:
         folder = working_folder(spark)
         write_edges(canonical(raw_edges(spark, sf_dir)), f"{folder}/edges")
-        node_types(read_edges(spark, f"{folder}/edges")).write.parquet(f"{folder}/types")
-        _STORES[key] = folder
-    folder = _STORES[key]
-    return Graph(read_edges(spark, f"{folder}/edges"), spark.read.schema("name string, node_type string").parquet(f"{folder}/types"))
+        edges = read_edges(spark, f"{folder}/edges")
+        node_types(edges).write.parquet(f"{folder}/types")
+        _STORES[key] = Store(folder, Graph(edges, spark.read.schema("name string, node_type string").parquet(f"{folder}/types")))
+    return _STORES[key]
+
+
+def load(spark: SparkSession, sf_dir: str) -> Graph:
+    return store(spark, sf_dir).graph
 
 
 def load_indexed(spark: SparkSession, sf_dir: str) -> Graph:
-    """The same with an index of the descriptions, built beside the store when it is first asked for."""
-    graph = load(spark, sf_dir)
-    folder = _STORES[spark.sparkContext.applicationId, _versions(spark, sf_dir)]
-    if folder not in _INDEXED:
-        text_index.build(graph.descriptions(), f"{folder}/index")
-        _INDEXED.add(folder)
-    return Graph(graph.edges, graph.types, text_index.TextIndex(spark, f"{folder}/index"))
+    """The same with an index of the descriptions."""
+    own = store(spark, sf_dir)
+    if own.indexed is None:
+        own.indexed = Graph(own.graph.edges, own.graph.types, text_index.build(own.graph.descriptions(), f"{own.folder}/index"))
+    return own.indexed
 
 
 def load_bucketed(spark: SparkSession, sf_dir: str) -> Graph:
     """The same with its edges bucketed by source, for frontiers of very many entities."""
-    graph = load(spark, sf_dir)
-    folder = _STORES[spark.sparkContext.applicationId, _versions(spark, sf_dir)]
-    table = f"edges_{folder.rsplit('/', 1)[-1]}"
-    buckets = max(bucketed.buckets_for(graph.edges.count()), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if folder not in _BUCKETED:
-        bucketed.write_bucketed(graph.edges, f"{folder}/bucketed", table, buckets)
-        _BUCKETED.add(folder)
-    return Graph(bucketed.opened(spark, f"{folder}/bucketed", table, buckets), graph.types)
+    own = store(spark, sf_dir)
+    if own.bucketed is None:
+        buckets = max(bucketed.buckets_for(own.graph.edges.count()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        table = f"edges_{own.folder.rsplit('/', 1)[-1]}"
+        own.bucketed = Graph(bucketed.write_bucketed(own.graph.edges, f"{own.folder}/bucketed", table, buckets), own.graph.types)
+    return own.bucketed
 
 
 #: The same graph in SQL: ``edges(src, dst, label, pos)`` and ``node_type(name, node_type)``.
