@@ -12,18 +12,31 @@ from pyspark.sql.types import StringType
 
 from trailgraph.functions.text import pick, strip, variations
 from trailgraph.sources import documents, yaml_documents
+from trailgraph.sources.large_bundles import large_bundle_objects
 from trailgraph.storage import stored
 
 
-def read_bundles(spark: SparkSession, base: str) -> DataFrame:
-    """``file_ord, obj_pos, keys``: the objects of all JSON files below ``base``, files in path order.
+#: Bytes of a bundle file beyond which it is read in splits.
+LARGE_BUNDLE = 1 << 27
 
-    A file that doesn't parse, or an object without id and type, is left out.
+
+def read_bundles(spark: SparkSession, base: str, large: int = LARGE_BUNDLE) -> DataFrame:
+    """``file_ord, obj_pos, keys, kinds``: the objects of all JSON files below ``base``, files in path order.
+
+    A file that doesn't parse, or an object without id and type, is left out.  A file of more than ``large`` bytes is never
+    one string.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(base, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value")
-    ranked = in_order(files.select("path").distinct(), "path").withColumnRenamed("number", "file_ord")
-    return objects_of(files.join(ranked, "path"))
+    path = F.col("_metadata.file_path").alias("path")
+    small = files.filter(F.col("_metadata.file_size") <= large).select(path, "value")
+    names = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").format("binaryFile").load(base).select("path", "length")
+    has_large = not names.filter(F.col("length") > large).isEmpty()
+    parsed = small.select("path", F.from_json("value", "objects array<string>").alias("bundle")).filter("bundle.objects is not null")
+    objects = parsed.select("path", F.posexplode("bundle.objects").alias("obj_pos", "object"))
+    if has_large:
+        objects = stored(objects.unionByName(large_bundle_objects(spark, base, large)))
+    ranked = in_order((objects.select("path") if has_large else small.select("path")).distinct(), "path").withColumnRenamed("number", "file_ord")
+    return keyed_objects(objects.join(ranked, "path"))
 
 
 def in_order(rows: DataFrame, column: str) -> DataFrame:
