@@ -270,7 +270,7 @@ def test_yaml_templates(spark, tmp_path):
     }
     assert yaml_documents.load(YAML) == expected
     assert yaml_documents.load("\n".join(writers.yaml_lines(expected))) == expected and yaml_documents.load("") is None
-    for refused in ("a: &x 1", "a: |\n  text", "a: [b", "a: b\n   c"):
+    for refused in ('a: "text over', "a: 'text over", "a: &x 1", "a: |\n  text", "a: [b", "a: b\n   c"):
         with pytest.raises(ValueError):
             yaml_documents.load(refused)
     (tmp_path / "t.yaml").write_text(YAML)
@@ -298,3 +298,18 @@ def test_known_types_have_their_glossary_line_and_the_section_its_cap(spark):
     capped = [r["question"] for r in got if r["section"] == "entity_in_path"]
     assert sorted(capped) == [f"M{k:04d}?" for k in range(600)] and len(got) == 1300
     assert all("\nDescription of 'malware': Malicious code/software.\n" in r["response"] for r in got)
+
+
+def test_what_has_no_place_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(bundles, "KEYS_AN_OBJECT", 6)
+    monkeypatch.setattr(bundles, "OBJECTS_A_FILE", 4)
+
+    def edges(file_ord, obj_pos, n_keys):
+        keys = "".join(f', "k{k}": 1' for k in range(n_keys - 3))
+        df = spark.createDataFrame([(file_ord, obj_pos, f'{{"id": "a", "type": "t", "name": "n"{keys}}}')], "file_ord long, obj_pos int, object string")
+        return bundles.attribute_edges(readers.keyed_objects(df)).collect()
+
+    assert [len(edges(0, 3, 6)), len(edges(bundles.FILES - 1, 0, 3))] == [5, 2]
+    for file_ord, obj_pos, n_keys in ((0, 0, 7), (0, 4, 3), (bundles.FILES, 0, 3)):
+        with pytest.raises(Exception, match="no place for"):
+            edges(file_ord, obj_pos, n_keys)

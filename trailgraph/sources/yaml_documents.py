@@ -54,7 +54,10 @@ def value(text: str) -> object:
     if text[:1] == "{":
         return json.loads(text)
     if text[:1] in ('"', "'"):
-        return scalar(re.match(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'', text)[0])
+        whole = re.match(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'', text)
+        if whole is None:
+            raise ValueError(f"cannot read this YAML text: {text}")
+        return scalar(whole[0])
     if text[:1] and text[0] in "&*!|>%@`":
         raise ValueError(f"cannot read this YAML value: {text}")
     return scalar(_COMMENT.sub("", text))
