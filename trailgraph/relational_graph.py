@@ -20,6 +20,7 @@ from trailgraph.sources.writers import write_edges
 from trailgraph.storage import working_folder
 
 RULE_PLACES = 10**12
+LEAST_BUCKETS = 16
 _CUSTOMER_NATION = "customer JOIN nation ON c_nationkey = n_nationkey"
 _SUPPLIER_NATION = "supplier JOIN nation ON s_nationkey = n_nationkey"
 _NATION_REGION = "nation JOIN region ON n_regionkey = r_regionkey"
@@ -143,7 +144,8 @@ def load_bucketed(spark: SparkSession, sf_dir: str) -> Graph:
     """The same with its edges bucketed by source, for frontiers of very many entities."""
     own = store(spark, sf_dir)
     if own.bucketed is None:
-        buckets = max(bucketed.buckets_for(own.graph.edges.count()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # As many as a shuffle has, so that the frontier is dealt to them; few for a small graph, as each is a file a label.
+        buckets = max(bucketed.buckets_for(own.graph.edges.count()), min(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         table = f"edges_{own.folder.rsplit('/', 1)[-1]}"
         own.bucketed = Graph(bucketed.write_bucketed(own.graph.edges, f"{own.folder}/bucketed", table, buckets), own.graph.types)
     return own.bucketed
