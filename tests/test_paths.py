@@ -227,3 +227,20 @@ def test_paths_equal_the_set_model(spark, seed):
     out = follow_many(graph, start(spark, many), path)
     assert {(r["entity"], r["node_type"], r["node"]) for r in out.results.collect()} == results
     assert {(r["entity"], r["node"]) for r in out.frontiers[-1].expanded(out.entities).collect()} == {(e, n) for e in many for n in state[e]}
+
+
+def test_labels_by_number_equal_those_by_text(spark):
+    rng = random.Random(5)
+    labels = ["is_x_type", "r", "é", "日本", "r2", None]
+    rows = [(f"s{rng.randrange(30)}", f"s{rng.randrange(30)}", rng.choice(labels), rng.randrange(40)) for _ in range(3000)]
+    edges = spark.createDataFrame(rows, "src string, dst string, label string, seq long")
+    expected = sorted(map(repr, graphs.canonical(edges).collect()))
+    stated = [x for x in labels if x]
+    found = graphs.canonical_by_number(edges, stated, 39)
+    assert sorted(map(repr, found.collect())) == expected
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    # No room for a label's number beside the place.
+    assert sorted(map(repr, graphs.canonical_by_number(edges, stated, 1 << 61).collect())) == expected
+    with pytest.raises(Exception, match="not among the stated labels"):
+        graphs.canonical_by_number(edges, stated[:-1], 39).collect()
+    assert graphs.canonical_by_number(edges.limit(0), [], 0).count() == 0

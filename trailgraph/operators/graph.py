@@ -6,7 +6,7 @@ results don't depend on partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -22,6 +22,25 @@ def canonical(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max(F.struct("seq", "label")).alias("last"), F.min("seq").alias("pos")).select("src", "dst", F.col("last.label").alias("label"), "pos")
 
 
+def canonical_by_number(edges: DataFrame, labels: Iterable[str], last_place: int) -> DataFrame:
+    """The same where all ``labels`` that may occur are known, and no place is negative or above ``last_place``.
+
+    Labels are numbered in their order, and a number is packed with the place in one long, so that edges are aggregated by
+    hash and shuffled without their labels; a text among the aggregates would have all edges sorted.  A label that wasn't
+    stated fails the job.  Too many labels for one long are left to ``canonical``.
+    """
+    names = sorted(set(labels))
+    bits = len(names).bit_length()
+    if last_place >> (63 - bits):
+        return canonical(edges)
+    codes = edges.sparkSession.createDataFrame(list(enumerate(names, 1)), "code long, name string")
+    unknown = F.raise_error(F.concat(F.lit("not among the stated labels: "), "label")).cast("long")
+    code = F.when(F.col("label").isNull(), 0).otherwise(F.coalesce("code", unknown))
+    packed = edges.join(codes, F.col("label") == F.col("name"), "left").select("src", "dst", "seq", (F.shiftleft("seq", bits) + code).alias("packed"))
+    last = packed.groupBy("src", "dst").agg(F.max("packed").alias("last"), F.min("seq").alias("pos"))
+    return last.join(codes, F.col("last").bitwiseAND(F.lit((1 << bits) - 1)) == F.col("code"), "left").select("src", "dst", F.col("name").alias("label"), "pos")
+
+
 def multigraph(edges: DataFrame) -> DataFrame:
     """All different labels of a (source, target), each at its first place."""
     return edges.groupBy("src", "dst", "label").agg(F.min("seq").alias("pos"))

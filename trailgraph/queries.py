@@ -47,7 +47,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 @query(E_ + "SELECT src, dst, label, pos FROM edges")
 def edges_canonical(spark, sf_dir):
-    return graphs.canonical(relational_graph.raw_edges(spark, sf_dir))
+    return relational_graph.canonical_edges(spark, sf_dir)
 
 
 @query(E_ + "SELECT src, dst, label, min(seq) AS pos FROM raw GROUP BY ALL")

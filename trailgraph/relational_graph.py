@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgraph.operators import text_index
-from trailgraph.operators.graph import Graph, canonical, node_types
+from trailgraph.operators.graph import Graph, canonical_by_number, node_types
 from trailgraph.sources import bucketed
 from trailgraph.sources.readers import read_edges
 from trailgraph.sources.writers import write_edges
@@ -89,6 +89,20 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, map(edges_of, dict.fromkeys(rule[0] for rule in RULES)))
 
 
+def rule_labels(spark: SparkSession, sf_dir: str) -> set[str]:
+    """The labels of all rules: what is stated, and the different values of the columns that give labels."""
+    found = {rule[3].strip("'") for rule in RULES if rule[3].startswith("'")}
+    for name, *_, label, _ in RULES:
+        if not label.startswith("'"):
+            values = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.expr(label).alias("label")).distinct()
+            found |= {r["label"] for r in values.filter("label is not null").collect()}  # one row a label
+    return found
+
+
+def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_by_number(raw_edges(spark, sf_dir), rule_labels(spark, sf_dir), (len(RULES) + 1) * RULE_PLACES)
+
+
 def _versions(spark: SparkSession, sf_dir: str) -> tuple:
     """The tables' files with their lengths and times: input that was written anew makes a new store."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -121,7 +135,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, _versions(spark, sf_dir))
     if key not in _STORES:
         folder = working_folder(spark)
-        write_edges(canonical(raw_edges(spark, sf_dir)), f"{folder}/edges")
+        write_edges(canonical_edges(spark, sf_dir), f"{folder}/edges")
         edges = read_edges(spark, f"{folder}/edges")
         node_types(edges).write.parquet(f"{folder}/types")
         _STORES[key] = Store(folder, Graph(edges, spark.read.schema("name string, node_type string").parquet(f"{folder}/types")))
