@@ -169,6 +169,19 @@ def test_edited_texts_and_neighbours(spark):
     assert got == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("key", [None, 17])
+def test_neighbours_among_rows_of_one_key(spark, key):
+    rng = random.Random(8)
+    rows = [(key, f"{rng.random()} é") for _ in range(3000)] + [(key, None), (key, ""), (key, "same"), (key, "same")] + [(k, f"other {k}") for k in range(-150, 150)]
+    order = [(k, t or "") for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))]
+    got = order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    expected = []
+    for (k, text), (_, after) in zip(order, order[1:] + order[:1]):
+        q = len(text) // 4
+        expected.append((str(k), len(text), hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(expected)
+
+
 def test_lone_document_and_none(spark):
     (row,) = order_minhash.fingerprints(spark.createDataFrame([(1, "just one text here")], "doc_id long, text string")).collect()
     assert row["near_next"] == 1.0
@@ -498,14 +511,16 @@ def test_quotes_are_linked_and_ordered(spark):
 
 
 @pytest.mark.parametrize("block", [2, 1024])
-def test_branches_equal_a_loop(spark, monkeypatch, block):
+@pytest.mark.parametrize("apart", [1, 10**12])
+def test_branches_equal_a_loop(spark, monkeypatch, block, apart):
     monkeypatch.setattr(quotation, "BLOCK_TURNS", block)
+    monkeypatch.setattr(quotation, "MOST_BLOCKS", 5)
     rng = random.Random(block)
     rows = []
     for conv in range(6):
-        for turn in sorted(rng.sample(range(-3, 40), 14)):
-            quote = f"> message {rng.randrange(-3, turn + 2)}\n" if rng.random() < 0.4 else ""
-            rows.append((conv, turn, "u", f"{quote}message {turn}"))
+        for t in sorted(rng.sample(range(-3, 40), 14 if conv else 2)):
+            quote = f"> message {apart * rng.randrange(-3, t + 2)}\n" if rng.random() < 0.4 else ""
+            rows.append((conv, apart * t, "u", f"{quote}message {apart * t}"))
     got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["branch"], r["place"]) for r in quotation.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     expected = {}
     for conv in range(6):

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from trailgraph.llm import packing, piece_sampling, token_files
-from trailgraph.llm.common import range_bounds, range_part
+from trailgraph.llm.common import ordered_parts, range_bounds, range_part
 from trailgraph.llm.token_files import EliasFano
 from trailgraph.llm.wordbpe import WordBpe
 
@@ -96,6 +96,23 @@ def test_range_parts_are_in_order(spark):
     assert [r["part"] for r in rows] == [sum(b <= r["key"] for b in bounds) for r in rows] and len(bounds) == 12
 
 
+@pytest.mark.parametrize("key", [None, 17])
+def test_rows_of_one_key_are_dealt_on_in_order(spark, tmp_path, key):
+    rng = random.Random(3)
+    rows = [(key, f"{rng.random()} text é {k}") for k in range(19_000)] + [(key, None), (key, ""), (key, "same")] + [(key, "same")] * 3 + [(k, f"other {k}") for k in range(-500, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    part, hot = ordered_parts(docs, "doc_id", "text", 16)
+    found = docs.select("*", part.alias("part")).collect()
+    in_order = sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, (r["text"] or "").encode()))
+    assert [r["part"] for r in in_order] == sorted(r["part"] for r in found) and hot == [key]
+    assert max(Counter(r["part"] for r in found).values()) < 20_000 / 16 * 2.5
+    path = f"file://{tmp_path}/hot"
+    token_files.write_token_files(docs, path, WORD_BPE, end_id=1)
+    got = sorted(token_files.read_token_files(spark, path, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in in_order]
+    assert [r["ids"] for r in got[::97]] == [[*library(r["text"]), 1] for r in in_order[::97]]
+
+
 def test_packing_is_whole_and_gapless(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_A_PARTITION", 20)
     rng = random.Random(4)

@@ -6,7 +6,8 @@ hashed as a tuple.  A slot agrees between two texts if the same elements are sma
 order, so that moved passages count as edits, which sets of k-mers don't see.  The share of agreeing slots is taken to
 the power 1 / ``TUPLE``: the likeness of single elements.  An empty slot borrows the next filled one's tuple.
 
-Neighbours in key order are met by dealing the texts to key ranges; each range's first text is also sent to the range
+Neighbours in key order are met by dealing the texts to key ranges (those of a key, or of none, that very many rows have,
+to ranges of the text); each range's first text is also sent to the range
 before it (the first range's to the last), so that no task needs another's rows.
 
 Defined cases: null text counts as empty; an empty text has one constant fingerprint; a text shorter than k is one
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import map_arrow, range_bounds, range_part, shuffle_partitions
+from trailgraph.llm.common import HEAD_CHARS, map_arrow, ordered_parts, shuffle_partitions
 from trailgraph.llm.words import mix
 
 K = 8
@@ -147,19 +149,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"))
-    bounds = range_bounds(keyed.select("key"), "key", n * PARTS_A_PARTITION)
-    part = range_part(F.col("key"), bounds)
-    # One row a part: their number is a multiple of the shuffle partitions.
-    heads = sorted((r["part"], r["head"]) for r in keyed.groupBy(part.alias("part")).agg(F.min("key").alias("head")).collect())
+    part, hot = ordered_parts(keyed, "doc_id", "text", n * PARTS_A_PARTITION)
+    is_hot = reduce(Column.__or__, [F.col("doc_id").eqNullSafe(F.lit(k).cast("long")) for k in hot], F.lit(False))
+    # Of a hot key, a part's first text is told by its beginning; of other keys, by the key alone.
+    keyed = keyed.withColumn("part", part).withColumn("first", F.when(is_hot, F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS)))
+    # One row a part: their number goes with the shuffle partitions, and beginnings are short.
+    firsts = {r["part"]: r["first"] for r in keyed.filter(is_hot).groupBy("part").agg(F.min("first").alias("first")).collect()} if hot else {}
+    heads = sorted((r["part"], r["head"]) for r in keyed.groupBy("part").agg(F.min("key").alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    around = [(p, head, heads[i - 1][0]) for i, (p, head) in enumerate(heads)]
-    places = spark.createDataFrame(around, "part int, head long, before int")
+    around = [(p, head, firsts.get(p), heads[i - 1][0]) for i, (p, head) in enumerate(heads)]
+    places = spark.createDataFrame(around, "part int, head long, head_first string, before int")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))
     sent = F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))
     dealt = (
-        keyed.withColumn("part", part).join(F.broadcast(places), "part")
-        .withColumn("to", F.explode(F.when(F.col("key") == F.col("head"), F.array(own, sent)).otherwise(F.array(own))))
+        keyed.join(F.broadcast(places), "part")
+        .withColumn("to", F.explode(F.when((F.col("key") == F.col("head")) & F.col("first").eqNullSafe(F.col("head_first")), F.array(own, sent)).otherwise(F.array(own))))
         .select("to.part", "key", "doc_id", "text", "to.tail")
         .repartition(n, "part").sortWithinPartitions("part", "tail", "key", "text")
     )

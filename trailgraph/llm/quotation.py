@@ -35,8 +35,8 @@ _ANNOUNCES = re.compile(r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escrib
 _BLANKS = re.compile(r"\s+")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 
-#: Turns ordered by one task at a time.
-BLOCK_TURNS = 1024
+#: A conversation of more messages is ordered in blocks, by many tasks; into how many blocks at most.
+BLOCK_TURNS, MOST_BLOCKS = 4096, 512
 
 PARSED = "conv_id long, turn long, role string, parts array<struct<level:int,hash:long,raw:string>>, own array<long>"
 
@@ -122,12 +122,31 @@ def _parse(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["conv_id", "turn", "role", "parts", "own"])
 
 
-def _blocks(turns: DataFrame) -> tuple[DataFrame, Window, Window, Window]:
-    """Turns with the block of ``BLOCK_TURNS`` they are in; windows within a block, over a conversation's blocks, and over
-    the blocks before.  A conversation that holds most messages is ordered by many tasks; its blocks are few rows."""
-    within = Window.partitionBy("conv_id", "block").orderBy("turn")
+def _with_block(turns: DataFrame) -> DataFrame:
+    """Adds ``block`` to ``conv_id, turn``, a written table: 0, but in conversations of more than ``BLOCK_TURNS`` messages the
+    number of the conversation's own cuts at or below the turn.
+
+    Cuts are approximate quantiles, so that blocks hold about as many messages each however far apart the turns are.  Which
+    cuts there are doesn't change the result.
+    """
+    none = F.floor(F.col("turn") / BLOCK_TURNS)  # messages without a conversation go by the turn's value
+    sizes = written(turns.filter("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_TURNS))
+    if sizes.first() is None:
+        return turns.withColumn("block", F.when(F.col("conv_id").isNull(), none).otherwise(F.lit(0).cast("long")))
+    shares = [k / MOST_BLOCKS for k in range(1, MOST_BLOCKS)]
+    cuts = join_counted(turns, sizes, "conv_id", "n").groupBy("conv_id", "n").agg(F.percentile_approx("turn", shares, 8 * MOST_BLOCKS).alias("cuts"))
+    long = join_counted(turns, written(cuts.withColumn("cuts", F.array_distinct("cuts"))), "conv_id", "n")
+    cut = long.select("conv_id", "turn", F.size(F.filter("cuts", lambda c: c <= F.col("turn"))).cast("long").alias("block"))
+    # Long conversations are at most one in ``BLOCK_TURNS`` of all rows.
+    rest = turns.join(sizes.select(F.col("conv_id").alias("long_id")), F.col("conv_id") == F.col("long_id"), "left_anti")
+    return cut.unionByName(rest.withColumn("block", F.when(F.col("conv_id").isNull(), none).otherwise(F.lit(0).cast("long"))))
+
+
+def _windows() -> tuple[Window, Window, Window]:
+    """Within a block, over a conversation's blocks, and over the blocks before.  A conversation that holds most messages is
+    ordered by many tasks; its blocks are few rows."""
     across = Window.partitionBy("conv_id").orderBy("block")
-    return turns.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)), within, across, across.rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("conv_id", "block").orderBy("turn"), across, across.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -135,16 +154,16 @@ def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(side, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("block").eqNullSafe(F.col("__b"))).drop("__c", "__b")
 
 
-def _with_before(turns: DataFrame) -> DataFrame:
+def _with_before(rows: DataFrame) -> DataFrame:
     """Adds ``before``: the conversation's turn before each."""
-    rows, within, across, _ = _blocks(turns)
+    within, across, _ = _windows()
     lasts = rows.groupBy("conv_id", "block").agg(F.max("turn").alias("last")).select("conv_id", "block", F.lag("last").over(across).alias("last_before"))
-    return _with_blocks(rows, lasts).withColumn("before", F.coalesce(F.lag("turn").over(within), "last_before")).drop("block", "last_before")
+    return _with_blocks(rows, lasts).withColumn("before", F.coalesce(F.lag("turn").over(within), "last_before")).drop("last_before")
 
 
-def _with_branches(turns: DataFrame) -> DataFrame:
+def _with_branches(rows: DataFrame) -> DataFrame:
     """Adds ``branch``, the number of branch starts up to each turn, and ``place`` in the branch, from 1."""
-    rows, within, across, earlier = _blocks(turns)
+    within, _, earlier = _windows()
     rows = rows.withColumn("at", F.row_number().over(within)).withColumn("begun", F.sum("starts").over(within))
     rows = rows.withColumn("start_at", F.max(F.when(F.col("starts") == 1, F.col("at"))).over(within))
     sums = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("starts").alias("s"), F.max("start_at").alias("m"))
@@ -183,7 +202,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     taken = taken.groupBy("conv_id", "turn").agg(F.collect_set("hash").alias("taken"))  # as many as a message has quotes
     outside = outside.groupBy("conv_id", "turn").agg(F.min("origin").alias("origin"), F.count(F.lit(1)).alias("n_outside"))
     inside = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("first_turn").alias("n_inside"), F.max("first_turn").alias("quoted_turn"))
-    turns = _with_before(parsed.select("conv_id", "turn").distinct())
+    turns = _with_before(written(_with_block(written(parsed.select("conv_id", "turn").distinct()))))
     replies = turns.join(inside, ["conv_id", "turn"], "left").join(outside, ["conv_id", "turn"], "left").join(taken, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce("quoted_turn", "before"))
     ordered = _with_branches(replies.withColumn("starts", (F.col("quoted_turn") != F.col("before")).eqNullSafe(F.lit(True)).cast("long")))
     replies = ordered.select(

@@ -7,7 +7,8 @@ select directory holds one position for every 256 values, so that ``select(i)``
 table is kept.  Segments travel in Spark's own writer, so that they reach any store, and are committed once however
 often a task is tried.
 
-Documents are ordered by key.  They are dealt to parts by ranges of the key, each part is written by one task in key
+Documents are ordered by key.  They are dealt to parts by ranges of the key (a key, or none, that very many rows have, by
+ranges of its texts too), each part is written by one task in key
 order, and a document's global place is its part's start (a sum a part), plus its place in the part.
 
 Defined cases: null or empty text has the end id only; an empty table writes no segment and reads back empty; null keys
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import map_arrow, range_bounds, range_part, shuffle_partitions
+from trailgraph.llm.common import map_arrow, ordered_parts, shuffle_partitions
 from trailgraph.llm.wordbpe import WordBpe
 from trailgraph.storage import small_batches
 
@@ -179,8 +180,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    bounds = range_bounds(keyed.select("key"), "key", n * PARTS_A_PARTITION)
-    dealt = keyed.select(range_part(F.col("key"), bounds).alias("part"), "key", "text").repartition(n, "part").sortWithinPartitions("part", "key", "text")
+    part, _ = ordered_parts(keyed, "key", "text", n * PARTS_A_PARTITION)
+    dealt = keyed.select(part.alias("part"), "key", "text").repartition(n, "part").sortWithinPartitions("part", "key", "text")
     with small_batches(spark):
         map_arrow(dealt, _segment_rows(tokenizer_path, end_id), SEGMENT_SCHEMA).write.parquet(path)
 
