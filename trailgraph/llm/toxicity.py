@@ -35,8 +35,9 @@ from trailgraph.llm.words import Chunks, chunk_groups, mix
 
 #: Pseudo-counts: spread as the tokens are, and for each token.
 PRIOR_TOTAL, PRIOR_EACH = 100.0, 0.5
-#: Standard errors that weights are drawn to zero by; texts that a feature must be in.
-SHRINK, MIN_TEXTS = 2.0, 3
+#: Standard errors that weights are drawn to zero by, chosen by log loss over two halves of the learnable rows; texts that a
+#: feature must be in.
+SHRINK, MIN_TEXTS = 2.5, 3
 DRIFT = 0.1
 #: Parts of the sample; the texts of each are calibrated by the weights of the others.
 FOLDS = 3
