@@ -1,0 +1,66 @@
+"""Edges merged as pairs of nodes: the same as one by one, with one shuffle that nothing is merged before."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from trailgraph import relational_graph
+from trailgraph.operators import graph as graphs
+from trailgraph.sources import readers, writers
+
+DATA = "/root/testdata/sf0.001"
+NAMES = ["", "a", "b", "é", "B", "a b", "Z"]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """x, y, label and place of an edge and of the one that leads back, or none; loops, repeats and nulls among them."""
+    rng = random.Random(8)
+    made = [(rng.choice([*NAMES, None]), rng.choice([*NAMES, None]), rng.choice(["r", "s", "is_type", None]), k, rng.choice(["r", "t"]), 1000 + rng.randrange(900) if rng.random() < 0.7 else None) for k in range(400)]
+    return spark.createDataFrame(made, "x string, y string, label string, seq long, label2 string, seq2 long").repartition(5)
+
+
+@pytest.mark.parametrize("parts", [None, 7])
+def test_pairs_are_merged_as_edges_are(spark, rows, parts):
+    there = rows.select(F.col("x").alias("src"), F.col("y").alias("dst"), "label", "seq")
+    back = rows.filter("seq2 is not null").select(F.col("y").alias("src"), F.col("x").alias("dst"), F.col("label2").alias("label"), F.col("seq2").alias("seq"))
+    edges = there.unionByName(back).filter("src is not null and dst is not null")
+    labels = graphs.Labels.of(["r", "s", "is_type", "t"])
+    code = {c: F.coalesce(*[F.when(F.col(c) == n, k) for k, n in enumerate(labels.names, 1)], F.lit(0)) for c in ("label", "label2")}
+    pair = graphs.both_ways(F.col("x"), F.col("y"), labels.packed(F.col("seq"), code["label"]), labels.packed(F.col("seq2"), code["label2"]))
+    pairs = rows.select(pair.alias("e")).filter("e is not null").select("e.*")
+    for of_pairs, of_edges in ((graphs.canonical_of_pairs, graphs.canonical), (graphs.multigraph_of_pairs, graphs.multigraph)):
+        assert sorted(map(repr, of_pairs(pairs, labels, parts).collect())) == sorted(map(repr, of_edges(edges).select("src", "dst", "label", "pos").collect()))
+    assert graphs.canonical_of_pairs(pairs.limit(0), labels, parts).count() == 0
+
+
+def test_the_rules_pairs_are_their_edges(spark):
+    raw = relational_graph.raw_edges(spark, DATA)
+    for got, expected in ((relational_graph.canonical_edges(spark, DATA), graphs.canonical(raw)), (relational_graph.multigraph_edges(spark, DATA), graphs.multigraph(raw))):
+        expected = expected.select(*got.columns)
+        assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+
+
+def test_edges_are_dealt_once_and_not_merged_before(spark):
+    for made in (relational_graph.canonical_edges(spark, DATA), relational_graph.multigraph_edges(spark, DATA)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        dealt = [k for k, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(a#", line)]
+        assert len(dealt) == 1 and not any("Aggregate" in line for line in lines[dealt[0] :]) and "SortAggregate" not in plan
+        assert plan.count("FileScan") == 19  # one for each table of each join: no rule reads them for itself
+
+
+def test_a_sorted_store_reads_a_labels_pages(spark, tmp_path):
+    rows = [(f"s{k % 50}", f"d{k}", ["r", "is_x_type", None][k % 3], k) for k in range(300)]
+    writers.write_sorted_edges(spark.createDataFrame(rows, "src string, dst string, label string, pos long").repartition(3), f"file://{tmp_path}/store")
+    files = list((tmp_path / "store").glob("*.parquet"))
+    assert len(files) == 3
+    store = readers.read_edges(spark, f"file://{tmp_path}/store")
+    assert sorted(map(repr, map(tuple, store.collect()))) == sorted(repr((s, d, label, k)) for s, d, label, k in rows)
+    for f in files:
+        labels = [r["label"] or "" for r in spark.read.parquet(f"file://{f}").collect()]
+        assert labels == sorted(labels)
+    graph = graphs.Graph.of(store)
+    assert "EqualTo(label,r)" in graph.slice("r")._jdf.queryExecution().executedPlan().toString() and graph.slice("r").count() == 100
