@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgraph.operators.graph import Graph
-from trailgraph.plans.steps import Combine, Filter, Hop, Select, Step, TypeKeep, TypeSeed, compile_path, is_dead, parse_path, path_trie
+from trailgraph.plans.steps import Combine, Filter, Hop, Select, Step, Trie, TypeKeep, TypeSeed, compile_path, is_dead, parse_path, path_trie
+from trailgraph.sources.readers import in_order
 from trailgraph.storage import stored
 
 STATE = ["query_id", "entity", "node"]
 #: Parts that rows which hold for all entities are dealt to where they are multiplied.
 SHARED_PARTS = 64
+#: Entities of one row of a batch's frontier, at most.
+BLOCK = 1 << 18
 
 
 def start(spark: SparkSession, entities: Sequence[str], query_id: int = 0) -> DataFrame:
@@ -180,48 +183,92 @@ def follow_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Tr
     return out
 
 
-def follow_batch(graph: Graph, queries: DataFrame, paths: Mapping[int, Sequence[str]]) -> DataFrame:
-    """``query_id, node``: the final sets of many single-entity queries at once.
+def _reached(graph: Graph, asked: DataFrame, trie: Trie) -> tuple[DataFrame, DataFrame]:
+    """``entity, number`` of all entities, and ``end, node, block, who``: which of them each path's end reaches.
 
-    queries: query_id, entity and, where several queries have one path, path_id (else it is the query_id).  Paths are one
-    trie, so that what begins alike is followed once for an entity: the frontier is (trie node, entity, node).  All go on
-    together: a depth costs one join for all hops, one for all type steps and one for all filters, however many queries
-    and labels there are; the frontier is written once a depth.
+    asked: entity, end.  What begins alike is followed once for an entity.  A frontier is kept by node: a row has the trie's node,
+    the graph's node and the numbers of the entities that are there, in blocks of ``BLOCK``, so that a node that all reach is
+    no single row; entities that ask for the same ends share rows.  A depth costs one join for all hops, one for all
+    type steps and one for all filters; hops alone are dealt again.
     """
-    spark = queries.sparkSession
-    trie = path_trie(paths)
-    own = queries.select(F.col("query_id").cast("long"), "entity", F.col("path_id" if "path_id" in queries.columns else "query_id").cast("long").alias("path_id")).distinct()
-    asked = stored(own.join(spark.createDataFrame(list(trie.ends.items()), "path_id long, end int"), "path_id"))
-    route = spark.createDataFrame([(end, node) for end in set(trie.ends.values()) for node in trie.route(end)], "end int, trie int")
-    steps = spark.createDataFrame([(s.node, s.parent, s.depth, *_as_row(s.step)) for s in trie.steps], "trie int, parent int, depth int, kind string, label string, words array<string>, every boolean")
-    # The steps that an entity needs: those on the way to an end of its own.
-    needed = stored(asked.select("entity", "end").distinct().join(route, "end").select("entity", "trie").distinct().join(steps, "trie"))
-    state = own.select(F.lit(0).alias("trie"), "entity", F.col("entity").alias("node")).distinct()
-    parts: list[DataFrame] = []
-    for depth in range(max((s.depth for s in trie.steps), default=0) + 1):
+    spark = asked.sparkSession
+    plans = asked.select("entity", "end").distinct().groupBy("entity").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+    numbered = in_order(plans, "entity")
+    under = {s.node: [end for end in sorted(set(trie.ends.values())) if s.node in trie.route(end)] for s in trie.steps}
+    state = numbered.select(F.lit(0).alias("trie"), "ends", F.col("entity").alias("node"), F.floor(F.col("number") / BLOCK).alias("block"), F.array((F.col("number") % BLOCK).cast("int")).alias("who"))
+    parts = [spark.createDataFrame([], "end int, node string, block long, who array<int>")]
+    last = max((s.depth for s in trie.steps), default=0)
+    for depth in range(last + 1):
         if ended := [end for end in set(trie.ends.values()) if trie.depth(end) == depth]:
-            parts.append(state.join(asked.filter(F.col("end").isin(ended)).withColumnRenamed("entity", "of"), (F.col("trie") == F.col("end")) & (F.col("entity") == F.col("of"))).select("query_id", "node"))
-        at = [s.step for s in trie.steps if s.depth == depth + 1]
+            parts.append(state.filter(F.col("trie").isin(ended) & F.array_contains("ends", F.col("trie"))).select(F.col("trie").alias("end"), "node", "block", "who"))
+        at = [s for s in trie.steps if s.depth == depth + 1]
         if not at:
             break
-        wanted = needed.filter(F.col("depth") == depth + 1).select(F.col("entity").alias("of"), F.col("trie").alias("next"), "parent", "kind", "label", "words", "every")
-        going = state.join(wanted, (F.col("trie") == F.col("parent")) & (F.col("entity") == F.col("of")))
+        steps = spark.createDataFrame([(s.node, s.parent, *_as_row(s.step), under[s.node]) for s in at], "next int, parent int, kind string, label string, words array<string>, every boolean, under array<int>")
+        # One row a step: as bounded as the paths.
+        going = state.join(F.broadcast(steps), (F.col("trie") == F.col("parent")) & F.arrays_overlap("ends", "under"))
         moved: list[DataFrame] = []
-        for kind in dict.fromkeys(_as_row(s)[0] for s in at):
+        for kind in dict.fromkeys(_as_row(s.step)[0] for s in at):
             mine = going.filter(F.col("kind") == kind)
             if kind == "filter":
                 text = F.lower("dst")
                 hit = F.when(F.col("every"), F.forall("words", lambda w: F.contains(text, w))).otherwise(F.exists("words", lambda w: F.contains(text, w)))
                 mine = mine.join(graph.descriptions(), (F.col("node") == F.col("src")) & hit, "left_semi")
             else:
-                labels = sorted({s.label for s in at if _as_row(s)[0] == kind})
+                labels = sorted({s.step.label for s in at if _as_row(s.step)[0] == kind})
                 edges = graph.edges.filter(F.col("label").isin(labels)).select(F.col("label").alias("of_label"), "src", "dst")
                 mine = mine.join(edges, (F.col("label") == F.col("of_label")) & (F.col("node") == F.col("src")), "inner" if kind == "hop" else "left_semi")
-            moved.append(mine.select(F.col("next").alias("trie"), "entity", F.col("dst" if kind == "hop" else "node").alias("node")))
-        state = stored(reduce(DataFrame.unionByName, moved).distinct())
-    none = spark.createDataFrame([], "query_id long, node string")
-    # Each state is distinct, and a query has one end.
-    return reduce(DataFrame.unionByName, parts, none)
+            rows = mine.select(F.col("next").alias("trie"), "ends", F.col("dst" if kind == "hop" else "node").alias("node"), "block", "who")
+            # A type step or a filter keeps rows as they are, and each trie node has one kind.
+            moved.append(_gathered(rows) if kind == "hop" else rows)
+        state = reduce(DataFrame.unionByName, moved)
+        if depth + 1 < last:
+            state = stored(state)
+    return numbered.select("entity", "number"), reduce(DataFrame.unionByName, parts)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows of a frontier of which there is one a trie node, node and block, with each entity once."""
+    dealt = rows.repartition("trie", "node", "block")
+    return dealt.groupBy("trie", "node", "block", "ends").agg(F.array_distinct(F.flatten(F.collect_list("who"))).alias("who")).select("trie", "ends", "node", "block", "who")
+
+
+def _asked(queries: DataFrame, trie: Trie, *columns: str) -> DataFrame:
+    """The columns of the queries, with the trie node where each one's path ends."""
+    ends = queries.sparkSession.createDataFrame(list(trie.ends.items()), "path_id long, end int")
+    return queries.filter("entity is not null").select(*columns).distinct().join(F.broadcast(ends), "path_id")  # one row a path
+
+
+def follow_batch(graph: Graph, queries: DataFrame, paths: Mapping[int, Sequence[str]]) -> DataFrame:
+    """``query_id, node``: the final sets of many single-entity queries at once.
+
+    queries: query_id, entity and, where several queries have one path, path_id (else it is the query_id).
+    """
+    trie = path_trie(paths)
+    own = queries.select(F.col("query_id").cast("long"), "entity", F.col("path_id" if "path_id" in queries.columns else "query_id").cast("long").alias("path_id"))
+    asked = stored(_asked(own, trie, "query_id", "entity", "path_id"))
+    numbered, reached = _reached(graph, asked, trie)
+    of = asked.join(numbered, "entity").select("query_id", F.col("end").alias("of_end"), "number")
+    each = reached.select("end", "node", "block", F.explode("who").alias("at")).select("end", "node", (F.col("block") * BLOCK + F.col("at")).alias("of_number"))
+    # What an entity reaches at an end is there once, and a query has one end.
+    return each.join(of, (F.col("end") == F.col("of_end")) & (F.col("of_number") == F.col("number"))).select("query_id", "node")
+
+
+def count_batch(graph: Graph, queries: DataFrame, paths: Mapping[int, Sequence[str]]) -> DataFrame:
+    """``path_id, node, n``: how many entities reach each node by each path.  queries: path_id, entity; who reaches a node is counted
+    where it is gathered, and no row is made for it."""
+    trie = path_trie(paths)
+    asked = stored(_asked(queries.select(F.col("path_id").cast("long"), "entity"), trie, "path_id", "entity"))
+    ends = queries.sparkSession.createDataFrame(list(trie.ends.items()), "path_id long, of_end int")
+    # Paths that end alike share an end: an entity counts for those that it asked for.
+    alike = {end for end in trie.ends.values() if list(trie.ends.values()).count(end) > 1}
+    numbered, reached = _reached(graph, asked, trie)
+    counted = reached.filter(~F.col("end").isin(list(alike))).join(F.broadcast(ends), F.col("end") == F.col("of_end")).select("path_id", "node", F.size("who").cast("long").alias("n"))
+    if alike:
+        of = asked.filter(F.col("end").isin(list(alike))).join(numbered, "entity").select("path_id", F.col("end").alias("of_end"), "number")
+        each = reached.filter(F.col("end").isin(list(alike))).select("end", "node", "block", F.explode("who").alias("at")).select("end", "node", (F.col("block") * BLOCK + F.col("at")).alias("of_number"))
+        counted = counted.unionByName(each.join(of, (F.col("end") == F.col("of_end")) & (F.col("of_number") == F.col("number"))).select("path_id", "node", F.lit(1).cast("long").alias("n")))
+    return counted.groupBy("path_id", "node").agg(F.sum("n").alias("n"))
 
 
 def _as_row(step: Step) -> tuple[str, str | None, list[str], bool]:

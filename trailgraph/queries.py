@@ -11,7 +11,7 @@ from trailgraph import relational_graph
 from trailgraph.functions import text
 from trailgraph.functions.match import closest
 from trailgraph.operators import bundles, expand, graph as graphs, splits
-from trailgraph.plans.execute import Graph, follow, follow_batch, follow_many, start, trace, trace_many
+from trailgraph.plans.execute import Graph, count_batch, follow, follow_batch, follow_many, start, trace, trace_many
 from trailgraph.sources.readers import keyed_objects, target_map
 from trailgraph.sources.writers import edge_lines
 from trailgraph.storage import working_folder
@@ -202,9 +202,8 @@ def batch_path_family(spark, sf_dir):
     """How many entities reach each node by each path: one batch of a query for every entity and path of its kind."""
     names = {kind: _table(spark, sf_dir, kind).select(F.col(f"{kind[0]}_name").alias("entity"), F.lit(kind).alias("kind")) for kind in FAMILY}
     routes = spark.createDataFrame([(k, kind) for k, (kind, _) in enumerate(_FAMILY)], "path_id long, kind string")
-    asked = names["customer"].unionByName(names["supplier"]).join(F.broadcast(routes), "kind").select("path_id", "entity", F.xxhash64("path_id", "entity").alias("query_id"))
-    reached = follow_batch(_graph(spark, sf_dir), asked, {k: path for k, (_, path) in enumerate(_FAMILY)})
-    return reached.join(asked, "query_id").groupBy("path_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    asked = names["customer"].unionByName(names["supplier"]).join(F.broadcast(routes), "kind").select("path_id", "entity")
+    return count_batch(_graph(spark, sf_dir), asked, {k: path for k, (_, path) in enumerate(_FAMILY)})
 
 
 # -- paths from several entities --------------------------------------------------------------------------------------
