@@ -21,8 +21,10 @@ from trailgraph.storage import stored
 STATE = ["query_id", "entity", "node"]
 #: Parts that rows which hold for all entities are dealt to where they are multiplied.
 SHARED_PARTS = 64
-#: Entities of one row of a batch's frontier, at most.
+#: Entities of one row of a batch's frontier, and nodes of one row of a counted hop's lists, at most.
 BLOCK = 1 << 18
+#: Nodes of all lists that one entity is counted by, at most; an entity that may have more is counted by rows.
+LISTED = 1 << 22
 
 
 def start(spark: SparkSession, entities: Sequence[str], query_id: int = 0) -> DataFrame:
@@ -183,6 +185,55 @@ def follow_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> Tr
     return out
 
 
+def _rows_counted(graph: Graph, rows: DataFrame) -> DataFrame:
+    """``query_id, entity, node_type, n`` of rows (query_id, entity, node), each counted once."""
+    typed = rows.repartition(*STATE).distinct().join(graph.types, F.col("node") == F.col("name"), "left")
+    return typed.groupBy("query_id", "entity", "node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_many(graph: Graph, state: DataFrame, path: str | Sequence[str]) -> DataFrame:
+    """``query_id, entity, node_type, n``: how many different nodes of each type every entity of ``state`` reaches over all hops, as
+    counted over the results of ``follow_many``.
+
+    The last hop, which reaches most, is followed by lists: its targets are numbered, each source has the numbers of its targets
+    in rows of at most ``BLOCK``, and an entity's lists are dealt to it and made one.  No row is made for an entity and a node.
+    Entities whose lists might hold more than ``LISTED`` numbers are counted by rows.
+    """
+    steps = [s for s in compile_path(path, "multi") if not isinstance(s, Select | Combine)]
+    hops = [k for k, s in enumerate(steps) if isinstance(s, Hop)]
+    if not hops or any(isinstance(s, TypeSeed) for s in steps):
+        return follow_many(graph, state, path).results.groupBy("query_id", "entity", "node_type").agg(F.count(F.lit(1)).alias("n"))
+    label = steps[hops[-1]].label
+    earlier = [state.limit(0).select(*STATE)]
+    for step in steps[: hops[-1]]:
+        state = advance(graph, state, step)
+        if isinstance(step, Hop):
+            state = stored(state)  # read for the next hop and for what is counted
+            earlier.append(state)
+    rows = reduce(DataFrame.unionByName, earlier)
+    targets = in_order(graph.slice(label).select("dst").distinct(), "dst").join(graph.types, F.col("dst") == F.col("name"), "left")
+    targets = stored(targets.select(F.col("dst").alias("target"), "node_type", F.floor(F.col("number") / BLOCK).alias("block"), (F.col("number") % BLOCK).cast("int").alias("at")))
+    edges = graph.slice(label).join(targets, F.col("dst") == F.col("target")).select("src", "node_type", "block", "at")
+    lists = stored(edges.repartition("src").groupBy("src", "node_type", "block").agg(F.collect_list("at").alias("nodes")))
+    longest = lists.groupBy("src").agg(F.sum(F.size("nodes")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    sizes = state.select("query_id", "entity").unionByName(rows.select("query_id", "entity")).groupBy("query_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") * F.lit(max(longest, 1)) > LISTED).select(F.col("query_id").alias("of_query"), F.col("entity").alias("of_entity"))
+    mine = (F.col("query_id") == F.col("of_query")) & (F.col("entity") == F.col("of_entity"))
+    found = []
+    large = stored(large)
+    if not large.isEmpty():
+        by_rows = rows.unionByName(hopped(graph, state, Hop(label))).join(large, mine, "left_semi")
+        found.append(_rows_counted(graph, by_rows))
+        state, rows = state.join(large, mine, "left_anti"), rows.join(large, mine, "left_anti")
+    # What earlier hops reached is counted by the same lists where it is a target of the last one too, else by rows.
+    again = rows.join(targets, F.col("node") == F.col("target")).select("query_id", "entity", "node_type", "block", F.array("at").alias("nodes"))
+    others = rows.join(targets, F.col("node") == F.col("target"), "left_anti")
+    listed = state.join(lists, F.col("node") == F.col("src")).select("query_id", "entity", "node_type", "block", "nodes").unionByName(again)
+    once = F.size(F.array_distinct(F.flatten(F.collect_list("nodes")))).cast("long").alias("n")
+    found += [listed.repartition("query_id", "entity").groupBy("query_id", "entity", "node_type", "block").agg(once).drop("block"), _rows_counted(graph, others)]
+    return reduce(DataFrame.unionByName, found).groupBy("query_id", "entity", "node_type").agg(F.sum("n").alias("n"))
+
+
 def _reached(graph: Graph, asked: DataFrame, trie: Trie) -> tuple[DataFrame, DataFrame]:
     """``entity, number`` of all entities, and ``end, node, block, who``: which of them each path's end reaches.
 

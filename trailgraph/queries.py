@@ -11,7 +11,7 @@ from trailgraph import relational_graph
 from trailgraph.functions import text
 from trailgraph.functions.match import closest
 from trailgraph.operators import bundles, expand, graph as graphs, splits
-from trailgraph.plans.execute import Graph, count_batch, follow, follow_batch, follow_many, start, trace, trace_many
+from trailgraph.plans.execute import Graph, count_batch, count_many, follow, follow_batch, follow_many, start, trace, trace_many
 from trailgraph.sources.readers import keyed_objects, target_map
 from trailgraph.sources.writers import edge_lines
 from trailgraph.storage import working_folder
@@ -263,10 +263,9 @@ query(f"{_many_sql(_TWO, _FILTERED)} SELECT entity, node_type, node FROM acc", "
 ), acc AS (SELECT * FROM f1 UNION SELECT * FROM f2 UNION SELECT * FROM f3)
 SELECT entity, node_type, count(*) AS n FROM acc LEFT JOIN node_type ON node = name GROUP BY ALL""")
 def hops_of_all_customers(spark, sf_dir):
-    """How many nodes of each type every customer reaches: a frontier of all of them over the bucketed store."""
+    """How many nodes of each type every customer reaches: a frontier of all of them, its last hop by lists."""
     customers = _table(spark, sf_dir, "customer").select(F.lit(0).cast("long").alias("query_id"), F.col("c_name").alias("entity"), F.col("c_name").alias("node"))
-    reached = follow_many(relational_graph.load_bucketed(spark, sf_dir), customers, ["placed_order", "uses_part", "supplied_by"])
-    return reached.results.groupBy("entity", "node_type").agg(F.count(F.lit(1)).alias("n"))
+    return count_many(_graph(spark, sf_dir), customers, ["placed_order", "uses_part", "supplied_by"]).drop("query_id")
 
 
 # -- bundles ----------------------------------------------------------------------------------------------------------

@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from trailgraph.operators import text_index
 from trailgraph.operators.graph import Graph, Labels, both_ways, canonical, canonical_of_pairs, multigraph, multigraph_of_pairs, node_types
-from trailgraph.sources import bucketed
 from trailgraph.sources.readers import read_edges
 from trailgraph.sources.writers import write_sorted_edges
 from trailgraph.storage import working_folder
 
 RULE_PLACES = 10**12
-LEAST_BUCKETS = 16
 #: Bytes of the tables whose edges one task merges: about 2 million edges of the densest.
 PART_BYTES = 6 << 20
 _CUSTOMER_NATION = "customer JOIN nation ON c_nationkey = n_nationkey"
@@ -171,12 +169,11 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple:
 
 @dataclass
 class Store:
-    """A graph's folder, the graph itself with what is kept with it, and its other forms, made when they are asked for."""
+    """A graph's folder, the graph itself with what is kept with it, and its indexed form, made when it is asked for."""
 
     folder: str
     graph: Graph
     indexed: Graph | None = None
-    bucketed: Graph | None = None
 
 
 _STORES: dict[tuple, Store] = {}
@@ -207,17 +204,6 @@ def load_indexed(spark: SparkSession, sf_dir: str) -> Graph:
     return own.indexed
 
 
-def load_bucketed(spark: SparkSession, sf_dir: str) -> Graph:
-    """The same with its edges bucketed by source, for frontiers of very many entities."""
-    own = store(spark, sf_dir)
-    if own.bucketed is None:
-        # As many as a shuffle has, so that the frontier is dealt to them; few for a small graph, as each is a file a label.
-        buckets = max(bucketed.buckets_for(own.graph.edges.count()), min(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        table = f"edges_{own.folder.rsplit('/', 1)[-1]}"
-        own.bucketed = Graph(bucketed.write_bucketed(own.graph.edges, f"{own.folder}/bucketed", table, buckets), own.graph.types)
-    return own.bucketed
-
-
 #: The same graph in SQL: ``edges(src, dst, label, pos)`` and ``node_type(name, node_type)``.
 SQL = f"""WITH raw AS (
 {' UNION ALL '.join(rule_sql(i, 'varchar') for i in range(len(RULES)))}
