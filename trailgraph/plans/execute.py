@@ -261,16 +261,17 @@ def _reached(graph: Graph, asked: DataFrame, trie: Trie) -> tuple[DataFrame, Dat
         at = [s for s in trie.steps if s.depth == depth + 1]
         if not at:
             break
-        steps = spark.createDataFrame([(s.node, s.parent, *_as_row(s.step), under[s.node]) for s in at], "next int, parent int, kind string, label string, words array<string>, every boolean, under array<int>")
+        steps = spark.createDataFrame([(s.node, s.parent, *_as_row(s.step), under[s.node]) for s in at], "next int, parent int, kind string, label string, under array<int>")
         # One row a step: as bounded as the paths.
         going = state.join(F.broadcast(steps), (F.col("trie") == F.col("parent")) & F.arrays_overlap("ends", "under"))
         moved: list[DataFrame] = []
         for kind in dict.fromkeys(_as_row(s.step)[0] for s in at):
             mine = going.filter(F.col("kind") == kind)
             if kind == "filter":
-                text = F.lower("dst")
-                hit = F.when(F.col("every"), F.forall("words", lambda w: F.contains(text, w))).otherwise(F.exists("words", lambda w: F.contains(text, w)))
-                mine = mine.join(graph.descriptions(), (F.col("node") == F.col("src")) & hit, "left_semi")
+                # The texts stay where they are: a description goes on as the steps that it meets.
+                met = F.array_compact(F.array(*[F.when(_matches(F.col("dst"), s.step), F.lit(s.node)) for s in at if isinstance(s.step, Filter)]))
+                described = graph.descriptions().select("src", F.explode(met).alias("of_next"))
+                mine = mine.join(described, (F.col("next") == F.col("of_next")) & (F.col("node") == F.col("src")), "left_semi")
             else:
                 labels = sorted({s.step.label for s in at if _as_row(s.step)[0] == kind})
                 edges = graph.edges.filter(F.col("label").isin(labels)).select(F.col("label").alias("of_label"), "src", "dst")
@@ -328,11 +329,11 @@ def count_batch(graph: Graph, queries: DataFrame, paths: Mapping[int, Sequence[s
     return counted.groupBy("path_id", "node").agg(F.sum("n").alias("n"))
 
 
-def _as_row(step: Step) -> tuple[str, str | None, list[str], bool]:
-    """A step's kind, label, words, and whether it needs all of them."""
+def _as_row(step: Step) -> tuple[str, str | None]:
+    """A step's kind and label."""
     if isinstance(step, Filter):
-        return "filter", None, list(step.words), step.every
-    return "keep" if isinstance(step, TypeKeep) else "hop", step.label, [], False
+        return "filter", None
+    return "keep" if isinstance(step, TypeKeep) else "hop", step.label
 
 
 def trace(graph: Graph, state: DataFrame, path: str | Sequence[str], relation_texts: DataFrame | None = None) -> DataFrame:
